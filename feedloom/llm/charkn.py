@@ -1,0 +1,170 @@
+"""Interpolated modified Kneser-Ney n-grams over byte classes.
+
+Texts are read as classes of UTF-8 bytes, ``SYMBOLS`` of them, in n-grams of ``ORDER``: a table over all n-grams has at
+most SYMBOLS ** ORDER entries (5.3 million) whatever the corpus, so it may be sent to every task. Class 0 stands
+before and after each text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from feedloom.llm.textvec import CHUNK_BYTES, _buffers
+
+SYMBOLS, ORDER = 48, 4
+GRAMS = SYMBOLS**ORDER
+
+
+def classes(fold_case: bool) -> np.ndarray:
+    """The class of each byte. Capitals are one class, or with fold_case those of the small letters."""
+    c = np.full(256, 30, np.int64)  # further punctuation and control characters
+    c[97:123] = np.arange(1, 27)
+    c[65:91] = np.arange(1, 27) if fold_case else 27
+    c[48:58] = 28
+    c[[9, 11, 12, 13, 32]] = 29
+    c[10] = 31
+    c[[46, 33, 63]] = 32
+    c[[44, 59, 58]] = 33
+    c[[39, 34, 45, 40, 41]] = 34
+    c[list(b"#*$%&|<>@^~_=+/\\[]{}`")] = 35
+    c[0x80:0xC0] = 36 + (np.arange(0x80, 0xC0) & 7)
+    c[0xC0:0xE0] = 44
+    c[0xE0:0xF0] = 45
+    c[0xF0:] = 46
+    return c
+
+
+def codes(column: pa.Array, table: np.ndarray, order: int = ORDER) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, n-gram codes, and for each row of the chunk where its codes begin and how many they are)."""
+    offsets, data = _buffers(column)
+    first, rows = 0, len(offsets) - 1
+    while first < rows:
+        last = min(rows, max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1))
+        at = offsets[first : last + 1] - offsets[first]
+        length = np.diff(at)
+        n = last - first
+        padded = np.zeros(int(at[-1]) + order * n + order, np.int64)
+        padded[np.arange(at[-1]) + order * np.repeat(np.arange(n), length) + order - 1] = table[data[offsets[first] : offsets[last]]]
+        code = padded[: len(padded) - order + 1].copy()
+        for j in range(1, order):
+            code = code * SYMBOLS + padded[j : len(padded) - order + 1 + j]
+        yield first, code, at[:-1] + order * np.arange(n), length + 1
+        first = last
+
+
+def count(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Columns text and kind (a small int) to kind, gram, n: one row for each n-gram of a kind and task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        for first, code, begin, size in codes(batch.column("text"), table):
+            mine = kind[first : first + len(begin)]
+            for k in np.unique(mine).tolist():
+                mark = np.zeros(len(code) + 1, np.int64)
+                np.add.at(mark, begin[mine == k], 1)
+                np.add.at(mark, (begin + size)[mine == k], -1)
+                own = code[np.cumsum(mark)[:-1] > 0]
+                total.setdefault(k, np.zeros(GRAMS, np.int64))
+                if len(own) > GRAMS // 8:
+                    total[k] += np.bincount(own, minlength=GRAMS)
+                else:
+                    np.add.at(total[k], own, 1)
+    for k, counts in total.items():
+        gram = np.flatnonzero(counts)
+        for i in range(0, len(gram), 100_000):
+            g = gram[i : i + 100_000]
+            yield pa.record_batch([pa.array(np.full(len(g), k, np.int32)), pa.array(g), pa.array(counts[g])], ["kind", "gram", "n"])
+
+
+def means(column: pa.Array, table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each row the mean of ``values`` over its n-grams."""
+    out = np.zeros(len(column))
+    for first, code, begin, size in codes(column, table):
+        total = np.zeros(len(code) + 1)
+        np.cumsum(values[code], out=total[1:])
+        out[first : first + len(begin)] = (total[begin + size] - total[begin]) / size
+    return out
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """D1, D2, D3+ from the numbers of n-grams that occur once to four times."""
+    if not n1 or not n2:
+        return 0.5, 0.75, 0.9
+    y = n1 / (n1 + 2 * n2)
+    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / max(n3, 1))
+    return tuple(min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3), strict=True))
+
+
+def _discount(c, d):
+    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+def tables(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """From (gram, n) of the highest order: for each order from 1 on (gram, p) of the n-grams seen and (context, left).
+
+    All are joins and sums of count tables sharded by n-gram or context. Lower orders count in how many contexts an
+    n-gram was seen. ``left`` is the weight of the next lower order.
+    """
+    orders = {ORDER: counts.select("gram", F.col("n").alias("c"))}
+    for k in range(ORDER - 1, 0, -1):
+        orders[k] = orders[k + 1].groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count("*").alias("c"))
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for k in range(1, ORDER + 1):
+        c = orders[k]
+        d = discounts(*c.agg(*(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4))).first())
+        context = F.floor(F.col("gram") / SYMBOLS).cast("long")
+        stats = c.groupBy(context.alias("context")).agg(F.sum("c").alias("total"), F.sum(_discount(F.col("c"), d)).alias("taken"))
+        left = stats.select("context", "total", (F.col("taken") / F.col("total")).alias("left"))
+        seen = c.withColumn("context", context).join(left, "context").withColumn("own", (F.col("c") - _discount(F.col("c"), d)) / F.col("total"))
+        if k == 1:
+            seen = seen.select("gram", (F.col("own") + F.col("left") / SYMBOLS).alias("p"))
+        else:
+            lower = out[-1][0].select(F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            seen = seen.withColumn("suffix", F.col("gram") % SYMBOLS ** (k - 1)).join(lower, "suffix").select("gram", (F.col("own") + F.col("left") * F.col("below")).alias("p"))
+        out.append((seen, left.select("context", "left")))
+    return out
+
+
+def dense(found: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
+    """Natural log-probabilities of all n-grams; both tables of an order have at most SYMBOLS ** ORDER rows."""
+    p = np.full(1, 1 / SYMBOLS)
+    for k, (seen, left) in enumerate(found, 1):
+        rows, weights = seen.toPandas(), left.toPandas()
+        weight = np.ones(SYMBOLS ** (k - 1))
+        weight[weights["context"].to_numpy(np.int64)] = weights["left"].to_numpy()
+        p = (weight.reshape(SYMBOLS if k > 1 else 1, -1, 1) * (p.reshape(1, -1, SYMBOLS) if k > 1 else np.full((1, 1, SYMBOLS), 1 / SYMBOLS))).reshape(-1)
+        p[rows["gram"].to_numpy(np.int64)] = rows["p"].to_numpy()
+    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
+
+
+def kneser_ney(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Probabilities of the highest order from dense counts, over a given lower order (used with shared lower orders)."""
+    c = counts.reshape(-1, SYMBOLS)
+    d = discounts(*(float((c == i).sum()) for i in (1, 2, 3, 4)))
+    taken = np.where(c == 0, 0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
+    total = c.sum(1, keepdims=True)
+    left = np.where(total > 0, taken.sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
+    p = np.where(c > 0, (c - taken) / np.maximum(total, 1), 0.0).reshape(SYMBOLS, -1, SYMBOLS)
+    return (p + left.reshape(SYMBOLS, -1, 1) * below.reshape(1, -1, SYMBOLS)).reshape(-1)
+
+
+def lower_order(counts: np.ndarray) -> np.ndarray:
+    """Kneser-Ney probabilities of the order below, from the continuation counts of dense counts of the highest order."""
+    seen, levels = (counts > 0).astype(np.int64), []
+    for k in range(ORDER - 1, 0, -1):
+        levels.append(seen.reshape(SYMBOLS, -1).sum(0))
+        seen = (levels[-1] > 0).astype(np.int64)
+    p = np.full(SYMBOLS, 1 / SYMBOLS)
+    for c in reversed(levels):
+        if len(c) == SYMBOLS:
+            d = discounts(*(float((c == i).sum()) for i in (1, 2, 3, 4)))
+            taken = np.where(c == 0, 0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
+            p = (c - taken) / max(c.sum(), 1) + (taken.sum() / max(c.sum(), 1) if c.sum() else 1.0) / SYMBOLS
+        else:
+            p = kneser_ney(c, p)
+    return p

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +15,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one where it is unset (tests on one machine)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of results that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the checkpoint folder that the session names and returns it without its lineage.
+    """``df`` without its lineage, from a checkpoint in the shared folder. Spark deletes it with the last reference."""
+    folder(df.sparkSession)
+    df = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return df
+
+
+class Scratch:
+    """Tables written to the shared folder: smaller than checkpoints, and deleted by ``drop`` or at the end of the program."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+        self.base = f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
-    Where spark.checkpoint.dir is unset (tests on one machine), a temporary folder is used.
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        release(self.spark)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self._delete(self.paths.pop(id(t)))
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def close(self) -> None:
+        try:
+            self._delete(self.base)
+        except Exception:  # noqa: BLE001  the session may have ended before
+            pass
+
+
+def id_bits(ids: DataFrame, column: str, most: int = 1 << 27) -> tuple[int, object]:
+    """A bit set of hashed ids, (number of bits, broadcast array): a filter that lets some other ids pass too.
+
+    It has eight bits an id, from 65,536 up to ``most`` (16 MB), so its size is bounded; an exact join comes after it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    import numpy as np
+
+    n = 1 << 16
+    while n < most and n < 8 * ids.count():
+        n *= 2
+    h = F.pmod(F.xxhash64(column), F.lit(n))
+    words = ids.select(h.alias("h")).selectExpr("h div 64 AS w", "shiftleft(1L, CAST(h % 64 AS INT)) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(n // 64, np.int64)
+    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return n, ids.sparkSession.sparkContext.broadcast(bits)
 
 
 def id_text(df: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import cut, id_text
+from feedloom.llm.common import Scratch, id_bits, id_text
 from feedloom.llm.components import components
 from feedloom.llm.textvec import mix, shingle_sets, signed
 
@@ -51,10 +51,10 @@ def band_of(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """One bit for each shingle among at least twice as many bits, a power of two of them, at least 64."""
+    """One bit for each mixed shingle among at least twice as many bits, a power of two of them, at least 64."""
     width = max(64, 1 << (2 * max(1, len(hashes)) - 1).bit_length())
     bits = np.zeros(width, bool)
-    bits[(mix(hashes) & U(width - 1)).astype(np.int64)] = True
+    bits[(hashes & U(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(U)
 
 
@@ -72,17 +72,20 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, n_a, n_b):
 
 
 def _profile(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Kind 0: doc_id, set size, signature. Kind 1: shingles common in this task, their count, hash."""
+    """Kind 0: doc_id, set size, signature, bitmap. Kind 1: shingles common in this task, their count, hash."""
     seen, counts, docs = [], None, 0
+    names = ["kind", "doc_id", "n", "sig", "bits"]
     for batch in batches:
-        sizes, sig = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U)
+        sizes, sig, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U), [None] * batch.num_rows
         for i, s in shingle_sets(batch.column("text"), k):
             sizes[i] = len(s)
             if len(s):
-                sig[i] = (mix(s).sum(dtype=U) ^ mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) * U(31)) + U(len(s))
+                m = mix(s)
+                sig[i] = np.bitwise_xor.reduce(mix(m)) ^ m.sum(dtype=U)
+                bits[i] = bitmap(m).tobytes()
                 seen.append(s)
         docs += batch.num_rows
-        yield pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), pa.array(sizes), pa.array(signed(sig))], ["kind", "doc_id", "n", "sig"])
+        yield pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), pa.array(sizes), pa.array(signed(sig)), pa.array(bits, pa.binary())], names)
         counts, seen = _merge(counts, seen, 0), []
         if len(counts[0]) > 4_000_000:  # keep what may still become common
             few = counts[1] > max(1, share * docs / 4)
@@ -90,7 +93,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterato
     if counts is not None:
         common = counts[1] >= max(4, share * docs)
         h, c = counts[0][common], counts[1][common]
-        yield pa.record_batch([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), pa.array(c), pa.array(signed(h))], ["kind", "doc_id", "n", "sig"])
+        yield pa.record_batch([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), pa.array(c), pa.array(signed(h)), pa.nulls(len(h), pa.binary())], names)
 
 
 def _merge(counts, seen: list[np.ndarray], _: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,35 +166,48 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.record_batch([pa.array(key[out]), pa.array(doc[out]), pa.array(n[out]), pa.array(leader[out])], names)
 
 
-def _arrays(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _arrays(batches: Iterator[pa.RecordBatch], k: int, n_bits: int, bits) -> Iterator[pa.RecordBatch]:
+    """The sets of the documents whose id the bit set lets pass; column h is the hash of the id."""
+    wanted = bits.value.view(U)
     for batch in batches:
-        ids, out_ids, sets, maps, size = batch.column("doc_id").to_pylist(), [], [], [], 0
+        h = batch.column("h").to_numpy().view(np.int64) % n_bits
+        keep = np.flatnonzero((wanted[h // 64] >> (h % 64).astype(U)) & U(1))
+        if not len(keep):
+            continue
+        batch = batch.take(pa.array(keep))
+        ids, out_ids, sets, size = batch.column("doc_id").to_pylist(), [], [], 0
         for i, s in shingle_sets(batch.column("text"), k):
             out_ids.append(ids[i])
             sets.append(s.tobytes())
-            maps.append(bitmap(s).tobytes())
             size += len(sets[-1])
             if size > 8 << 20:
-                yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "hashes", "bits"])
-                out_ids, sets, maps, size = [], [], [], 0
-        if out_ids:
-            yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "hashes", "bits"])
+                yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+                out_ids, sets, size = [], [], 0
+        yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose bitmaps leave enough overlap possible."""
     for batch in batches:
-        a, b, sa, sb, ba, bb = (batch.column(c) for c in ("a", "b", "hashes_a", "hashes_b", "bits_a", "bits_b"))
+        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
         keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(s[i].as_buffer(), U) for s in (sa, sb))
-            u, v = (np.frombuffer(s[i].as_buffer(), U) for s in (ba, bb))
+        for i, (x, y) in enumerate(zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)):
+            u, v = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
             width = min(len(u), len(v))
-            if enough(int(overlap_bound(fold(u, width), fold(v, width), len(x), len(y))), len(x), len(y), percent):
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                keep[i] = enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)
-        mask = pa.array(keep)
-        yield pa.record_batch([a.filter(mask), b.filter(mask)], ["a", "b"])
+            keep[i] = enough(int(overlap_bound(fold(u, width), fold(v, width), n_a[i], n_b[i])), n_a[i], n_b[i], percent)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sorted arrays share enough."""
+    for batch in batches:
+        keep = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")
+            keep[i] = enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -228,54 +244,64 @@ def _pairs(rows: list[tuple], tile, percent: int, a: list, b: list) -> None:
         b.extend(np.maximum(doc[i], doc[j]).tolist())
 
 
-def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: both sets are brought to the pair and intersected."""
-    side = lambda x: arrays.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"hashes_{x}"), F.col("bits").alias(f"bits_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(partial(_verify, percent=percent), "a long, b long")
+def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are linked: bounded by the bitmaps first; then sets are made again for what is left."""
+    side = lambda t, x, *columns: t.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    near = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
+    both = pairs.join(side(bits, "a", "n", "bits"), "a").join(side(bits, "b", "n", "bits"), "b").filter(near)
+    both = scratch.table(both.mapInArrow(partial(_bounded, percent=percent), "a long, b long"))
+    n_bits, wanted = id_bits(both.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
+    arrays = docs.filter("doc_id IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)))
+    arrays = arrays.mapInArrow(partial(_arrays, k=k, n_bits=n_bits, bits=wanted), "doc_id long, hashes binary")
+    pairs = both.join(side(arrays, "b", "hashes"), "b").join(side(arrays, "a", "hashes"), "a")
+    out = scratch.table(pairs.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
+    scratch.drop(both)
+    return out
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = id_text(docs)
     share = 0.002
-    profile = cut(docs.mapInArrow(partial(_profile, k=k, share=share), "kind int, doc_id long, n long, sig long"))
+    profile = scratch.table(docs.mapInArrow(partial(_profile, k=k, share=share), "kind int, doc_id long, n long, sig long, bits binary"))
     sets = profile.filter("kind = 0").select("doc_id", "n", "sig")
-    n_docs = sets.count()
-    often = profile.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, share * n_docs))
+    often = profile.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, share * sets.count()))
     often = often.orderBy(F.desc("n"), "sig").limit(COMMON_LIMIT).select("sig").toPandas()["sig"].to_numpy(np.int64)
     common = spark.sparkContext.broadcast(np.sort(often.view(U)))
 
     filled = sets.filter("n > 0 AND doc_id IS NOT NULL")
     first = filled.groupBy("sig", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies")).filter("copies > 1")
     copies = filled.join(first.drop("copies"), ["sig", "n"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    bits = profile.filter("kind = 0 AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits")
 
     prefixes = docs.mapInArrow(partial(_prefixes, k=k, percent=percent, common=common), "key long, doc_id long, n int")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     cells = prefixes.repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(partial(_cells, percent=percent), "key long, doc_id long, n int, leader long")
-    cells = cut(cells)
-    wanted = cells.select("doc_id").distinct()
-    arrays = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_arrays, k=k), "doc_id long, hashes binary, bits binary").dropDuplicates(["doc_id", "hashes"]))
+    cells = scratch.table(cells)
 
     votes = cells.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("doc_id").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
-    tried = best.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-    links = cut(copies.unionByName(verified(tried, arrays, percent)))
+    best = votes.withColumn("rank", F.col("votes") * 2 + (F.col("leader") < F.col("doc_id")).cast("int"))
+    top = best.groupBy("doc_id").agg(F.max("rank").alias("rank"))
+    best = best.join(top, ["doc_id", "rank"]).groupBy("doc_id").agg(F.min("leader").alias("leader"))
+    tried = scratch.table(best.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct())
+    links = scratch.table(copies.unionByName(verified(docs, tried, bits, scratch, k, percent)))
     part = components(links)
 
     labelled = cells.select("key", "doc_id", "n").join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = cut(labelled)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("c0 < c1")
-    mixed = cut(mixed)
+    mixed = scratch.table(mixed)
     twos = mixed.filter("m = 2").select("a", "b")
     many = labelled.join(mixed.filter("m > 2").select("key", "m"), "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n", "component")
-    many = many.join(arrays.select("doc_id", "bits"), "doc_id")
+    many = many.join(bits.select("doc_id", "bits"), "doc_id")
     tiles = many.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(partial(_tiles, percent=percent), "a long, b long")
-    rest = twos.unionByName(tiles).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(verified(rest, arrays, percent))
+    rest = scratch.table(twos.unionByName(tiles).distinct().join(tried, ["a", "b"], "left_anti"))
+    scratch.drop(cells, mixed, tried)
+    more = verified(docs, rest, bits, scratch, k, percent)
     part = components(links.unionByName(more))
 
     out = sets.join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from feedloom.llm import sql
 from feedloom.llm.common import table
 from feedloom.llm.jaccard_join import jaccard_join
+from feedloom.llm.lbl import lbl_scores
 from feedloom.llm.license_scan import license_scan
 from feedloom.llm.packing import pack
+from feedloom.llm.perplexity import perplexity
 from feedloom.llm.quality_rules import quality_rules
+from feedloom.llm.site_style import extract
 from feedloom.llm.span_dedup import span_dedup
 from feedloom.llm.tiling import leaks
+from feedloom.llm.toxicity import toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_lbl_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,6 +43,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(table(spark, sf_dir, "documents"))
 

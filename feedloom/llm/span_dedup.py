@@ -46,11 +46,13 @@ def spans(w: Words, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
     """(row, first sentence, sentence after the last, hash) of each row's spans."""
     begin, end, at = sentences(w)
     last = np.searchsorted(end, begin + min_words)  # the sentence in which the span is long enough
+    limit = np.repeat(at[1:], np.diff(at))
+    own = np.flatnonzero(last < limit)
+    hashed = sequences(w, begin[own], end[last[own]])
+    cut = np.searchsorted(own, at)
     for i in range(len(w.bounds) - 1):
-        low, high = at[i], at[i + 1]
-        own = np.arange(low, high)
-        own = own[last[low:high] < high]
-        yield w.first + i, own - low, last[own] - low + 1, sequences(w, begin[own], end[last[own]]) if len(own) else np.zeros(0, np.uint64)
+        mine = slice(cut[i], cut[i + 1])
+        yield w.first + i, own[mine] - at[i], last[own[mine]] - at[i] + 1, hashed[mine]
 
 
 def _emit(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
