@@ -1,0 +1 @@
+"""Feed-corpus analytics and retrieval on PySpark."""
