@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.udf import pandas_function
+
 # French names that feeds use, zone names and their offsets in hours, and formats besides ISO 8601.
 FRENCH = {
     "janvier": "Jan", "février": "Feb", "fevrier": "Feb", "mars": "Mar", "avril": "Apr", "mai": "May", "juin": "Jun", "juillet": "Jul", "août": "Aug",
@@ -55,7 +57,7 @@ def _utc(d: datetime) -> datetime:
     return d.astimezone(timezone.utc)
 
 
-@F.pandas_udf("timestamp")
+@pandas_function("timestamp")
 def parse_date_udf(text: pd.Series) -> pd.Series:
     def one(t):
         try:

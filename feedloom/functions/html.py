@@ -6,9 +6,8 @@ import re
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import functions as F
-
 from feedloom.functions.dom import Element, parse
+from feedloom.functions.udf import pandas_function
 
 # Parts of class names and ids, by what they say of an element.
 STRONG = ("popupbody", "-ad", "g-plus")
@@ -227,21 +226,21 @@ def proxied(html: str, proxy: str, kinds: tuple[str, ...] = ("image",), policy:
     return root.inner()
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def readable_udf(html: pd.Series) -> pd.Series:
     return html.map(lambda h: readable(h) if h is not None else None)
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def sanitize_udf(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([sanitize(h, b or "") if h is not None else None for h, b in zip(html, base, strict=True)])
 
 
-@F.pandas_udf("array<struct<title:string,url:string,kind:string>>")
+@pandas_function("array<struct<title:string,url:string,kind:string>>")
 def feed_links_udf(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("title", "url", "kind"), x, strict=True)) for x in feed_links(h or "", b or "")] for h, b in zip(html, base, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@pandas_function("array<string>")
 def icon_links_udf(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([icon_links(h or "", b or "") for h, b in zip(html, base, strict=True)])

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.udf import pandas_function
+
 #: Tags that part words, and tags whose text isn't shown.
 BLOCK_TAGS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 HIDDEN_TAGS = frozenset("script style noscript".split())
@@ -98,12 +100,12 @@ def split(text: str, target: int = 320, most: int = 512, overlap: int = 64, coun
     return out
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def extract_text_udf(html: pd.Series) -> pd.Series:
     return html.map(lambda h: extract_text(h) if h is not None else None)
 
 
-@F.pandas_udf("array<struct<text:string,start:int,end:int>>")
+@pandas_function("array<struct<text:string,start:int,end:int>>")
 def split_udf(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"text": x, "start": a, "end": b} for x, a, b in split(t)] if t is not None else None)
 

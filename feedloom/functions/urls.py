@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedloom.functions.udf import pandas_function
+
 # Query parameters that only track, and prefixes of such.
 TRACKING = frozenset(
     "fbclid _openstat fb_action_ids fb_action_types fb_ref fb_source fb_comment_id hmb_campaign hmb_medium hmb_source "
@@ -46,7 +48,7 @@ def clean_url_column(url: Column) -> Column:
     return F.when((query != "") & F.exists(pairs, bad), new).otherwise(url)
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def clean_url_udf(url: pd.Series, feed_url: pd.Series, site_url: pd.Series) -> pd.Series:
     host = lambda u: urlsplit(u or "").hostname or ""
     return pd.Series([clean_url(u, host(f), host(s)) if u else u for u, f, s in zip(url, feed_url, site_url, strict=True)])
@@ -78,7 +80,7 @@ def resolve(base: str, url: str) -> str:
     return urljoin(base, url.strip())
 
 
-@F.pandas_udf("string")
+@pandas_function("string")
 def resolve_udf(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([resolve(b or "", u) if u is not None else None for b, u in zip(base, url, strict=True)])
 

@@ -33,7 +33,7 @@ def pending(entries: DataFrame, state: DataFrame, after: int = 0, limit: int = 0
 
 
 def pending_count(entries: DataFrame, state: DataFrame) -> DataFrame:
-    return pending(entries, state).agg(F.count("*").alias("n"))
+    return pending(entries, state, after=-1).agg(F.count("*").alias("n"))
 
 
 def pending_estimate(entries: DataFrame, state: DataFrame) -> DataFrame:
