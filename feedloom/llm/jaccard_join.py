@@ -10,9 +10,10 @@ Two documents are linked when ``100 * |A & B| >= 100 * threshold * |A | B|``. Th
    shingle, each cell (shingle, size band) being a tile.
 3. In each tile all documents point at the tile's first one; every document checks the leader that it meets most
    often. Most copies are joined so, with one comparison each.
-4. Cells that still hold several components are searched whole, in blocks: hashed bitmap signatures bound the
-   overlap from above (a bit of A that is not in B stands for a shingle that B lacks), and what passes goes to
-   the exact intersection of the sorted arrays.
+4. Cells that still hold several components are gathered under the smallest of these, and each such group is searched
+   whole, in pairs of blocks: hashed bitmap signatures bound the overlap from above (a bit of A that is not in B
+   stands for a shingle that B lacks); only documents that the bound leaves a partner bring their sorted arrays to the
+   block pair, where exact intersections decide. A block pair gives out links that join components, never its pairs.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own component. A row with
 a null doc_id keeps its size and has a null component. Rows that repeat a doc_id are one document: each row is
@@ -35,8 +36,8 @@ from feedloom.llm.components import components
 from feedloom.llm.textvec import mix, shingle_sets, signed
 
 U = np.uint64
-#: Tiles of a cell are blocks of about so many documents.
-BLOCK = 256
+#: Blocks of a group hold about so many shingles.
+BLOCK = 400_000
 #: The list of very common shingles holds at most so many; it only changes the order of comparison.
 COMMON_LIMIT = 500_000
 
@@ -210,38 +211,127 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of tile: the pairs of a tile whose bitmaps leave enough overlap possible."""
-    group: list[tuple] = []
-    tile, a, b = None, [], []
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows in the order of (lead, low, high), a block pair at a time."""
+    tile, rows = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("key", "low", "high", "block", "doc_id", "n", "component", "bits")]
-        for row in zip(*columns, strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "low", "high", *columns)), strict=True):
             if row[:3] != tile:
-                _pairs(group, tile, percent, a, b)
-                tile, group = row[:3], []
-            group.append(row[3:])
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        a, b = [], []
-    _pairs(group, tile, percent, a, b)
+                if len(rows) > 1:
+                    yield tile, rows
+                tile, rows = row[:3], []
+            rows.append(row[3:])
+    if len(rows) > 1:
+        yield tile, rows
+
+
+def _partners(tile: tuple, block: np.ndarray, i: int) -> np.ndarray:
+    """Whom row i is compared with: in one block with those after it; in two, those of the high block."""
+    if tile[1] == tile[2]:
+        return np.arange(i + 1, len(block))
+    return np.flatnonzero(block == tile[2]) if block[i] == tile[1] else np.zeros(0, np.int64)
+
+
+def _near(n: np.ndarray, part: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    return j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+
+
+def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each block pair the documents with a partner in another component that the bitmaps leave possible."""
+    out: list[tuple] = []
+    names = ["lead", "low", "high", "block", "doc_id", "n", "component"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    for tile, rows in _groups(batches, ("block", "doc_id", "n", "component", "bits")):
+        block, _, n, part = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
+        bits = [np.frombuffer(r[4], U) for r in rows]
+        width = np.array([len(x) for x in bits])
+        of_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+        place = np.zeros(len(rows), np.int64)
+        for at in of_width.values():
+            place[at] = np.arange(len(at))
+        whole = {w: np.stack([bits[i] for i in at]) for w, at in of_width.items()}
+        half = {w: fold(m, max(w // 2, 1)) for w, m in whole.items()}
+        hit = np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            j = _near(n, part, i, _partners(tile, block, i), percent)
+            for w in np.unique(width[j]).tolist():
+                own = j[width[j] == w]
+                if w == width[i]:
+                    mine, other = bits[i], whole[w][place[own]]
+                elif w == 2 * width[i]:
+                    mine, other = bits[i], half[w][place[own]]
+                elif width[i] == 2 * w:
+                    mine, other = fold(bits[i], w), whole[w][place[own]]
+                else:
+                    least = min(w, int(width[i]))
+                    mine, other = fold(bits[i], least), fold(whole[w][place[own]], least)
+                near = own[enough(overlap_bound(other, mine, n[own], n[i]), n[own], n[i], percent)]
+                hit[near] = True
+                hit[i] |= len(near) > 0
+        out += [(*tile, *rows[i][:4]) for i in np.flatnonzero(hit).tolist()]
+        if len(out) > 20_000:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def _decide(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each block pair that join its components, from exact intersections."""
+    a, b = [], []
+    for tile, rows in _groups(batches, ("block", "doc_id", "component", "hashes")):
+        block, doc = (np.array(x) for x in list(zip(*rows, strict=True))[:2])
+        sets = [np.frombuffer(r[3], U) for r in rows]
+        n = np.array([len(x) for x in sets])
+        start = np.cumsum(n) - n
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(int(number.max()) + 1, np.int64)
+        _, part = np.unique([r[2] for r in rows], return_inverse=True)
+        for i in range(len(rows)):
+            j = _near(n, part, i, _partners(tile, block, i), percent)
+            if not len(j):
+                continue
+            own = number[start[i] : start[i] + n[i]]
+            mark[own] = 1
+            if 4 * len(j) > len(rows):
+                shared = np.add.reduceat(mark[number], start)[j]
+            else:
+                shared = np.array([mark[number[start[x] : start[x] + n[x]]].sum() for x in j])
+            mark[own] = 0
+            for x in j[enough(shared, n[j], n[i], percent)].tolist():
+                if part[x] != part[i]:
+                    part[part == part[x]] = part[i]
+                    a.append(int(doc[i]))
+                    b.append(int(doc[x]))
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _pairs(rows: list[tuple], tile, percent: int, a: list, b: list) -> None:
-    if len(rows) < 2:
-        return
-    words = min(len(r[4]) for r in rows) // 8
-    block, doc, n, part = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
-    bits = np.stack([fold(np.frombuffer(r[4], U), words) for r in rows])
-    one_block = tile[1] == tile[2]
-    for i in range(len(rows)):
-        if not one_block and block[i] != tile[1]:
-            continue
-        j = np.arange(i + 1, len(rows)) if one_block else np.flatnonzero(block == tile[2])
-        j = j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-        j = j[enough(overlap_bound(bits[j], bits[i], n[j], n[i]), n[j], n[i], percent)]
-        a.extend(np.minimum(doc[i], doc[j]).tolist())
-        b.extend(np.maximum(doc[i], doc[j]).tolist())
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, hashes for (at least) the documents in ``ids``."""
+    n_bits, wanted = id_bits(ids.select("doc_id").distinct(), "doc_id")
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)))
+    return rows.mapInArrow(partial(_arrays, k=k, n_bits=n_bits, bits=wanted), "doc_id long, hashes binary")
+
+
+def group_links(docs: DataFrame, cells: DataFrame, bits: DataFrame, part: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of ``part`` (id, component) that share a cell."""
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    labelled = cells.select("key", "doc_id", "n").join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lead"), F.max("component").alias("last")).filter("lead < last").select("key", "lead")
+    members = scratch.table(labelled.join(mixed, "key").select("lead", "doc_id", "n", "component").distinct())
+    sizes = members.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    tiles = members.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", F.col("n").cast("long").alias("n"), "component")
+    key = ["lead", "low", "high"]
+    screened = tiles.join(bits.select("doc_id", "bits"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
+    screened = scratch.table(screened.mapInArrow(partial(_screen, percent=percent), "lead long, low int, high int, block int, doc_id long, n long, component long"))
+    scratch.drop(members)
+    exact = screened.join(_sets(docs, screened, k), "doc_id").select(*key, "block", "doc_id", "component", "hashes")
+    out = scratch.table(exact.repartition(parts, *key).sortWithinPartitions(*key, "doc_id").mapInArrow(partial(_decide, percent=percent), "a long, b long"))
+    scratch.drop(screened)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
@@ -250,9 +340,7 @@ def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, scratch: Scratc
     near = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
     both = pairs.join(side(bits, "a", "n", "bits"), "a").join(side(bits, "b", "n", "bits"), "b").filter(near)
     both = scratch.table(both.mapInArrow(partial(_bounded, percent=percent), "a long, b long"))
-    n_bits, wanted = id_bits(both.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
-    arrays = docs.filter("doc_id IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)))
-    arrays = arrays.mapInArrow(partial(_arrays, k=k, n_bits=n_bits, bits=wanted), "doc_id long, hashes binary")
+    arrays = _sets(docs, both.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
     pairs = both.join(side(arrays, "b", "hashes"), "b").join(side(arrays, "a", "hashes"), "a")
     out = scratch.table(pairs.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
     scratch.drop(both)
@@ -289,19 +377,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     links = scratch.table(copies.unionByName(verified(docs, tried, bits, scratch, k, percent)))
     part = components(links)
 
-    labelled = cells.select("key", "doc_id", "n").join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("c0 < c1")
-    mixed = scratch.table(mixed)
-    twos = mixed.filter("m = 2").select("a", "b")
-    many = labelled.join(mixed.filter("m > 2").select("key", "m"), "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n", "component")
-    many = many.join(bits.select("doc_id", "bits"), "doc_id")
-    tiles = many.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(partial(_tiles, percent=percent), "a long, b long")
-    rest = scratch.table(twos.unionByName(tiles).distinct().join(tried, ["a", "b"], "left_anti"))
-    scratch.drop(cells, mixed, tried)
-    more = verified(docs, rest, bits, scratch, k, percent)
+    more = group_links(docs, cells, bits, part, scratch, k, percent)
+    scratch.drop(cells, tried)
     part = components(links.unionByName(more))
 
     out = sets.join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
