@@ -1,0 +1,166 @@
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from feedloom.functions import dates, html, rewrite, text, urls
+from feedloom.operators import rules
+
+
+def one(spark, column, **values):
+    names = list(values)
+    schema = ", ".join(f"{n} {'array<string>' if isinstance(v, list) else 'string'}" for n, v in values.items())
+    return spark.createDataFrame([tuple(values[n] for n in names)], schema).select(column.alias("x")).first()["x"]
+
+
+def test_extract_text():
+    assert text.extract_text("<p>One</p><p>two&nbsp;three</p><script>x()</script><ul><li>a<li>b</ul>") == "One two three a b"
+    assert text.extract_text("<!-- no --><b>bo</b>ld") == "bold"
+
+
+SENTENCE = "The quick brown fox jumps over the lazy dog. "
+
+
+def test_split_round_trips_and_overlaps():
+    whole = SENTENCE * 200
+    parts = text.split(whole)
+    data = whole.encode()
+    assert all(data[a:b].decode() == t for t, a, b in parts)
+    assert parts[0][1] == 0 and parts[-1][2] == len(data.rstrip())
+    assert all(nxt[1] < cur[2] for cur, nxt in zip(parts, parts[1:], strict=False))
+    assert all(len(t.split()) <= 512 for t, _, _ in parts)
+
+
+def test_split_keeps_a_long_sentence_whole():
+    assert len(text.split("word " * 700 + "end. Short one.")) == 2
+    assert text.split("  ") == []
+    assert [t for t, _, _ in text.split("Ein Satz. Ünd ohne Ende")] == ["Ein Satz. Ünd ohne Ende"]
+
+
+@given(st.text(max_size=300))
+def test_split_slices(t):
+    data = t.encode()
+    for part, a, b in text.split(t, 5, 8, 2):
+        assert data[a:b].decode() == part and part == part.strip(" \t\n\r\v\f")
+
+
+def test_highlights_and_snippet():
+    assert text.highlights("Grüße an Anna, anna!", "anna xy") == [(11, 15), (17, 21)]
+    assert text.highlights("aaaa", "aaa") == [(0, 4)]
+    assert text.snippet("Title here", "Title here", 0, 5, True, "title") == ("Title", [(0, 5)])
+    got, marks = text.snippet("ü" * 400 + " needle " + "x" * 400, "old", 0, 3, False, "needle")
+    assert "needle" in got and len(got.encode()) <= 320 and got.encode()[marks[0][0] : marks[0][1]] == b"needle"
+    assert text.snippet("nothing", "old", 0, 3, False, "needle") == ("old", [])
+    assert text.segments("ab cd", [(3, 5)]) == [("ab ", False), ("cd", True)]
+
+
+@pytest.mark.parametrize(("t", "want"), [("one two three", 1), ("word " * 800, 4), ("漢字" * 600, 3), ("", 0)])
+def test_reading_time(spark, t, want):
+    assert one(spark, text.reading_time(F.col("t")), t=t) == want
+
+
+def test_small_columns(spark):
+    assert one(spark, text.normalize_language(F.col("t")), t=" EN_us ") == "en-us"
+    assert one(spark, text.normalize_language(F.col("t")), t="en us!") == ""
+    assert one(spark, text.truncate_bytes(F.col("t"), 4), t="aéé") == "aé"
+    assert one(spark, text.truncate_html(F.col("t"), 5), t="<p>Hello  big world</p>") == "Hello…"
+    assert one(spark, text.podcast_minutes(F.col("t")), t="1:02:30") == 62
+    assert one(spark, text.podcast_minutes(F.col("t")), t="1:2:3:4") is None
+    assert one(spark, text.iso_minutes(F.col("t")), t="PT1H5M30S") == 65
+    assert one(spark, text.iso_minutes(F.col("t")), t="P1D") is None
+    assert one(spark, text.valid_xml(F.col("t")), t="a\x0bb\x01c") == "abc"
+    assert text.decode_bytes(b"caf\xe9", "iso-8859-1") == "café"
+    assert text.decode_bytes("é".encode()) == "é"
+
+
+def test_urls(spark):
+    assert urls.clean_url("https://e.org/?b=2&UTM_source=x&a=1#f") == "https://e.org/?a=1&b=2#f"
+    assert urls.clean_url("https://e.org/?b=2&a=1") == "https://e.org/?b=2&a=1"
+    assert urls.clean_url("https://e.org/?fbclid=1") == "https://e.org/"
+    assert urls.clean_url("https://e.org/?ref=my.org", "my.org") == "https://e.org/"
+    assert urls.clean_url("https://e.org/?ref=other.org", "my.org") == "https://e.org/?ref=other.org"
+    assert one(spark, urls.long_item_id(F.col("t").cast("long")), t="255") == "tag:google.com,2005:reader/item/00000000000000ff"
+    for t in ("tag:google.com,2005:reader/item/00000000000000ff", "00000000000000ff", "255"):
+        assert one(spark, urls.parse_item_id(F.col("t")), t=t) == 255
+    assert urls.rewrite_rule('rewrite("^a(.)"|"b${1}")') == ("^a(.)", "b$1")
+    assert one(spark, urls.rewrite_url(F.col("t"), 'rewrite("^a(.)"|"b$1")'), t="axe") == "bxe"
+
+
+@pytest.mark.parametrize(
+    ("t", "want"),
+    [
+        ("Sat, 04 Jan 2014 13:45:00 EST", datetime(2014, 1, 4, 18, 45)),
+        ("2017-12-22T22:09:49+00:00", datetime(2017, 12, 22, 22, 9, 49)),
+        ("Thu, 02 Jun 2016 20:33:25 GMT", datetime(2016, 6, 2, 20, 33, 25)),
+        ("1332841834", datetime(2012, 3, 27, 9, 50, 34)),
+        ("2 février 2018", datetime(2018, 2, 2)),
+        ("2015-01-01 10:00:00", datetime(2015, 1, 1, 10)),
+        ("2015-01-01T10:00:00+23:00", datetime(2015, 1, 1, 10)),
+    ],
+)
+def test_dates(t, want):
+    assert dates.parse_date(t) == want.replace(tzinfo=timezone.utc)
+
+
+def test_bad_dates(spark):
+    for t in ("", "yesterday", "99 Foo 2020"):
+        with pytest.raises(ValueError):
+            dates.parse_date(t)
+    assert str(one(spark, dates.parse_common(F.col("t")), t="Thu, 02 Jun 2016 20:33:25 GMT")) == "2016-06-02 20:33:25"
+    assert one(spark, dates.parse_common(F.col("t")), t="no date") is None
+    assert one(spark, dates.parse_date_udf(F.col("t")), t="no date") is None
+
+
+def test_durations():
+    assert rules.duration("3d") == timedelta(days=3) and rules.duration("d") == timedelta()
+    assert rules.duration("1h30m") == timedelta(minutes=90)
+    with pytest.raises(ValueError):
+        rules.duration("soon")
+
+
+def test_rules_parse_and_match(spark):
+    assert rules.parse("EntryTitle = a=b\r\n\r\nbad\nEntryTag=x", "EntryURL=") == [("EntryTitle", "a=b"), ("EntryTag", "x")]
+    df = spark.createDataFrame([("Golang news", "https://e.org", ["go"], datetime(2024, 1, 1)), ("Other", "https://x.org", ["py"], datetime(2024, 1, 5))], "title string, url string, tags array<string>, published_at timestamp")
+    df = df.withColumns({"author": F.lit("a"), "content": F.lit("c"), "comments_url": F.lit("")})
+    left = lambda **k: sorted(r["title"] for r in rules.apply(df, datetime(2024, 1, 6), **k).collect())
+    assert left(block_rules="EntryTitle=(?i)golang") == ["Other"]
+    assert left(keep_rules="EntryTag=^py$") == ["Other"]
+    assert left(block_rules="EntryTitle=(", blocklist="x\\.org") == ["Golang news"]
+    assert left(keeplist="e\\.org") == ["Golang news"] and len(left(keeplist="(")) == 2
+    assert left(block_rules="EntryDate=max-age:3d") == ["Other"]
+    assert left(block_rules="EntryDate=between:2024-01-04,2024-01-06") == ["Golang news"]
+
+
+def test_sanitize():
+    got = html.sanitize('<p onclick="x">a<script>b</script><blink>c</blink><a href="/x?y">d</a><a href="javascript:1">e</a></p>', "https://e.org/p/")
+    assert got == '<p>ac<a href="https://e.org/x?y" rel="noopener noreferrer" referrerpolicy="no-referrer" target="_blank">d</a>e</p>'
+    assert html.sanitize('<img src="https://e.org/p.gif" width="1" height="1"><img src="/i.png">', "https://e.org") == '<img src="https://e.org/i.png" loading="lazy"/>'
+    assert "iframe" not in html.sanitize('<iframe src="https://evil.example/"></iframe>') and "iframe" in html.sanitize('<iframe src="https://www.youtube.com/embed/1"></iframe>')
+    assert html.candidates("a.png 1x, b,c.png 200w, bad 3q") == [("a.png", "1x"), ("b,c.png", "200w")]
+
+
+def test_readable():
+    page = '<body><div class="menu"><p>Home, about, all the other things of it</p></div><div class="post"><p>{}</p><p>{}</p></div></body>'.format("A long text, with commas, of an article. " * 5, "More of it, and more. " * 6)
+    got = html.readable(page)
+    assert "long text" in got and "More of it" in got and "Home" not in got
+
+
+def test_links():
+    page = '<head><link rel="alternate" type="application/rss+xml" href="/f.xml" title="F"><link rel="icon" href="/i.png"></head>'
+    assert html.feed_links(page, "https://e.org/") == [("F", "https://e.org/f.xml", "rss")]
+    assert html.icon_links(page, "https://e.org/") == ["https://e.org/i.png"]
+    assert html.select('<div class="a"><p>x</p></div><p>y</p>', "div.a > p") == "<p>x</p>"
+    assert "proxy/" in html.proxied('<img src="http://e.org/i.png">', "/proxy/") and "proxy" not in html.proxied('<img src="https://e.org/i.png">', "/proxy/")
+
+
+def test_rewrite(spark):
+    assert rewrite.rules('nl2br,replace("a\\"b"|"c"), remove(".x")') == [("nl2br", ()), ("replace", ('a"b', "c")), ("remove", (".x",))]
+    df = spark.createDataFrame([("A TITLE", "https://www.youtube.com/watch?v=abc", 'x\n<div class="x">gone</div><img src="s.png" title="T">')], "title string, url string, content string")
+    got = rewrite.apply(df, 'nl2br,remove(".x"),add_image_title,remove_clickbait,add_youtube_video,nonsense').first()
+    assert got["title"] == "A Title" and got["content"].startswith("<iframe") and "gone" not in got["content"] and "<figcaption><p>T</p></figcaption>" in got["content"] and "<br" in got["content"]
+    pdf = spark.createDataFrame([("t", "https://e.org/a.pdf", "c")], "title string, url string, content string")
+    assert rewrite.apply(pdf, "").first()["content"].startswith('<a href="https://e.org/a.pdf">')
+    assert rewrite.rewrite_elements("<table><tr><td>a</td></tr></table>", [("remove_tables", ())]) == "a"
+    assert rewrite.rewrite_elements('<img data-src="l.png">', [("add_dynamic_image", ())]) == '<img data-src="l.png" src="l.png"/>'
