@@ -6,14 +6,14 @@ Two documents are linked when ``100 * |A & B| >= 100 * threshold * |A | B|``. Th
 1. One pass gives each document's set size and a signature of its set; equal signatures are linked to the
    smallest id as a star.
 2. Prefix filter: two linked sets share one of their ``n - ceil(threshold * n) + 1`` first shingles in any fixed
-   order. The order puts shingles that very many documents have last, then goes by hash. Prefix rows meet by
-   shingle, each cell (shingle, size band) being a tile.
-3. In each tile all documents point at the tile's first one; every document checks the leader that it meets most
-   often. Most copies are joined so, with one comparison each.
-4. Cells that still hold several components are gathered under the smallest of these, and each such group is searched
-   whole, in pairs of blocks: hashed bitmap signatures bound the overlap from above (a bit of A that is not in B
-   stands for a shingle that B lacks); only documents that the bound leaves a partner bring their sorted arrays to the
-   block pair, where exact intersections decide. A block pair gives out links that join components, never its pairs.
+   order. The order puts shingles that very many documents have last, then goes by hash. Documents whose prefixes share a
+   shingle share a cell.
+3. Cells are gathered under the smallest document that they lead to in two steps, so that a family of copies is one
+   group and not a cell for each of its shingles. A group that is large is dealt into tiles, by size band and hash;
+   tiles meet only within a band and with the next one.
+4. In each tile hashed bitmap signatures bound the overlap from above (a bit of A that is not in B stands for a shingle
+   that B lacks); only documents that the bound leaves a partner bring their sorted arrays to the tile, where
+   exact intersections decide. A tile gives out the links that join its components, never its pairs.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own component. A row with
 a null doc_id keeps its size and has a null component. Rows that repeat a doc_id are one document: each row is
@@ -22,7 +22,6 @@ returned, with the component that all of them share. Columns besides doc_id and
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -36,7 +35,7 @@ from feedloom.llm.components import components
 from feedloom.llm.textvec import mix, shingle_sets, signed
 
 U = np.uint64
-#: Blocks of a group hold about so many shingles.
+#: Tiles of a large group are pairs of blocks that hold about so many shingles.
 BLOCK = 400_000
 #: The list of very common shingles holds at most so many; it only changes the order of comparison.
 COMMON_LIMIT = 500_000
@@ -46,11 +45,6 @@ def enough(shared, n_a, n_b, percent: int):
     return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def band_of(n: np.ndarray, percent: int) -> np.ndarray:
-    """Size bands: sets that can be linked lie in the same or in neighbouring bands."""
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / percent) + 1e-9).astype(np.int32)
-
-
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """One bit for each mixed shingle among at least twice as many bits, a power of two of them, at least 64."""
     width = max(64, 1 << (2 * max(1, len(hashes)) - 1).bit_length())
@@ -134,37 +128,27 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, common) -
             yield pa.record_batch([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["key", "doc_id", "n"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key, n, doc_id: those whose key more than one document has, with their tile's first."""
-    names = ["key", "doc_id", "n", "leader"]
-    held = None  # the last row so far, its tile's first document, whether it has been given out
-
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of key, doc_id: those whose key more than one document has, with the cell's first document."""
+    held = None  # the last row so far, its cell's first document, whether it has been given out
     for batch in batches:
         if not batch.num_rows:
             continue
         key, doc, n = (batch.column(c).to_numpy() for c in ("key", "doc_id", "n"))
-        band = band_of(n, percent)
-        carried = 0
         if held is not None:
-            key, doc, n, band = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[:4], (key, doc, n, band), strict=True))
-            carried = 1
-        change = np.ones(len(key), bool)
-        change[1:] = (key[1:] != key[:-1]) | (band[1:] != band[:-1])
-        first = np.maximum.accumulate(np.where(change, np.arange(len(key)), 0))
-        leader = doc[first]
-        if carried:
-            leader[first == 0] = held[4]
+            key, doc, n = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[:3], (key, doc, n), strict=True))
         same = np.zeros(len(key), bool)
         same[1:] = key[1:] == key[:-1]
+        lead = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
         shared = same.copy()
         shared[:-1] |= same[1:]
         out = shared.copy()
-        if carried:
-            shared[0] |= held[5]
-            out[0] = shared[0] and not held[5]
-        out[-1] = shared[-1] and not (carried and len(key) == 1)
-        held = (key[-1], doc[-1], n[-1], band[-1], leader[-1], shared[-1])
-        yield pa.record_batch([pa.array(key[out]), pa.array(doc[out]), pa.array(n[out]), pa.array(leader[out])], names)
+        if held is not None:
+            lead[: int(np.argmin(np.append(same[1:], False))) + 1] = held[3]
+            out[0] = shared[0] and not held[4]
+            shared[0] |= held[4]
+        held = (key[-1], doc[-1], n[-1], lead[-1], shared[-1])
+        yield pa.record_batch([pa.array(lead[out]), pa.array(doc[out]), pa.array(n[out])], ["lead", "doc_id", "n"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], k: int, n_bits: int, bits) -> Iterator[pa.RecordBatch]:
@@ -187,30 +171,6 @@ def _arrays(batches: Iterator[pa.RecordBatch], k: int, n_bits: int, bits) -> Ite
         yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose bitmaps leave enough overlap possible."""
-    for batch in batches:
-        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column("bits_a"), batch.column("bits_b"), strict=True)):
-            u, v = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            width = min(len(u), len(v))
-            keep[i] = enough(int(overlap_bound(fold(u, width), fold(v, width), n_a[i], n_b[i])), n_a[i], n_b[i], percent)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sorted arrays share enough."""
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            keep[i] = enough(int((both[1:] == both[:-1]).sum()), len(x), len(y), percent)
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
-
-
 def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Rows in the order of (lead, low, high), a block pair at a time."""
     tile, rows = None, []
@@ -232,7 +192,7 @@ def _partners(tile: tuple, block: np.ndarray, i: int) -> np.ndarray:
     return np.flatnonzero(block == tile[2]) if block[i] == tile[1] else np.zeros(0, np.int64)
 
 
-def _near(n: np.ndarray, part: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+def _comparable(n: np.ndarray, part: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
     return j[(part[j] != part[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
 
 
@@ -253,7 +213,7 @@ def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         half = {w: fold(m, max(w // 2, 1)) for w, m in whole.items()}
         hit = np.zeros(len(rows), bool)
         for i in range(len(rows)):
-            j = _near(n, part, i, _partners(tile, block, i), percent)
+            j = _comparable(n, part, i, _partners(tile, block, i), percent)
             for w in np.unique(width[j]).tolist():
                 own = j[width[j] == w]
                 if w == width[i]:
@@ -288,7 +248,7 @@ def _decide(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         mark = np.zeros(int(number.max()) + 1, np.int64)
         _, part = np.unique([r[2] for r in rows], return_inverse=True)
         for i in range(len(rows)):
-            j = _near(n, part, i, _partners(tile, block, i), percent)
+            j = _comparable(n, part, i, _partners(tile, block, i), percent)
             if not len(j):
                 continue
             own = number[start[i] : start[i] + n[i]]
@@ -313,19 +273,36 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(partial(_arrays, k=k, n_bits=n_bits, bits=wanted), "doc_id long, hashes binary")
 
 
-def group_links(docs: DataFrame, cells: DataFrame, bits: DataFrame, part: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between the components of ``part`` (id, component) that share a cell."""
-    spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    labelled = cells.select("key", "doc_id", "n").join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lead"), F.max("component").alias("last")).filter("lead < last").select("key", "lead")
-    members = scratch.table(labelled.join(mixed, "key").select("lead", "doc_id", "n", "component").distinct())
-    sizes = members.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    tiles = members.join(sizes, "lead").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", F.col("n").cast("long").alias("n"), "component")
+def groups(cells: DataFrame) -> DataFrame:
+    """lead, doc_id, n: each cell's documents under the smallest lead that the documents of its lead's cells have."""
+    own = cells.groupBy("doc_id").agg(F.min("lead").alias("least"))
+    home = cells.join(own, "doc_id").groupBy("lead").agg(F.min("least").alias("home"))
+    return cells.join(home, "lead").select(F.col("home").alias("lead"), "doc_id", "n").distinct()
+
+
+def tiles(members: DataFrame, percent: int) -> DataFrame:
+    """lead, low, high, block, doc_id, n, component: each document once for each tile of its group that it belongs to."""
+    small = members.groupBy("lead").agg((F.sum("n") <= BLOCK).alias("small"))
+    step = F.log(F.lit(100 / percent))
+    band = F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)).cast("int")
+    members = members.join(small, "lead").withColumn("band", band).drop("small")
+    sizes = members.groupBy("lead", "band").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
+    number = lambda band, part: band * 65_536 + part
+    own = members.join(sizes, ["lead", "band"]).withColumn("block", number(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))).drop("blocks")
+    beside = own.withColumn("other_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    beside = beside.join(sizes.select("lead", F.col("band").alias("other_band"), "blocks"), ["lead", "other_band"])
+    beside = beside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", number(F.col("other_band"), F.col("part")))
+    return beside.select("lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n", "component")
+
+
+def group_links(docs: DataFrame, cells: DataFrame, bits: DataFrame, copies: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among documents that share a cell; copies (a, b) are known to be linked."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    known = copies.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
+    members = groups(cells).join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = scratch.table(members.withColumn("n", F.col("n").cast("long")))
     key = ["lead", "low", "high"]
-    screened = tiles.join(bits.select("doc_id", "bits"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
+    screened = tiles(members, percent).join(bits.select("doc_id", "bits"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
     screened = scratch.table(screened.mapInArrow(partial(_screen, percent=percent), "lead long, low int, high int, block int, doc_id long, n long, component long"))
     scratch.drop(members)
     exact = screened.join(_sets(docs, screened, k), "doc_id").select(*key, "block", "doc_id", "component", "hashes")
@@ -334,19 +311,6 @@ def group_links(docs: DataFrame, cells: DataFrame, bits: DataFrame, part: DataFr
     return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: bounded by the bitmaps first; then sets are made again for what is left."""
-    side = lambda t, x, *columns: t.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    near = F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")
-    both = pairs.join(side(bits, "a", "n", "bits"), "a").join(side(bits, "b", "n", "bits"), "b").filter(near)
-    both = scratch.table(both.mapInArrow(partial(_bounded, percent=percent), "a long, b long"))
-    arrays = _sets(docs, both.select(F.explode(F.array("a", "b")).alias("doc_id")), k)
-    pairs = both.join(side(arrays, "b", "hashes"), "b").join(side(arrays, "a", "hashes"), "a")
-    out = scratch.table(pairs.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
-    scratch.drop(both)
-    return out
-
-
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -366,20 +330,12 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
     prefixes = docs.mapInArrow(partial(_prefixes, k=k, percent=percent, common=common), "key long, doc_id long, n int")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cells = prefixes.repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(partial(_cells, percent=percent), "key long, doc_id long, n int, leader long")
-    cells = scratch.table(cells)
-
-    votes = cells.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("votes"))
-    best = votes.withColumn("rank", F.col("votes") * 2 + (F.col("leader") < F.col("doc_id")).cast("int"))
-    top = best.groupBy("doc_id").agg(F.max("rank").alias("rank"))
-    best = best.join(top, ["doc_id", "rank"]).groupBy("doc_id").agg(F.min("leader").alias("leader"))
-    tried = scratch.table(best.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct())
-    links = scratch.table(copies.unionByName(verified(docs, tried, bits, scratch, k, percent)))
-    part = components(links)
-
-    more = group_links(docs, cells, bits, part, scratch, k, percent)
-    scratch.drop(cells, tried)
-    part = components(links.unionByName(more))
+    cells = prefixes.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_cells, "lead long, doc_id long, n int")
+    cells = scratch.table(cells.distinct())
+    copies = scratch.table(copies)
+    links = group_links(docs, cells, bits, copies, scratch, k, percent)
+    scratch.drop(cells)
+    part = components(copies.unionByName(links))
 
     out = sets.join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
