@@ -134,7 +134,7 @@ def dense(found: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
     """Natural log-probabilities of all n-grams; both tables of an order have at most SYMBOLS ** ORDER rows."""
     p = np.full(1, 1 / SYMBOLS)
     for k, (seen, left) in enumerate(found, 1):
-        rows, weights = seen.toPandas(), left.toPandas()
+        rows, weights = seen.toArrow().to_pandas(), left.toArrow().to_pandas()
         weight = np.ones(SYMBOLS ** (k - 1))
         weight[weights["context"].to_numpy(np.int64)] = weights["left"].to_numpy()
         p = (weight.reshape(SYMBOLS if k > 1 else 1, -1, 1) * (p.reshape(1, -1, SYMBOLS) if k > 1 else np.full((1, 1, SYMBOLS), 1 / SYMBOLS))).reshape(-1)
@@ -153,10 +153,10 @@ def kneser_ney(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
     return (p + left.reshape(SYMBOLS, -1, 1) * below.reshape(1, -1, SYMBOLS)).reshape(-1)
 
 
-def lower_order(counts: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities of the order below, from the continuation counts of dense counts of the highest order."""
+def lower_order(counts: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Kneser-Ney probabilities of the order below, from the continuation counts of dense counts of an order."""
     seen, levels = (counts > 0).astype(np.int64), []
-    for k in range(ORDER - 1, 0, -1):
+    for k in range(order - 1, 0, -1):
         levels.append(seen.reshape(SYMBOLS, -1).sum(0))
         seen = (levels[-1] > 0).astype(np.int64)
     p = np.full(SYMBOLS, 1 / SYMBOLS)

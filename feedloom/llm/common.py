@@ -80,7 +80,7 @@ def id_bits(ids: DataFrame, column: str, most: int = 1 << 27) -> tuple[int, obje
         n *= 2
     h = F.pmod(F.xxhash64(column), F.lit(n))
     words = ids.select(h.alias("h")).selectExpr("h div 64 AS w", "shiftleft(1L, CAST(h % 64 AS INT)) AS b")
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()
     bits = np.zeros(n // 64, np.int64)
     bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
     return n, ids.sparkSession.sparkContext.broadcast(bits)

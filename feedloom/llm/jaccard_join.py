@@ -320,7 +320,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     profile = scratch.table(docs.mapInArrow(partial(_profile, k=k, share=share), "kind int, doc_id long, n long, sig long, bits binary"))
     sets = profile.filter("kind = 0").select("doc_id", "n", "sig")
     often = profile.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, share * sets.count()))
-    often = often.orderBy(F.desc("n"), "sig").limit(COMMON_LIMIT).select("sig").toPandas()["sig"].to_numpy(np.int64)
+    often = often.orderBy(F.desc("n"), "sig").limit(COMMON_LIMIT).select("sig").toArrow().to_pandas()["sig"].to_numpy(np.int64)
     common = spark.sparkContext.broadcast(np.sort(often.view(U)))
 
     filled = sets.filter("n > 0 AND doc_id IS NOT NULL")

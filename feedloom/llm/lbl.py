@@ -323,11 +323,11 @@ def lbl_scores(docs: DataFrame, fold: int = FOLD, out: int = OUT, short: int = S
     request = "word long, batch long, n long"
     counts = docs.filter("trains").mapInArrow(partial(_requests, known=None), request).groupBy("word").agg(F.sum("n").alias("c"))
     sums = scratch.table(counts.mapInArrow(partial(_sums, short=short), "kind int, word long, c long"))
-    times = sums.filter("kind = 1").groupBy("word").agg(F.sum("c").alias("types")).toPandas()  # as many rows as there are different counts
+    times = sums.filter("kind = 1").groupBy("word").agg(F.sum("c").alias("types")).toArrow().to_pandas()  # as many rows as there are different counts
     n, v = int((times["word"] * times["types"]).sum()), int(times["types"].sum())
     if not n:
         return docs.select("doc_id", (~F.col("trains")).alias("held_out"), (F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")) + 1).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    top = sums.filter("kind = 0 AND c > 0").orderBy(F.desc("c"), "word").limit(short).toPandas()
+    top = sums.filter("kind = 0 AND c > 0").orderBy(F.desc("c"), "word").limit(short).toArrow().to_pandas()
     hashes, c = top["word"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64)
     if END not in hashes:
         hashes, c = np.append(hashes[: short - 1], END), np.append(c[: short - 1], 0)
@@ -340,7 +340,7 @@ def lbl_scores(docs: DataFrame, fold: int = FOLD, out: int = OUT, short: int = S
     vocabulary = spark.sparkContext.broadcast((hashes[order], order, np.append(c, max(rare, 1)), end))
 
     trained = docs.filter("trains").mapInArrow(partial(_train, vocabulary=vocabulary), "task long, weight double, sums binary")
-    rows = average(scratch.table(trained)).toPandas()
+    rows = average(scratch.table(trained)).toArrow().to_pandas()
     mean = sum(np.frombuffer(x, np.float64) for x in rows["sums"]) / rows["weight"].sum()
     flat = spark.sparkContext.broadcast(mean.astype(np.float32))
 

@@ -146,7 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SEED_TOKENS, coverage:
     sent = None
     distinct = seeds.select("seed").distinct()
     if distinct.count() <= SEEDS_SENT:
-        sent = spark.sparkContext.broadcast(np.sort(distinct.toPandas()["seed"].to_numpy(np.int64).view(U)))
+        sent = spark.sparkContext.broadcast(np.sort(distinct.toArrow().to_pandas()["seed"].to_numpy(np.int64).view(U)))
     found = id_text(docs).filter("doc_id IS NOT NULL").mapInArrow(partial(_excerpts, k=k, sent=sent), "doc_id long, excerpt binary, seeds array<long>")
     found = found.withColumn("row", F.xxhash64("excerpt"))
     found = cut(found) if sent is not None else found
