@@ -95,3 +95,21 @@ def id_fold(column: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the fold that decides which rows are learnt from."""
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ``ids``, and of few others: so that a join shuffles little text."""
+    n, bits = id_bits(ids.select("doc_id").distinct(), "doc_id")
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("h"))
+
+    def keep(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        words = bits.value.view(np.uint64)
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            found = (words[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(found))
+
+    return rows.mapInArrow(keep, "doc_id long, text string")

@@ -8,9 +8,9 @@ Two documents are linked when ``100 * |A & B| >= 100 * threshold * |A | B|``. Th
 2. Prefix filter: two linked sets share one of their ``n - ceil(threshold * n) + 1`` first shingles in any fixed
    order. The order puts shingles that very many documents have last, then goes by hash. Documents whose prefixes share a
    shingle share a cell.
-3. Cells are gathered under the smallest document that they lead to in two steps, so that a family of copies is one
-   group and not a cell for each of its shingles. A group that is large is dealt into tiles, by size band and hash;
-   tiles meet only within a band and with the next one.
+3. A cell's documents are gathered under its smallest one, so that a family of copies makes a few groups and not one
+   for each of its shingles. A group that is large is dealt into tiles, by size band and hash; tiles meet only within
+   a band and with the next one.
 4. In each tile hashed bitmap signatures bound the overlap from above (a bit of A that is not in B stands for a shingle
    that B lacks); only documents that the bound leaves a partner bring their sorted arrays to the tile, where
    exact intersections decide. A tile gives out the links that join its components, never its pairs.
@@ -37,8 +37,9 @@ from feedloom.llm.textvec import mix, shingle_sets, signed
 U = np.uint64
 #: Tiles of a large group are pairs of blocks that hold about so many shingles.
 BLOCK = 400_000
-#: The list of very common shingles holds at most so many; it only changes the order of comparison.
-COMMON_LIMIT = 500_000
+#: Shingles of about so many documents and more come last in the order, the most common ones up to a limit. A text that
+#: shares no more than a passage with others then shares no cell. The list only changes the order of comparison.
+COMMON, COMMON_LIMIT = 16, 500_000
 
 
 def enough(shared, n_a, n_b, percent: int):
@@ -66,9 +67,9 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, n_a, n_b):
     return np.minimum(n_a - np.bitwise_count(a & ~b).sum(-1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(-1, dtype=np.int64))
 
 
-def _profile(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: doc_id, set size, signature, bitmap. Kind 1: shingles common in this task, their count, hash."""
-    seen, counts, docs = [], None, 0
+    seen, counts = [], None
     names = ["kind", "doc_id", "n", "sig", "bits"]
     for batch in batches:
         sizes, sig, bits = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, U), [None] * batch.num_rows
@@ -79,14 +80,13 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int, share: float) -> Iterato
                 sig[i] = np.bitwise_xor.reduce(mix(m)) ^ m.sum(dtype=U)
                 bits[i] = bitmap(m).tobytes()
                 seen.append(s)
-        docs += batch.num_rows
         yield pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column("doc_id"), pa.array(sizes), pa.array(signed(sig)), pa.array(bits, pa.binary())], names)
         counts, seen = _merge(counts, seen, 0), []
         if len(counts[0]) > 4_000_000:  # keep what may still become common
-            few = counts[1] > max(1, share * docs / 4)
+            few = counts[1] > 1
             counts = counts[0][few], counts[1][few]
     if counts is not None:
-        common = counts[1] >= max(4, share * docs)
+        common = counts[1] >= 3
         h, c = counts[0][common], counts[1][common]
         yield pa.record_batch([pa.array(np.ones(len(h), np.int32)), pa.nulls(len(h), pa.int64()), pa.array(c), pa.array(signed(h)), pa.nulls(len(h), pa.binary())], names)
 
@@ -273,13 +273,6 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(partial(_arrays, k=k, n_bits=n_bits, bits=wanted), "doc_id long, hashes binary")
 
 
-def groups(cells: DataFrame) -> DataFrame:
-    """lead, doc_id, n: each cell's documents under the smallest lead that the documents of its lead's cells have."""
-    own = cells.groupBy("doc_id").agg(F.min("lead").alias("least"))
-    home = cells.join(own, "doc_id").groupBy("lead").agg(F.min("least").alias("home"))
-    return cells.join(home, "lead").select(F.col("home").alias("lead"), "doc_id", "n").distinct()
-
-
 def tiles(members: DataFrame, percent: int) -> DataFrame:
     """lead, low, high, block, doc_id, n, component: each document once for each tile of its group that it belongs to."""
     small = members.groupBy("lead").agg((F.sum("n") <= BLOCK).alias("small"))
@@ -299,7 +292,7 @@ def group_links(docs: DataFrame, cells: DataFrame, bits: DataFrame, copies: Data
     """Links (a, b) among documents that share a cell; copies (a, b) are known to be linked."""
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     known = copies.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
-    members = groups(cells).join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    members = cells.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     members = scratch.table(members.withColumn("n", F.col("n").cast("long")))
     key = ["lead", "low", "high"]
     screened = tiles(members, percent).join(bits.select("doc_id", "bits"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
@@ -316,10 +309,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = id_text(docs)
-    share = 0.002
-    profile = scratch.table(docs.mapInArrow(partial(_profile, k=k, share=share), "kind int, doc_id long, n long, sig long, bits binary"))
+    profile = scratch.table(docs.mapInArrow(partial(_profile, k=k), "kind int, doc_id long, n long, sig long, bits binary"))
     sets = profile.filter("kind = 0").select("doc_id", "n", "sig")
-    often = profile.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, share * sets.count()))
+    often = profile.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
     often = often.orderBy(F.desc("n"), "sig").limit(COMMON_LIMIT).select("sig").toArrow().to_pandas()["sig"].to_numpy(np.int64)
     common = spark.sparkContext.broadcast(np.sort(often.view(U)))
 

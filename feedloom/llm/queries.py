@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": sql.JACCARD_JOIN}
+    return {"op1_license_scan": sql.license_scan(), "op3_jaccard_join": sql.JACCARD_JOIN, "op10_span_dedup": sql.SPAN_DEDUP}

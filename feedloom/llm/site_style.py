@@ -33,7 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from feedloom.llm.common import cut
+
 WEIGHT, LEAST, PAGES = 0.9, 0.2, 5
+#: So many elements of low importance are broadcast; more are joined, every host in SALTS parts.
+SENT, SALTS = 500_000, 32
 
 # Tags, and words of class names, ids and roles, by what they stand for.
 SILENT = frozenset("script style noscript template svg canvas iframe object head title select option textarea button math map".split())
@@ -287,5 +291,11 @@ def extract(pages: DataFrame) -> DataFrame:
             out.append(body_text(h.as_py(), low))
         return pa.array(out, pa.string())
 
-    both = pages.join(low, "host", "left").withColumn("text", text("html", "elements"))
+    low = cut(low)
+    if (low.agg(F.sum(F.size("elements"))).first()[0] or 0) <= SENT:
+        both = pages.join(F.broadcast(low), "host", "left")
+    else:
+        low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(low, ["host", "salt"], "left")
+    both = both.withColumn("text", text("html", "elements"))
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

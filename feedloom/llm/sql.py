@@ -18,3 +18,39 @@ reach(id, other) AS (SELECT a, b FROM edges UNION SELECT r.id, e.b FROM reach r
 JACCARD_JOIN = f"""WITH RECURSIVE {_SETS.format(docs="documents")}, {_LINKS}
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id
 FROM sets s LEFT JOIN reach r ON r.id = s.doc_id GROUP BY s.doc_id, s.s"""
+
+_W = r"\x20\x09-\x0D"
+_PIECE = rf"[{_W}]*(?:[^{_W}]*[^{_W}.!?][\x20\x09\x0B-\x0D]+)*[^{_W}]+"
+
+SPAN_DEDUP = rf"""WITH docs AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_PIECE}') AS parts FROM documents),
+sentences AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS i FROM docs),
+counted AS (SELECT doc_id, i, raw, list_transform(regexp_extract_all(raw, '[^{_W}]+'), lambda w: {LOWER.format("w")}) AS w FROM sentences),
+summed AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM counted),
+ends AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.total >= a.total - len(a.w) + 20 GROUP BY 1, 2),
+spans AS (SELECT e.doc_id, e.i, e.j, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS key FROM ends e JOIN counted s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY 1, 2, 3),
+later AS (SELECT doc_id, i, j FROM spans QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
+kept AS (SELECT c.doc_id, count(*) AS n, count(g.i) AS removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN c.raw END, '' ORDER BY c.i), '') AS text FROM counted c LEFT JOIN gone g USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN coalesce(removed, 0) = 0 THEN d.text ELSE k.text || regexp_extract(d.text, '[{_W}]*$') END AS text, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(removed, 0) > 0 AS changed
+FROM docs d LEFT JOIN kept k USING (doc_id)"""
+
+
+def license_scan() -> str:
+    """The scan in SQL; grams are compared as words, not as hashes."""
+    from feedloom.llm.license_scan import K, SHARE, SLIP, STRETCH, template_rows
+
+    rows = ", ".join(f"({t}, {base}, '{label}', {length}, {total}, {place}, '{' '.join(g)}')" for t, base, label, length, total, place, *g in template_rows())
+    return rf"""WITH templates(template, base, label, length, total, place, gram) AS (VALUES {rows}),
+words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT row, w, unnest(range(0, len(w) - {K - 1})) AS p FROM words),
+grams AS (SELECT row, p, array_to_string(w[p + 1:p + {K}], ' ') AS gram FROM places),
+diagonals AS (SELECT row, template, base, label, length, total, p - place AS diagonal, count(*) AS votes, min(p) AS first, max(p) AS last FROM grams JOIN templates USING (gram) GROUP BY 1, 2, 3, 4, 5, 6, 7),
+marked AS (SELECT *, CASE WHEN base AND votes = total THEN diagonal END AS spot, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > {SLIP} THEN 1 ELSE 0 END AS new FROM diagonals),
+merged AS (SELECT *, sum(new) OVER (PARTITION BY row, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
+spans AS (SELECT row, label, count(spot) AS places, min(spot) AS first_spot, max(spot) AS last_spot, least(1.0, sum(votes) / total) AS cover,
+  NOT base AND least(1.0, sum(votes) / total) >= {SHARE} AND max(last) - min(first) + {K} <= {STRETCH} * length AS fits FROM merged GROUP BY row, template, base, label, length, total, span),
+found AS (SELECT row, sum(places) AS n_base, min(first_spot) AS first_word, max(last_spot) AS last_word, string_agg(DISTINCT CASE WHEN places > 0 THEN label END, ',' ORDER BY CASE WHEN places > 0 THEN label END) AS base_labels,
+  string_agg(DISTINCT CASE WHEN places > 0 OR fits THEN label END, ',' ORDER BY CASE WHEN places > 0 OR fits THEN label END) AS labels,
+  max(CASE WHEN places > 0 THEN 1.0 WHEN fits THEN cover END) AS score, count(*) FILTER (places > 0 OR fits) AS n_spans FROM spans GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_spans, 0)::BIGINT AS n_spans FROM words LEFT JOIN found USING (row)"""
