@@ -113,3 +113,11 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.select(["doc_id", "text"]).filter(pa.array(found))
 
     return rows.mapInArrow(keep, "doc_id long, text string")
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

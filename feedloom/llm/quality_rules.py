@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import free
 from feedloom.llm.textvec import SPACE, Words, grams, words
 
 LEVEL = 3
@@ -103,4 +104,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
-    return docs.withColumn("_rules_kept", verdict(F.col("text"))["kept"]).filter("_rules_kept").select(*docs.columns)
+    mark = free(docs, "_rules_kept")
+    return docs.withColumn(mark, verdict(F.col("text"))["kept"]).filter(F.col(mark)).select(*docs.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import id_text
+from feedloom.llm.common import free, id_text
 from feedloom.llm.textvec import Words, sequences, signed, words
 
 MIN_WORDS = 20
@@ -116,14 +116,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Column]:
     """``docs`` joined with their marks (all columns prefixed as they were), and the struct of the cleaned text."""
-    marks = repeated_spans(docs, min_words).select(F.col("doc_id").alias("_span_doc"), F.col("marks").alias("_span_marks"))
-    both = docs.join(marks, F.col("doc_id").cast("long") == F.col("_span_doc"), "left")
+    key, spans_of = free(docs, "_span_doc"), free(docs, "_span_marks")
+    marks = repeated_spans(docs, min_words).select(F.col("doc_id").alias(key), F.col("marks").alias(spans_of))
+    both = docs.join(marks, F.col("doc_id").cast("long") == F.col(key), "left")
 
     @F.arrow_udf("text string, n_sentences long, n_removed long")
     def clean(text: pa.Array, marks: pa.Array) -> pa.Array:
         return _clean(text, marks, min_words)
 
-    return both, clean(F.col("text").cast("string"), F.col("_span_marks"))
+    return both, clean(F.col("text").cast("string"), F.col(spans_of))
 
 
 def span_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -136,7 +137,8 @@ def span_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows and columns of ``docs`` with the cleaned text, and n_chars (if it is there) to fit."""
     both, struct = cleaned(docs, min_words)
-    out = both.withColumn("_span_clean", struct).withColumn("text", F.col("_span_clean.text"))
+    done = free(docs, "_span_clean")
+    out = both.withColumn(done, struct).withColumn("text", F.col(f"{done}.text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_span_clean.n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(f"{done}.n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
