@@ -97,10 +97,10 @@ def id_fold(column: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents in ``ids``, and of few others: so that a join shuffles little text."""
+def likely(docs: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text (and ``more`` text columns) of the documents in ``ids``, and of few others: so that a join shuffles little text."""
     n, bits = id_bits(ids.select("doc_id").distinct(), "doc_id")
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("h"))
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", *more, F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("h"))
 
     def keep(batches):
         import numpy as np
@@ -110,9 +110,9 @@ def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             h = batch.column("h").to_numpy()
             found = (words[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(found))
+            yield batch.select(["doc_id", "text", *more]).filter(pa.array(found))
 
-    return rows.mapInArrow(keep, "doc_id long, text string")
+    return rows.mapInArrow(keep, ", ".join(["doc_id long", "text string", *(f"{c} string" for c in more)]))
 
 
 def free(docs: DataFrame, name: str) -> str:

@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from feedloom.llm.lbl import Model, lbl_scores
 from feedloom.llm.license_scan import license_scan
 from feedloom.llm.packing import encoder, pack
 from feedloom.llm.perplexity import perplexity
-from feedloom.llm.quality_rules import passing, quality_rules
+from feedloom.llm.quality_rules import Fixed, chunk_ratios, compression, passing, quality_rules
 from feedloom.llm.site_style import body_text, extract
 from feedloom.llm.span_dedup import span_dedup, without_repeats
 from feedloom.llm.textvec import mix, words
@@ -309,6 +310,32 @@ def test_quality_compression(spark, hard, none):
     assert all(not r["kept"] for r in quality_rules(hard).filter("doc_id IN (3, 4, 5)").collect())
 
 
+def test_quality_bands_reject_noise(spark):
+    rng = np.random.default_rng(5)
+    syllables = ["".join(rng.choice(list("etaoinshrdlu"), 3)) for _ in range(60)]
+    texts = []
+    for n in np.geomspace(60, 1500, 300).astype(int):
+        texts.append(" ".join("".join(rng.choice(syllables, 2)) for _ in range(n)))
+    mixed = ["".join(w + rng.choice(["### ", "%%% ", "&&& ", " | "]) for w in t.split()) for t in texts[160::10]]  # the ratios do not tell shorter ones apart
+    random = [" ".join("".join(map(chr, rng.integers(0x4E00, 0x9000, 6))) for _ in range(n)) for n in (50, 60, 300, 900)]
+    tail = [t[:6000] + "".join(map(chr, rng.integers(0x4E00, 0x9000, 1365))) for t in texts if len(t) > 6200][:5]
+    docs = docs_of(spark, texts + mixed + random + tail, lang="xx")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, quality int")
+    got = collect(quality_rules(docs, labels), "doc_id")
+    kept = [got[i]["kept"] for i in range(len(got))]
+    assert not any(got[i]["base_failed"] for i in got if i < len(texts) + len(mixed))
+    assert np.mean(kept[: len(texts)]) > 0.97 and not any(kept[len(texts) :])
+    assert {r["doc_id"] for r in passing(docs, labels).select("doc_id").collect()} == {i for i in got if kept[i]}
+    assert {i: r["kept"] for i, r in collect(quality_rules(docs.drop("lang"), labels), "doc_id").items()} == dict(enumerate(kept))
+
+
+def test_quality_last_chunk_is_judged():
+    prose = bytes(np.random.default_rng(1).choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 9000))
+    zstd = zstandard.ZstdCompressor(level=3)
+    assert [len(chunk_ratios(prose[:n], zstd)) for n in (100, 4095, 4096, 4097, 8192, 9000)] == [0, 0, 1, 2, 2, 3]
+    assert chunk_ratios(prose[:5000] + b"a" * 4000, zstd)[-1] > 30 and compression(b"ab " * 120, zstd, Fixed())[2] is False
+
+
 # 7: perplexity
 def test_kneser_ney_is_a_distribution(spark):
     rng = np.random.default_rng(2)
