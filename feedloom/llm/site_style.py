@@ -11,7 +11,11 @@ on page after page is of low importance; one whose content differs from page to
 
 Branches whose importance is under ``LEAST`` are removed, on hosts with at least ``PAGES`` pages that have the element. What
 the tags or class names of a branch say comes first: menus, footers, adverts, forms, comments and the like
-are of importance 0, the content of an article (``article``, ``main``, or the roles of those names) of importance 1.
+are of importance 0, the content of an article (``article``, ``main``, or the roles of those names) of importance 1. The root
+and the body are never removed.
+
+Copies of a page are one page: what pages of a host have the same html (by 128 bits of hash) counts once, or they would pass
+for content that repeats.
 
 The tree is never gathered: tasks emit counts of (host, element, feature), these are summed by key, and only the
 elements of low importance go back, as one row a host, to the host's pages.
@@ -24,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from html import unescape
 from html.parser import HTMLParser
 
@@ -31,9 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh64_intdigest, xxh128_digest
 
-from feedloom.llm.common import cut
+from feedloom.llm.common import Scratch, cut, id_bits
 
 WEIGHT, LEAST, PAGES = 0.9, 0.2, 5
 #: So many elements of low importance are broadcast; more are joined, every host in SALTS parts.
@@ -202,15 +207,15 @@ def body_text(html: str | None, low: set[int]) -> str:
     page = Page(html)
     main, rest = [], []
     for node, text in page.blocks:
-        kinds, inside, drop = [], False, False
+        inside, drop, common = False, False, False
         for n in _up(node):
             if n.kind in ("noise", "silent"):
                 drop = True
             if n.kind == "main":
                 inside = True
-            if not inside and n.path in low:
-                drop = True
-        if not drop:
+            if n.path in low and n.parent is not None and n.tag != "body":
+                common = True
+        if not drop and (inside or not common):
             (main if inside else rest).append(text)
     return "\n\n".join(main or rest)
 
@@ -256,9 +261,47 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, html to host, html, key: the first row of each host and html in the task."""
+    seen = set()
+    for batch in batches:
+        rows, keys = [], []
+        for i, (host, html) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html"), strict=True)):
+            key = xxh128_digest(f"{host}\n".encode() + html.as_buffer().to_pybytes()) if html.is_valid else b""
+            if key and key not in seen:
+                seen.add(key)
+                rows.append(i)
+                keys.append(key)
+        out = batch.select(["host", "html"]).take(pa.array(rows, pa.int64()))
+        yield pa.record_batch([*out.columns, pa.array(keys, pa.binary())], ["host", "html", "key"])
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """host, html once each. A bit set of what occurs again lets most pages stay where they are; the others are compared
+    in their task first, so that a page with many copies doesn't load one task, and then with those of all tasks."""
+    pages = pages.filter("html IS NOT NULL")
+    key, scratch = F.xxhash64("host", "html"), Scratch(pages.sparkSession)
+    again = scratch.table(pages.groupBy(key.alias("page")).agg(F.count("*").alias("n")).filter("n > 1").select("page"))
+    n, bits = id_bits(again, "page")
+    scratch.drop(again)
+    marked = pages.withColumn("h", F.pmod(F.xxhash64(key), F.lit(n)))
+
+    def pick(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        words = bits.value.view(np.uint64)
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            found = (words[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.select(["host", "html"]).filter(pa.array(found == wanted))
+
+    plain, schema = "host string, html string", "host string, html string, key binary"
+    once = marked.mapInArrow(partial(pick, wanted=False), plain)
+    more = marked.mapInArrow(lambda batches: _firsts(pick(batches, True)), schema).repartition("key").mapInArrow(_firsts, schema)
+    return once.unionByName(more.select("host", "html"))
+
+
 def low_importance(pages: DataFrame) -> DataFrame:
     """host, elements: those of low importance, for hosts that have any. pages: host, html."""
-    counts = pages.mapInArrow(_counts, "host string, element long, kind int, feature long, n long")
+    counts = distinct_pages(pages).mapInArrow(_counts, "host string, element long, kind int, feature long, n long")
     counts = counts.groupBy("host", "element", "kind", "feature").agg(F.sum("n").alias("n"))
     log = F.log(F.col("n").cast("double"))
     sums = counts.groupBy("host", "element").agg(

@@ -24,7 +24,7 @@ from feedloom.llm.license_scan import license_scan
 from feedloom.llm.packing import encoder, pack
 from feedloom.llm.perplexity import perplexity
 from feedloom.llm.quality_rules import Fixed, chunk_ratios, compression, passing, quality_rules
-from feedloom.llm.site_style import body_text, extract
+from feedloom.llm.site_style import Page, body_text, extract
 from feedloom.llm.span_dedup import span_dedup, without_repeats
 from feedloom.llm.textvec import mix, words
 from feedloom.llm.tiling import drop_leaks, leaks, tile
@@ -383,6 +383,24 @@ def test_pages_give_their_article(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize(("copies", "others"), [(5, 0), (5, 20), (1000, 200)])
+def test_copies_of_a_page_keep_their_text(spark, copies, others):
+    page = "<body><div class='top'><p>Welcome to the site of all sites</p></div>{}</body>"
+    article = "<article><h1>Title {0}</h1><p>Story number {0} with words {1}</p></article>"
+    block = "<div class='text'><p>Story number {0} with words {1}</p></div>"
+    made = [page.format((article if i % 2 else block).format(i, i * 7)) for i in range(others)] + [page.format(article.format("copied", "of many"))] * copies
+    got = collect(extract(spark.createDataFrame([(i, f"https://h.example/{i}", h) for i, h in enumerate(made)], "page_id long, url string, html string")), "page_id")
+    for i in range(others):
+        assert got[i]["text"] == (f"Title {i}\n\n" if i % 2 else "") + f"Story number {i} with words {i * 7}"
+    assert {got[i]["text"] for i in range(others, len(made))} == {"Title copied\n\nStory number copied with words of many"}
+
+
+def test_low_score_spares_body_and_article():
+    html = "<body>Own words<article><p>In the article</p></article></body>"
+    every = {n.path for n in Page(html).nodes}
+    assert body_text(html, every) == "In the article" and body_text("<body>Own words</body>", every) == "Own words"
+
+
 # 9: toxicity
 def test_toxicity_learns(spark, none, hard):
     rng = np.random.default_rng(4)
