@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from feedloom.llm import queries
-from feedloom.llm.charkn import GRAMS, SYMBOLS, dense, tables
+from feedloom.llm.charkn import GRAMS, SYMBOLS, classes, codes, dense, kneser_ney, lower_order, tables
 from feedloom.llm.common import table
 from feedloom.llm.jaccard_join import bitmap, drop_near_copies, jaccard_join, overlap_bound
 from feedloom.llm.lbl import Model, lbl_scores
@@ -28,7 +29,7 @@ from feedloom.llm.site_style import Page, body_text, extract
 from feedloom.llm.span_dedup import span_dedup, without_repeats
 from feedloom.llm.textvec import mix, words
 from feedloom.llm.tiling import drop_leaks, leaks, tile
-from feedloom.llm.toxicity import toxicity
+from feedloom.llm.toxicity import marked, toxicity
 from tests.oracle import SF, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -426,6 +427,35 @@ def test_toxicity_learns(spark, none, hard):
     assert {r["score"] for r in toxicity(docs.limit(3), marks.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_counts_every_ngram(spark):
+    texts = ["one rarely seen expression here", "plain words of a usual text", "plain words of another text", "the rarely seen expression", "nothing known: Zürich €"]
+    made = [(0, 0, texts[1]), (0, 1, texts[0]), (0, 0, texts[2])]
+    counts = Counter((k, int(g)) for _, k, t in made for _, c, b, n in codes(pa.array([t]), classes(True), 6) for g in c[b[0] : b[0] + n[0]])
+    table_of = spark.createDataFrame([(k, g, n) for (k, g), n in counts.items()], "kind int, gram long, n long")
+    got = {r["doc_id"]: r["mark"] for r in marked(docs_of(spark, texts), table_of).collect()}
+    lower = np.zeros(SYMBOLS**3, np.int64)
+    for (_, g), n in counts.items():
+        lower[g % SYMBOLS**3] += n
+    lower = kneser_ney(lower, lower_order(lower, 3))
+
+    def p(k, g):
+        same_context = [n for (kind, x), n in counts.items() if kind == k and x // SYMBOLS == g // SYMBOLS]
+        if not same_context:
+            return lower[g % SYMBOLS**3]
+        return (max(counts[k, g] - 0.75, 0) + 0.75 * len(same_context) * lower[g % SYMBOLS**3]) / sum(same_context)
+
+    for i, t in enumerate(texts):
+        words_of, w, length = [], 0.0, 0
+        for _, code, begin, size in codes(pa.array([t]), classes(True), 6):
+            for g in code[begin[0] : begin[0] + size[0]].tolist():
+                w, length = w + np.log(p(1, g)) - np.log(p(0, g)), length + 1
+                if g % SYMBOLS in (0, 29, 31):
+                    words_of += [w] if length > 1 else []
+                    w, length = 0.0, 0
+        assert got[i] == pytest.approx(np.mean(np.log1p(np.exp(np.array(words_of) - 4.0))), rel=1e-4)
+    assert got[3] > 10 * got[1]
+
+
 # 10: substring dedup
 def brute_spans(texts, min_words=20):
     """Sentences as word lists, spans as (key, doc, first, stop); which sentences go."""
