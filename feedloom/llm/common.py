@@ -16,15 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one where it is unset (tests on one machine)."""
+    """The folder that the session names in spark.checkpoint.dir; a temporary one where it is unset, on one machine only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of results that nothing refers to any more."""
+    """Lets Spark delete the shuffle files of results that nothing refers to any more; else they stay until the driver's JVM collects."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -10,7 +10,7 @@ values, computed for each distinct context of a chunk by one batched matrix prod
 Training: every task runs noise-contrastive estimation over all training text of its partition, from common parameters,
 with noise drawn from the unigrams (one noise sample a batch, shared, so noise logits are matrix products). The
 tasks' parameters are then averaged, weighted by tokens. Counts cover all training text: they are summed sharded by word
-hash. To score, documents are dealt into batches of neighbouring ids; each batch asks once for each word that it
+hash. To score, documents are dealt into batches by hash; each batch asks once for each word that it
 has, counts are found where the word's shard is, and travel to the batch in packed form, so no task needs the
 whole vocabulary.
 
@@ -314,14 +314,14 @@ def lbl_scores(docs: DataFrame, fold: int = FOLD, out: int = OUT, short: int = S
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = id_text(docs).withColumn("trains", id_fold("doc_id", fold) != out)
-    low, high, size = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text"))).first()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     many = max(parts, (size or 0) // BATCH_BYTES + 1)
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // many))
-    docs = docs.withColumn("batch", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long"))
+    docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)))
 
     request = "word long, batch long, n long"
     counts = docs.filter("trains").mapInArrow(partial(_requests, known=None), request).groupBy("word").agg(F.sum("n").alias("c"))
+    ends = docs.filter("trains").count()  # every text has one end
     sums = scratch.table(counts.mapInArrow(partial(_sums, short=short), "kind int, word long, c long"))
     times = sums.filter("kind = 1").groupBy("word").agg(F.sum("c").alias("types")).toArrow().to_pandas()  # as many rows as there are different counts
     n, v = int((times["word"] * times["types"]).sum()), int(times["types"].sum())
@@ -330,7 +330,7 @@ def lbl_scores(docs: DataFrame, fold: int = FOLD, out: int = OUT, short: int = S
     top = sums.filter("kind = 0 AND c > 0").orderBy(F.desc("c"), "word").limit(short).toArrow().to_pandas()
     hashes, c = top["word"].to_numpy(np.int64).view(U), top["c"].to_numpy(np.int64)
     if END not in hashes:
-        hashes, c = np.append(hashes[: short - 1], END), np.append(c[: short - 1], 0)
+        hashes, c = np.append(hashes[: short - 1], END), np.append(c[: short - 1], ends)
     rare, types = n - int(c.sum()), v - int((c > 0).sum())
     once, twice = (int(times.loc[times["word"] == x, "types"].sum()) for x in (1, 2))
     freed = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)

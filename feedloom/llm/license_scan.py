@@ -10,7 +10,8 @@ The template table has a fixed size (a row per template word), so it is broadcas
 only where they vote, with one row per text for texts without votes.
 
 Defined cases: a null or empty text has 0 words, null first_word and last_word, empty labels and score 0. Rows that
-repeat a doc_id are judged one by one. Columns besides doc_id and text are ignored.
+repeat a doc_id are judged one by one. Columns besides doc_id and text are ignored, whatever their names. An empty table gives no
+rows. A very long text is one array of words in one row. Labels are sets and places are smallest and largest ones, so ties change nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ SLIP = 2
 #: A merged span counts with this share of its template's votes, in at most STRETCH times its words.
 SHARE = 0.75
 STRETCH = 1.5
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The phrases of the base labels.
@@ -89,7 +91,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     table = spark.createDataFrame(template_rows(), "template int, base boolean, label string, length int, total int, place int, g0 string, g1 string, g2 string")
     table = F.broadcast(table.withColumn("gram", F.xxhash64("g0", "g1", "g2")).drop("g0", "g1", "g2"))
 
-    words = F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), CAPITALS, CAPITALS.lower()), SEPARATORS), "")
     w = id_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", words.alias("w"))
     grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - (K - 1), F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     # Place 0 stands for the text itself, so that it is there without votes too.

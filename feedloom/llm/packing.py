@@ -51,17 +51,20 @@ def byte_order() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """The vocabulary of a tokenizers file, run by tiktoken: the same ids several times faster (a test compares them)."""
+    """The vocabulary of a tokenizers file, run by tiktoken: the same ids several times faster (a test compares them).
+
+    Like tokenizers, it reads a special token where a text spells it out.
+    """
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            read = json.load(f)
+        special = {x["content"]: x["id"] for x in read.get("added_tokens", [])}
         order = byte_order()
-        special = "<|endoftext|>"
-        ranks = {bytes(order[c] for c in token): i for token, i in model["vocab"].items() if token != special}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(order[c] for c in token): i for token, i in read["model"]["vocab"].items() if token not in special}
+        _encoders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
@@ -143,7 +146,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, shares, size: int, piece
     packer, rows, sequence = Packer(shares.value, size, piece), Rows(task, size), task << 32
     for batch in batches:
         for doc, text, source in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("queue").to_pylist(), strict=True):
-            ids = np.asarray(encode.encode_to_numpy(text.as_py() or "", disallowed_special=()), np.uint32)
+            ids = np.asarray(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32)
             ids = np.append(ids, np.uint32(END))
             packer.put(source, doc, ids, 0, len(ids))
             if packer.total > held:

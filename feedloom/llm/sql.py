@@ -41,7 +41,7 @@ def license_scan() -> str:
 
     rows = ", ".join(f"({t}, {base}, '{label}', {length}, {total}, {place}, '{' '.join(g)}')" for t, base, label, length, total, place, *g in template_rows())
     return rf"""WITH templates(template, base, label, length, total, place, gram) AS (VALUES {rows}),
-words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS (SELECT row, w, unnest(range(0, len(w) - {K - 1})) AS p FROM words),
 grams AS (SELECT row, p, array_to_string(w[p + 1:p + {K}], ' ') AS gram FROM places),
 diagonals AS (SELECT row, template, base, label, length, total, p - place AS diagonal, count(*) AS votes, min(p) AS first, max(p) AS last FROM grams JOIN templates USING (gram) GROUP BY 1, 2, 3, 4, 5, 6, 7),
