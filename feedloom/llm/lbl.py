@@ -10,7 +10,7 @@ values, computed for each distinct context of a chunk by one batched matrix prod
 Training: every task runs noise-contrastive estimation over all training text of its partition, from common parameters,
 with noise drawn from the unigrams (one noise sample a batch, shared, so noise logits are matrix products). The
 tasks' parameters are then averaged, weighted by tokens. Counts cover all training text: they are summed sharded by word
-hash. To score, documents are dealt into batches by hash; each batch asks once for each word that it
+hash. To score, each partition of the table is dealt into batches by hash; each batch asks once for each word that it
 has, counts are found where the word's shard is, and travel to the batch in packed form, so no task needs the
 whole vocabulary.
 
@@ -317,7 +317,9 @@ def lbl_scores(docs: DataFrame, fold: int = FOLD, out: int = OUT, short: int = S
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     many = max(parts, (size or 0) // BATCH_BYTES + 1)
-    docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(many)))
+    split = docs.rdd.getNumPartitions()
+    within = -(-many // max(split, 1))
+    docs = docs.withColumn("batch", F.spark_partition_id().cast("long") * within + F.pmod(F.xxhash64("doc_id", "text"), F.lit(within)))
 
     request = "word long, batch long, n long"
     counts = docs.filter("trains").mapInArrow(partial(_requests, known=None), request).groupBy("word").agg(F.sum("n").alias("c"))
