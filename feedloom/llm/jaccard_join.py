@@ -5,19 +5,25 @@ Two documents are linked when ``100 * |A & B| >= 100 * threshold * |A | B|``. Th
 
 1. One pass gives each document's set size and a signature of its set; equal signatures are linked to the
    smallest id as a star.
-2. Prefix filter: two linked sets share one of their ``n - ceil(threshold * n) + 1`` first shingles in any fixed
-   order. The order puts shingles that very many documents have last, then goes by hash. Documents whose prefixes share a
-   shingle share a cell.
-3. A cell's documents are gathered under its smallest one, so that a family of copies makes a few groups and not one
-   for each of its shingles. A group that is large is dealt into tiles, by size band and hash; tiles meet only within
-   a band and with the next one.
-4. In each tile hashed bitmap signatures bound the overlap from above (a bit of A that is not in B stands for a shingle
-   that B lacks); only documents that the bound leaves a partner bring their sorted arrays to the tile, where
-   exact intersections decide. A tile gives out the links that join its components, never its pairs.
+2. Prefix filter: two linked sets share one of their first ``n - ceil(threshold * n) + 1`` shingles in any fixed
+   order. The order is: of the shingles whose hash is under ``SAMPLE`` those that one document alone has, then the others
+   of them, then the rest by hash, and last those that very many documents have. Which shingles one document alone has
+   comes out when the sampled ones meet by hash; a document whose prefix is made of such shingles drops out. So what
+   remains are documents that share a great part of their text with another, and not those with a passage in common.
+3. Documents that share a prefix shingle share a cell, cut where sizes leap by more than the threshold. A cell's
+   documents are gathered under its first one, its lead. Each document is compared with one lead; for most families
+   these links make one component.
+4. Only groups that still hold several components are searched whole: dealt into tiles by size band and hash, tiles
+   meeting within a band and with the next one. In each tile hashed bitmap signatures bound the overlap from above (a
+   bit of A that is not in B stands for a shingle that B lacks); documents that the bound leaves a partner bring
+   their sorted arrays to the tile, where exact intersections decide. A tile gives out the links that join its
+   components, never its pairs.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own component. A row with
 a null doc_id keeps its size and has a null component. Rows that repeat a doc_id are one document: each row is
-returned, with the component that all of them share. Columns besides doc_id and text are ignored.
+returned, with the component that all of them share. Columns besides doc_id and text are ignored, whatever their names.
+An empty table gives no rows. A very long text is one set; it is read whole. Ties need no rule: a link depends on the two
+sets alone, and a component's id is its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -30,15 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Scratch, id_bits, id_text
+from feedloom.llm.common import Scratch, id_text, likely
 from feedloom.llm.components import components
 from feedloom.llm.textvec import mix, shingle_sets, signed
 
 U = np.uint64
 #: Tiles of a large group are pairs of blocks that hold about so many shingles.
 BLOCK = 400_000
-#: Shingles of about so many documents and more come last in the order, the most common ones up to a limit. A text that
-#: shares no more than a passage with others then shares no cell. The list only changes the order of comparison.
+#: The share of all shingles, by hash, that every document shows. Over 1 - threshold, so that it holds a whole prefix.
+SAMPLE = 0.3
+#: Shingles of about so many documents and more come last in the order, the most common ones up to a limit. The list
+#: only changes the order of comparison.
 COMMON, COMMON_LIMIT = 16, 500_000
 
 
@@ -100,14 +108,15 @@ def _merge(counts, seen: list[np.ndarray], _: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, common) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc_id, set size) for the first shingles of each set; once for equal sets of a task."""
+    """(shingle, doc_id, set size, shown shingles beyond the prefix) for the shingles that a set shows; once for equal sets of a task."""
     last = common.value
     seen: set[bytes] = set()
+    limit = U(int(SAMPLE * 2**64))
     for batch in batches:
         ids = batch.column("doc_id")
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy()
-        keys, docs, sizes = [], [], []
+        keys, docs, sizes, spare = [], [], [], []
         for i, s in shingle_sets(batch.column("text"), k):
             n = len(s)
             if not n or not known[i]:
@@ -120,69 +129,77 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, percent: int, common) -
             if len(last):
                 at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                 often = last[at] == s
-                s = np.concatenate([s[~often], s[often]])
-            keys.append(s[:p])
-            docs.append(np.full(p, ids[i]))
-            sizes.append(np.full(p, n, np.int32))
+                first = s[~often]
+                shown = max(p, int(np.searchsorted(first, limit)))
+                s = np.concatenate([first, s[often]])[:shown]
+            else:
+                s = s[: max(p, int(np.searchsorted(s, limit)))]
+            keys.append(s)
+            docs.append(np.full(len(s), ids[i]))
+            sizes.append(np.full(len(s), n, np.int32))
+            spare.append(np.full(len(s), len(s) - p, np.int32))
         if keys:
-            yield pa.record_batch([pa.array(signed(np.concatenate(keys))), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["key", "doc_id", "n"])
+            yield pa.record_batch([pa.array(signed(np.concatenate(keys))), *(pa.array(np.concatenate(x)) for x in (docs, sizes, spare))], ["key", "doc_id", "n", "spare"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key, doc_id: those whose key more than one document has, with the cell's first document."""
-    held = None  # the last row so far, its cell's first document, whether it has been given out
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of key: those whose key has more than one row. The last row waits for the next batch."""
+    held, told = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, doc, n = (batch.column(c).to_numpy() for c in ("key", "doc_id", "n"))
-        if held is not None:
-            key, doc, n = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held[:3], (key, doc, n), strict=True))
-        same = np.zeros(len(key), bool)
-        same[1:] = key[1:] == key[:-1]
-        lead = doc[np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
-        shared = same.copy()
-        shared[:-1] |= same[1:]
-        out = shared.copy()
-        if held is not None:
-            lead[: int(np.argmin(np.append(same[1:], False))) + 1] = held[3]
-            out[0] = shared[0] and not held[4]
-            shared[0] |= held[4]
-        held = (key[-1], doc[-1], n[-1], lead[-1], shared[-1])
-        yield pa.record_batch([pa.array(lead[out]), pa.array(doc[out]), pa.array(n[out])], ["lead", "doc_id", "n"])
-
-
-def _arrays(batches: Iterator[pa.RecordBatch], k: int, n_bits: int, bits) -> Iterator[pa.RecordBatch]:
-    """The sets of the documents whose id the bit set lets pass; column h is the hash of the id."""
-    wanted = bits.value.view(U)
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = rows.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        out = np.zeros(len(key), bool)
+        out[1:] |= same
+        out[:-1] |= same
+        out[0] |= told
+        held, told = rows.slice(rows.num_rows - 1), bool(out[-1])
+        yield rows.slice(0, rows.num_rows - 1).filter(pa.array(out[:-1]))
+    if told:
+        yield held
+
+
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From rows in the order of key, n, doc_id: lead, doc_id, n, component. A cell ends where the size leaps; each pair of a lead
+    and a document is given out once in a batch."""
+    held = None  # key, n and lead of the last row
     for batch in batches:
-        h = batch.column("h").to_numpy().view(np.int64) % n_bits
-        keep = np.flatnonzero((wanted[h // 64] >> (h % 64).astype(U)) & U(1))
-        if not len(keep):
+        if not batch.num_rows:
             continue
-        batch = batch.take(pa.array(keep))
-        ids, out_ids, sets, size = batch.column("doc_id").to_pylist(), [], [], 0
-        for i, s in shingle_sets(batch.column("text"), k):
-            out_ids.append(ids[i])
-            sets.append(s.tobytes())
-            size += len(sets[-1])
-            if size > 8 << 20:
-                yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
-                out_ids, sets, size = [], [], 0
-        yield pa.record_batch([pa.array(out_ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows in the order of (lead, low, high), a block pair at a time."""
-    tile, rows = None, []
+        key, doc, n, part = (batch.column(c).to_numpy() for c in ("key", "doc_id", "n", "component"))
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
+        if held is not None:
+            fresh[0] = key[0] != held[0] or 100 * held[1] < percent * int(n[0])
+        at = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))
+        lead = np.where(at >= 0, doc[np.maximum(at, 0)], 0 if held is None else held[2])
+        held = (key[-1], int(n[-1]), lead[-1])
+        _, once = np.unique(np.stack([lead, doc, n], 1), axis=0, return_index=True)
+        once.sort()
+        yield pa.record_batch([pa.array(lead[once]), pa.array(doc[once]), pa.array(n[once]), pa.array(part[once])], ["lead", "doc_id", "n", "component"])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of (lead, low, high), a tile at a time; tiles of a single row are left out."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "low", "high", *columns)), strict=True):
-            if row[:3] != tile:
-                if len(rows) > 1:
-                    yield tile, rows
-                tile, rows = row[:3], []
-            rows.append(row[3:])
-    if len(rows) > 1:
-        yield tile, rows
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        key = np.stack([rows.column(c).to_numpy() for c in ("lead", "low", "high")], 1)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if b - a > 1:
+                yield rows.slice(a, b - a)
+        held = rows.slice(cut[-1]).to_batches()
+    if held and sum(b.num_rows for b in held) > 1:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _tile_of(rows: pa.Table) -> tuple:
+    return tuple(rows.column(c)[0].as_py() for c in ("lead", "low", "high"))
 
 
 def _partners(tile: tuple, block: np.ndarray, i: int) -> np.ndarray:
@@ -200,9 +217,12 @@ def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """Of each block pair the documents with a partner in another component that the bitmaps leave possible."""
     out: list[tuple] = []
     names = ["lead", "low", "high", "block", "doc_id", "n", "component"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    for tile, rows in _groups(batches, ("block", "doc_id", "n", "component", "bits")):
+    kinds = [pa.int64()] * 7
+    for table in _tiles(batches):
+        tile, rows = _tile_of(table), list(zip(*(table.column(c).to_pylist() for c in ("block", "doc_id", "n", "component", "bits")), strict=True))
         block, _, n, part = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
+        if part.min() == part.max():
+            continue
         bits = [np.frombuffer(r[4], U) for r in rows]
         width = np.array([len(x) for x in bits])
         of_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
@@ -236,24 +256,52 @@ def _screen(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
-def _decide(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays are similar enough."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    return bool(enough(int((x[np.minimum(at, len(x) - 1)] == y).sum()), len(x), len(y), percent))
+
+
+def _stars(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of (lead, block), the lead before the others: the links of documents with their lead."""
+    place, leads = None, []
+    for batch in batches:
+        lead, block, doc = (batch.column(c).to_numpy() for c in ("lead", "block", "doc_id"))
+        a, b = [], []
+        for i, s in shingle_sets(batch.column("text"), k):
+            if (lead[i], block[i]) != place:
+                place, leads = (lead[i], block[i]), []
+            if doc[i] == lead[i]:
+                leads.append(s)
+            elif len(s) and any(len(x) and _linked(x, s, percent) for x in leads):
+                a.append(lead[i])
+                b.append(doc[i])
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _decide(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Links of each block pair that join its components, from exact intersections."""
     a, b = [], []
-    for tile, rows in _groups(batches, ("block", "doc_id", "component", "hashes")):
-        block, doc = (np.array(x) for x in list(zip(*rows, strict=True))[:2])
-        sets = [np.frombuffer(r[3], U) for r in rows]
+    for rows in _tiles(batches):
+        tile, sets = _tile_of(rows), [s for _, s in shingle_sets(rows.column("text").combine_chunks(), k)]
+        block, doc, part = (rows.column(c).to_numpy() for c in ("block", "doc_id", "component"))
         n = np.array([len(x) for x in sets])
+        if not n.sum():
+            continue
         start = np.cumsum(n) - n
         number = np.unique(np.concatenate(sets), return_inverse=True)[1]
         mark = np.zeros(int(number.max()) + 1, np.int64)
-        _, part = np.unique([r[2] for r in rows], return_inverse=True)
-        for i in range(len(rows)):
+        _, part = np.unique(part, return_inverse=True)
+        for i in range(len(sets)):
             j = _comparable(n, part, i, _partners(tile, block, i), percent)
-            if not len(j):
+            j = j[n[j] > 0]
+            if not len(j) or not n[i]:
                 continue
             own = number[start[i] : start[i] + n[i]]
             mark[own] = 1
-            if 4 * len(j) > len(rows):
+            if 4 * len(j) > len(sets) and n.min():
                 shared = np.add.reduceat(mark[number], start)[j]
             else:
                 shared = np.array([mark[number[start[x] : start[x] + n[x]]].sum() for x in j])
@@ -263,52 +311,74 @@ def _decide(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                     part[part == part[x]] = part[i]
                     a.append(int(doc[i]))
                     b.append(int(doc[x]))
+        if len(a) > 20_000:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a, b = [], []
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, hashes for (at least) the documents in ``ids``."""
-    n_bits, wanted = id_bits(ids.select("doc_id").distinct(), "doc_id")
-    rows = docs.filter("doc_id IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)))
-    return rows.mapInArrow(partial(_arrays, k=k, n_bits=n_bits, bits=wanted), "doc_id long, hashes binary")
-
-
 def tiles(members: DataFrame, percent: int) -> DataFrame:
     """lead, low, high, block, doc_id, n, component: each document once for each tile of its group that it belongs to."""
-    small = members.groupBy("lead").agg((F.sum("n") <= BLOCK).alias("small"))
     step = F.log(F.lit(100 / percent))
-    band = F.when(F.col("small"), 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / step + 1e-9)).cast("int")
-    members = members.join(small, "lead").withColumn("band", band).drop("small")
-    sizes = members.groupBy("lead", "band").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
-    number = lambda band, part: band * 65_536 + part
-    own = members.join(sizes, ["lead", "band"]).withColumn("block", number(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))).drop("blocks")
+    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("long"))
+    sizes = members.groupBy("lead", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    number = lambda band, part: band * (1 << 40) + part
+    own = members.join(sizes, ["lead", "band"]).withColumn("block", number(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")))).drop("blocks")
     beside = own.withColumn("other_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     beside = beside.join(sizes.select("lead", F.col("band").alias("other_band"), "blocks"), ["lead", "other_band"])
-    beside = beside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("other", number(F.col("other_band"), F.col("part")))
+    beside = beside.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("other", number(F.col("other_band"), F.col("part")))
     return beside.select("lead", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "n", "component")
 
 
-def group_links(docs: DataFrame, cells: DataFrame, bits: DataFrame, copies: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among documents that share a cell; copies (a, b) are known to be linked."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    known = copies.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
-    members = cells.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    members = scratch.table(members.withColumn("n", F.col("n").cast("long")))
+def star_links(docs: DataFrame, members: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of each document with its smallest lead of another component."""
+    parts = _parts(docs)
+    leads = members.filter("lead = doc_id").select("lead", F.col("component").alias("of_lead"), F.col("n").alias("n_lead")).distinct()
+    near = 100 * F.least("n", "n_lead") >= percent * F.greatest("n", "n_lead")
+    stars = members.filter("lead <> doc_id").join(leads, "lead").filter((F.col("component") != F.col("of_lead")) & near)
+    stars = scratch.table(stars.groupBy("doc_id").agg(F.min("lead").alias("lead"), F.max("n").alias("n")))
+    blocks = stars.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    others = stars.join(blocks, "lead").select("lead", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), "doc_id")
+    firsts = blocks.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("doc_id"))
+    rows = scratch.table(others.unionByName(firsts))
+    scratch.drop(stars)
+    rows_of = likely(docs, rows).join(rows, "doc_id").withColumn("later", F.col("doc_id") != F.col("lead"))
+    found = rows_of.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", "later").select("lead", "block", "doc_id", "text")
+    found = scratch.table(found.mapInArrow(partial(_stars, k=k, percent=percent), "a long, b long"))
+    scratch.drop(rows)
+    return found
+
+
+def group_links(docs: DataFrame, members: DataFrame, bits: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of a group that are of several components."""
+    parts = _parts(docs)
+    mixed = members.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("lead")
+    members = scratch.table(members.join(mixed, "lead", "left_semi"))
     key = ["lead", "low", "high"]
     screened = tiles(members, percent).join(bits.select("doc_id", "bits"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
-    screened = scratch.table(screened.mapInArrow(partial(_screen, percent=percent), "lead long, low int, high int, block int, doc_id long, n long, component long"))
+    screened = scratch.table(screened.mapInArrow(partial(_screen, percent=percent), "lead long, low long, high long, block long, doc_id long, n long, component long"))
     scratch.drop(members)
-    exact = screened.join(_sets(docs, screened, k), "doc_id").select(*key, "block", "doc_id", "component", "hashes")
-    out = scratch.table(exact.repartition(parts, *key).sortWithinPartitions(*key, "doc_id").mapInArrow(partial(_decide, percent=percent), "a long, b long"))
+    exact = likely(docs, screened).join(screened, "doc_id").select(*key, "block", "doc_id", "component", "text")
+    out = scratch.table(exact.repartition(parts, *key).sortWithinPartitions(*key, "doc_id").mapInArrow(partial(_decide, k=k, percent=percent), "a long, b long"))
     scratch.drop(screened)
     return out
 
 
+def _parts(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def _with_component(members: DataFrame, part: DataFrame) -> DataFrame:
+    """``members`` with the component of ``part`` (id, component), or else its own id."""
+    known = part.select(F.col("id").alias("doc_id"), F.col("component").alias("known"))
+    return members.join(known, "doc_id", "left").withColumn("component", F.coalesce("known", "doc_id")).drop("known")
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = id_text(docs)
+    docs, parts = id_text(docs), _parts(docs)
     profile = scratch.table(docs.mapInArrow(partial(_profile, k=k), "kind int, doc_id long, n long, sig long, bits binary"))
     sets = profile.filter("kind = 0").select("doc_id", "n", "sig")
     often = profile.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
@@ -316,18 +386,29 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     common = spark.sparkContext.broadcast(np.sort(often.view(U)))
 
     filled = sets.filter("n > 0 AND doc_id IS NOT NULL")
-    first = filled.groupBy("sig", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies")).filter("copies > 1")
-    copies = filled.join(first.drop("copies"), ["sig", "n"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    bits = profile.filter("kind = 0 AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits")
+    first = scratch.table(filled.groupBy("sig", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"))
+    copies = scratch.table(filled.join(first, ["sig", "n"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    scratch.drop(first)
+    same = copies.select(F.col("b").alias("id"), F.col("a").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+
+    shown = docs.mapInArrow(partial(_prefixes, k=k, percent=percent, common=common), "key long, doc_id long, n int, spare int")
+    shown = scratch.table(shown.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc_id long, n int, spare int"))
+    # What a set shows beyond its prefix makes up for shared shingles: with no more of these the prefix has none.
+    alive = shown.groupBy("doc_id", "n").agg(F.count("*").alias("shared"), F.min("spare").alias("spare")).filter("shared > spare").select("doc_id", "n")
+    alive = scratch.table(_with_component(alive, same))
+    cells = shown.select("key", "doc_id", "n").join(alive, ["doc_id", "n"]).repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id")
+    members = cells.select("key", "doc_id", "n", "component").mapInArrow(partial(_cells, percent=percent), "lead long, doc_id long, n int, component long").distinct()
+    members = scratch.table(members.withColumn("n", F.col("n").cast("long")))
+    scratch.drop(shown, alive)
 
-    prefixes = docs.mapInArrow(partial(_prefixes, k=k, percent=percent, common=common), "key long, doc_id long, n int")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cells = prefixes.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_cells, "lead long, doc_id long, n int")
-    cells = scratch.table(cells.distinct())
-    copies = scratch.table(copies)
-    links = group_links(docs, cells, bits, copies, scratch, k, percent)
-    scratch.drop(cells)
+    links = star_links(docs, members, scratch, k, percent)
     part = components(copies.unionByName(links))
+    scratch.drop(links, copies)
+    bits = profile.filter("kind = 0 AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits")
+    links = group_links(docs, _with_component(members, part), bits, scratch, k, percent)
+    scratch.drop(members)
+    part = components(part.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(links))
+    scratch.drop(links)
 
     out = sets.join(part.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
