@@ -70,17 +70,18 @@ class Scratch:
             pass
 
 
-def id_bits(ids: DataFrame, column: str, most: int = 1 << 27) -> tuple[int, object]:
+def id_bits(ids: DataFrame, column: str, most: int = 1 << 27, hashed: bool = False) -> tuple[int, object]:
     """A bit set of hashed ids, (number of bits, broadcast array): a filter that lets some other ids pass too.
 
     It has eight bits an id, from 65,536 up to ``most`` (16 MB), so its size is bounded; an exact join comes after it.
+    ``hashed``: the column is a hash already.
     """
     import numpy as np
 
     n = 1 << 16
     while n < most and n < 8 * ids.count():
         n *= 2
-    h = F.pmod(F.xxhash64(column), F.lit(n))
+    h = F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(n))
     words = ids.select(h.alias("h")).selectExpr("h div 64 AS w", "shiftleft(1L, CAST(h % 64 AS INT)) AS b")
     rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_pandas()
     bits = np.zeros(n // 64, np.int64)

@@ -1,59 +1,55 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Trusted text are the rows labelled quality 1. Tasks count n-grams of byte classes (charkn.py), the count tables are
-summed, sharded by n-gram, and joined into discounted probabilities. Every document gets its perplexity per byte; a
-document is kept if that lies between quantiles of the trusted documents of its language, widened by ``SLACK``.
-A language with under ``LEAST`` trusted documents uses the quantiles of all.
+Trusted text are the rows labelled quality 1 (and not 0 as well). Their word pairs are counted in shards, and every
+document's pairs are joined with the counts of their shard (wordkn.py), which gives its perplexity a word. A document is kept
+if that is at most the ``HIGH`` quantile, widened by ``SLACK``, of trusted documents of its language.
+
+A model knows the pairs of what it has learnt, so the quantiles are of trusted documents that it hasn't: one in ``FOLDS``, by
+crc32 of the id, teaches nothing and gives the limits. A language with under ``LEAST`` of these uses the quantile of all.
 
 Defined cases: a null or empty text has a null perplexity and isn't kept. A null language is a language of its own. Rows
-that repeat a doc_id are judged each. Without trusted documents there are no limits and every text is kept.
+that repeat a doc_id are judged each. Without trusted documents there are no limits and every text is kept. An empty table
+gives no rows; a very long text is scored whole; equal perplexities fall on the same side of a limit. Only doc_id, lang and
+text are read, so other columns do no harm.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.charkn import classes, count, dense, means, tables
-from feedloom.llm.common import cut, likely
+from feedloom.llm.common import Scratch, cut, id_fold, likely
+from feedloom.llm.wordkn import PairModel
 
-LOW, HIGH = 0.005, 0.99
+HIGH = 0.99
 SLACK = 1.05
+FOLDS = 10
 LEAST = 50
 #: Limits of so many languages are broadcast; more are joined.
 LANGUAGES = 10_000
 
 
-def _perplexity(batches: Iterator[pa.RecordBatch], logs) -> Iterator[pa.RecordBatch]:
-    table = classes(fold_case=False)
-    for batch in batches:
-        p = np.exp(-means(batch.column("text"), table, logs.value))
-        empty = np.asarray([not x for x in batch.column("text").to_pylist()])
-        yield pa.record_batch([batch.column("doc_id"), batch.column("lang"), pa.array(p, mask=empty)], ["doc_id", "lang", "perplexity"])
-
-
 def perplexity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, low, high, kept for every row."""
-    spark = docs.sparkSession
+    """doc_id, lang, n_tokens, perplexity, high, kept for every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    text = likely(docs, trusted).join(trusted, "doc_id", "left_semi").select("text", F.lit(0).alias("kind"))
-    counts = text.mapInArrow(lambda batches: count(batches, classes(fold_case=False)), "kind int, gram long, n long")
-    counts = cut(counts.groupBy("gram").agg(F.sum("n").alias("n")))
-    logs = spark.sparkContext.broadcast(dense(tables(counts)))
-
-    scored = cut(docs.mapInArrow(lambda batches: _perplexity(batches, logs), "doc_id long, lang string, perplexity double"))
-    known = scored.join(trusted, "doc_id", "left_semi").filter("perplexity IS NOT NULL")
-    bounds = [F.percentile_approx("perplexity", q, 10_000) for q in (LOW, HIGH)]
-    limits = known.groupBy("lang").agg(bounds[0].alias("low"), bounds[1].alias("high"), F.count("*").alias("n")).filter(F.col("n") >= LEAST)
-    limits = cut(limits.select(F.col("lang").alias("_lang"), "low", "high"))
+    trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).groupBy("doc_id").agg(F.min("q").alias("least"), F.max("q").alias("most"))
+    trusted = trusted.filter("least = 1 AND most = 1 AND doc_id IS NOT NULL").select("doc_id")
+    held = id_fold("doc_id", FOLDS) == 0
+    taught = trusted.filter(~held)
+    text = likely(docs, taught).join(taught, "doc_id", "left_semi").select("text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    scratch = Scratch(docs.sparkSession)
+    scored = PairModel(text, size, scratch).score(docs, "doc_id long, lang string")
+    scored = scored.select("doc_id", "lang", F.col("n").alias("n_tokens"), F.when(F.col("n") > 1, F.exp(-F.col("loglik") / F.col("n"))).alias("perplexity"))
+    scored = cut(scored)
+    scratch.close()
+
+    known = scored.join(trusted.filter(held), "doc_id", "left_semi").filter("perplexity IS NOT NULL")
+    bound = F.percentile_approx("perplexity", HIGH, 10_000)
+    limits = known.groupBy("lang").agg(bound.alias("high"), F.count("*").alias("n")).filter(F.col("n") >= LEAST)
+    limits = cut(limits.select(F.col("lang").alias("_lang"), "high"))
     limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
-    low, high = known.agg(*bounds).first()
+    high = known.agg(bound).first()[0]
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
-    out = out.withColumn("low", F.coalesce(F.col("low"), F.lit(low)) / SLACK).withColumn("high", F.coalesce(F.col("high"), F.lit(high)) * SLACK)
-    fits = F.coalesce(F.col("perplexity").between(F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(float("inf")))), F.lit(False))
-    return out.withColumn("kept", fits)
+    out = out.withColumn("high", F.coalesce(F.col("high"), F.lit(high).cast("double")) * SLACK)
+    return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.coalesce("high", F.lit(float("inf"))), F.lit(False)))

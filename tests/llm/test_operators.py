@@ -17,8 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from feedloom.llm import queries
-from feedloom.llm.charkn import GRAMS, SYMBOLS, classes, codes, dense, kneser_ney, lower_order, tables
-from feedloom.llm.common import table
+from feedloom.llm.common import Scratch, table
 from feedloom.llm.jaccard_join import bitmap, drop_near_copies, jaccard_join, overlap_bound
 from feedloom.llm.lbl import Model, lbl_scores
 from feedloom.llm.license_scan import license_scan
@@ -27,9 +26,10 @@ from feedloom.llm.perplexity import perplexity
 from feedloom.llm.quality_rules import Fixed, chunk_ratios, compression, passing, quality_rules
 from feedloom.llm.site_style import Page, body_text, extract
 from feedloom.llm.span_dedup import span_dedup, without_repeats
-from feedloom.llm.textvec import mix, words
+from feedloom.llm.textvec import NOT_ALNUM, mix, signed, words
 from feedloom.llm.tiling import drop_leaks, leaks, tile
-from feedloom.llm.toxicity import marked, toxicity
+from feedloom.llm.toxicity import marked, toxicity, values
+from feedloom.llm.wordkn import PairModel, discounts
 from tests.oracle import SF, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -347,13 +347,37 @@ def test_quality_last_chunk_is_judged():
 
 
 # 7: perplexity
-def test_kneser_ney_is_a_distribution(spark):
-    rng = np.random.default_rng(2)
-    grams = np.unique(rng.integers(0, 6, 4000)) if False else rng.integers(0, 6, (3000, 4)) @ (SYMBOLS ** np.array([3, 2, 1, 0]))
-    g, n = np.unique(grams, return_counts=True)
-    counts = spark.createDataFrame([(int(a), int(b)) for a, b in zip(g, n, strict=True)], "gram long, n long")
-    p = np.exp(dense(tables(counts)).astype(float)).reshape(-1, SYMBOLS)
-    assert len(p) * SYMBOLS == GRAMS and np.abs(p.sum(1) - 1).max() < 1e-4
+def brute_pairs(taught, texts):
+    """Interpolated modified Kneser-Ney over word pairs, from dictionaries: log-likelihood of each text."""
+    chain = lambda t: ["<s>", *WORD.findall(lower(t)), "</s>"]
+    pairs = Counter(p for t in taught for p in zip(chain(t), chain(t)[1:], strict=False))
+    follows = Counter(b for _, b in pairs)
+    times = lambda c: [sum(n == i for n in c.values()) for i in (1, 2, 3, 4)]
+    d, e = discounts(*times(pairs)), discounts(*times(follows))
+    take = lambda n, d: d[min(n, 3) - 1] if n else 0
+    free = sum(take(n, e) for n in follows.values()) / sum(follows.values()) / (len(follows) + 1)
+    p = lambda w: (follows[w] - take(follows[w], e)) / sum(follows.values()) + free
+    total, taken = Counter(), Counter()
+    for (a, _), n in pairs.items():
+        total[a] += n
+        taken[a] += take(n, d)
+    q = lambda a, b: (pairs[a, b] - take(pairs[a, b], d) + taken[a] * p(b)) / total[a] if total[a] else p(b)
+    known = [*follows, "unseen word"]
+    assert all(abs(sum(q(a, b) for b in known) - 1) < 1e-9 for a in [*list(total)[:5], "unseen word"])
+    return {i: sum(np.log(q(a, b)) for a, b in zip(chain(t), chain(t)[1:], strict=False)) for i, t in texts.items()}
+
+
+def test_pair_model_matches_brute_force(spark, texts):
+    some = {i: t for i, t in texts.items() if i < 120}
+    taught = [t for i, t in some.items() if i % 3]
+    rows = spark.createDataFrame([(t,) for t in taught], "text string").repartition(3)
+    docs = spark.createDataFrame([(i, "en", t) for i, t in some.items()], "doc_id long, lang string, text string")
+    want = brute_pairs(taught, some)
+    scratch = Scratch(spark)
+    got = PairModel(rows, 40 << 20, scratch).score(docs, "doc_id long, lang string").collect()
+    assert len(got) == len(some)
+    for r in got:
+        assert r["n"] == len(WORD.findall(lower(some[r["doc_id"]]))) + 1 and r["loglik"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
 
 
 def test_perplexity_keeps_clean_text(spark, corpus, hard, none):
@@ -436,33 +460,32 @@ def test_toxicity_learns(spark, none, hard):
     assert {r["score"] for r in toxicity(docs.limit(3), marks.limit(0)).collect()} == {0.5}
 
 
-def test_toxicity_counts_every_ngram(spark):
-    texts = ["one rarely seen expression here", "plain words of a usual text", "plain words of another text", "the rarely seen expression", "nothing known: Zürich €"]
-    made = [(0, 0, texts[1]), (0, 1, texts[0]), (0, 0, texts[2])]
-    counts = Counter((k, int(g)) for _, k, t in made for _, c, b, n in codes(pa.array([t]), classes(True), 6) for g in c[b[0] : b[0] + n[0]])
-    table_of = spark.createDataFrame([(k, g, n) for (k, g), n in counts.items()], "kind int, gram long, n long")
-    got = {r["doc_id"]: r["mark"] for r in marked(docs_of(spark, texts), table_of).collect()}
-    lower = np.zeros(SYMBOLS**3, np.int64)
-    for (_, g), n in counts.items():
-        lower[g % SYMBOLS**3] += n
-    lower = kneser_ney(lower, lower_order(lower, 3))
-
-    def p(k, g):
-        same_context = [n for (kind, x), n in counts.items() if kind == k and x // SYMBOLS == g // SYMBOLS]
-        if not same_context:
-            return lower[g % SYMBOLS**3]
-        return (max(counts[k, g] - 0.75, 0) + 0.75 * len(same_context) * lower[g % SYMBOLS**3]) / sum(same_context)
-
-    for i, t in enumerate(texts):
-        words_of, w, length = [], 0.0, 0
-        for _, code, begin, size in codes(pa.array([t]), classes(True), 6):
-            for g in code[begin[0] : begin[0] + size[0]].tolist():
-                w, length = w + np.log(p(1, g)) - np.log(p(0, g)), length + 1
-                if g % SYMBOLS in (0, 29, 31):
-                    words_of += [w] if length > 1 else []
-                    w, length = 0.0, 0
-        assert got[i] == pytest.approx(np.mean(np.log1p(np.exp(np.array(words_of) - 4.0))), rel=1e-4)
-    assert got[3] > 10 * got[1]
+def test_toxicity_matches_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pool = [f"w{i}" for i in range(200)]
+    made = [(i, " ".join([*rng.choice(pool, 30), *(rng.choice(["foo!", "Bar", "baz"], 2) if i % 3 == 0 else []), *(["rare"] if i in (0, 3) else [])]), int(i % 3 == 0)) for i in range(240)]
+    sets = [(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))), y) for _, t, y in made]
+    n = [Counter(w for s, y in sets if y == c for w in s) for c in (0, 1)]
+    both, size = n[0] + n[1], [sum(x.values()) for x in n]
+    least, total = min(size), sum(size)
+    d = discounts(*(sum(x == i for x in both.values()) for i in (1, 2, 3, 4)))
+    take = lambda x: d[min(x, 3) - 1]
+    rest = sum(take(x) for x in both.values()) / total / (len(both) + 1)
+    freed = [sum(min(x * least / s, 2.0) for x in c.values()) / least for c, s in zip(n, size, strict=True)]
+
+    def value(w):
+        if w not in both:
+            return 0.0
+        shared = (both[w] - take(both[w])) / total + rest
+        p = [max(c[w] * least / s - 2.0, 0) / least + f * shared for c, s, f in zip(n, size, freed, strict=True)]
+        return max(np.log(p[1] / p[0]) - 0.5 * np.log(total / (least * freed[0])), 0.0)
+
+    rows = spark.createDataFrame([(y, w, x) for y in (0, 1) for w, x in ((signed(next(words(pa.array([w]), separators=NOT_ALNUM)).hash)[0].item(), x) for w, x in n[y].items())], "kind int, word long, n long")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made] + [(900, None), (901, "nothing known")], "doc_id long, text string")
+    got = {r["doc_id"]: r["mark"] for r in marked(docs, values(rows, (0, 1), "mark"), ("mark",)).collect()}
+    assert len(got) == 242 and got[900] == got[901] == 0 and value("rare") == 0 < value("foo")
+    for (i, _, _), (s, _) in zip(made, sets, strict=True):
+        assert got[i] == pytest.approx(sum(map(value, s)) / len(s), rel=1e-9)
 
 
 # 10: substring dedup
