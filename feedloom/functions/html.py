@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from html import escape
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from feedloom.functions.dom import Element, parse
+
+from feedloom.functions.dom import VOID, Element, parse
 from feedloom.functions.udf import pandas_function
+from feedloom.functions.urls import clean_url
 
 # Parts of class names and ids, by what they say of an element.
 STRONG = ("popupbody", "-ad", "g-plus")
@@ -26,31 +30,57 @@ SCORED = frozenset("section h2 h3 h4 h5 h6 p td pre div".split())
 BASE = {"div": 5, "pre": 3, "td": 3, "blockquote": 3, "img": 3} | dict.fromkeys("address ol ul dl dd dt li form".split(), -3) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5)
 NOT_PARAGRAPH = frozenset("a blockquote div dl img ol p pre table ul".split())
 
-# What may stay in sanitized content.
+# The tags that may stay in sanitized content, with the attributes that they may keep.
 ALLOWED = {
-    "a": "href title id", "abbr": "title", "acronym": "title", "aside": "", "audio": "src", "b": "", "blockquote": "", "br": "", "caption": "", "cite": "", "code": "",
-    "dd": "id", "del": "", "details": "", "dfn": "", "dl": "id", "dt": "id", "em": "", "figcaption": "", "figure": "", "h1": "id", "h2": "id", "h3": "id", "h4": "id",
-    "h5": "id", "h6": "id", "hr": "", "i": "", "iframe": "width height frameborder src allowfullscreen", "img": "alt title src srcset sizes width height", "ins": "", "kbd": "",
-    "li": "id", "ol": "id", "p": "", "picture": "", "pre": "", "q": "cite", "rp": "", "rt": "", "ruby": "", "s": "", "samp": "", "small": "", "source": "src type srcset sizes media",
-    "strong": "", "sub": "", "summary": "", "sup": "id", "table": "", "td": "rowspan colspan", "tfoot": "", "th": "rowspan colspan", "thead": "", "tbody": "", "time": "datetime",
-    "tr": "", "u": "", "ul": "id", "var": "", "video": "poster height width src", "wbr": "",
+    "a": "href title id", "abbr": "title", "acronym": "title", "aside": "", "audio": "src", "blockquote": "", "b": "", "br": "", "caption": "", "cite": "", "code": "",
+    "dd": "id", "del": "", "dfn": "", "dl": "id", "dt": "id", "em": "", "figcaption": "", "figure": "", "h1": "id", "h2": "id", "h3": "id", "h4": "id", "h5": "id",
+    "h6": "id", "hr": "", "i": "", "iframe": "width height frameborder src allowfullscreen", "img": "alt title src srcset sizes width height fetchpriority decoding",
+    "ins": "", "kbd": "", "li": "id", "ol": "id", "p": "", "picture": "", "pre": "", "q": "cite", "rp": "", "rt": "", "rtc": "", "ruby": "", "s": "", "small": "", "samp": "",
+    "source": "src type srcset sizes media", "strong": "", "sub": "", "sup": "id", "table": "", "td": "rowspan colspan", "tfoot": "", "th": "rowspan colspan", "thead": "",
+    "time": "datetime", "tr": "", "u": "", "ul": "id", "var": "", "video": "poster height width src", "wbr": "", "math": "xmlns",
 }
-DROPPED = frozenset("script style noscript form input button select textarea object embed applet template".split())
-SCHEMES = frozenset("http https mailto tel ftp magnet xmpp geo sms bitcoin".split())
-PLAYERS = frozenset(("www.youtube.com", "www.youtube-nocookie.com", "player.vimeo.com", "www.dailymotion.com", "player.twitch.tv", "open.spotify.com", "w.soundcloud.com", "bandcamp.com", "odysee.com", "player.bilibili.com"))
-BLOCKED = ("feedsportal.com", "api.flattr.com", "stats.wordpress.com", "twitter.com/share", "feeds.feedburner.com", "pixel.", "doubleclick.net")
-NEEDED = {"a": "href", "iframe": "src", "img": "src", "audio": None, "video": None, "source": None}
+# The tags of formulas, which keep no attributes.
+FORMULA = (
+    "annotation annotation-xml maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable "
+    "mtd mtext mtr munder munderover semantics"
+).split()
+ALLOWED |= dict.fromkeys(FORMULA, "")
+# Tags that go with their content; schemes of links; hosts of players; parts of URLs that only count or share; images that may be inline.
+DROPPED = frozenset("noscript script style".split())
+SCHEMES = frozenset(
+    "https http apt bitcoin callto dav davs ed2k facetime feed ftp geo git gopher irc irc6 ircs itms-apps itms magnet mailto news nntp rtmp sftp sip sips shortcuts skype "
+    "spotify ssh steam svn svn+ssh tel webcal xmpp opener hack".split()
+)
+PLAYERS = frozenset(
+    "bandcamp.com cdn.embedly.com dailymotion.com framatube.org open.spotify.com player.bilibili.com player.twitch.tv player.vimeo.com soundcloud.com vk.com w.soundcloud.com "
+    "youtube-nocookie.com youtube.com".split()
+)
+BLOCKED = (
+    "api.flattr.com", "www.facebook.com/sharer.php", "feeds.feedburner.com", "feedsportal.com", "linkedin.com/shareArticle", "pinterest.com/pin/create/button/",
+    "stats.wordpress.com", "twitter.com/intent/tweet", "twitter.com/share", "x.com/intent/tweet", "x.com/share",
+)
+INLINE = tuple(f"data:image/{kind}" for kind in ("avif", "apng", "png", "svg", "jpg", "jpeg", "gif", "webp"))
+NEEDED = {"a": ("href",), "iframe": ("src",), "source": ("src", "srcset"), "img": ("src", "srcset")}
 URLS = frozenset(("href", "src", "poster", "cite"))
-
-
-def _length(e: Element) -> int:
-    return len(e.text().encode())
-
-
-def _link_density(e: Element) -> float:
-    n = _length(e)
-    links = e.find("a")
-    return sum(_length(a) for a in links) / n if n else 0.0
+CHOICES = {"fetchpriority": ("high", "low", "auto"), "decoding": ("sync", "async", "auto")}
+EMBED = "https://www.youtube-nocookie.com/embed/"
+
+
+def _measures(root: Element) -> tuple[dict[int, int], dict[int, int], dict[int, float]]:
+    """By element: bytes of its text, commas in it, and which share of the bytes stands in links; children before parents."""
+    size: dict[int, int] = {}
+    commas: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for e in [*list(root.elements())[::-1], root]:
+        n = c = links = 0
+        for x in e.children:
+            if isinstance(x, Element):
+                n, c = n + size[id(x)], c + commas[id(x)]
+                links += linked[id(x)] + (size[id(x)] if x.tag == "a" else 0)
+            else:
+                n, c = n + len(x.encode()), c + x.count(",")
+        size[id(e)], commas[id(e)], linked[id(e)] = n, c, links
+    return size, commas, {k: linked[k] / n if n else 0.0 for k, n in size.items()}
 
 
 def _unlikely(names: str) -> bool:
@@ -68,8 +98,9 @@ def readable(html: str) -> str:
     root = parse(html)
     for e in root.find("script,style"):
         e.remove()
+    code = {id(x) for e in root.find("pre,code") for x in (e, *e.elements())} if root.find("pre,code") else set()
     for e in list(root.elements()):
-        if e.tag in ("html", "body") or not ("class" in e.attrs or "id" in e.attrs) or any(a.tag in ("pre", "code") for a in (e, *e.up())):
+        if e.tag in ("html", "body") or not ("class" in e.attrs or "id" in e.attrs) or id(e) in code:
             continue
         if _unlikely(e.attrs.get("class", "")) or _unlikely(e.attrs.get("id", "")):
             e.remove()
@@ -77,6 +108,7 @@ def readable(html: str) -> str:
         below = [c.tag for c in e.children if isinstance(c, Element)]
         if e.tag == "div" and (not below or below[0] not in NOT_PARAGRAPH):
             e.tag = "p"
+    size, commas, density = _measures(root)
     score: dict[int, float] = {}
     nodes: dict[int, Element] = {}
 
@@ -87,14 +119,14 @@ def readable(html: str) -> str:
         score[id(e)] += points
 
     for e in root.elements():
-        n = _length(e)
+        n = size[id(e)]
         if e.tag in SCORED and n >= 25:
-            points = 2 + e.text().count(",") + min(n // 100, 3)
+            points = 2 + commas[id(e)] + min(n // 100, 3)
             add(e.parent, points)
             if e.parent.parent is not None:
                 add(e.parent.parent, points / 2)
     for k, e in nodes.items():
-        score[k] *= 1 - _link_density(e)
+        score[k] *= 1 - density[id(e)]
     if nodes:
         top = max(nodes.values(), key=lambda e: score[id(e)])
     else:
@@ -104,86 +136,138 @@ def readable(html: str) -> str:
         tag = "div"
         keep = e is top or score.get(id(e), -1e9) >= limit
         if not keep and e.tag == "p":
-            tag, n, density, text = "p", _length(e), _link_density(e), e.text()
-            keep = density < 0.25 if n >= 80 else density == 0 and (text.endswith(".") or ". " in text)
+            tag, n, links, text = "p", size[id(e)], density[id(e)], e.text()
+            keep = links < 0.25 if n >= 80 else links == 0 and (text.endswith(".") or ". " in text)
         if keep:
             parts.append(f"<{tag}>{e.inner()}</{tag}>")
     return f"<div>{''.join(parts)}</div>"
 
 
 def candidates(srcset: str) -> list[tuple[str, str]]:
-    """(URL, descriptor) of a srcset; descriptors other than a width or a density make the candidate void."""
+    """(URL, descriptors) of a srcset: a width with or without a height, or a density; others make the candidate void."""
     out = []
     for url, rest in re.findall(r"\s*,*\s*(\S*[^\s,])(?:\s+([^,]*?))?\s*(?:,|$)", srcset):
-        if not rest or re.fullmatch(r"\d+w|\d+(\.\d+)?x", rest):
+        if not rest or re.fullmatch(r"\d+w|\d+w\s+\d+h|\d+h\s+\d+w|\d+(\.\d+)?x", rest):
             out.append((url, rest or ""))
     return out
 
 
+def joined(base: str, url: str) -> str | None:
+    """``url`` seen from ``base``, or nothing if either is no URL."""
+    try:
+        full = urljoin(base, url.strip())
+        urlsplit(full)
+    except ValueError:
+        return None
+    return full
+
+
 def _absolute(base: str, url: str) -> str | None:
-    url = url.strip()
-    if url.startswith("data:image/"):
-        return url
-    full = urljoin(base, url)
-    scheme = urlsplit(full).scheme.lower()
-    return full if scheme in SCHEMES or full.startswith("#") else None
+    full = joined(base, url)
+    return full if full and urlsplit(full).scheme.lower() in SCHEMES else None
+
+
+def _player(url: str) -> str | None:
+    """What an iframe may show: a player's URL, led to the host without cookies or asked not to track."""
+    try:
+        parts = urlsplit(url.strip())
+        host = (parts.netloc or "").removeprefix("www.")
+    except ValueError:
+        return None
+    if parts.scheme not in ("http", "https", "") or host not in PLAYERS:
+        return None
+    query = f"?{parts.query}" if parts.query else ""
+    if host == "youtube.com" and parts.path.startswith("/embed/"):
+        return EMBED + parts.path.removeprefix("/embed/") + query
+    if host == "player.vimeo.com" and parts.path.startswith("/video/"):
+        return url + ("&dnt=1" if query else "?dnt=1")
+    return url
+
+
+def _kept(tag: str, attrs: dict[str, str], base: str) -> dict[str, str] | None:
+    """The attributes that may stay, with those that are added; nothing if the element has to give way."""
+    out: dict[str, str] = {}
+    allowed, anchor = ALLOWED[tag].split(), False
+    for k, v in attrs.items():
+        if k not in allowed or tag == "img" and (k in CHOICES and v not in CHOICES[k] or k in ("width", "height") and not (v.isdigit() and int(v) > 0)):
+            continue
+        if tag == "math":
+            v = "http://www.w3.org/1998/Math/MathML"
+        elif k == "srcset":
+            found = [(_absolute(base, u), d) for u, d in candidates(v)]
+            v = ", ".join(f"{u} {d}".strip() for u, d in found if u and not any(b in u for b in BLOCKED))
+            if not v:
+                continue
+        elif k in URLS and tag == "iframe":
+            v = _player(v)
+            if v is None:
+                return None
+        elif k in URLS and tag == "img" and k == "src" and v.startswith(INLINE):
+            pass
+        elif k in URLS and tag == "a" and v.startswith("#"):
+            anchor = True
+        elif k in URLS:
+            if any(b in v for b in BLOCKED):
+                return None
+            v = _absolute(base, v)
+            if v is None:
+                continue
+            v = clean_url(v, urlsplit(base).hostname or "") if "?" in v else v
+        out[k] = v
+    if tag in NEEDED and not any(k in out for k in NEEDED[tag]):
+        return None
+    if tag == "a" and not anchor:
+        out |= {"rel": "noopener noreferrer", "referrerpolicy": "no-referrer", "target": "_blank"}
+    elif tag in ("audio", "video"):
+        out["controls"] = ""
+    elif tag == "iframe":
+        out |= {"sandbox": "allow-scripts allow-same-origin allow-popups allow-popups-to-escape-sandbox", "loading": "lazy"}
+        if (urlsplit(attrs["src"]).netloc or "").removeprefix("www.") in ("youtube.com", "youtube-nocookie.com"):
+            out["referrerpolicy"] = "strict-origin-when-cross-origin"
+    elif tag == "img":
+        out["loading"] = "lazy"
+    return out
 
 
-def sanitize(html: str, base: str = "") -> str:
-    """Only allowed tags and attributes, absolute URLs, no trackers; other tags give way to their content."""
-    root = parse(html)
+def _escape(text: str) -> str:
+    return escape(text, quote=False).replace('"', "&#34;").replace("'", "&#39;")
 
-    def clean(e: Element) -> list:
-        out = []
-        for c in e.children:
+
+def sanitize(html: str, base: str = "") -> str:
+    """Only allowed tags and attributes, absolute URLs, no trackers; other tags give way to their content.
+
+    Scripts, styles, hidden elements, images of one pixel and iframes of other hosts go with their content. A URL that can't be
+    read, or a base that can't, takes its attribute away. Nesting of any depth is walked with a stack.
+    """
+    base = base if joined(base, "") is not None else ""
+    parts: list[str] = []
+    open_: list[tuple[str, Iterator]] = [("", iter(parse(html).children))]
+    while open_:
+        end, rest = open_[-1]
+        for c in rest:
             if not isinstance(c, Element):
-                out.append(c)
+                parts.append(_escape(c))
                 continue
-            if c.tag in DROPPED:
+            if c.tag in DROPPED or "hidden" in c.attrs or c.tag == "img" and {c.attrs.get("width"), c.attrs.get("height")} <= {"0", "1"}:
                 continue
-            inner = clean(c)
-            if c.tag not in ALLOWED:
-                out += inner
+            attrs = _kept(c.tag, c.attrs, base) if c.tag in ALLOWED else None
+            if attrs is None:
+                if c.tag != "iframe":
+                    open_.append(("", iter(c.children)))
+                    break
                 continue
-            attrs = {}
-            for k, v in c.attrs.items():
-                if k not in ALLOWED[c.tag].split():
-                    continue
-                if k in URLS:
-                    v = v if k == "href" and v.startswith("#") else _absolute(base, v)
-                    if v is None or any(b in v for b in BLOCKED):
-                        continue
-                elif k == "srcset":
-                    v = ", ".join(" ".join(x for x in (_absolute(base, u), d) if x) for u, d in candidates(v) if _absolute(base, u))
-                elif k in ("width", "height") and not v.isdigit():
-                    continue
-                attrs[k] = v
-            if c.tag == "img" and {c.attrs.get("width"), c.attrs.get("height")} & {"0", "1"}:
-                continue
-            need = NEEDED.get(c.tag)
-            if need and need not in attrs and not (c.tag == "img" and attrs.get("srcset")):
-                out += inner if c.tag == "a" else []
+            parts.append(f"<{c.tag}{''.join(f' {k}' if k == 'controls' else f' {k}="{_escape(v)}"' for k, v in attrs.items())}>")
+            if c.tag in VOID:
                 continue
             if c.tag == "iframe":
-                if urlsplit(attrs["src"]).hostname not in PLAYERS:
-                    continue
-                attrs |= {"sandbox": "allow-scripts allow-same-origin allow-popups", "loading": "lazy"}
-            if c.tag == "a" and not attrs["href"].startswith("#"):
-                attrs |= {"rel": "noopener noreferrer", "referrerpolicy": "no-referrer", "target": "_blank"}
-            if c.tag == "img":
-                attrs["loading"] = "lazy"
-            if c.tag in ("audio", "video"):
-                attrs["controls"] = "controls"
-            new = Element(c.tag, attrs)
-            for x in inner:
-                new.add(x)
-            out.append(new)
-        return out
-
-    top = Element("")
-    for x in clean(root):
-        top.add(x)
-    return top.inner()
+                parts.append("</iframe>")
+                continue
+            open_.append((f"</{c.tag}>", iter(c.children)))
+            break
+        else:
+            parts.append(end)
+            open_.pop()
+    return "".join(parts)
 
 
 FEED_TYPES = {"application/rss+xml": "rss", "application/atom+xml": "atom", "application/json": "json", "application/feed+json": "json"}
@@ -194,7 +278,7 @@ def feed_links(html: str, base: str) -> list[tuple[str, str, str]]:
     out, seen = [], set()
     for e in parse(html).find("link[rel=alternate]"):
         kind, href = FEED_TYPES.get(e.attrs.get("type", "").lower()), e.attrs.get("href", "").strip()
-        url = urljoin(base, href) if href else ""
+        url = joined(base, href) if href else ""
         if kind and url and url not in seen and not (kind == "json" and "/wp-json/" in url):
             seen.add(url)
             out.append((e.attrs.get("title", "") or url, url, kind))
@@ -203,8 +287,9 @@ def feed_links(html: str, base: str) -> list[tuple[str, str, str]]:
 
 def icon_links(html: str, base: str) -> list[str]:
     rels = ("icon", "shortcut icon", "icon shortcut", "apple-touch-icon", "apple-touch-icon-precomposed")
-    found = [urljoin(base, e.attrs["href"].strip()) for r in rels for e in parse(html).find("link") if e.attrs.get("rel", "").lower() == r and e.attrs.get("href", "").strip()]
-    return list(dict.fromkeys(found))
+    links = [(e.attrs.get("rel", "").lower(), e.attrs.get("href", "").strip()) for e in parse(html).find("link")]
+    found = [joined(base, href) for r in rels for rel, href in links if rel == r and href]
+    return [u for u in dict.fromkeys(found) if u]
 
 
 def select(html: str, selector: str) -> str:

@@ -7,16 +7,41 @@ from __future__ import annotations
 
 import base64
 import re
-from urllib.parse import parse_qs, urlsplit
+from urllib.parse import parse_qs, urlencode, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.dom import Element, parse
 
-_YOUTUBE = r"youtube\.com/watch\?(?:.*&)?v=([A-Za-z0-9_-]+)"
-_LINK = r"(?<![\"'>=])\bhttps?://[^\s<>\"']+"
+_LINK = r"(?i)\bhttps?://[-A-Z0-9+&@#/%?=~_|!:,.;]*[-A-Z0-9+&@#/%=~_|]"
+
+# Attributes in which pages keep the address of an image or frame that loads late, the best first.
+IMAGE_SOURCES = (
+    "data-src", "data-original", "data-orig", "data-url", "data-orig-file", "data-large-file", "data-medium-file", "data-original-mos", "data-2000src", "data-1000src",
+    "data-800src", "data-655src", "data-500src", "data-380src",
+)
+FRAME_SOURCES = ("data-src", "data-original", "data-orig", "data-url", "data-lazy-src")
+# Rules by domain, for entries whose feed has none of its own.
+_TITLES = (
+    "abstrusegoose.com amazingsuperpowers.com cowbirdsinlove.com drawingboardcomic.com exocomics.com explainxkcd.com happletea.com imogenquest.net lukesurl.com mercworks.net "
+    "monkeyuser.com mrlovenstein.com nedroid.com optipess.com peebleslab.com sentfromthemoon.com thedoghousediaries.com treelobsters.com xkcd.com"
+).split()
+BY_DOMAIN = dict.fromkeys(_TITLES, "add_image_title") | {
+    "bleepingcomputer.com": 'add_dynamic_image, remove(".ia_ad, .cz-related-article-wrapp, div[align]")',
+    "blog.cloudflare.com": 'add_image_title,remove("figure.kg-image-card figure.kg-image + img")',
+    "framatube.org": "nl2br,convert_text_link",
+    "ilpost.it": 'remove(".art_tag, #audioPlayerArticle, .author-container, .caption, .ilpostShare, .lastRecents, #mc_embed_signup, .outbrain_inread, p:has(.leggi-anche), .youtube-overlay")',
+    "medium.com": "fix_medium_images",
+    "oglaf.com": 'replace("media.oglaf.com/story/tt(.+).gif"|"media.oglaf.com/comic/$1.jpg"),add_image_title',
+    "phoronix.com": "remove(\"img[src^='/assets/categories/']\")",
+    "quantamagazine.org": 'add_youtube_video_from_id, remove("h6:not(.byline,.post__title__kicker), #comments, .next-post__content, .footer__section, figure .outer--content, script")',
+    "qwantz.com": "add_image_title,add_mailto_subject",
+    "theverge.com": 'add_dynamic_image, remove("div.duet--recirculation--related-list, .hidden")',
+    "vnexpress.net": 'add_dynamic_image, remove("h1.title-detail, .box-tinlienquanv2, .thumb-above-video, .parser_title, table[border=\\"0\\"], p.Normal:has(strong:only-child a), ul.link_content.ul-temp, ul.list-news, div.box-wg-guicauhoi")',
+    "youtube.com": "add_youtube_video",
+}
 
 
 def rules(text: str) -> list[tuple[str, tuple[str, ...]]]:
@@ -30,8 +55,8 @@ def rules(text: str) -> list[tuple[str, tuple[str, ...]]]:
     return out
 
 
-def _player(src: str) -> str:
-    return f'<iframe width="650" height="350" frameborder="0" src="{src}" allowfullscreen></iframe>'
+def _player(src: Column, content: Column) -> Column:
+    return F.concat(F.lit('<iframe width="650" height="350" frameborder="0" src="'), src, F.lit('" allowfullscreen></iframe><br>'), content)
 
 
 # Column rules: name to function of (columns, arguments) giving a Column.
@@ -39,17 +64,35 @@ def _nl2br(c, a):
     return F.replace(c["content"], F.lit("\n"), F.lit("<br>"))
 
 
+def _video(url: Column) -> Column:
+    """The id of a video page: the v of /watch, or the eleven characters after /shorts/; else ''."""
+    ours = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")).rlike(r"^(.*\.)?youtube\.com$")
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    watched = F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("v")), F.lit(""))
+    return F.when(ours & (path == "/watch"), watched).when(ours, F.regexp_extract(path, r"^/shorts/(.{11})$", 1)).otherwise("")
+
+
 def _youtube(c, a, host="www.youtube-nocookie.com"):
-    video = F.regexp_extract(c["url"], _YOUTUBE, 1)
-    return F.when(video != "", F.concat(F.lit(f'<iframe width="650" height="350" frameborder="0" src="https://{host}/embed/'), video, F.lit('" allowfullscreen></iframe><br>'), c["content"])).otherwise(c["content"])
+    video = _video(c["url"])
+    return F.when(video != "", _player(F.concat(F.lit(f"https://{host}/embed/"), video), c["content"])).otherwise(c["content"])
 
 
 def _youtube_from_id(c, a):
-    ids = F.array_distinct(F.regexp_extract_all(c["content"], F.lit(r"youtube_id\"?\s*[:=]\s*\"?([A-Za-z0-9_-]{11})"), F.lit(1)))
-    players = F.concat_ws("", F.transform(ids, lambda v: F.concat(F.lit('<iframe width="650" height="350" frameborder="0" src="https://www.youtube-nocookie.com/embed/'), v, F.lit('" allowfullscreen></iframe><br>'))))
+    ids = F.regexp_extract_all(c["content"], F.lit(r"youtube_id\"?\s*[:=]\s*\"([a-zA-Z0-9_-]{11})\""), F.lit(1))
+    players = F.concat_ws("", F.transform(ids, lambda v: _player(F.concat(F.lit("https://www.youtube-nocookie.com/embed/"), v), F.lit(""))))
     return F.concat(players, c["content"])
 
 
+def _invidious(c, a):
+    """Any host's /watch?v= page; its other parameters follow, sorted."""
+    url = c["url"]
+    video, host = F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("v")), F.lit("")), F.try_parse_url(url, F.lit("HOST"))
+    rest = F.array_sort(F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: ~p.startswith("v=")))
+    src = F.concat(F.lit("https://"), host, F.lit("/embed/"), video, F.when(F.size(rest) > 0, F.concat(F.lit("?"), F.concat_ws("&", rest))).otherwise(""))
+    found = (F.try_parse_url(url, F.lit("PATH")) == "/watch") & (video != "")
+    return F.when(F.coalesce(found, F.lit(False)), _player(src, c["content"])).otherwise(c["content"])
+
+
 def _pdf(c, a):
     return F.when(c["url"].endswith(".pdf"), F.concat(F.lit('<a href="'), c["url"], F.lit('">PDF</a><br>'), c["content"])).otherwise(c["content"])
 
@@ -67,7 +110,7 @@ def _replace(c, a):
 COLUMNS = {
     "nl2br": _nl2br,
     "add_youtube_video": _youtube,
-    "add_invidious_video": lambda c, a: F.when(c["url"].rlike(r"/watch\?v="), F.concat(F.lit('<iframe width="650" height="350" frameborder="0" src="'), F.regexp_replace(c["url"], r"/watch\?v=", "/embed/"), F.lit('" allowfullscreen></iframe><br>'), c["content"])).otherwise(c["content"]),
+    "add_invidious_video": _invidious,
     "add_youtube_video_using_invidious_player": lambda c, a: _youtube(c, a, "yewtu.be"),
     "add_youtube_video_from_id": _youtube_from_id,
     "add_pdf_download_link": _pdf,
@@ -89,49 +132,70 @@ def _image_title(root, a):
         e.replace(figure)
 
 
+def _query(url: str) -> dict[str, list[str]]:
+    try:
+        return parse_qs(urlsplit(url).query)
+    except ValueError:
+        return {}
+
+
 def _mailto(root, a):
     for e in root.find("a[href^=mailto:]"):
-        subject = parse_qs(urlsplit(e.attrs["href"]).query).get("subject")
+        subject = _query(e.attrs["href"]).get("subject")
         if subject:
-            e.parent.children.insert(e.parent.children.index(e) + 1, f" [{subject[0]}]")
+            e.add(f" [{subject[0]}]")
 
 
-_LAZY = ("data-src", "data-original", "data-orig", "data-url", "data-orig-file", "data-large-file", "data-medium-file", "data-2000src", "data-1000src", "data-800src", "data-655src", "data-500src", "data-380src")
+def _dynamic_image(root, a):
+    changed = False
+    for e in [x for x in root.elements() if x.tag in ("img", "div")]:
+        for names, target in ((IMAGE_SOURCES, "src"), (("data-srcset",), "srcset")):
+            late = next((e.attrs[n] for n in names if n in e.attrs), None)
+            if late is None:
+                continue
+            changed = True
+            if e.tag == "img":
+                e.attrs[target] = late
+            elif e.parent is not None and e in e.parent.children:
+                e.replace(Element("img", {target: late, "alt": e.attrs.get("alt", "")}))
+    if not changed:
+        for e in root.find("noscript"):
+            inner = e.find("img") or parse(e.text()).find("img")
+            if len(inner) == 1:
+                e.replace(inner[0])
 
 
-def _dynamic(tag):
-    def run(root, a):
-        changed = False
-        for e in root.find(tag):
-            for x in _LAZY:
-                if e.attrs.get(x):
-                    e.attrs["src"], changed = e.attrs[x], True
-                    break
-            if e.attrs.get("data-srcset"):
-                e.attrs["srcset"], changed = e.attrs["data-srcset"], True
-        if not changed:
-            for e in root.find("noscript"):
-                inner = parse(e.text()).find(tag) or e.find(tag)
-                if inner:
-                    e.replace(*inner[:1])
+def _dynamic_frame(root, a):
+    for e in root.find("iframe"):
+        late = next((e.attrs[n] for n in FRAME_SOURCES if n in e.attrs), None)
+        if late is not None:
+            e.attrs["src"] = late
 
-    return run
+
+def _inside(e: Element) -> list:
+    """What a noscript element shows: its elements, or those of the markup that it holds as text."""
+    return list(e.children) if any(isinstance(c, Element) for c in e.children) else parse(e.text()).children
 
 
 def _medium(root, a):
     for e in root.find("figure.paragraph-image"):
-        inner = [i for n in e.find("noscript") for i in (n.find("img") or parse(n.text()).find("img"))]
-        if inner:
-            e.replace(inner[0])
+        notes = e.find("noscript")
+        if notes:
+            e.replace(*(x for n in notes for x in _inside(n)))
 
 
 def _noscript_figures(root, a):
     for e in root.find("figure"):
-        image, notes = e.find("img"), e.find("noscript")
-        inner = [i for n in notes for i in (n.find("img") or parse(n.text()).find("img"))]
-        if image and inner:
-            image[0].replace(inner[0])
-            notes[0].remove()
+        notes = e.find("noscript")
+        images = [i for i in e.find("img") if not any(n in notes for n in i.up())]
+        if images and notes:
+            shown = [x for n in notes for x in _inside(n)]
+            for x in (*images, *notes):
+                x.remove()
+            for x in reversed(shown):
+                e.children.insert(0, x)
+                if isinstance(x, Element):
+                    x.parent = e
 
 
 def _remove(root, a):
@@ -141,25 +205,26 @@ def _remove(root, a):
 
 
 def _base64(root, a):
-    for e in root.find(a[0] if a else "body"):
+    """Every text below the elements chosen that is base64 as a whole is decoded."""
+    chosen = root.find(a[0]) if a else [root]
+    for e in dict.fromkeys(x for c in chosen for x in (c, *c.elements())):
         for i, c in enumerate(e.children):
             if isinstance(c, str):
                 try:
-                    e.children[i] = base64.b64decode(c.strip(), validate=True).decode()
+                    e.children[i] = base64.b64decode(c.strip(), validate=True).decode("utf-8", "replace")
                 except ValueError:
                     pass
 
 
 def _hacker_news(app):
     def run(root, a):
-        for e in root.find("a[href^=https://news.ycombinator.com/item]"):
-            item = parse_qs(urlsplit(e.attrs["href"]).query).get("id")
-            if item:
-                link = Element("a", {"href": (f"hack://item?id={item[0]}" if app == "hack" else f"opener://x-callback-url/show-options?url=https%3A%2F%2Fnews.ycombinator.com%2Fitem%3Fid%3D{item[0]}")})
-                link.add("Open with HACK" if app == "hack" else "Open with Opener")
-                at = e.parent.children.index(e) + 1
-                e.parent.children[at:at] = [" ", link]
-                link.parent = e.parent
+        home = "https://news.ycombinator.com/"
+        for e in root.find(f"a[href^={home}]"):
+            url = e.attrs["href"]
+            link = Element("a", {"href": url.replace(home, "hack://", 1) if app == "hack" else f"opener://x-callback-url/show-options?{urlencode({'url': url})}"})
+            link.add("Open with HACK" if app == "hack" else "Open with Opener")
+            e.parent.add(" ")
+            e.parent.add(link)
 
     return run
 
@@ -171,25 +236,42 @@ def _tables(root, a):
 
 
 def _ghost_cards(root, a):
-    for e in root.find("figure.kg-card"):
-        link = e.find("a")
-        if link:
-            title = [t.text() for t in e.find(".kg-bookmark-title")]
-            author = [t.text() for t in e.find(".kg-bookmark-author")]
-            item = Element("a", {"href": link[0].attrs.get("href", "")})
-            item.add(" - ".join(x for x in (title + author) if x) or link[0].attrs.get("href", ""))
+    """A card becomes its link; cards that follow one another become a list of links."""
+    cards, listing = root.find("figure.kg-card"), None
+    for e in cards:
+        first = lambda selector, e=e: next(iter(e.find(selector)), None)
+        title, author, link = (x.text() if x is not None else "" for x in (first(".kg-bookmark-title"), first(".kg-bookmark-author"), None))
+        link = first("a.kg-bookmark-container")
+        href = link.attrs.get("href", "") if link is not None else ""
+        if not href or not title:
+            continue
+        item = Element("a", {"href": href})
+        item.add(title if not author or title.endswith(author) else f"{title} - {author}")
+        beside = e.parent.children[e.parent.children.index(e) + 1 :]
+        after = next((x for x in beside if isinstance(x, Element)), None) in cards
+        if after and listing is None:
+            listing = Element("ul")
+            e.parent.children.insert(e.parent.children.index(e), listing)
+            listing.parent = e.parent
+        if listing is not None:
+            entry = Element("li")
+            entry.add(item)
+            listing.add(entry)
+            e.remove()
+        else:
             e.replace(item)
+        listing = listing if after else None
 
 
 def _blur(root, a):
     for e in root.find("img[src]"):
-        url = urlsplit(e.attrs["src"])
-        if "blur" in parse_qs(url.query):
-            e.attrs["src"] = url._replace(query="").geturl()
+        blur = _query(e.attrs["src"]).get("blur", [""])[0]
+        if blur.isdigit() and int(blur) > 0:
+            e.attrs["src"] = urlsplit(e.attrs["src"])._replace(query="").geturl()
 
 
 ELEMENTS = {
-    "add_image_title": _image_title, "add_mailto_subject": _mailto, "add_dynamic_image": _dynamic("img"), "add_dynamic_iframe": _dynamic("iframe"), "fix_medium_images": _medium,
+    "add_image_title": _image_title, "add_mailto_subject": _mailto, "add_dynamic_image": _dynamic_image, "add_dynamic_iframe": _dynamic_frame, "fix_medium_images": _medium,
     "use_noscript_figure_images": _noscript_figures, "remove": _remove, "base64_decode": _base64, "add_hn_links_using_hack": _hacker_news("hack"),
     "add_hn_links_using_opener": _hacker_news("opener"), "remove_tables": _tables, "fix_ghost_cards": _ghost_cards, "remove_img_blur_params": _blur,
 }
@@ -230,6 +312,21 @@ def apply(entries: DataFrame, text: str) -> DataFrame:
         elif name == "remove_clickbait":
             df = df.withColumn("title", F.initcap(F.lower("title")))
         elif name == "add_enclosure_links" and "enclosures" in df.columns:
-            links = F.concat_ws("", F.transform("enclosures", lambda x: F.concat(F.lit('<p><a href="'), x["url"], F.lit('">'), x["url"], F.lit("</a></p>"))))
-            df = df.withColumn("content", F.concat("content", links))
+            esc = lambda u: F.replace(F.replace(F.replace(F.replace(F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&#34;")), F.lit("'"), F.lit("&#39;"))
+            shown = F.filter(F.coalesce("enclosures", F.expr("array()")), lambda x: x["url"] != "")
+            items = F.concat_ws("", F.transform(shown, lambda x: F.concat(F.lit('<li><a href="'), esc(x["url"]), F.lit('">'), esc(x["url"]), F.lit("</a></li>"))))
+            df = df.withColumn("content", F.when(items != "", F.concat("content", F.lit("<hr/><ul>"), items, F.lit("</ul>"))).otherwise(F.col("content")))
     return flush(df)
+
+
+def apply_by_domain(entries: DataFrame, own: str = "") -> DataFrame:
+    """``entries`` after a feed's own rules, or without these after the rules of each entry's domain. Entries of a domain with rules are
+    rewritten apart from the others, a branch for each set of rules."""
+    if own:
+        return apply(entries, own)
+    host = F.regexp_replace(F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))), r"^www\.", "")
+    rest, out = ~host.isin(*sorted(BY_DOMAIN)), None
+    for rule in dict.fromkeys(BY_DOMAIN.values()):
+        part = apply(entries.filter(host.isin(*(d for d, r in BY_DOMAIN.items() if r == rule))), rule)
+        out = part if out is None else out.unionByName(part)
+    return apply(entries.filter(rest), "").unionByName(out)

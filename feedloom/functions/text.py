@@ -115,9 +115,21 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
+#: Comments, declarations and tags; a < before anything but a letter, /, ! or ? is text. Quoted values may hold a >.
+TAGS = r"(?s)<!--.*?-->|<[!?][^>]*>|</?[A-Za-z](?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+(?:>|$)"
+SPACES = r"[\s\x{85}\p{Z}]+"
+
+
 def strip_tags(html: Column) -> Column:
-    """Text outside tags as it stands (references too), trimmed; regular markup needs no parser."""
-    return F.trim(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", ""))
+    """Text outside tags as it stands (references and scripts too), trimmed of any white space; no parser is needed."""
+    return F.regexp_replace(F.regexp_replace(html, TAGS, ""), f"^{SPACES}|{SPACES}$", "")
+
+
+def minify(html: Column) -> Column:
+    """Without comments, and runs of white space as one space; text in pre and textarea elements stays as it is."""
+    parts = F.split(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?is)(?=<(?:pre|textarea)\b)|(?<=</pre>|</textarea>)")
+    raw = lambda x: F.lower(F.substring(x, 1, 9)).rlike(r"^<(pre|textarea)")
+    return F.trim(F.concat_ws("", F.transform(parts, lambda x: F.when(raw(x), x).otherwise(F.regexp_replace(x, r"\s+", " ")))))
 
 
 def has_text(html: Column) -> Column:
@@ -130,12 +142,15 @@ def truncate_html(html: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("…"))).otherwise(text)
 
 
-def reading_time(text: Column, speed: int = 265, cjk_speed: int = 500) -> Column:
-    """Minutes: by characters if more than half of the first letters are Chinese, Japanese or Korean, else by words."""
-    letters = F.substring(F.regexp_replace(text, r"\P{L}", ""), 1, 99)
-    cjk = F.length(F.regexp_replace(letters, r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]", ""))
+def reading_time(html: Column, speed: int | Column = 265, cjk_speed: int | Column = 500) -> Column:
+    """Minutes for the text outside tags: by characters if more than half of the first letters are of a Chinese, Japanese or
+    Korean script, else by words. Letters are looked at up to the hundredth, which counts but isn't tested."""
+    text = strip_tags(html)
+    letters = F.substring(F.regexp_replace(text, r"\P{L}", ""), 1, 100)
+    cjk = F.length(F.regexp_replace(F.substring(letters, 1, 99), r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsYi}\p{IsBopomofo}]", ""))
     many = cjk > F.floor(F.length(letters) / 2)
-    return F.when(many, F.ceil(F.length(text) / cjk_speed)).otherwise(F.ceil(word_count(text) / speed)).cast("long")
+    words = F.size(F.array_remove(F.split(text, SPACES), ""))
+    return F.when(many, F.ceil(F.length(text) / cjk_speed)).otherwise(F.ceil(words / speed)).cast("long")
 
 
 def normalize_language(language: Column) -> Column:

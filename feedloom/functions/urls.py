@@ -24,7 +24,10 @@ OUTBOUND = frozenset(["ref"])
 
 def clean_url(url: str, feed_host: str = "", site_host: str = "") -> str:
     """Without tracking parameters; the rest is sorted and encoded anew only if something was removed."""
-    parts = urlsplit(url)
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        return url
     if not parts.query:
         return url
     pairs = parse_qsl(parts.query, keep_blank_values=True)
@@ -50,8 +53,14 @@ def clean_url_column(url: Column) -> Column:
 
 @pandas_function("string")
 def clean_url_udf(url: pd.Series, feed_url: pd.Series, site_url: pd.Series) -> pd.Series:
-    host = lambda u: urlsplit(u or "").hostname or ""
-    return pd.Series([clean_url(u, host(f), host(s)) if u else u for u, f, s in zip(url, feed_url, site_url, strict=True)])
+    return pd.Series([clean_url(u, host_of(f), host_of(s)) if u else u for u, f, s in zip(url, feed_url, site_url, strict=True)])
+
+
+def host_of(url: str | None) -> str:
+    try:
+        return urlsplit(url or "").hostname or ""
+    except ValueError:
+        return ""
 
 
 def domain(url: Column) -> Column:
@@ -76,8 +85,12 @@ def scheme_allowed(url: Column, schemes: tuple[str, ...] = ("http", "https", "ma
     return F.lower(F.substring_index(url, ":", 1)).isin(*schemes) & url.contains(":")
 
 
-def resolve(base: str, url: str) -> str:
-    return urljoin(base, url.strip())
+def resolve(base: str, url: str) -> str | None:
+    """``url`` seen from ``base``; null if either is no URL."""
+    try:
+        return urljoin(base, url.strip())
+    except ValueError:
+        return None
 
 
 @pandas_function("string")

@@ -306,7 +306,7 @@ def language_normalize(spark, sf):
 
 @query
 def strip_tags(spark, sf):
-    return C.table(spark, sf, "pages").select("page_id", F.length(text.strip_tags(F.col("html"))).cast("long").alias("chars"))
+    return C.table(spark, sf, "pages").select("page_id", text.strip_tags(F.col("html")).alias("text"))
 
 
 @query

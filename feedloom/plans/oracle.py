@@ -21,6 +21,23 @@ tombstones AS (SELECT feed_id, hash, published_at AS deleted_at FROM entries WHE
 state AS (SELECT entry_id, CASE WHEN entry_id % 8 = 0 THEN 'old' ELSE md5('v3|hash@1#64|' || title || content) END AS content_hash, published_at AS indexed_at,
   CASE WHEN entry_id % 6 = 0 THEN 'failed' WHEN entry_id % 10 = 1 THEN 'skipped' ELSE 'ok' END AS status FROM entries WHERE entry_id % 4 <> 3)"""
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+SPACES = r"[\s\x0B\x{85}\p{Z}]+"
+
+
+def strip(html: str) -> str:
+    """Text outside tags, trimmed."""
+    tags = r"""(?s)<!--.*?-->|<[!?][^>]*>|</?[A-Za-z](?:[^>=]|=\s*(?:"[^"]*"|''[^'']*'')?)*(?:>|$)"""
+    return f"regexp_replace(regexp_replace({html}, '{tags}', '', 'g'), '^{SPACES}|{SPACES}$', '', 'g')"
+
+
+def minutes(html: str) -> str:
+    """Reading time of a text at 265 words or 500 characters a minute."""
+    cjk = r"[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Yi}\p{Bopomofo}]"
+    letters = f"regexp_replace({strip(html)}, '\\P{{L}}', '', 'g')"
+    many = f"length(regexp_replace(left({letters}, 99), '{cjk}', '', 'g')) > least(length({letters}), 100) // 2"
+    return f"CASE WHEN {many} THEN ceil(length({strip(html)}) / 500) ELSE ceil(len(list_filter(regexp_split_to_array({strip(html)}, '{SPACES}'), lambda w: w <> '')) / 265) END::BIGINT"
+
+
 AS_OF = "TIMESTAMP '2024-01-01 12:00:00'"
 
 
@@ -106,9 +123,9 @@ BODIES: dict[str, str] = {
       FROM (SELECT page_id, url, q, list_filter(q, lambda p: NOT (starts_with(lower(p), 'utm_') OR starts_with(lower(p), 'mtm_') OR lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'yclid', 'mc_cid', 'msclkid'))) AS kept
       FROM (SELECT page_id, url, CASE WHEN contains(url, '?') THEN string_split(regexp_extract(url, '\?([^#]*)', 1), '&') ELSE [] END AS q FROM pages))""",
     "word_count": r"SELECT entry_id, len(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) AS words FROM entries",
-    "reading_time": r"SELECT entry_id, ceil(len(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) / 265)::BIGINT AS minutes FROM entries",
+    "reading_time": f"SELECT entry_id, {minutes('content')} AS minutes FROM entries",
     "language_normalize": "SELECT entry_id, lower(replace(trim(language), '_', '-')) AS language FROM entries",
-    "strip_tags": r"SELECT page_id, length(trim(regexp_replace(html, '(?s)<!--.*?-->|<[^>]*>', '', 'g'))) AS chars FROM pages",
+    "strip_tags": f"SELECT page_id, {strip('html')} AS text FROM pages",
     "nl2br": r"SELECT entry_id, md5(replace(content, chr(10), '<br>')) AS digest FROM entries",
     "bm25_topk": "SELECT entry_id, score, rank FROM lexical",
     "knn_cosine_topk": "SELECT passage_id, entry_id, distance, rank FROM semantic",

@@ -56,7 +56,21 @@ def test_highlights_and_snippet():
     assert text.segments("ab cd", [(3, 5)]) == [("ab ", False), ("cd", True)]
 
 
-@pytest.mark.parametrize(("t", "want"), [("one two three", 1), ("word " * 800, 4), ("漢字" * 600, 3), ("", 0)])
+@pytest.mark.parametrize(
+    ("t", "want"),
+    [
+        ("one two three", 1),
+        ("word " * 800, 4),
+        ("漢字" * 600, 3),
+        ("", 0),
+        ('<a title="' + "x " * 600 + '">two words</a>', 1),
+        ("<p>" + "word " * 265 + "</p>", 1),
+        ("漢" * 50 + "a" * 50, 1),
+        ("漢" * 51 + "a" * 1449, 3),
+        ("ㄅ" * 1001, 3),
+        ("ꀀ" * 1001, 3),
+    ],
+)
 def test_reading_time(spark, t, want):
     assert one(spark, text.reading_time(F.col("t")), t=t) == want
 
@@ -136,7 +150,7 @@ def test_rules_parse_and_match(spark):
 def test_sanitize():
     got = html.sanitize('<p onclick="x">a<script>b</script><blink>c</blink><a href="/x?y">d</a><a href="javascript:1">e</a></p>', "https://e.org/p/")
     assert got == '<p>ac<a href="https://e.org/x?y" rel="noopener noreferrer" referrerpolicy="no-referrer" target="_blank">d</a>e</p>'
-    assert html.sanitize('<img src="https://e.org/p.gif" width="1" height="1"><img src="/i.png">', "https://e.org") == '<img src="https://e.org/i.png" loading="lazy"/>'
+    assert html.sanitize('<img src="https://e.org/p.gif" width="1" height="1"><img src="/i.png">', "https://e.org") == '<img src="https://e.org/i.png" loading="lazy">'
     assert "iframe" not in html.sanitize('<iframe src="https://evil.example/"></iframe>') and "iframe" in html.sanitize('<iframe src="https://www.youtube.com/embed/1"></iframe>')
     assert html.candidates("a.png 1x, b,c.png 200w, bad 3q") == [("a.png", "1x"), ("b,c.png", "200w")]
 
@@ -147,6 +161,32 @@ def test_readable():
     assert "long text" in got and "More of it" in got and "Home" not in got
 
 
+def test_bad_urls_and_deep_markup_do_no_harm():
+    assert html.sanitize('<img src="http://[x"><a href="http://[x">l</a><iframe src="http://[x"></iframe><img srcset="http://[x 2x">') == "l"
+    assert html.sanitize("<p>a</p>", "http://[x") == "<p>a</p>" and urls.clean_url("http://[x?utm_source=1") == "http://[x?utm_source=1"
+    assert html.feed_links('<link rel="alternate" type="application/rss+xml" href="http://[x">', "https://e.org/") == [] and html.icon_links('<link rel="icon" href="http://[x">', "") == []
+    deep = "<div><p>word, and more words to count here</p>" * 10_000
+    assert html.sanitize(deep).count("<p>") == 10_000 and "word" in html.readable(deep)
+    assert rewrite.rewrite_elements(deep, [("remove_tables", ()), ("remove", ("p",))]).count("<div>") == 10_000 and text.extract_text(deep)
+
+
+def test_sanitize_as_the_rules_say():
+    assert html.sanitize('<img src="data:image/png;base64,AA"><img src="data:text/html,x">') == '<img src="data:image/png;base64,AA" loading="lazy">'
+    assert html.sanitize('<p hidden>x</p><div>"y" &amp; z</div>') == "&#34;y&#34; &amp; z"
+    assert html.sanitize('<img src="https://e.org/a.png" width="1" height="20" decoding="async" fetchpriority="no">') == '<img src="https://e.org/a.png" width="1" height="20" decoding="async" loading="lazy">'
+    assert html.sanitize('<video src="https://e.org/v.mp4"></video>') == '<video src="https://e.org/v.mp4" controls></video>'
+    assert html.sanitize('<a href="https://twitter.com/share?x">t</a><a href="#n">n</a>') == 't<a href="#n">n</a>'
+    assert html.sanitize('<iframe src="//player.vimeo.com/video/1"></iframe>').startswith('<iframe src="//player.vimeo.com/video/1?dnt=1" sandbox=')
+    assert html.candidates("a.png 100w 50h, b.png 1.5x") == [("a.png", "100w 50h"), ("b.png", "1.5x")]
+
+
+def test_selectors():
+    page = '<div id="a"><h6 class="byline">1</h6><h6>2</h6><p>x<b class="k">y</b></p><p>z</p></div>'
+    assert html.select(page, "h6:not(.byline, .other)") == "<h6>2</h6>" and html.select(page, "p:has(.k)") == '<p>x<b class="k">y</b></p>'
+    assert html.select(page, "#a > p + p, h6:nth-child(1)") == '<h6 class="byline">1</h6><p>z</p>' and html.select(page, "p b:only-child") == '<b class="k">y</b>'
+    assert html.select('<img src="/assets/c/1"><img src="/b">', "img[src^='/assets/c/']") == '<img src="/assets/c/1"/>'
+
+
 def test_links():
     page = '<head><link rel="alternate" type="application/rss+xml" href="/f.xml" title="F"><link rel="icon" href="/i.png"></head>'
     assert html.feed_links(page, "https://e.org/") == [("F", "https://e.org/f.xml", "rss")]
@@ -155,6 +195,31 @@ def test_links():
     assert "proxy/" in html.proxied('<img src="http://e.org/i.png">', "/proxy/") and "proxy" not in html.proxied('<img src="https://e.org/i.png">', "/proxy/")
 
 
+def test_rewrite_rules_on_elements():
+    do = lambda page, name, *a: rewrite.rewrite_elements(page, [(name, a)])
+    assert do('<div data-src="x.jpg" alt="a"></div>', "add_dynamic_image") == '<img src="x.jpg" alt="a"/>'
+    assert do('<noscript><img src="n.png"></noscript>', "add_dynamic_image") == '<img src="n.png"/>'
+    assert do('<iframe data-lazy-src="v"></iframe>', "add_dynamic_iframe") == '<iframe data-lazy-src="v" src="v"></iframe>'
+    assert do("<p><span>SGVsbG8=</span>no!</p>", "base64_decode") == "<p><span>Hello</span>no!</p>"
+    assert do('<p><a href="https://news.ycombinator.com/user?id=x">u</a> t</p>', "add_hn_links_using_hack") == '<p><a href="https://news.ycombinator.com/user?id=x">u</a> t <a href="hack://user?id=x">Open with HACK</a></p>'
+    assert "opener://x-callback-url/show-options?url=https%3A%2F%2Fnews.ycombinator.com%2Fitem%3Fid%3D1" in do('<p><a href="https://news.ycombinator.com/item?id=1">u</a></p>', "add_hn_links_using_opener")
+    assert do('<a href="mailto:x@e.org?subject=Hi there">m</a>', "add_mailto_subject") == '<a href="mailto:x@e.org?subject=Hi there">m [Hi there]</a>'
+    assert do('<img src="https://e.org/a.png?w=9&blur=20"><img src="https://e.org/a.png?blur=0">', "remove_img_blur_params") == '<img src="https://e.org/a.png"/><img src="https://e.org/a.png?blur=0"/>'
+    card = '<figure class="kg-card"><a class="kg-bookmark-container" href="{0}"><div class="kg-bookmark-title">T{0}</div><span class="kg-bookmark-author">A</span></a></figure>'
+    assert do(card.format("u"), "fix_ghost_cards") == '<a href="u">Tu - A</a>'
+    assert do(card.format("u") + card.format("v") + "<p>x</p>", "fix_ghost_cards") == '<ul><li><a href="u">Tu - A</a></li><li><a href="v">Tv - A</a></li></ul><p>x</p>'
+    assert do('<figure><img src="small"><noscript><img src="big"></noscript></figure>', "use_noscript_figure_images") == '<figure><img src="big"/></figure>'
+    assert do('<figure class="paragraph-image"><noscript><img src="big"></noscript></figure>', "fix_medium_images") == '<img src="big"/>'
+
+
+def test_rewrite_by_domain(spark):
+    rows = [("t", "https://www.xkcd.com/1", '<img src="s.png" title="T">'), ("t", "https://e.org/1", '<img src="s.png" title="T">'), ("t", "https://medium.com/x", '<figure class="paragraph-image"><noscript><img src="b"></noscript></figure>')]
+    df = spark.createDataFrame(rows, "title string, url string, content string")
+    got = {r["url"]: r["content"] for r in rewrite.apply_by_domain(df).collect()}
+    assert "figcaption" in got[rows[0][1]] and got[rows[1][1]] == rows[1][2] and got[rows[2][1]] == '<img src="b"/>'
+    assert all("figcaption" not in r["content"] for r in rewrite.apply_by_domain(df, "nl2br").collect())
+
+
 def test_rewrite(spark):
     assert rewrite.rules('nl2br,replace("a\\"b"|"c"), remove(".x")') == [("nl2br", ()), ("replace", ('a"b', "c")), ("remove", (".x",))]
     df = spark.createDataFrame([("A TITLE", "https://www.youtube.com/watch?v=abc", 'x\n<div class="x">gone</div><img src="s.png" title="T">')], "title string, url string, content string")
