@@ -178,7 +178,7 @@ class EntryQuery:
             df = df.filter(F.col("user_id") == self.user_id)
         joins = wide or self.needs_feeds or any(o.startswith("category") for o, _ in self.order)
         if joins:
-            df = df.join(self._feeds(), "feed_id")
+            df = df.join(self._feeds(), "feed_id", "inner" if wide else "left")
         if wide:
             df = df.join(self.corpus.users.select("user_id", "timezone"), "user_id")
         for condition in self.conditions:
@@ -201,9 +201,10 @@ class EntryQuery:
         return self.rows().agg(F.count("*").alias("total"))
 
     def with_total(self) -> DataFrame:
-        """The page, each row with the number of all matching entries; one sum is joined, so that no window takes all rows to one task."""
-        total = self.count()
-        return self._page(self.rows(wide=True)).select(*WIDE).join(F.broadcast(total))
+        """The page, each row with the number of all matching entries; one sum is joined, so that no window takes all rows to one task.
+        Past the end of the list one row, null but for the total, stands for the page."""
+        page = self._page(self.rows(wide=True)).select(*WIDE)
+        return self.count().join(page, how="left" if self.skip else "inner").select(*WIDE, "total")
 
     def zoned(self) -> DataFrame:
         """The page with published_at shown in the user's time zone, and no icon where there is none."""
@@ -229,6 +230,12 @@ def from_parameters(corpus: Corpus, user_id: int, p: dict) -> EntryQuery:
     check_range(int(p.get("limit") or 0), int(p.get("offset") or 0))
     q = EntryQuery(corpus, user_id).feed(int(p.get("feed_id") or 0)).category(int(p.get("category_id") or 0))
     q = q.statuses(*p.get("status", ())).tags(*p.get("tags", ()))
+    q = q.ids(*map(int, p.get("ids", ())))
+    if p.get("search"):
+        from feedloom.operators.retrieval import full_text
+
+        match, rank = full_text(corpus.entries, p["search"])
+        q = q.search(match, rank, p.get("as_of") or datetime.now())
     q = q.id_before(int(p.get("before_entry_id") or 0)).id_after(int(p.get("after_entry_id") or 0))
     q = q.published(when("published_after") or when("after"), when("published_before") or when("before"))
     q = q.changed(when("changed_after"), when("changed_before"))

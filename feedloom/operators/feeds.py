@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from feedloom.operators.lists import has_integration
 from feedloom.sources.corpus import Corpus
 
 
@@ -41,23 +42,60 @@ def feed_list(corpus: Corpus, user_id: int) -> DataFrame:
     return df.orderBy("disabled", F.desc("parsing_error_count"), F.desc("unreads"), F.lower("title"), "feed_id")
 
 
-def category_counts(corpus: Corpus, user_id: int) -> DataFrame:
-    """category_id, title, feed_count, total_unread; both sums are made before they are joined."""
+def category_counts(corpus: Corpus, user_id: int, order: str = "") -> DataFrame:
+    """category_id, title, feed_count, total_unread; both sums are made before they are joined.
+
+    With an order, sorted and numbered (position): alphabetical, or else most unread first.
+    """
     feeds = corpus.feeds.filter(F.col("user_id") == user_id)
     per_feed = feeds.groupBy("category_id").agg(F.count("*").alias("feed_count"))
     unread = corpus.entries.filter((F.col("user_id") == user_id) & (F.col("status") == "unread") & ~F.col("hidden")).groupBy("feed_id").agg(F.count("*").alias("n"))
     unread = feeds.join(unread, "feed_id").groupBy("category_id").agg(F.sum("n").alias("total_unread"))
     df = corpus.categories.filter(F.col("user_id") == user_id).join(per_feed, "category_id", "left").join(unread, "category_id", "left")
-    return df.select("category_id", "title", F.coalesce("feed_count", F.lit(0)).alias("feed_count"), F.coalesce("total_unread", F.lit(0)).alias("total_unread"))
+    df = df.select("category_id", "title", F.coalesce("feed_count", F.lit(0)).alias("feed_count"), F.coalesce("total_unread", F.lit(0)).alias("total_unread"))
+    if not order:
+        return df
+    by = [F.col("title")] if order == "alphabetical" else [F.desc("total_unread"), F.col("title")]
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*by, "category_id"))).orderBy("position")
 
 
-def navigation(corpus: Corpus, user_id: int, error_limit: int) -> DataFrame:
-    """One row: visible unread entries, feeds with errors (0 if the limit is 0)."""
+def navigation(corpus: Corpus, user_id: int, error_limit: int, integrations: DataFrame | None = None) -> DataFrame:
+    """One row: visible unread entries, feeds with errors (0 if the limit is 0), and whether entries can be saved to any service."""
     feeds = corpus.feeds.filter(F.col("user_id") == user_id)
     shown = feeds.filter(~F.col("hide_globally")).join(corpus.categories.filter(~F.col("hide_globally")).select("category_id"), "category_id", "left_semi")
     unread = corpus.entries.filter((F.col("user_id") == user_id) & (F.col("status") == "unread") & ~F.col("hidden")).join(shown.select("feed_id"), "feed_id", "left_semi")
+    if integrations is not None:
+        unread_of = has_integration(integrations, user_id, [c for c in integrations.columns if c != "user_id"]).select(F.col("found").alias("has_save_entry"))
     errors = feeds.agg(F.count_if((F.col("parsing_error_count") >= max(error_limit, 1)) & F.lit(error_limit > 0)).alias("error_feeds"))
-    return unread.agg(F.count("*").alias("unread")).join(F.broadcast(errors))
+    one = unread.agg(F.count("*").alias("unread")).join(F.broadcast(errors))
+    return one if integrations is None else one.join(F.broadcast(unread_of))
+
+
+FEED_ORDERS = ("feed_id", "title", "feed_url", "site_url", "category_id", "parsing_error_count", "next_check_at", "disabled")
+
+
+def feeds_sorted(feeds: DataFrame, user_id: int, order: str = "", direction: str = "asc") -> DataFrame:
+    """A user's feeds numbered by an order, ties by title whatever the case; by id without one."""
+    if order and order not in FEED_ORDERS or direction not in ("asc", "desc"):
+        raise ValueError(f"order must be one of {', '.join(FEED_ORDERS)}")
+    keys = [F.col(order) if direction == "asc" else F.desc(order), F.lower("title")] if order else []
+    return feeds.filter(F.col("user_id") == user_id).withColumn("position", F.row_number().over(Window.orderBy(*keys, "feed_id"))).orderBy("position")
+
+
+def feed_rows(corpus: Corpus, feed_icons: DataFrame, icons: DataFrame, user_id: int) -> DataFrame:
+    """Feeds with category, icon and owner, all by left joins, and their counters."""
+    f = corpus.feeds.filter(F.col("user_id") == user_id).drop("icon_id")
+    f = f.join(corpus.categories.select("category_id", F.col("title").alias("category_title"), F.col("hide_globally").alias("category_hidden")), "category_id", "left")
+    f = with_icons(f, feed_icons, icons).join(corpus.users.select("user_id", "username", "timezone"), "user_id", "left")
+    return f.join(feed_counters(corpus.entries, user_id), "feed_id", "left").fillna(0, ["reads", "unreads", "visible"])
+
+
+def with_icons(df: DataFrame, feed_icons: DataFrame, icons: DataFrame) -> DataFrame:
+    """``df`` (with feed_id) with icon_id and icon: 0 and '' unless the feed has an icon that has an external id."""
+    own = icons.select("icon_id", F.col("external_id").alias("_external"))
+    joined = df.join(feed_icons.select("feed_id", "icon_id"), "feed_id", "left").join(own, "icon_id", "left")
+    shown = F.coalesce(F.col("_external") != "", F.lit(False))
+    return joined.withColumn("icon", F.when(shown, F.col("_external")).otherwise("")).withColumn("icon_id", F.when(shown, F.col("icon_id")).otherwise(0)).drop("_external")
 
 
 def weekly_frequency(entries: DataFrame, as_of: datetime) -> DataFrame:
@@ -82,12 +120,22 @@ def due_feeds(feeds: DataFrame, as_of: datetime, batch: int, error_limit: int =
     return df.select("feed_id", "host")
 
 
-def next_check(feeds: DataFrame, per_week: DataFrame, as_of: datetime, least: int = 5, most: int = 1440, factor: int = 1) -> DataFrame:
-    """feed_id, minutes, next_check_at by entry frequency, held between ``least`` and ``most`` minutes."""
+def next_check(feeds: DataFrame, per_week: DataFrame, as_of: datetime, least: int = 5, most: int = 1440, factor: int = 1, round_robin: int = 0, delays: DataFrame | None = None) -> DataFrame:
+    """feed_id, minutes, next_check_at by entry frequency, held between ``least`` and ``most`` minutes; with ``round_robin`` minutes, after
+    these. A delay that a feed's server asked for (feed_id, delay in minutes) counts if it is longer, up to ``most``."""
+    if round_robin > 0:
+        df = feeds.select("feed_id", F.lit(round_robin).alias("minutes"))
+    else:
+        df = _by_frequency(feeds, per_week, least, most, factor)
+    if delays is not None:
+        df = df.join(delays.select("feed_id", "delay"), "feed_id", "left").select("feed_id", F.least(F.greatest("minutes", F.coalesce("delay", F.lit(0))), F.greatest("minutes", F.lit(most))).cast("int").alias("minutes"))
+    return df.withColumn("next_check_at", F.timestamp_seconds(F.unix_timestamp(F.lit(as_of)) + F.col("minutes") * 60))
+
+
+def _by_frequency(feeds: DataFrame, per_week: DataFrame, least: int, most: int, factor: int) -> DataFrame:
     df = feeds.select("feed_id").join(per_week, "feed_id", "left")
     minutes = F.when(F.coalesce("per_week", F.lit(0)) <= 0, F.lit(most)).otherwise(F.round(F.lit(7 * 24 * 60) / (F.col("per_week") * factor)).cast("int"))
-    df = df.select("feed_id", F.least(F.greatest(minutes, F.lit(least)), F.lit(most)).cast("int").alias("minutes"))
-    return df.withColumn("next_check_at", F.timestamp_seconds(F.unix_timestamp(F.lit(as_of)) + F.col("minutes") * 60))
+    return df.select("feed_id", F.least(F.greatest(minutes, F.lit(least)), F.lit(most)).cast("int").alias("minutes"))
 
 
 def host_failures(causes: DataFrame, most: int = 64) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import extract_text, split
+from feedloom.functions.text import extract_text, split, truncate_bytes
 
 VERSION = "v3"
 MODEL = "hash@1#64"
@@ -108,15 +108,19 @@ def replace_passages(passages: DataFrame, state: DataFrame, new: DataFrame, done
 
 
 def latest_state(log: DataFrame) -> DataFrame:
-    """The state table from an append-only log: each entry's last row."""
-    last = log.groupBy("entry_id").agg(F.max_by(F.struct("content_hash", "status"), "indexed_at").alias("s"), F.max("indexed_at").alias("indexed_at"))
-    return last.select("entry_id", "s.content_hash", "s.status", "indexed_at")
+    """The state table from an append-only log: each entry's last row; of rows of one time the one with the largest hash."""
+    last = log.groupBy("entry_id").agg(F.max(F.struct("indexed_at", "content_hash", "status")).alias("s"))
+    return last.select("entry_id", "s.content_hash", "s.status", "s.indexed_at")
 
 
 def failure_cause(reason):
-    """Digits become N, so that causes can be counted; at most 120 characters and an ellipsis."""
-    c = F.trim(F.regexp_replace(reason, r"\d+", "N"))
-    return F.when(F.length(c) > 120, F.concat(F.substring(c, 1, 120), F.lit("..."))).otherwise(c)
+    """Digits become N, so that causes can be counted; at most 120 bytes, ending with a character, and an ellipsis."""
+    c = F.trim(F.regexp_replace(reason, r"[0-9]+", "N"))
+    return F.when(F.octet_length(c) > 120, F.concat(truncate_bytes(c, 120), F.lit("..."))).otherwise(c)
+
+
+def passages_of(passages: DataFrame, entry_id: int) -> DataFrame:
+    return passages.filter(F.col("entry_id") == entry_id).orderBy("ordinal")
 
 
 def passages_per_entry(passages: DataFrame, entries: DataFrame) -> DataFrame:

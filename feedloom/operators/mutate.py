@@ -35,16 +35,38 @@ def new_entries(incoming: DataFrame, entries: DataFrame, tombstones: DataFrame)
     return incoming.dropDuplicates(KEY).join(entries.select(*KEY), KEY, "left_anti").join(tombstones.select(*KEY), KEY, "left_anti")
 
 
-def refresh(entries: DataFrame, incoming: DataFrame, tombstones: DataFrame, update_existing: bool = True, fields: Sequence[str] = ("title", "url", "content", "author")) -> tuple[DataFrame, DataFrame]:
-    """(the new snapshot, the newly inserted rows). Stored rows take ``fields`` from incoming ones, but keep published_at."""
+#: What a refresh brings to a stored entry; its published_at stays.
+REFRESHED = ("title", "url", "comments_url", "content", "author", "reading_time", "tags", "language")
+
+
+def refresh(entries: DataFrame, incoming: DataFrame, tombstones: DataFrame, update_existing: bool = True, fields: Sequence[str] = REFRESHED) -> tuple[DataFrame, DataFrame]:
+    """(the new snapshot, the newly inserted rows). Stored rows take ``fields`` (those that there are) from incoming ones, but keep published_at."""
     fresh = new_entries(incoming, entries, tombstones)
     kept = entries
     if update_existing:
-        new = incoming.dropDuplicates(KEY).select(*KEY, *(F.col(f).alias(f"_new_{f}") for f in fields))
-        kept = entries.join(new, KEY, "left").withColumns({f: F.coalesce(f"_new_{f}", f) for f in fields}).select(*entries.columns)
+        taken = [f for f in fields if f in entries.columns and f in incoming.columns]
+        new = incoming.dropDuplicates(KEY).select(*KEY, F.lit(True).alias("_new"), *(F.col(f).alias(f"_new_{f}") for f in taken))
+        kept = entries.join(new, KEY, "left").withColumns({f: F.when(F.col("_new"), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in taken}).select(*entries.columns)
     return kept.unionByName(fresh.select(*entries.columns)), fresh
 
 
+def refresh_with_enclosures(entries: DataFrame, incoming: DataFrame, tombstones: DataFrame, enclosures: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, the newly inserted ones, enclosures) after a refresh. listed: feed_id, hash and the columns of enclosures; a stored
+    entry that came again keeps the enclosures that are listed still, and gets those that are new."""
+    snapshot, fresh = refresh(entries, incoming, tombstones)
+    ids = snapshot.join(incoming.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "entry_id")
+    current = listed.drop("entry_id").join(ids, KEY).select(*enclosures.columns)
+    kept = sync_enclosures(enclosures, current, ids)
+    return snapshot, fresh, insert_enclosures(kept, current)
+
+
+def insert_entry(entries: DataFrame, entry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, one row: entry_id, created): a single entry is inserted unless its feed has the hash already."""
+    old = entries.select(*KEY, F.col("entry_id").alias("_old"))
+    found = entry.join(old, KEY, "left").select(F.coalesce("_old", "entry_id").alias("entry_id"), F.col("_old").isNull().alias("created"))
+    return entries.unionByName(entry.join(entries.select(*KEY), KEY, "left_anti").select(*entries.columns)), found
+
+
 def archive(entries: DataFrame, tombstones: DataFrame, status: str, as_of: datetime, days: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """(entries, tombstones) after the oldest unstarred, unshared ones of a status are deleted; nothing if a limit is off."""
     if days < 0 or limit <= 0:
@@ -148,6 +170,12 @@ def set_full_text_fetched(entries: DataFrame, ids: Sequence[int], as_of: datetim
     return change(df, hit, full_text_fetched_at=F.lit(as_of)).select(*entries.columns)
 
 
+def set_full_text_fetched_by_hash(entries: DataFrame, feed_id: int, hashes: Sequence[str], as_of: datetime) -> DataFrame:
+    """Hashes that the feed doesn't have are ignored; without any nothing changes."""
+    df, hit = among(entries, "hash", hashes)
+    return change(df, hit & (F.col("feed_id") == feed_id), full_text_fetched_at=F.lit(as_of)).select(*entries.columns)
+
+
 def update_text(entries: DataFrame, entry_id: int, title: str, content: str) -> DataFrame:
     return change(entries, F.col("entry_id") == entry_id, title=title, content=content)
 
@@ -204,6 +232,13 @@ def create_category(categories: DataFrame, user_id: int, category_id: int, title
     return categories.unionByName(new.join(taken, "user_id", "left_anti"))
 
 
+def update_category(categories: DataFrame, user_id: int, category_id: int, title: str, hide_globally: bool) -> DataFrame:
+    """Renamed, unless another category of the user has the title, whatever the case."""
+    other = categories.filter((F.col("user_id") == user_id) & (F.lower("title") == title.lower()) & (F.col("category_id") != category_id)).limit(1).agg((F.count("*") == 0).alias("_free"))
+    mine = (F.col("user_id") == user_id) & (F.col("category_id") == category_id)
+    return change(categories.join(F.broadcast(other)), mine & F.col("_free"), title=title, hide_globally=hide_globally).drop("_free")
+
+
 def remove_categories(corpus: Corpus, user_id: int, ids: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """(categories, feeds): feeds move to the user's first remaining category by title; without one nothing changes."""
     gone = F.col("category_id").isin(*ids) & (F.col("user_id") == user_id)
@@ -235,6 +270,14 @@ def create_feed(feeds: DataFrame, entries: DataFrame, feed: DataFrame, incoming:
     return feeds.unionByName(feed, allowMissingColumns=True), entries.unionByName(first.select(*entries.columns))
 
 
+def update_feed(feeds: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new`` (feed_id, user_id and any other columns of feeds) replace those columns of the feeds that they name."""
+    columns = [c for c in new.columns if c not in ("feed_id", "user_id")]
+    rows = new.select("feed_id", "user_id", F.lit(True).alias("_new"), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    joined = feeds.join(rows, ["feed_id", "user_id"], "left")
+    return joined.withColumns({c: F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}).select(*feeds.columns)
+
+
 def record_feed_error(feeds: DataFrame, feed_id: int, message: str) -> DataFrame:
     return change(feeds, F.col("feed_id") == feed_id, parsing_error_count=F.col("parsing_error_count") + 1, parsing_error_message=message)
 

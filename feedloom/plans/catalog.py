@@ -11,14 +11,14 @@ from pyspark.sql.window import Window
 from feedloom.functions import dates, html, rewrite, text, urls
 from feedloom.operators import evaluate, feeds, indexing, mutate, retrieval, rules
 from feedloom.operators.entries import EntryQuery
-from feedloom.plans import api
+from feedloom.plans import api, changes
 from feedloom.sources import corpus as C
 from feedloom.sources import formats
 from feedloom.streaming import live
 
 NOW = datetime(2024, 1, 1, 12)
 PAGE = ("entry_id", "feed_id", "title", "status", "starred", "published_at", "feed_title", "category_title")
-QUERIES: dict = {}
+QUERIES: dict = dict(changes.QUERIES)
 
 
 def query(f):
@@ -158,20 +158,6 @@ def reading_list_ids(spark, sf):
     return api.reading_list(C.corpus(spark, sf), 1, after=datetime(2024, 1, 1, 1), limit=100, offset=20)
 
 
-@query
-def tombstone_guard(spark, sf):
-    e = C.entries(spark, sf)
-    return mutate.new_entries(e.filter("entry_id % 2 = 0"), e.filter("entry_id % 4 = 0"), C.tombstones(spark, sf)).select("feed_id", "hash")
-
-
-@query
-def refresh_upsert(spark, sf):
-    e = C.entries(spark, sf)
-    incoming = e.filter("entry_id % 3 = 0").withColumn("title", F.lit("new title"))
-    snapshot, _ = mutate.refresh(e.filter("entry_id % 2 = 0"), incoming.filter("entry_id < 0 OR entry_id >= 0"), e.select("feed_id", "hash"), fields=("title",))
-    return snapshot.select("entry_id", "feed_id", "title")
-
-
 @query
 def archive_snapshot(spark, sf):
     entries, _ = mutate.archive(C.entries(spark, sf), C.tombstones(spark, sf), "read", datetime(2024, 1, 5, 8), 4, 30)
@@ -234,13 +220,6 @@ def remove_categories(spark, sf):
     return mutate.remove_categories(C.corpus(spark, sf), 1, [10])[1].select("feed_id", "category_id")
 
 
-@query
-def remove_feed(spark, sf):
-    c = C.corpus(spark, sf)
-    none = spark.createDataFrame([], "enclosure_id long, entry_id long")
-    return mutate.remove_feed(c, none, 3)[1].select("entry_id")
-
-
 @query
 def opml_export(spark, sf):
     return mutate.opml(C.feeds(spark, sf).filter("user_id = 1"), C.categories(spark, sf))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from feedloom.plans import changes
+
 PRELUDE = """
 entries AS (SELECT doc_id AS entry_id, 1 + doc_id % 3 AS user_id, CAST(substr(source, 4) AS BIGINT) * 3 + doc_id % 3 AS feed_id, sha256(text) AS hash,
   substr(text, 1, 60) AS title, 'https://example.org/' || source || '/' || doc_id AS url, 'author' || (doc_id % 17) AS author, text AS content,
@@ -9,17 +11,23 @@ entries AS (SELECT doc_id AS entry_id, 1 + doc_id % 3 AS user_id, CAST(substr(so
   CASE WHEN doc_id % 22 = 0 THEN 'bulk' END AS hidden_reason, CASE WHEN doc_id % 13 = 0 THEN 'share' || doc_id ELSE '' END AS share_code,
   TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS published_at, TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at,
   TIMESTAMP '2024-01-01' + to_minutes(doc_id) + to_hours(CAST(doc_id % 7 AS INT)) AS changed_at, lang AS language, source,
-  CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id) END AS full_text_fetched_at FROM documents),
+  CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id) END AS full_text_fetched_at, '' AS comments_url, (length(text) % 40 + 1)::INT AS reading_time FROM documents),
+enclosures_all AS (SELECT entry_id * 2 AS enclosure_id, user_id, entry_id, 'https://cdn.example.org/' || entry_id || '.mp3' AS url, CASE WHEN entry_id % 6 = 0 THEN 'audio/mpeg' ELSE 'application/octet-stream' END AS mime_type, entry_id * 10 AS size, entry_id % 4 * 30 AS media_progression FROM entries WHERE entry_id % 3 = 0
+  UNION ALL SELECT entry_id * 2 + 1, user_id, entry_id, 'https://cdn.example.org/' || entry_id || CASE WHEN entry_id % 18 = 0 THEN '.mp3' ELSE '.PNG' END, 'video/m4v', 0, 0 FROM entries WHERE entry_id % 9 = 0),
 feeds AS (SELECT feed_id, 1 + feed_id % 3 AS user_id, (1 + feed_id % 3) * 10 + feed_id % 6 AS category_id, 'Feed ' || feed_id AS title,
   'https://h' || (feed_id % 5) || '.example.org/feed/' || feed_id AS feed_url, 'h' || (feed_id % 5) || '.example.org' AS host,
   feed_id % 10 = 9 AS disabled, feed_id % 8 = 7 AS hide_globally, feed_id % 4 AS parsing_error_count, TIMESTAMP '2024-01-01' + to_hours(CAST(feed_id AS INT)) AS next_check_at,
   CASE WHEN feed_id % 2 = 0 THEN feed_id END AS icon_id FROM (SELECT DISTINCT feed_id FROM entries)),
+feed_icons AS (SELECT feed_id, icon_id FROM feeds WHERE icon_id IS NOT NULL),
+icons AS (SELECT icon_id, sha256('icon' || icon_id) AS hash, ['image/png', 'IMAGE/GIF', 'text/html', 'image/svg+xml'][icon_id % 4 + 1] AS mime_type, 'icon' || icon_id AS content, CASE WHEN icon_id % 6 = 0 THEN '' ELSE 'x' || icon_id END AS external_id
+  FROM (SELECT DISTINCT icon_id FROM feed_icons UNION ALL SELECT DISTINCT icon_id + 1000000 FROM feed_icons)),
 categories AS (SELECT category_id, user_id, 'Category ' || category_id AS title, category_id % 10 = 5 AS hide_globally FROM (SELECT DISTINCT category_id, user_id FROM feeds)),
 visible AS (SELECT feed_id FROM feeds f JOIN categories c USING (category_id) WHERE NOT f.hide_globally AND NOT c.hide_globally),
 passages AS (SELECT CAST(vec_id AS BIGINT) AS passage_id, CAST(vec_id AS BIGINT) // 5 AS entry_id, vec_id % 5 AS ordinal, embedding, label FROM embeddings),
 tombstones AS (SELECT feed_id, hash, published_at AS deleted_at FROM entries WHERE entry_id % 9 = 0),
 state AS (SELECT entry_id, CASE WHEN entry_id % 8 = 0 THEN 'old' ELSE md5('v3|hash@1#64|' || title || content) END AS content_hash, published_at AS indexed_at,
   CASE WHEN entry_id % 6 = 0 THEN 'failed' WHEN entry_id % 10 = 1 THEN 'skipped' ELSE 'ok' END AS status FROM entries WHERE entry_id % 4 <> 3)"""
+ENCLOSURES = ",\nenclosures AS (SELECT * FROM enclosures_all)"
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 SPACES = r"[\s\x0B\x{85}\p{Z}]+"
 
@@ -96,8 +104,6 @@ BODIES: dict[str, str] = {
     "fever_unread_ids": "SELECT string_agg(entry_id::VARCHAR, ',' ORDER BY entry_id) AS ids FROM entries WHERE user_id = 1 AND status = 'unread' AND NOT hidden",
     "long_item_ids": "SELECT entry_id, 'tag:google.com,2005:reader/item/' || lpad(lower(to_hex(entry_id)), 16, '0') AS item FROM entries",
     "reading_list_ids": "SELECT entry_id FROM entries WHERE user_id = 1 AND status <> 'removed' AND published_at > TIMESTAMP '2024-01-01 01:00:00' ORDER BY published_at DESC, entry_id DESC LIMIT 100 OFFSET 20",
-    "tombstone_guard": "SELECT DISTINCT feed_id, hash FROM (SELECT feed_id, hash FROM entries WHERE entry_id % 2 = 0) WHERE (feed_id, hash) NOT IN (SELECT (feed_id, hash) FROM entries WHERE entry_id % 4 = 0) AND (feed_id, hash) NOT IN (SELECT (feed_id, hash) FROM tombstones)",
-    "refresh_upsert": """SELECT entry_id, feed_id, CASE WHEN (feed_id, hash) IN (SELECT (feed_id, hash) FROM entries WHERE entry_id % 3 = 0) THEN 'new title' ELSE title END AS title FROM entries WHERE entry_id % 2 = 0""",
     "archive_snapshot": f"SELECT entry_id FROM entries WHERE entry_id NOT IN (SELECT entry_id FROM entries WHERE status = 'read' AND NOT starred AND share_code = '' AND created_at < TIMESTAMP '2024-01-05' - INTERVAL 4 DAYS + INTERVAL 8 HOURS ORDER BY created_at, entry_id LIMIT 30)",
     "flush_history_tombstones": "SELECT feed_id, hash FROM entries WHERE user_id = 1 AND status = 'read' AND NOT starred AND share_code = '' UNION SELECT feed_id, hash FROM tombstones",
     "set_status": f"{_CHANGED} (SELECT entry_id, CASE WHEN user_id = 1 AND entry_id IN (3, 6, 7) THEN 'read' ELSE status END AS status, CASE WHEN user_id = 1 AND entry_id IN (3, 6, 7) THEN {AS_OF} ELSE changed_at END AS changed_at FROM entries)",
@@ -110,7 +116,6 @@ BODIES: dict[str, str] = {
     "hide_category": "SELECT entry_id, hidden OR (user_id = 1 AND status = 'unread' AND published_at < TIMESTAMP '2024-01-01 08:00:00' AND feed_id IN (SELECT feed_id FROM feeds WHERE user_id = 1 AND category_id = 10)) AS hidden FROM entries",
     "hide_feed_backlog": "SELECT entry_id, hidden OR (user_id = 1 AND feed_id = 3) AS hidden FROM entries",
     "remove_categories": "SELECT feed_id, CASE WHEN user_id = 1 AND category_id = 10 THEN (SELECT arg_min(category_id, title) FROM categories WHERE user_id = 1 AND category_id <> 10) ELSE category_id END AS category_id FROM feeds",
-    "remove_feed": "SELECT entry_id FROM entries WHERE feed_id <> 3",
     "opml_export": """SELECT c.title AS category, '<outline text="' || c.title || '">' || string_agg('<outline title="' || f.title || '" text="' || f.title || '" xmlUrl="' || f.feed_url || '" htmlUrl="https://' || f.host || '/" type="rss"/>', '' ORDER BY lower(f.title)) || '</outline>' AS outline
       FROM feeds f JOIN categories c USING (category_id) WHERE f.user_id = 1 GROUP BY c.title""",
     "pending_entries": "SELECT e.entry_id FROM entries e LEFT JOIN state s USING (entry_id) WHERE e.entry_id > 20 AND (s.entry_id IS NULL OR s.status = 'failed' OR s.content_hash <> md5('v3|hash@1#64|' || title || content)) ORDER BY 1 LIMIT 200",
@@ -153,4 +158,8 @@ EXTRA = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: f"WITH {PRELUDE}{',' + EXTRA[k] if k in EXTRA else ''}\n{body}" for k, body in BODIES.items()}
+    bodies, extra = dict(BODIES), dict(EXTRA)
+    for module in (changes,):
+        bodies |= module.SQL
+        extra |= module.EXTRA
+    return {k: f"WITH {PRELUDE}{'' if 'enclosures AS (' in extra.get(k, '') else ENCLOSURES}{',' + extra[k] if k in extra else ''}\n{body}" for k, body in bodies.items()}

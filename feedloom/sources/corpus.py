@@ -49,6 +49,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("lang", "source").alias("tags"),
         F.col("lang").alias("language"),
         F.when(d % 4 == 0, at(d * 60)).alias("full_text_fetched_at"),
+        (F.length("text") % 40 + 1).cast("int").alias("reading_time"),
     )
 
 
@@ -105,3 +106,45 @@ def index_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("published_at").alias("indexed_at"),
         F.when(F.col("entry_id") % 6 == 0, "failed").when(F.col("entry_id") % 10 == 1, "skipped").otherwise("ok").alias("status"),
     )
+
+
+def enclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments of every third entry; some have two, and of these some have the same one twice."""
+    e = F.col("entry_id")
+    name = lambda kind: F.concat(F.lit("https://cdn.example.org/"), e.cast("string"), F.lit(kind))
+    first = F.struct((e * 2).alias("enclosure_id"), name(".mp3").alias("url"), F.when(e % 6 == 0, "audio/mpeg").otherwise("application/octet-stream").alias("mime_type"), (e * 10).alias("size"), (e % 4 * 30).alias("media_progression"))
+    second = F.struct((e * 2 + 1).alias("enclosure_id"), F.when(e % 18 == 0, name(".mp3")).otherwise(name(".PNG")).alias("url"), F.lit("video/m4v").alias("mime_type"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("media_progression"))
+    both = F.when(e % 9 == 0, F.array(first, second)).otherwise(F.array(first))
+    rows = entries(spark, sf_dir).filter(e % 3 == 0).select("user_id", "entry_id", F.explode(both).alias("x"))
+    return rows.select("x.enclosure_id", "user_id", "entry_id", "x.url", "x.mime_type", "x.size", "x.media_progression")
+
+
+def icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The icons that feeds are linked to, and one that none is linked to for each of these."""
+    i = F.col("icon_id")
+    ids = feed_icons(spark, sf_dir).select("icon_id").distinct()
+    ids = ids.unionByName(ids.select((i + 1_000_000).alias("icon_id")))
+    content = F.concat(F.lit("icon"), i.cast("string"))
+    kind = F.element_at(F.array(*map(F.lit, ("image/png", "IMAGE/GIF", "text/html", "image/svg+xml"))), (i % 4 + 1).cast("int"))
+    return ids.select(i, F.sha2(content, 256).alias("hash"), kind.alias("mime_type"), content.cast("binary").alias("content"), F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("x"), i.cast("string"))).alias("external_id"))
+
+
+def feed_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds(spark, sf_dir).filter("icon_id IS NOT NULL").select("feed_id", "icon_id")
+
+
+def accounts(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(integrations, API keys, sessions) of the users."""
+    integrations = spark.createDataFrame([(1, True, False), (2, False, False), (4, True, True)], "user_id long, read_later boolean, webhook boolean")
+    keys = spark.createDataFrame([(1, 1, "phone"), (2, 1, "Laptop"), (3, 2, "script")], "key_id long, user_id long, description string")
+    sessions = spark.createDataFrame([(i, i % 3 + 1) for i in range(1, 13)], "session_id long, user_id long").withColumn("created_at", at(F.col("session_id") * 86_400))
+    return integrations, keys, sessions
+
+
+def passage_texts(spark: SparkSession, sf_dir: str, sentences: int = 4) -> DataFrame:
+    """Passages of every entry: its title as ordinal 0, and its text cut after every so many lines."""
+    e = entries(spark, sf_dir)
+    lines = F.split(F.coalesce("content", F.lit("")), "\n")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(sentences)), lambda i: F.array_join(F.slice(lines, i + 1, F.lit(sentences)), "\n"))
+    parts = e.select("entry_id", F.posexplode(F.concat(F.array("title"), cut)).alias("ordinal", "text"))
+    return parts.select((F.col("entry_id") * 100_000 + F.col("ordinal")).alias("passage_id"), "entry_id", "ordinal", F.when(F.col("ordinal") == 0, "title").otherwise("content").alias("source"), "text")
