@@ -317,11 +317,11 @@ def _decide(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def tiles(members: DataFrame, percent: int) -> DataFrame:
+def tiles(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """lead, low, high, block, doc_id, n, component: each document once for each tile of its group that it belongs to."""
     step = F.log(F.lit(100 / percent))
     members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step + 1e-9).cast("long"))
-    sizes = members.groupBy("lead", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    sizes = scratch.table(members.groupBy("lead", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks")))
     number = lambda band, part: band * (1 << 40) + part
     own = members.join(sizes, ["lead", "band"]).withColumn("block", number(F.col("band"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")))).drop("blocks")
     beside = own.withColumn("other_band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -333,16 +333,16 @@ def tiles(members: DataFrame, percent: int) -> DataFrame:
 def star_links(docs: DataFrame, members: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """Links (a, b) of each document with its smallest lead of another component."""
     parts = _parts(docs)
-    leads = members.filter("lead = doc_id").select("lead", F.col("component").alias("of_lead"), F.col("n").alias("n_lead")).distinct()
+    leads = members.filter("lead = doc_id").select("lead", F.col("component").alias("of_lead"), F.col("n").alias("n_lead"))
     near = 100 * F.least("n", "n_lead") >= percent * F.greatest("n", "n_lead")
-    stars = members.filter("lead <> doc_id").join(leads, "lead").filter((F.col("component") != F.col("of_lead")) & near)
+    stars = members.filter("lead <> doc_id").join(leads.hint("merge"), "lead").filter((F.col("component") != F.col("of_lead")) & near)
     stars = scratch.table(stars.groupBy("doc_id").agg(F.min("lead").alias("lead"), F.max("n").alias("n")))
-    blocks = stars.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    blocks = scratch.table(stars.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks")))
     others = stars.join(blocks, "lead").select("lead", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"), "doc_id")
     firsts = blocks.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("doc_id"))
     rows = scratch.table(others.unionByName(firsts))
-    scratch.drop(stars)
-    rows_of = likely(docs, rows).join(rows, "doc_id").withColumn("later", F.col("doc_id") != F.col("lead"))
+    scratch.drop(stars, blocks)
+    rows_of = likely(docs, rows).join(rows.hint("merge"), "doc_id").withColumn("later", F.col("doc_id") != F.col("lead"))
     found = rows_of.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", "later").select("lead", "block", "doc_id", "text")
     found = scratch.table(found.mapInArrow(partial(_stars, k=k, percent=percent), "a long, b long"))
     scratch.drop(rows)
@@ -352,13 +352,16 @@ def star_links(docs: DataFrame, members: DataFrame, scratch: Scratch, k: int, pe
 def group_links(docs: DataFrame, members: DataFrame, bits: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFrame:
     """Links (a, b) among the documents of a group that are of several components."""
     parts = _parts(docs)
-    mixed = members.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("lead")
-    members = scratch.table(members.join(mixed, "lead", "left_semi"))
+    members = scratch.table(members)
+    # A table of its own, as are all sums that members are joined with: then both sides are dealt anew, and Spark can split a large group.
+    mixed = scratch.table(members.groupBy("lead").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("lead"))
+    all_, members = members, scratch.table(members.join(mixed, "lead", "left_semi"))
+    scratch.drop(all_, mixed)
     key = ["lead", "low", "high"]
-    screened = tiles(members, percent).join(bits.select("doc_id", "bits"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
+    screened = tiles(members, percent, scratch).join(bits.select("doc_id", "bits").hint("merge"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
     screened = scratch.table(screened.mapInArrow(partial(_screen, percent=percent), "lead long, low long, high long, block long, doc_id long, n long, component long"))
     scratch.drop(members)
-    exact = likely(docs, screened).join(screened, "doc_id").select(*key, "block", "doc_id", "component", "text")
+    exact = likely(docs, screened).join(screened.hint("merge"), "doc_id").select(*key, "block", "doc_id", "component", "text")
     out = scratch.table(exact.repartition(parts, *key).sortWithinPartitions(*key, "doc_id").mapInArrow(partial(_decide, k=k, percent=percent), "a long, b long"))
     scratch.drop(screened)
     return out
@@ -396,7 +399,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     # What a set shows beyond its prefix makes up for shared shingles: with no more of these the prefix has none.
     alive = shown.groupBy("doc_id", "n").agg(F.count("*").alias("shared"), F.min("spare").alias("spare")).filter("shared > spare").select("doc_id", "n")
     alive = scratch.table(_with_component(alive, same))
-    cells = shown.select("key", "doc_id", "n").join(alive, ["doc_id", "n"]).repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id")
+    cells = shown.select("key", "doc_id", "n").join(alive.hint("merge"), ["doc_id", "n"]).repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id")
     members = cells.select("key", "doc_id", "n", "component").mapInArrow(partial(_cells, percent=percent), "lead long, doc_id long, n int, component long").distinct()
     members = scratch.table(members.withColumn("n", F.col("n").cast("long")))
     scratch.drop(shown, alive)
