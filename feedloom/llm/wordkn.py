@@ -8,13 +8,18 @@ belong to one word or one pair:
     sum over words of log p(w) + log(T(w) / total(w)), and over known pairs of log(1 + (c - D(c)) / (T(first) * p(second)))
 
 so a text never has to meet the whole model: its words and pairs go to the shards that hold them, each shard looks up
-its own, and the sums come back. A key is 48 bits of a hash and belongs to the shard of its leading bits. What goes to
-a shard is packed: sorted keys by their steps, and per key the document's number and count.
+its own, and the sums come back. Words and pairs are 48 bits of a hash and belong to the shard of their leading bits. What
+tasks and shards send each other is packed: sorted keys by their steps, and counts in as few bytes as they need.
 
-Tasks count pairs in chunks of ``HELD``, so their memory is bounded; a chunk lists a word once a shard and writes pairs as
-places in that list. Statistics of words are joined as rows, one for each word and shard. Shards hold about
-``SHARD_BYTES`` of text, so there are more of them with more input. Look-ups go in ``WAVES`` of shards, one after the other,
-which holds what is on disk at once to a part of it.
+The steps, each one pass of a table of packs:
+
+1. Tasks count pairs in chunks of ``HELD``, so their memory is bounded, and send them to the pairs' shards.
+2. A shard sums its pairs. For each of its words it sends what it knows (its pairs once, twice and more often seen, their
+   total, the words it follows) to the word's own shard.
+3. A word's shard sums that, and sends the sums back to all who asked.
+4. Texts go to the shards in ``WAVES``, dealt by hash, which holds what is on disk at once to a part of it.
+
+Shards hold about ``SHARD_BYTES`` of text, so there are more of them with more input; up to ``WORD_SHARDS`` of them own words.
 """
 
 from __future__ import annotations
@@ -32,24 +37,23 @@ from feedloom.llm.common import Scratch
 from feedloom.llm.textvec import Words, mix, signed, words
 
 U = np.uint64
-HELD = 3_000_000
-SHARD_BYTES = 16 << 20
+HELD = 2_000_000
+SHARD_BYTES, WORD_SHARDS = 16 << 20, 256
 WAVES = 4
-#: The hashes that stand before and after a text.
-START, END = U(0x57A27ED057A27ED0), U(0x7E57ED0F7E57ED0F)
-_ONE, _TWO = U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)
 KEY_BITS = 48
-#: Texts of a chunk are numbered with the 16 bits that a key leaves.
+#: What is left of a long: it numbers the texts of a chunk.
+REST = U(64 - KEY_BITS)
 TEXTS = 1 << (64 - KEY_BITS)
-STATS = ("total", "one", "two", "more", "follows")
+#: The words that stand before and after a text.
+START, END = U(0x57A27ED057A2), U(0x7E57ED0F7E57)
+_ONE, _TWO = U(0x9FB21C651E98DF25), U(0xD6E8FEB86659FD93)
+#: What rows are: a shard's pairs, what a shard knows of words, the sums of it, a word shard's words, texts' pairs and words, about texts.
+PAIRS, KNOWN, SUMS, OWN, TEXT_PAIRS, TEXT_WORDS, ABOUT = range(7)
+MESSAGE = "shard long, kind int, source long, pack binary"
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * _ONE ^ mix(second + _TWO)) >> U(64 - KEY_BITS)
-
-
-def word_key(word: np.ndarray) -> np.ndarray:
-    return mix(word ^ _TWO) >> U(64 - KEY_BITS)
+    return mix(first * _ONE ^ mix(second + _TWO)) >> REST
 
 
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
@@ -87,15 +91,28 @@ def chains(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.diff(w.bounds) + 1
     row = np.repeat(np.arange(n), size)
     second = np.full(len(row), END, U)
-    second[np.arange(len(w.hash)) + np.repeat(np.arange(n), size - 1)] = w.hash
+    second[np.arange(len(w.hash)) + np.repeat(np.arange(n), size - 1)] = w.hash >> REST
     first = np.full(len(row), START, U)
     first[1:] = second[:-1]
     first[np.cumsum(size) - size] = START
     return first, second, row
 
 
+def _message(shards, kind: int, source, packs: list[bytes]) -> pa.RecordBatch:
+    n = len(packs)
+    source = np.full(n, source, np.int64) if np.isscalar(source) else np.asarray(source, np.int64)
+    return pa.record_batch([pa.array(np.asarray(shards, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.array(source), pa.array(packs, pa.binary())], ["shard", "kind", "source", "pack"])
+
+
+def _by_shard(shards: int, key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The shards that sorted keys belong to, and a pack for each."""
+    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1, dtype=U))
+    numbers = np.flatnonzero(cut[1:] > cut[:-1])
+    return numbers, [pack(key[cut[s] : cut[s + 1]], *(small(c[cut[s] : cut[s + 1]]) for c in columns)) for s in numbers]
+
+
 def _count(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """text to (shard, pack): distinct pairs of a chunk with their counts, by shard."""
+    """text to packs: the distinct pairs of a chunk with their counts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -105,7 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
         first, second = first[at], second[at]
         cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1, dtype=U))
         numbers = np.flatnonzero(cut[1:] > cut[:-1])
-        return pa.record_batch([pa.array(numbers, pa.int64()), pa.array([_pairs(first[cut[s] : cut[s + 1]], second[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]) for s in numbers], pa.binary())], ["shard", "pack"])
+        return _message(numbers, PAIRS, 0, [_pairs(first[cut[s] : cut[s + 1]], second[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]) for s in numbers])
 
     for batch in batches:
         for w in words(batch.column("text")):
@@ -119,13 +136,16 @@ def _count(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
         yield out()
 
 
+def _join(*packs: bytes) -> bytes:
+    return len(packs[0]).to_bytes(8, "little") + b"".join(packs)
+
+
 def _pairs(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> bytes:
     """Two packs: the words, and the pairs as places among them."""
     known, place = np.unique(np.concatenate([first, second]), return_inverse=True)
     pair = (place[: len(first)].astype(U) << U(32)) | place[len(first) :].astype(U)
     order = np.argsort(pair)
-    pair, one = pair[order], pack(known)
-    return len(one).to_bytes(8, "little") + one + pack(pair >> U(32), small(pair & U(0xFFFFFFFF)), small(n[order]))
+    return _join(pack(known), pack(pair[order] >> U(32), small(pair[order] & U(0xFFFFFFFF)), small(n[order])))
 
 
 def _unpairs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,9 +172,21 @@ def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int,
         yield value, pa.Table.from_batches(held)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each shard a row with its pack and how many pairs occur once to four times (in ``total`` to ``more``), and a row for each word."""
-    names = ["shard", "word", *STATS, "pack"]
+def _times(n: np.ndarray) -> list[int]:
+    return [int((n == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _told(message: pa.RecordBatch, *numbers: int) -> pa.RecordBatch:
+    """A message with the same six numbers in each row: sums for the whole model."""
+    values = [*numbers, *[0] * (6 - len(numbers))]
+    return pa.record_batch([*message.columns, *(pa.array(np.full(message.num_rows, x, np.int64)) for x in values)], [*message.schema.names, *(f"n{i}" for i in range(1, 7))])
+
+
+TOLD = MESSAGE + ", n1 long, n2 long, n3 long, n4 long, n5 long, n6 long"
+
+
+def _merge(batches: Iterator[pa.RecordBatch], word_shards: int) -> Iterator[pa.RecordBatch]:
+    """Of each shard its pairs (with how many occur once to four times), and what it knows of words, for their shards."""
     for shard, rows in _runs(batches, "shard"):
         parts = [_unpairs(x.as_py()) for x in rows.column("pack")]
         known = np.unique(np.concatenate([p[0] for p in parts]))
@@ -166,16 +198,28 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(inverse, np.concatenate(counts), len(pair)).astype(np.int64)
         first, second = (pair >> U(32)).astype(np.int64), (pair & U(0xFFFFFFFF)).astype(np.int64)
-        one = pack(known)
-        packed = len(one).to_bytes(8, "little") + one + pack(first.astype(U), small(second), small(n))
-        times = [int((n == i).sum()) for i in (1, 2, 3, 4)]
-        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([None], pa.int64()), *(pa.array([x], pa.int64()) for x in (*times, 0)), pa.array([packed], pa.binary())], names)
-        of = lambda where, weight=None: np.bincount(where, weight, len(known)).astype(np.int64)
-        stats = [of(first, n), of(first[n == 1]), of(first[n == 2]), of(first[n > 2]), of(second)]
-        for i in range(0, len(known), 100_000):
-            part = slice(i, i + 100_000)
-            size = len(known[part])
-            yield pa.record_batch([pa.array(np.full(size, shard)), pa.array(signed(known[part])), *(pa.array(x[part]) for x in stats), pa.nulls(size, pa.binary())], names)
+        yield _told(_message([shard], PAIRS, 0, [_join(pack(known), pack(first.astype(U), small(second), small(n)))]), *_times(n))
+        of = lambda where, weight=None: np.bincount(where, weight, len(known)).astype(np.int64)  # noqa: E731, B023
+        numbers, packs = _by_shard(word_shards, known, of(first, n), of(first[n == 1]), of(first[n == 2]), of(first[n > 2]), of(second))
+        yield _told(_message(numbers, KNOWN, shard, packs))
+
+
+def _sum_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of word shard: the sums for each shard that asked (in the order of its words), and the words for the shards
+    of their keys, with the totals of the smoothing: pairs' types, words that follow any, and how many follow one to four."""
+    for _, rows in _runs(batches, "shard"):
+        parts = [unpack(x.as_py()) for x in rows.column("pack")]
+        known = np.unique(np.concatenate([p[0] for p in parts]))
+        sums = [np.zeros(len(known), np.int64) for _ in range(5)]
+        places = [np.searchsorted(known, p[0]) for p in parts]
+        for at, p in zip(places, parts, strict=True):
+            for total, x in zip(sums, p[1:], strict=True):
+                total[at] += x
+        yield _told(_message(rows.column("source").to_numpy(), SUMS, 0, [pack(p[0], *(small(x[at]) for x in sums)) for at, p in zip(places, parts, strict=True)]))
+        follows = sums[4]
+        told = [int(follows.sum()), int((follows > 0).sum()), *_times(follows)]
+        for i, (number, packed) in enumerate(zip(*_by_shard(shards, known, *sums), strict=True)):
+            yield _told(_message([number], OWN, 0, [packed]), *(told if i == 0 else ()))
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -187,218 +231,164 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
     return tuple(min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3), strict=True))
 
 
+class Smoothing:
+    """The numbers that hold for the whole model: discounts of pairs and of words, and the share of an unknown word."""
+
+    def __init__(self, of_pairs: tuple, types: int, known: int, *times: int):
+        self.pairs, self.words, self.types = np.array([0.0, *discounts(*of_pairs)]), np.array([0.0, *discounts(*times)]), types
+        taken = float(self.words[1:] @ np.array([times[0], times[1], known - times[0] - times[1]]))
+        self.unknown = taken / types / (known + 1) if types else 1.0
+
+    def taken(self, one: np.ndarray, two: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return self.pairs[1] * one + self.pairs[2] * two + self.pairs[3] * more
+
+    def p(self, follows: np.ndarray) -> np.ndarray:
+        return (follows - self.words[np.minimum(follows, 3).astype(np.int64)]) / max(self.types, 1) + self.unknown
+
+
 class PairModel:
     """Counts of word pairs by shard, and what is known of each word."""
 
     def __init__(self, texts: DataFrame, size: int, scratch: Scratch):
         """texts: text. size: bytes of all the text that will be scored, for the number of shards."""
         self.scratch = scratch
-        self.spark = texts.sparkSession
-        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        self.parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         self.shards = max(self.parts, int(size) // SHARD_BYTES + 1)
-        self.schema = ", ".join(["shard long", "word long", *(f"{c} long" for c in STATS), "pack binary"])
-        packs = texts.select("text").mapInArrow(partial(_count, shards=self.shards), "shard long, pack binary")
-        self.rows = scratch.table(packs.repartition(self.parts, "shard").sortWithinPartitions("shard").mapInArrow(_merge, self.schema))
-        times = self.rows.filter("word IS NULL").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in STATS[:4])).first()
-        self.of_pairs = discounts(*times)
-        found = self.rows.filter("word IS NOT NULL").groupBy("word").agg(*(F.sum(c).alias(c) for c in STATS))
-        self.words = scratch.table(found)
-        f = F.col("follows")
-        types, known, *times = self.words.agg(F.coalesce(F.sum(f), F.lit(0)), F.count_if(f > 0), *(F.count_if(f == i) for i in (1, 2, 3, 4))).first()
-        self.types = types
-        d = self.of_words = discounts(*times)
-        taken = sum(x * n for x, n in zip(d, (times[0], times[1], known - times[0] - times[1]), strict=True))
-        self.unknown = taken / types / (known + 1) if types else 1.0
+        word_shards = min(self.shards, max(WORD_SHARDS, self.parts))
+        packs = texts.select("text").mapInArrow(partial(_count, shards=self.shards), MESSAGE)
+        self.pairs = scratch.table(self._dealt(packs).mapInArrow(partial(_merge, word_shards=word_shards), TOLD))
+        known = self._dealt(self.pairs.filter(F.col("kind") == KNOWN).select("shard", "kind", "source", "pack"))
+        self.words = scratch.table(known.mapInArrow(partial(_sum_words, shards=self.shards), TOLD))
+        self.smoothing = Smoothing(self._told(self.pairs, PAIRS)[:4], *self._told(self.words, OWN))
+
+    def _dealt(self, messages: DataFrame) -> DataFrame:
+        return messages.repartition(self.parts, "shard").sortWithinPartitions("shard", "kind")
 
-    def values(self) -> DataFrame:
-        """word, taken (T), p, total."""
-        f, d, e = F.col("follows"), self.of_words, self.of_pairs
-        own = f - F.when(f == 1, d[0]).when(f == 2, d[1]).when(f > 2, d[2]).otherwise(0.0)
-        taken = F.col("one") * e[0] + F.col("two") * e[1] + F.col("more") * e[2]
-        return self.words.select("word", taken.alias("taken"), (own / F.lit(float(self.types or 1)) + F.lit(self.unknown)).alias("p"), F.col("total").cast("double").alias("total"))
+    @staticmethod
+    def _told(table: DataFrame, kind: int) -> tuple:
+        return tuple(table.filter(F.col("kind") == kind).agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(1, 7))).first())
 
     def score(self, docs: DataFrame, carried: str) -> DataFrame:
-        """The columns ``carried`` (name and type each) of docs, n (its words and the end) and loglik, a row for each row. docs has text too, and
-        must be read from a table, as every wave numbers its rows by partition and place."""
-        names = [c.split()[0] for c in carried.split(", ")]
-        docs = docs.withColumn("split", F.spark_partition_id().cast("long"))
-        values, message, sums = self.values(), "shard long, kind int, chunk long, pack binary", None
+        """The columns ``carried`` (name and type each) of docs (which has text too), n (its words and the end) and loglik, a row for each row."""
+        names, columns = [c.split()[0] for c in carried.split(", ")], ["shard", "kind", "source", "pack"]
+        model = self.pairs.filter(F.col("kind") == PAIRS).select(*columns).unionByName(self.words.select(*columns))
+        docs = docs.withColumn("_wave", F.pmod(F.xxhash64("text", *names), F.lit(WAVES))).withColumn("_split", F.spark_partition_id().cast("long"))
+        out = None
         for wave in range(WAVES):
-            low, high = wave * self.shards // WAVES, (wave + 1) * self.shards // WAVES
-            inside = F.col("shard").between(low, high - 1)
-            pairs = self.rows.filter(inside & F.col("word").isNull()).select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "pack")
-            asked = self.rows.filter(inside & F.col("word").isNotNull()).select("word", "shard").join(values, "word").mapInArrow(_pack_words, message)
-            own = values.mapInArrow(partial(_pack_own, shards=self.shards, low=low, high=high, unknown=self.unknown), message)
-            sent = docs.mapInArrow(partial(_look_ups, shards=self.shards, low=low, high=high), message)
-            dealt = pairs.unionByName(asked).unionByName(own).unionByName(sent).repartition(self.parts, "shard").sortWithinPartitions("shard", "kind")
-            part = dealt.mapInArrow(partial(_sum_up, discounts_of=self.of_pairs), "chunk long, pack binary")
-            part = part.repartition(self.parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_by_text, "chunk long, place int, loglik double")
-            part = self.scratch.table(part)
-            sums = part if sums is None else sums.unionByName(part)
-        about = docs.mapInArrow(partial(_about, names=names), f"chunk long, place int, n long, {carried}")
-        out = about.join(sums.groupBy("chunk", "place").agg(F.sum("loglik").alias("loglik")), ["chunk", "place"], "left")
-        return out.select(*names, "n", (F.coalesce("loglik", F.lit(0.0)) + F.col("n") * F.lit(float(np.log(self.unknown)))).alias("loglik"))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[pa.RecordBatch, Words]]]]:
-    """The number of each chunk, and its rows with their words: as many texts as there are numbers, and about HELD words, at most."""
-    number, held, size, texts = None, [], 0, 0
+            sent = docs.filter(F.col("_wave") == wave).drop("_wave").mapInArrow(partial(_look_ups, shards=self.shards, names=names), MESSAGE)
+            found = self._dealt(model.unionByName(sent)).mapInArrow(partial(_sum_up, smoothing=self.smoothing), "source long, kind int, pack binary")
+            by_text = found.repartition(self.parts, "source").sortWithinPartitions("source")
+            part = self.scratch.table(by_text.mapInArrow(partial(_by_text, names=names, unknown=self.smoothing.unknown), f"{carried}, n long, loglik double"))
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
+def _look_ups(batches: Iterator[pa.RecordBatch], shards: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of each chunk of texts the packs of (pair or word, text's place, count), and one about the texts, which goes along with a shard."""
+    chunk, pairs, singles, about, texts, size = None, [], [], [], 0, 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for kind, found in ((TEXT_PAIRS, pairs), (TEXT_WORDS, singles)):
+            both, n = np.unique(np.concatenate(found), return_counts=True)
+            numbers, packs = _by_shard(shards, both >> REST, both & U(TEXTS - 1), n)
+            yield _message(numbers, kind, chunk, packs)
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(about)
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        yield _message([chunk % shards], ABOUT, chunk, [zstandard.compress(sink.getvalue().to_pybytes(), 1)])
+
     for batch in batches:
-        if number is None and batch.num_rows:
-            number = batch.column("split")[0].as_py() << 32
         for a in range(0, batch.num_rows, TEXTS // 2):
             piece = batch.slice(a, TEXTS // 2)
+            if chunk is None:
+                chunk = piece.column("_split")[0].as_py() << 32
             for w in words(piece.column("text")):
                 n = w.last - w.first
-                if held and (size > HELD or texts + n > TEXTS):
-                    yield number, held
-                    number, held, size, texts = number + 1, [], 0, 0
-                held.append((piece.slice(w.first, n), w))
-                size += len(w.hash) + n
+                if about and (size > HELD or texts + n > TEXTS):
+                    yield from out()
+                    chunk, pairs, singles, about, texts, size = chunk + 1, [], [], [], 0, 0
+                first, second, row = chains(w)
+                text = U(texts) + row.astype(U)
+                begin = first == START
+                pairs.append((pair_key(first, second) << REST) | text)
+                singles.append((second << REST) | text)
+                singles.append((first[begin] << REST) | text[begin])
+                rows = piece.slice(w.first, n)
+                about.append(pa.record_batch([pa.array(np.diff(w.bounds) + 1), *(rows.column(c) for c in names)], ["n", *names]))
                 texts += n
-    if held:
-        yield number, held
-
-
-def _about(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """chunk, place, n and the columns ``names`` of each text."""
-    for number, held in _chunks(batches):
-        place = 0
-        for rows, w in held:
-            n = rows.num_rows
-            yield pa.record_batch([pa.array(np.full(n, number)), pa.array(np.arange(place, place + n, dtype=np.int32)), pa.array(np.diff(w.bounds) + 1), *(rows.column(c) for c in names)], ["chunk", "place", "n", *names])
-            place += n
-
-
-def _look_ups(batches: Iterator[pa.RecordBatch], shards: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Of each chunk the packs of (key, text's place, count) for the shards from ``low`` on below ``high``."""
-    for number, held in _chunks(batches):
-        place, found = 0, []
-        for _, w in held:
-            first, second, row = chains(w)
-            begin = first == START
-            text = U(place) + row.astype(U)
-            key = np.concatenate([pair_key(first, second), word_key(second), word_key(first[begin])])
-            text = np.concatenate([text, text, text[begin]])
-            shard = shard_of(key, shards)
-            inside = (shard >= U(low)) & (shard < U(high))
-            found.append((key[inside] << U(64 - KEY_BITS)) | text[inside])
-            place += w.last - w.first
-        both, n = np.unique(np.concatenate(found), return_counts=True)
-        key, text, n = both >> U(64 - KEY_BITS), (both & U(TEXTS - 1)).astype(np.uint16), small(n)
-        numbers, packs = _by_shard(shards, low, high, key, text, n)
-        yield _message(numbers, 3, number, packs)
-
-
-def _by_shard(shards: int, low: int, high: int, key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The shards from ``low`` on below ``high`` that sorted keys belong to, and a pack for each."""
-    cut = np.searchsorted(shard_of(key, shards), np.arange(low, high + 1, dtype=U))
-    numbers = np.flatnonzero(cut[1:] > cut[:-1])
-    return numbers + low, [pack(*(c[cut[s] : cut[s + 1]] for c in (key, *columns))) for s in numbers]
-
-
-def _message(shards, kind: int, chunk: int, packs: list[bytes]) -> pa.RecordBatch:
-    n = len(packs)
-    return pa.record_batch([pa.array(shards, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, chunk, np.int64)), pa.array(packs, pa.binary())], ["shard", "kind", "chunk", "pack"])
-
-
-def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, word, taken, p): packs of kind 1, sorted by word."""
-    held: dict[int, list] = {}
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        packs = []
-        for parts in held.values():
-            word, taken, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(word)
-            packs.append(pack(word[order], taken[order], p[order]))
-        made = _message(list(held), 1, 0, packs)
-        held.clear()
-        return made
-
-    for batch in batches:
-        shard = batch.column("shard").to_numpy()
-        order = np.argsort(shard, kind="stable")
-        columns = [batch.column("word").to_numpy().view(U)[order], *(batch.column(c).to_numpy()[order] for c in ("taken", "p"))]
-        found, at = np.unique(shard[order], return_index=True)
-        for s, a, b in zip(found.tolist(), at, [*at[1:], len(shard)], strict=True):
-            held.setdefault(s, []).append([c[a:b] for c in columns])
-        size += len(shard)
-        if size > 1_000_000:
-            yield out()
-            size = 0
-    yield out()
-
-
-def _pack_own(batches: Iterator[pa.RecordBatch], shards: int, low: int, high: int, unknown: float) -> Iterator[pa.RecordBatch]:
-    """(word, taken, p, total): packs of kind 2 with what each word adds to a text's logarithm besides that of an unknown word."""
-    for batch in batches:
-        word = batch.column("word").to_numpy().view(U)
-        taken, p, total = (batch.column(c).to_numpy() for c in ("taken", "p", "total"))
-        value = np.where(word == START, 0.0, np.log(p) - np.log(unknown)) + np.where(total > 0, np.log(np.maximum(taken, 1e-300) / np.maximum(total, 1)), 0.0)
-        key = word_key(word)
+                size += len(first)
+    if about:
+        yield from out()
+
+
+def _found(tables: list[bytes]) -> list[np.ndarray]:
+    """Packs of one shape, one after the other, sorted by their first column."""
+    columns = [np.concatenate(x) for x in zip(*map(unpack, tables), strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
+def _values(pairs: list[bytes], sums: list[bytes], own: list[bytes], s: Smoothing) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """What the pairs and the words of a shard add to a text's logarithm, besides that of an unknown word."""
+    out = {TEXT_PAIRS: (np.zeros(0, U), np.zeros(0)), TEXT_WORDS: (np.zeros(0, U), np.zeros(0))}
+    if pairs:
+        word, _, one, two, more, follows = _found(sums)
+        # A word's sums come once from its own shard for each shard that asked; here they are in the order of the shard's words.
+        known, first, second, n = _unpairs(pairs[0])
+        taken, p = s.taken(one, two, more), s.p(follows)
+        at = np.searchsorted(word, known)
+        key = pair_key(known[first], known[second])
+        value = np.log1p((n - s.pairs[np.minimum(n, 3)]) / (taken[at][first] * p[at][second]))
         order = np.argsort(key)
-        numbers, packs = _by_shard(shards, low, high, key[order], value[order])
-        yield _message(numbers, 2, 0, packs)
+        out[TEXT_PAIRS] = key[order], value[order]
+    if own:
+        word, total, one, two, more, follows = _found(own)
+        left = np.where(total > 0, s.taken(one, two, more) / np.maximum(total, 1), 1.0)
+        out[TEXT_WORDS] = word, np.where(word == START, 0.0, np.log(s.p(follows)) - np.log(s.unknown)) + np.log(left)
+    return out
 
 
-def _sum_up(batches: Iterator[pa.RecordBatch], discounts_of: tuple) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of shard, kind: of each chunk's look-ups (texts' numbers, sums of the values found)."""
-    d = np.array([0.0, *discounts_of])
-    shard, pairs, about, own, keys, values = None, [], [], [], None, None
+def _sum_up(batches: Iterator[pa.RecordBatch], smoothing: Smoothing) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of shard, kind: of each chunk's look-ups (texts' places, sums of the values found); what is about texts goes on."""
+    shard, model, values = None, {}, None
     for batch in batches:
-        chunks, packs = [], []
-        for s, kind, chunk, packed in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "chunk", "pack")), strict=True):
+        chunks, kinds, packs = [], [], []
+        for s, kind, source, packed in zip(*(batch.column(c) for c in ("shard", "kind", "source", "pack")), strict=True):
+            s, kind, source, packed = s.as_py(), kind.as_py(), source.as_py(), packed.as_py()
             if s != shard:
-                shard, pairs, about, own, keys = s, [], [], [], None
-            if kind < 3:
-                (pairs, about, own)[kind].append(packed)
-                continue
-            if keys is None:
-                keys, values = _values(pairs, about, own, d)
-                pairs, about, own = [], [], []
-            key, text, n = unpack(packed)
-            if not len(keys):
+                shard, model, values = s, {PAIRS: [], SUMS: [], OWN: []}, None
+            if kind < TEXT_PAIRS:
+                model[kind].append(packed)
                 continue
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            sums = np.bincount(text[hit], values[at[hit]] * n[hit])
-            texts = np.unique(text[hit])
-            if len(texts):
-                chunks.append(chunk)
-                packs.append(pack(texts, sums[texts]))
-        yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array(packs, pa.binary())], ["chunk", "pack"])
-
-
-def _values(pairs: list[bytes], about: list[bytes], own: list[bytes], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of a shard's pairs and words, and what each adds to a text's logarithm."""
-    keys, values = zip(*map(unpack, own), strict=True) if own else ([], [])
-    keys, values = list(keys), list(values)
-    if about:
-        word, taken, p = (np.concatenate(x) for x in zip(*map(unpack, about), strict=True))
-        order = np.argsort(word)
-        word, taken, p = word[order], taken[order], p[order]
-        for packed in pairs:
-            known, first, second, n = _unpairs(packed)
-            at = np.searchsorted(word, known)
-            keys.append(pair_key(known[first], known[second]))
-            values.append(np.log1p((n - d[np.minimum(n, 3)]) / (taken[at][first] * p[at][second])))
-    if not keys:
-        return np.zeros(0, U), np.zeros(0)
-    keys, values = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
-def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of chunk: chunk, place, sum."""
-    for chunk, rows in _runs(batches, "chunk"):
-        total = np.zeros(TEXTS)
-        seen = np.zeros(TEXTS, bool)
-        for packed in rows.column("pack"):
-            text, value = unpack(packed.as_py())
-            total[text] += value
-            seen[text] = True
-        place = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(np.full(len(place), chunk)), pa.array(place.astype(np.int32)), pa.array(total[place])], ["chunk", "place", "loglik"])
+            if kind != ABOUT:
+                if values is None:
+                    values, model = _values(model[PAIRS], model[SUMS], model[OWN], smoothing), {}
+                (keys, value), (key, text, n) = values[kind], unpack(packed)
+                if not len(keys):
+                    continue
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                if not hit.any():
+                    continue
+                sums = np.bincount(text[hit], value[at[hit]] * n[hit])
+                texts = np.unique(text[hit])
+                packed = pack(texts, sums[texts])
+            chunks.append(source)
+            kinds.append(kind)
+            packs.append(packed)
+        yield pa.record_batch([pa.array(chunks, pa.int64()), pa.array(kinds, pa.int32()), pa.array(packs, pa.binary())], ["source", "kind", "pack"])
+
+
+def _by_text(batches: Iterator[pa.RecordBatch], names: list[str], unknown: float) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of chunk: the texts with the sums of their values."""
+    for _, rows in _runs(batches, "source"):
+        total, about = np.zeros(TEXTS), None
+        for kind, packed in zip(rows.column("kind").to_pylist(), rows.column("pack"), strict=True):
+            if kind == ABOUT:
+                about = pa.ipc.open_stream(zstandard.decompress(packed.as_py())).read_all()
+            else:
+                text, value = unpack(packed.as_py())
+                total[text] += value
+        n = about.column("n").to_numpy()
+        yield from pa.table([*(about.column(c) for c in names), pa.array(n), pa.array(total[: len(n)] + n * np.log(unknown))], [*names, "n", "loglik"]).to_batches()
