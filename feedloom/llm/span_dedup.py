@@ -1,14 +1,17 @@
 """Substring dedup on sliding sentence spans.
 
-A sentence ends at a line feed or at a word whose last character is ``.``, ``!`` or ``?``. From every sentence
-starts one span: the shortest run of consecutive sentences that has ``min_words`` words, so usually several
-sentences, and a single one only if it is that long. Spans are compared by the hash of their lower-cased words.
-All documents' spans meet by hash; every occurrence but the first (smallest doc_id, then the earliest) is removed,
-that is, each sentence that any such span covers.
+A sentence ends at a line feed or at a word whose last character is ``.``, ``!`` or ``?``. Spans are runs of consecutive
+sentences: from every sentence on the shortest run that has ``min_words`` words, and up to every sentence the shortest
+such run that ends there. So every sentence of a passage of that many words that repeats lies in a span that repeats.
+A run is usually several sentences, and a single one only if it is that long. Longer runs need no hash of their own: each
+is made of these. Spans are compared by the hash of their lower-cased words. All documents' spans meet by hash; every
+occurrence but the first (smallest doc_id, then the earliest) is removed, that is, each sentence that any such span covers.
 
 Defined cases: null and empty texts, and texts with fewer than ``min_words`` words, are left as they are. Rows that
 repeat a doc_id are one document, so they don't count against each other; rows with a null doc_id are compared with
-themselves only. Text outside removed sentences stays as it is to the byte.
+themselves only. Text outside removed sentences stays as it is to the byte. An empty table gives no rows; a very long text
+has a span or two a sentence like any other. Of equal spans of one document the earliest counts as first. Columns of any
+name pass through ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import free, id_text
+from feedloom.llm.common import cut, free, id_text
 from feedloom.llm.textvec import Words, sequences, signed, words
 
 MIN_WORDS = 20
@@ -43,16 +46,20 @@ def sentences(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def spans(w: Words, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, first sentence, sentence after the last, hash) of each row's spans."""
+    """(row, first sentence, sentence after the last, hash) of each row's spans, in the order of first sentences."""
     begin, end, at = sentences(w)
-    last = np.searchsorted(end, begin + min_words)  # the sentence in which the span is long enough
-    limit = np.repeat(at[1:], np.diff(at))
-    own = np.flatnonzero(last < limit)
-    hashed = sequences(w, begin[own], end[last[own]])
-    cut = np.searchsorted(own, at)
+    many, every = len(begin), np.arange(len(begin))
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    last = np.searchsorted(end, begin + min_words)  # the sentence in which a span from here is long enough
+    first = np.searchsorted(begin, end - min_words, "right") - 1  # and from which one up to here is
+    on, up = last < at[1:][row], first >= at[:-1][row]
+    both = np.unique(np.concatenate([every[on] * many + last[on], first[up] * many + every[up]]))
+    first, last = np.divmod(both, max(many, 1))
+    hashed = sequences(w, begin[first], end[last])
+    bounds = np.searchsorted(first, at)
     for i in range(len(w.bounds) - 1):
-        mine = slice(cut[i], cut[i + 1])
-        yield w.first + i, own[mine] - at[i], last[own[mine]] - at[i] + 1, hashed[mine]
+        mine = slice(bounds[i], bounds[i + 1])
+        yield w.first + i, first[mine] - at[i], last[mine] - at[i] + 1, hashed[mine]
 
 
 def _emit(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -110,6 +117,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, marks: the spans of each document of which a document with a smaller id has a copy."""
     found = id_text(docs).mapInArrow(partial(_emit, min_words=min_words), "key long, doc_id long, start int, stop int")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
+    shared = cut(shared)  # so that both sides of the join are dealt anew, and a key of very many documents can be split
     later = found.join(shared, "key").filter("doc_id > first")
     return later.groupBy("doc_id").agg(F.flatten(F.collect_set(F.array("start", "stop"))).alias("marks"))
 

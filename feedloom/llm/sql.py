@@ -27,7 +27,9 @@ sentences AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) +
 counted AS (SELECT doc_id, i, raw, list_transform(regexp_extract_all(raw, '[^{_W}]+'), lambda w: {LOWER.format("w")}) AS w FROM sentences),
 summed AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM counted),
 ends AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.total >= a.total - len(a.w) + 20 GROUP BY 1, 2),
-spans AS (SELECT e.doc_id, e.i, e.j, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS key FROM ends e JOIN counted s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY 1, 2, 3),
+starts AS (SELECT a.doc_id, max(b.i) AS i, a.i AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.total - b.total + len(b.w) >= 20 GROUP BY 1, 3),
+runs AS (SELECT doc_id, i, j FROM ends UNION SELECT doc_id, i, j FROM starts),
+spans AS (SELECT e.doc_id, e.i, e.j, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS key FROM runs e JOIN counted s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY 1, 2, 3),
 later AS (SELECT doc_id, i, j FROM spans QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
 kept AS (SELECT c.doc_id, count(*) AS n, count(g.i) AS removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN c.raw END, '' ORDER BY c.i), '') AS text FROM counted c LEFT JOIN gone g USING (doc_id, i) GROUP BY 1)
