@@ -2,31 +2,37 @@
 
 Pages of a host are merged into one tree of elements: an element is the path of tags, classes and ids that leads to it.
 Over the pages that have an element, its presentation is the sequence of its children's tags, and its content are the
-text blocks and link targets below it. Importance follows from entropy: an element that looks alike and says the same
-on page after page is of low importance; one whose content differs from page to page is of high importance.
+text blocks and link targets that stand in it (a block counts at the element nearest to it). Importance follows from entropy:
+an element that looks alike and says the same on page after page is of low importance; one whose content differs from
+page to page is of high importance.
 
     presentation = -sum p_i log_m p_i         over the presentations, m pages having the element (1 if m = 1)
     content      = 1 - mean over what it holds of log_m(pages that hold it)
     importance   = (1 - WEIGHT) * presentation + WEIGHT * content
 
-Branches whose importance is under ``LEAST`` are removed, on hosts with at least ``PAGES`` pages that have the element. What
-the tags or class names of a branch say comes first: menus, footers, adverts, forms, comments and the like
-are of importance 0, the content of an article (``article``, ``main``, or the roles of those names) of importance 1. The root
-and the body are never removed.
+Branches whose importance is under ``LEAST`` are removed, on hosts with at least ``PAGES`` pages that have the element; so is,
+inside an article too, each block of text whose own content, ``1 - log_m(pages that hold it)``, is. An article
+(``article``, ``main``, or an element with exactly such a class, id or role) isn't judged as an element, as what differs in it
+would go with what repeats; root and body never go. What the tags or class names of a branch say comes first: menus,
+footers, adverts, forms, comments and the like are of importance 0. A name says so only if all of its words do or are
+neutral (``site-footer``, not ``has-sidebar`` or ``social-science``), and never of html, body, main or article.
 
 Copies of a page are one page: what pages of a host have the same html (by 128 bits of hash) counts once, or they would pass
 for content that repeats.
 
 The tree is never gathered: tasks emit counts of (host, element, feature), these are summed by key, and only the
-elements of low importance go back, as one row a host, to the host's pages.
+elements and blocks of low importance go back, as one row a host, to the host's pages.
 
 Defined cases: a null or empty html gives an empty text. A page without a host is of the host ''. Repeated rows are
-extracted each. Broken markup is closed as the end tags allow.
+extracted each. Broken markup is closed as the end tags allow; nesting of any depth costs the same by element. An empty table
+gives no rows, a very long page is read whole, and equal importance needs no order. Only page_id, url and html are read, so
+other columns do no harm.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from html import unescape
@@ -34,7 +40,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest, xxh128_digest
 
@@ -45,7 +51,7 @@ WEIGHT, LEAST, PAGES = 0.9, 0.2, 5
 SENT, SALTS = 500_000, 32
 
 # Tags, and words of class names, ids and roles, by what they stand for.
-SILENT = frozenset("script style noscript template svg canvas iframe object head title select option textarea button math map".split())
+SILENT = frozenset("script style noscript template svg canvas iframe object head title select option textarea button".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 NOISE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner banners sponsor sponsored promo promotion menu nav navbar navigation "
@@ -53,7 +59,14 @@ NOISE_WORDS = frozenset(
     "comment comments disqus respond reply replies share sharing social related recommended popup modal overlay toolbar pagination pager "
     "widget masthead topbar complementary contentinfo alert".split()
 )
+#: Words that name no more than a place or a part.
+NEUTRAL_WORDS = frozenset(
+    "site page global main primary secondary top bottom left right header list box container wrapper section area block bar inner outer "
+    "item items entry post article body text author meta form thread count title links link icon icons group row col column panel".split()
+)
 MAIN_WORDS = frozenset(("article", "main"))
+#: What no name makes noise.
+KEPT_TAGS = frozenset(("html", "body", "main", "article"))
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -65,26 +78,33 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 
 
 class Node:
-    __slots__ = ("tag", "path", "kind", "children", "parent", "links", "blocks")
+    __slots__ = ("tag", "path", "silent", "noise", "main", "children", "parent", "links", "root")
 
     def __init__(self, tag: str, path: int, kind: str, parent: Node | None):
-        self.tag, self.path, self.kind, self.parent = tag, path, kind, parent
+        self.tag, self.path, self.parent = tag, path, parent
+        self.root = parent is None or tag == "body"
+        self.silent = kind == "silent" or parent is not None and parent.silent
+        self.noise = kind == "noise" or parent is not None and parent.noise
+        self.main = kind == "main" or parent is not None and parent.main
         self.children: list[str] = []
         self.links: list[str] = []
 
 
+def _is_noise(name: str) -> bool:
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in NEUTRAL_WORDS for w in words)
+
+
 def _kind(tag: str, attributes: dict, parent: Node | None) -> str:
     """silent, noise, main, or '' of an element, by its tag and names."""
     if tag in SILENT:
         return "silent"
-    names = set(re.split(r"[^a-z0-9]+", " ".join(str(attributes.get(a) or "") for a in ("class", "id", "role")).lower()))
-    if tag in NOISE_TAGS or names & NOISE_WORDS or attributes.get("aria-hidden") == "true" or "hidden" in attributes:
+    names = " ".join(str(attributes.get(a) or "") for a in ("class", "id", "role")).lower().split()
+    if tag not in KEPT_TAGS and (tag in NOISE_TAGS or any(map(_is_noise, names)) or attributes.get("aria-hidden") == "true" or "hidden" in attributes):
         return "noise"
-    if tag == "header" and (parent is None or parent.tag not in MAIN_WORDS):
+    if tag == "header" and (parent is None or not parent.main):
         return "noise"
-    if tag in MAIN_WORDS or names & MAIN_WORDS and tag != "body":
-        return "main"
-    return ""
+    return "main" if tag in MAIN_WORDS or tag != "body" and not MAIN_WORDS.isdisjoint(names) else ""
 
 
 class Page(HTMLParser):
@@ -93,7 +113,7 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=False)
         self.root = Node("html", 0, "", None)
-        self.top, self.blocks, self.parts, self.nodes = self.root, [], [], [self.root]
+        self.top, self.blocks, self.parts, self.nodes, self.open = self.root, [], [], [self.root], Counter()
         self.feed(html)
         self.close()
         if self.rawdata:  # an unfinished tag or reference at the end
@@ -101,14 +121,6 @@ class Page(HTMLParser):
                 self.handle_data(unescape(self.rawdata))
         self.flush()
 
-    def silent(self) -> bool:
-        node = self.top
-        while node is not None:
-            if node.kind == "silent":
-                return True
-            node = node.parent
-        return False
-
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip(" ")
         if text:
@@ -123,13 +135,11 @@ class Page(HTMLParser):
         self.top.children.append(tag)
         node = Node(tag, xxh64_intdigest(f"{self.top.path}/{label}"), _kind(tag, attributes, self.top), self.top)
         if attributes.get("href"):
-            here = node
-            while here is not None:
-                here.links.append(str(attributes["href"]))
-                here = here.parent
+            node.links.append(str(attributes["href"]))
         if tag not in VOID:
             self.top = node
             self.nodes.append(node)
+            self.open[tag] += 1
 
     def handle_starttag(self, tag, attrs):
         attributes = dict(attrs)
@@ -158,6 +168,8 @@ class Page(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def close_down(self, tag: str, holders: frozenset | set = frozenset()) -> None:
+        if not self.open[tag]:
+            return
         node = self.top
         while node is not None and node.parent is not None and node.tag != tag:
             if node.tag in holders:
@@ -165,12 +177,13 @@ class Page(HTMLParser):
             node = node.parent
         if node is None or node.parent is None:
             return
-        inner = self.top
+        inner, block = self.top, False
         while inner is not node.parent:
-            if inner.tag in BLOCKS:
-                self.flush()
-                break
+            block |= inner.tag in BLOCKS
+            self.open[inner.tag] -= 1
             inner = inner.parent
+        if block:
+            self.flush()
         self.top = node.parent
 
     def handle_endtag(self, tag):
@@ -181,7 +194,7 @@ class Page(HTMLParser):
         self.close_down(tag)
 
     def handle_data(self, data):
-        if not self.silent():
+        if not self.top.silent:
             self.parts.append(data)
 
     def handle_entityref(self, name):
@@ -194,44 +207,46 @@ class Page(HTMLParser):
         return unescape(text)
 
 
-def _up(node: Node) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+def _place(path: int, text: int) -> int:
+    """The number of a block of text in an element, among those of low importance."""
+    return xxh64_intdigest(f"{path} {text}")
 
 
 def body_text(html: str | None, low: set[int]) -> str:
-    """The main text of a page; ``low``: the host's elements of low importance."""
+    """The main text of a page; ``low``: the host's elements and blocks of low importance."""
     if not html:
         return ""
-    page = Page(html)
     main, rest = [], []
-    for node, text in page.blocks:
-        inside, drop, common = False, False, False
-        for n in _up(node):
-            if n.kind in ("noise", "silent"):
-                drop = True
-            if n.kind == "main":
-                inside = True
-            if n.path in low and n.parent is not None and n.tag != "body":
-                common = True
-        if not drop and (inside or not common):
-            (main if inside else rest).append(text)
+    for node, text in Page(html).blocks:
+        if node.silent or node.noise or not node.main and not node.root and node.path in low:
+            continue
+        if low and not node.root and _place(node.path, xxh64_intdigest(text)) in low:
+            continue
+        (main if node.main else rest).append(text)
     return "\n\n".join(main or rest)
 
 
-def features(html: str) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
-    """(element, presentation) and (element, content) pairs of a page."""
+def features(html: str) -> tuple[set[tuple[int, int]], set[tuple[int, int]], set[tuple[int, int]]]:
+    """(element, presentation), (element, link target) and (element, text) pairs of a page; of what its names don't remove already."""
     page = Page(html)
-    shown, held = set(), set()
+    shown, linked, held = set(), set(), set()
     for n in page.nodes:
-        if n.kind != "silent":
+        if not n.silent and not n.noise:
             shown.add((n.path, xxh64_intdigest(",".join(dict.fromkeys(n.children)))))
-            held.update((n.path, xxh64_intdigest("a " + x)) for x in n.links)
+            linked.update((n.path, xxh64_intdigest(x)) for x in n.links)
     for node, text in page.blocks:
-        h = xxh64_intdigest(text)
-        held.update((n.path, h) for n in _up(node))
-    return shown, held
+        if not node.silent and not node.noise:
+            held.add((node.path, xxh64_intdigest(text)))
+    return shown, linked, held
+
+
+def _places(path: str, text: str) -> Column:
+    @F.arrow_udf("long")
+    def place(path: pa.Array, text: pa.Array) -> pa.Array:
+        both = zip(path.to_pylist(), text.to_pylist(), strict=True)
+        return _signed([_place(p % 2**64, t % 2**64) for p, t in both])
+
+    return place(F.col(path), F.col(text))
 
 
 def _signed(x: list[int]) -> pa.Array:
@@ -239,7 +254,7 @@ def _signed(x: list[int]) -> pa.Array:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, element, kind (0 presentation, 1 content), feature, pages; summed over part of a task."""
+    """host, element, kind (0 presentation, 1 link target, 2 text), feature, pages; summed over part of a task."""
     total: dict[tuple, int] = {}
 
     def flush() -> pa.RecordBatch:
@@ -300,21 +315,25 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def low_importance(pages: DataFrame) -> DataFrame:
-    """host, elements: those of low importance, for hosts that have any. pages: host, html."""
+    """host, elements: the elements and blocks of low importance, for hosts that have any. pages: host, html."""
     counts = distinct_pages(pages).mapInArrow(_counts, "host string, element long, kind int, feature long, n long")
-    counts = counts.groupBy("host", "element", "kind", "feature").agg(F.sum("n").alias("n"))
+    counts = cut(counts.groupBy("host", "element", "kind", "feature").agg(F.sum("n").alias("n")))
     log = F.log(F.col("n").cast("double"))
     sums = counts.groupBy("host", "element").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("m"),
         F.sum(F.when(F.col("kind") == 0, F.col("n") * log)).alias("shown"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("held"),
-        F.sum(F.when(F.col("kind") == 1, F.col("n") * log)).alias("common"),
+        F.sum(F.when(F.col("kind") > 0, F.col("n"))).alias("held"),
+        F.sum(F.when(F.col("kind") > 0, F.col("n") * log)).alias("common"),
     )
+    sums = sums.filter(F.col("m") >= PAGES)
     base = F.log(F.col("m").cast("double"))
     presentation = (base - F.col("shown") / F.col("m")) / base
     content = 1 - F.coalesce(F.col("common") / F.col("held"), F.lit(0.0)) / base
     importance = (1 - WEIGHT) * presentation + WEIGHT * content
-    low = sums.filter(F.col("m") >= PAGES).filter(importance < LEAST)
+    # With PAGES pages or more, only text that so many hold can be of low importance, so few rows look for their element.
+    again = counts.filter((F.col("kind") == 2) & (F.col("n") > PAGES ** (1 - LEAST))).join(sums.select("host", "element", "m"), ["host", "element"])
+    again = again.filter(1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double")) < LEAST)
+    low = sums.filter(importance < LEAST).select("host", "element").unionByName(again.select("host", _places("element", "feature").alias("element")))
     return low.groupBy("host").agg(F.collect_set("element").alias("elements"))
 
 

@@ -24,7 +24,7 @@ from feedloom.llm.license_scan import license_scan
 from feedloom.llm.packing import encoder, pack
 from feedloom.llm.perplexity import perplexity
 from feedloom.llm.quality_rules import Fixed, chunk_ratios, compression, passing, quality_rules
-from feedloom.llm.site_style import Page, body_text, extract
+from feedloom.llm.site_style import Page, _place, body_text, extract, features, low_importance
 from feedloom.llm.span_dedup import span_dedup, without_repeats
 from feedloom.llm.textvec import NOT_ALNUM, mix, signed, words
 from feedloom.llm.tiling import drop_leaks, leaks, tile
@@ -413,7 +413,7 @@ def test_pages_give_their_article(spark):
         article = html[r["page_id"]].split("<article>")[1].split("</article>")[0]
         from html import unescape
 
-        blocks = [re.sub(r"[ \t\n\x0b\x0c\r]+", " ", unescape(re.sub(r"<(?!/?p|/?h1)[^>]*>", " " if False else "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
+        blocks = [re.sub(r"[ \t\n\x0b\x0c\r]+", " ", unescape(re.sub(r"<(?!/?p|/?h1)[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
@@ -435,6 +435,68 @@ def test_low_score_spares_body_and_article():
     assert body_text(html, every) == "In the article" and body_text("<body>Own words</body>", every) == "Own words"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article><p>Keep this</p></article></body>",
+        "<body class='comments-open'><p>Keep this</p></body>",
+        "<main class='with-sidebar'><p>Keep this</p></main>",
+        "<article class='sidebar'><p>Keep this</p></article>",
+        "<div class='social-science'><p>Keep this</p></div>",
+        "<div class='x'><p>Keep this</p></div><div class='nav-menu'>Menu</div><div id='site-footer'>Foot</div><div class='sidebar-left'>Side</div>",
+    ],
+)
+def test_names_do_not_delete_pages(page):
+    assert body_text(page, set()) == "Keep this"
+
+
+def test_main_names_math_and_depth():
+    assert body_text("<div class='text'><p>The article</p></div><div class='main-image'>Caption</div>", set()) == "The article\n\nCaption"
+    assert body_text("<article><p>As <math><mi>x</mi></math> is</p></article>", set()) == "As x is"
+    import time
+
+    began = time.perf_counter()
+    assert body_text("<div>x" * 20_000, set()).count("x") == 20_000 and len(features("<div>x" * 20_000)[2]) == 20_000
+    assert time.perf_counter() - began < 5
+
+
+def brute_low(pages):
+    """The elements and blocks of low importance of each host, by the formula, from dictionaries."""
+    seen, low = {}, {}
+    for host, html in {(h, x) for h, x in pages if x}:
+        for kind, pairs in enumerate(features(html)):
+            for e, f in pairs:
+                c = seen.setdefault((host, e), [Counter(), Counter(), Counter()])[kind]
+                c[f] += 1
+    for (host, e), (shown, linked, held) in seen.items():
+        m = sum(shown.values())
+        if m < 5:
+            continue
+        presentation = -sum(n / m * np.log(n / m) / np.log(m) for n in shown.values())
+        both = [*linked.values(), *held.values()]
+        content = 1 - (sum(n * np.log(n) for n in both) / sum(both) / np.log(m) if both else 0)
+        if 0.1 * presentation + 0.9 * content < 0.2 - 1e-12:
+            low.setdefault(host, set()).add(e)
+        for f, n in held.items():
+            if 1 - np.log(n) / np.log(m) < 0.2 - 1e-12:
+                low.setdefault(host, set()).add(_place(e, f))
+    return low
+
+
+def test_importance_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    pages = []
+    for h in range(3):
+        for i in range(8 + 6 * h):
+            box = "<p>Read our magazine every day</p>" if h else f"<p>{rng.integers(99)}</p>"
+            rows = "".join(f"<li><a href='/{rng.integers(3)}'>{rng.choice(['one', 'two'])}</a></li>" for _ in range(rng.integers(1, 4)))
+            pages.append((f"h{h}", f"<body><div class='a'><ul>{rows}</ul></div><article><h1>T{i}</h1><p>Text {i} of {h}</p>{box}</article><div class='b'><p>Same</p></div></body>"))
+    pages += pages[:3] + [("h0", None), ("h9", "<p>alone</p>")]
+    got = {r["host"]: {x % 2**64 for x in r["elements"]} for r in low_importance(spark.createDataFrame(pages, "host string, html string")).collect()}
+    assert got == brute_low(pages)
+    assert body_text(pages[-3][1], got["h0"]) != "" and "magazine" not in body_text(pages[20][1], got["h1"]) and "Text" in body_text(pages[20][1], got["h1"])
+
+
 # 9: toxicity
 def test_toxicity_learns(spark, none, hard):
     rng = np.random.default_rng(4)
@@ -498,16 +560,14 @@ def brute_spans(texts, min_words=20):
     seen, gone = {}, {d: set() for d in texts}
     for d in sorted(texts):
         s = sentences[d]
-        for i in range(len(s)):
-            n, j = 0, i
-            while j < len(s) and n < min_words:
-                n += len(s[j])
-                j += 1
-            if n >= min_words:
-                key = tuple(w for x in s[i:j] for w in x)
-                if key in seen and seen[key] != (d, i):
-                    gone[d].update(range(i, j))
-                seen.setdefault(key, (d, i))
+        words_of = lambda i, j: sum(len(x) for x in s[i:j])  # noqa: E731, B023
+        runs = {(i, min(j for j in range(i + 1, len(s) + 1) if words_of(i, j) >= min_words)) for i in range(len(s)) if words_of(i, len(s)) >= min_words}
+        runs |= {(max(i for i in range(j) if words_of(i, j) >= min_words), j) for j in range(1, len(s) + 1) if words_of(0, j) >= min_words}
+        for i, j in sorted(runs):
+            key = tuple(w for x in s[i:j] for w in x)
+            if key in seen and seen[key] != (d, i):
+                gone[d].update(range(i, j))
+            seen.setdefault(key, (d, i))
     return sentences, gone
 
 
@@ -526,6 +586,9 @@ def test_spans_defined_cases(spark, hard, none):
     passage = "First a sentence that is shared by them all. Then another one with quite a few more words. And a third one closes it here."
     got = collect(span_dedup(docs_of(spark, [f"Own start. {passage} Own end.", f"Other begin. {passage} Other end.", f"{passage}\n{passage}"])), "doc_id")
     assert not got[0]["changed"] and got[1]["text"] == "Other begin. Other end." and got[2]["text"].strip() == ""
+    tail = "These are the words of the first long sentence of a passage that stands in two texts one two three. Four more words here. And two. This one has again more than twenty words so that the run from the sentence before it ends in it yes. Not so long."
+    got = collect(span_dedup(docs_of(spark, [f"Start here. {tail}", f"{tail} Something else follows.", tail])), "doc_id")
+    assert [got[i]["n_removed"] for i in range(3)] == [0, 5, 5]
     assert span_dedup(hard).count() == hard.count() and span_dedup(none).count() == 0
     out = without_repeats(hard)
     assert out.columns == hard.columns and [r["text"] for r in out.filter("doc_id = 3").collect()] == [None]
