@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from feedloom.functions import text as T
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 SEEDS = 32
@@ -19,6 +26,11 @@ MODES = ("hybrid", "keyword", "semantic", "passages")
 TOKEN = r"[\p{L}\p{N}]+"
 #: Weights of title and content in the built-in search.
 TITLE_WEIGHT, CONTENT_WEIGHT = 1.0, 0.4
+#: Bytes of title and content that the built-in search reads, and places of a word that count.
+TITLE_BYTES, CONTENT_BYTES, PLACES = 200_000, 500_000, 256
+PLACE_SUMS = [sum(1 / j**2 for j in range(1, n + 1)) for n in range(PLACES + 1)]
+#: Hits of a search that names no limit, and the most that the API and the pages give out.
+DEFAULT_LIMIT, WEB_LIMIT, PAGE_LIMIT = 10, 100, 20
 
 
 class SearchError(ValueError):
@@ -52,6 +64,10 @@ class Filters:
         return e.select("entry_id")
 
 
+def search_limit(limit: int, most: int = WEB_LIMIT) -> int:
+    return min(limit if limit > 0 else DEFAULT_LIMIT, most)
+
+
 def candidates(limit: int, most: int) -> int:
     return min(max(OVERFETCH * limit, LEAST_CANDIDATES), most)
 
@@ -98,16 +114,33 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _nearest(batches: Iterator[pa.RecordBatch], vector: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """Of each task's passages the nearest, by one matrix product a batch; ties by id."""
+    ids, entries, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    q = vector / np.sqrt((vector * vector).sum())
+    for batch in batches:
+        column = batch.column("embedding")
+        fits = np.flatnonzero(pc.equal(pc.list_value_length(column), len(vector)).fill_null(False).to_numpy(zero_copy_only=False))
+        if not len(fits):
+            continue
+        m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = np.round(1 - m @ q / np.sqrt((m * m).sum(1)), 6)
+        ids = np.concatenate([ids, batch.column("passage_id").to_numpy()[fits]])
+        entries = np.concatenate([entries, batch.column("entry_id").to_numpy()[fits]])
+        far = np.concatenate([far, d])
+        best = np.lexsort((ids, far))[:limit]
+        ids, entries, far = ids[best], entries[best], far[best]
+    yield pa.record_batch([pa.array(ids), pa.array(entries), pa.array(far)], ["passage_id", "entry_id", "distance"])
+
+
 def knn(passages: DataFrame, vector: list[float], limit: int, within: DataFrame | None = None) -> DataFrame:
-    """passage_id, entry_id, distance, rank: the nearest by cosine distance, all passages compared."""
-    if limit <= 0:
-        return passages.select("passage_id", "entry_id", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")).limit(0)
+    """passage_id, entry_id, distance, rank: the nearest by cosine distance, all passages compared. Only ``limit`` rows leave a task."""
+    schema = "passage_id long, entry_id long, distance double"
     p = passages if within is None else passages.join(within, "entry_id", "left_semi")
-    q = F.array(*(F.lit(float(x)) for x in vector))
-    norm = sum(float(x) ** 2 for x in vector) ** 0.5
-    distance = 1 - dot(F.col("embedding"), q) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * norm)
-    near = p.select("passage_id", "entry_id", F.round(distance, 6).alias("distance")).orderBy("distance", "passage_id").limit(limit)
-    return ranked(near, F.col("distance"), F.col("passage_id"))
+    v = np.asarray(vector, np.float64)
+    near = p.select("passage_id", "entry_id", "embedding").mapInArrow(partial(_nearest, vector=v, limit=max(limit, 0)), schema)
+    return ranked(near.orderBy("distance", "passage_id").limit(max(limit, 0)), F.col("distance"), F.col("passage_id"))
 
 
 def fuse(*lists: DataFrame, limit: int | None = None) -> DataFrame:
@@ -155,7 +188,7 @@ def similar(passages: DataFrame, entry_id: int, limit: int, within: DataFrame |
 
 def search(mode: str, passages: DataFrame, query: str, limit: int, filters: Filters, entries: DataFrame, embed=None, feeds: DataFrame | None = None) -> DataFrame:
     """Entries for a query in one of MODES; passages have text and embedding. Unknown modes and a missing embedder are errors."""
-    mode = mode or "hybrid"
+    mode, limit = mode or "hybrid", search_limit(limit)
     if mode not in MODES:
         raise SearchError(f"mode must be one of {', '.join(MODES)}")
     within = filters.entry_ids(entries, feeds)
@@ -178,12 +211,47 @@ def search(mode: str, passages: DataFrame, query: str, limit: int, filters: Filt
     return fused.filter(F.col("rank") <= limit) if mode == "passages" else by_entry(fused, limit)
 
 
+def websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
+    """Alternatives of (wanted, words): ``or`` parts alternatives, a minus refuses, quotes hold words together; all else must be there."""
+    out: list[list[tuple[bool, list[str]]]] = [[]]
+    for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', query):
+        if plain.lower() == "or" and not minus:
+            out.append([])
+            continue
+        words = re.findall(r"[^\W_]+", (quoted or plain).lower())
+        if words:
+            out[-1].append((not minus, words))
+    return [x for x in out if x]
+
+
+def _places(words: Column, phrase: list[str]) -> Column:
+    """Whether the words of a phrase follow one another in an array of words."""
+    if len(phrase) == 1:
+        return F.array_contains(words, phrase[0])
+    starts = F.filter(F.transform(words, lambda x, i: F.when(x == phrase[0], i + 1)), lambda i: i.isNotNull())
+    return F.exists(starts, lambda i: F.slice(words, i, len(phrase)) == F.array(*map(F.lit, phrase)))
+
+
 def full_text(entries: DataFrame, query: str) -> tuple[Column, Column]:
-    """(match, rank) of the built-in search: all terms in title or content, titles weighing more. No stemming."""
-    title, content = tokens(F.col("title")), tokens(F.col("content"))
-    match, rank = F.lit(bool(terms(query))), F.lit(0.0)
-    for t in terms(query):
-        in_title, in_content = F.array_contains(title, t), F.array_contains(content, t)
-        match = match & (in_title | in_content)
-        rank = rank + F.when(in_title, TITLE_WEIGHT).otherwise(0.0) + F.when(in_content, CONTENT_WEIGHT).otherwise(0.0)
-    return match, rank
+    """(match, rank) of the built-in search over title and content. No stemming.
+
+    The rank is the sum over the words asked for of ``sum w / j**2`` over a word's places j = 1, 2, ... (the title's, which weigh
+    more, come first; PLACES of them count), over 1.64493406685 and the number of words.
+    """
+    title, content = tokens(T.truncate_bytes(F.col("title"), TITLE_BYTES)), tokens(T.truncate_bytes(F.col("content"), CONTENT_BYTES))
+    match, wanted = F.lit(False), []
+    for alternative in websearch(query):
+        every = F.lit(True)
+        for keep, phrase in alternative:
+            found = _places(title, phrase) | _places(content, phrase)
+            every = every & (found if keep else ~found)
+            wanted += phrase if keep else []
+        match = match | every
+    wanted = list(dict.fromkeys(wanted))
+    sums, steps = F.array(*(F.lit(x) for x in PLACE_SUMS)), F.lit(PLACES)
+    rank = F.lit(0.0)
+    for word in wanted:
+        count = lambda words, word=word: F.size(F.filter(words, lambda x: x == word))
+        upper, all_ = F.least(count(title), steps), F.least(count(title) + count(content), steps)
+        rank = rank + TITLE_WEIGHT * F.get(sums, upper) + CONTENT_WEIGHT * (F.get(sums, all_) - F.get(sums, upper))
+    return match, rank / (1.64493406685 * max(len(wanted), 1))

@@ -11,14 +11,14 @@ from pyspark.sql.window import Window
 from feedloom.functions import dates, html, rewrite, text, urls
 from feedloom.operators import evaluate, feeds, indexing, mutate, retrieval, rules
 from feedloom.operators.entries import EntryQuery
-from feedloom.plans import api, changes
+from feedloom.plans import api, changes, reading, scalars
 from feedloom.sources import corpus as C
 from feedloom.sources import formats
 from feedloom.streaming import live
 
 NOW = datetime(2024, 1, 1, 12)
 PAGE = ("entry_id", "feed_id", "title", "status", "starred", "published_at", "feed_title", "category_title")
-QUERIES: dict = dict(changes.QUERIES)
+QUERIES: dict = {**changes.QUERIES, **reading.QUERIES, **scalars.QUERIES}
 
 
 def query(f):
@@ -80,12 +80,6 @@ def entries_zoned(spark, sf):
     return _q(spark, sf, 2).starred(True).zoned().select("entry_id", "published_at", "icon_id")
 
 
-@query
-def full_text_search(spark, sf):
-    match, rank = retrieval.full_text(C.entries(spark, sf), "the ing")
-    return _q(spark, sf).where(match).rows().select("entry_id", F.round(rank, 6).alias("rank"))
-
-
 @query
 def status_counts(spark, sf):
     return feeds.status_counts(C.entries(spark, sf))
@@ -293,11 +287,6 @@ def nl2br(spark, sf):
     return rewrite.apply(C.entries(spark, sf), "nl2br").select("entry_id", F.md5("content").alias("digest"))
 
 
-@query
-def bm25_topk(spark, sf):
-    return retrieval.bm25(C.entries(spark, sf), "The ing der", 50, "entry_id", "content")
-
-
 def _vector(spark, sf):
     return C.passages(spark, sf).filter("passage_id = 7").first()["embedding"]
 
@@ -307,13 +296,6 @@ def knn_cosine_topk(spark, sf):
     return retrieval.knn(C.passages(spark, sf), _vector(spark, sf), 20)
 
 
-@query
-def rrf_hybrid(spark, sf):
-    p = C.passages(spark, sf)
-    other = retrieval.ranked(p.filter("passage_id % 3 = 0").select("passage_id", "entry_id").orderBy("passage_id").limit(50), F.col("passage_id"))
-    return retrieval.fuse(retrieval.knn(p, _vector(spark, sf), 50), other, limit=50)
-
-
 @query
 def entry_aggregate(spark, sf):
     hits = retrieval.knn(C.passages(spark, sf), _vector(spark, sf), 50)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.plans import changes
+from feedloom.plans import changes, reading, scalars
 
 PRELUDE = """
 entries AS (SELECT doc_id AS entry_id, 1 + doc_id % 3 AS user_id, CAST(substr(source, 4) AS BIGINT) * 3 + doc_id % 3 AS feed_id, sha256(text) AS hash,
@@ -84,8 +84,6 @@ BODIES: dict[str, str] = {
     "entry_prev_next": "SELECT prev_id, next_id FROM (SELECT entry_id, lead(entry_id) OVER w AS prev_id, lag(entry_id) OVER w AS next_id FROM entries WHERE user_id = 1 AND status = 'unread' WINDOW w AS (ORDER BY published_at, created_at, entry_id DESC)) WHERE entry_id = 123",
     "entry_keyset_page": "SELECT entry_id FROM entries WHERE user_id = 1 AND entry_id > 100 ORDER BY entry_id LIMIT 50",
     "entries_zoned": "SELECT entry_id, CAST((published_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Paris' AS TIMESTAMP) AS published_at, coalesce(icon_id, 0) AS icon_id FROM entries JOIN feeds USING (feed_id) WHERE entries.user_id = 2 AND starred",
-    "full_text_search": f"""SELECT entry_id, rank FROM (SELECT entry_id, published_at, round(CASE WHEN list_contains(a, 'the') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(b, 'the') THEN 0.4 ELSE 0 END + CASE WHEN list_contains(a, 'ing') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(b, 'ing') THEN 0.4 ELSE 0 END, 6) AS rank
-      FROM (SELECT entry_id, published_at, {TOKENS.format('title')} AS a, {TOKENS.format('content')} AS b FROM entries) WHERE (list_contains(a, 'the') OR list_contains(b, 'the')) AND (list_contains(a, 'ing') OR list_contains(b, 'ing')))""",
     "status_counts": "SELECT status, count(*) AS n FROM entries GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM entries",
     "feed_totals": "SELECT count(*) FILTER (disabled) AS disabled, count(*) FILTER (NOT disabled) AS enabled, count(*) AS total FROM feeds",
     "feeds_with_errors": "SELECT count(*) AS n FROM feeds WHERE parsing_error_count >= 2",
@@ -132,9 +130,7 @@ BODIES: dict[str, str] = {
     "language_normalize": "SELECT entry_id, lower(replace(trim(language), '_', '-')) AS language FROM entries",
     "strip_tags": f"SELECT page_id, {strip('html')} AS text FROM pages",
     "nl2br": r"SELECT entry_id, md5(replace(content, chr(10), '<br>')) AS digest FROM entries",
-    "bm25_topk": "SELECT entry_id, score, rank FROM lexical",
     "knn_cosine_topk": "SELECT passage_id, entry_id, distance, rank FROM semantic",
-    "rrf_hybrid": "SELECT passage_id, entry_id, score, row_number() OVER (ORDER BY score DESC, passage_id) AS rank FROM (SELECT passage_id, entry_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT passage_id, entry_id, rank FROM semantic UNION ALL SELECT passage_id, entry_id, rank FROM other) GROUP BY 1, 2) QUALIFY rank <= 50",
     "entry_aggregate": "SELECT entry_id, arg_min(passage_id, rank) AS best_passage, min(rank) AS best_rank, string_agg(passage_id::VARCHAR, ',' ORDER BY rank) AS passages FROM semantic GROUP BY 1",
     "similar_entries": "SELECT passage_id, entry_id, distance, rank FROM hits",
     "recall_at_k": "SELECT q AS query_id, round(coalesce(f, 0) / t, 6) AS recall FROM (SELECT q, count(*) FILTER (rank <= 10 AND hit) AS f FROM ranked GROUP BY 1) JOIN (SELECT a.passage_id AS q, count(DISTINCT b.passage_id) AS t FROM (SELECT * FROM passages WHERE passage_id < 5) a JOIN passages b ON a.label = b.label GROUP BY 1) USING (q)",
@@ -148,18 +144,29 @@ BODIES: dict[str, str] = {
     "failure_causes": "SELECT regexp_replace(props, '\\d+', 'N', 'g') AS cause, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
 }
 EXTRA = {
-    "bm25_topk": bm25("'the', 'ing', 'der'", 50),
     "knn_cosine_topk": knn(20),
-    "rrf_hybrid": knn(50) + ",\nother AS (SELECT passage_id, entry_id, row_number() OVER (ORDER BY passage_id) AS rank FROM passages WHERE passage_id % 3 = 0 QUALIFY rank <= 50)",
     "entry_aggregate": knn(50),
     "similar_entries": _SIMILAR,
     "recall_at_k": """ranked AS (SELECT a.passage_id AS q, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.passage_id ORDER BY round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), b.passage_id) AS rank FROM (SELECT * FROM passages WHERE passage_id < 5) a, passages b)""",
 }
 
 
+def _expanded(extra: str) -> str:
+    """bm25:terms:k, knn:k:condition and hybrid stand for the SQL of these searches."""
+    kind, _, rest = extra.partition(":")
+    if kind == "bm25":
+        words, _, k = rest.rpartition(":")
+        return bm25(words, int(k))
+    if kind == "knn":
+        k, _, where = rest.partition(":")
+        return knn(int(k), where)
+    return f"{bm25("'the', 'ing', 'der'", 50)},\n{knn(50)},\n{reading._HYBRID}" if extra == "hybrid" else extra
+
+
 def oracle_sql() -> dict[str, str]:
     bodies, extra = dict(BODIES), dict(EXTRA)
-    for module in (changes,):
+    for module in (changes, reading, scalars):
         bodies |= module.SQL
-        extra |= module.EXTRA
+        extra |= {k: _expanded(x) for k, x in module.EXTRA.items()}
+    extra["page_reading_time"] = f"pages_read AS (SELECT page_id, {minutes('html')} AS minutes FROM pages)"
     return {k: f"WITH {PRELUDE}{'' if 'enclosures AS (' in extra.get(k, '') else ENCLOSURES}{',' + extra[k] if k in extra else ''}\n{body}" for k, body in bodies.items()}

@@ -111,10 +111,25 @@ def test_urls(spark):
         ("1332841834", datetime(2012, 3, 27, 9, 50, 34)),
         ("2 février 2018", datetime(2018, 2, 2)),
         ("2015-01-01 10:00:00", datetime(2015, 1, 1, 10)),
-        ("2015-01-01T10:00:00+23:00", datetime(2015, 1, 1, 10)),
+        ("2015-01-01T10:00:00+23:00", datetime(2014, 12, 31, 11)),  # told in UTC, the moment stays
+        ("Tue, 03 Mar 2020 1:55 PM EST", datetime(2020, 3, 3, 13, 55)),
+        ("Freitag", None),
+        ("Mon, 04/13/2020 - 19:19", datetime(2020, 4, 13, 19, 19)),
+        ("Fr, 26/06/2020", datetime(2020, 6, 26)),
+        ("mar., 3 mars 2020 10:00:00 +0200", datetime(2020, 3, 3, 8)),
+        ("Lundi, 16. Novembre 2020 - 15:54", datetime(2020, 11, 16, 15, 54)),
+        ("12/31/99 23:59:58", datetime(1999, 12, 31, 23, 59, 58)),
+        ("31.12.68", datetime(2068, 12, 31)),
+        ("Sat, 23rd May 2020 09:32:20 GMT-07:00", datetime(2020, 5, 23, 16, 32, 20)),
+        ("Sept. 2021", datetime(2021, 9, 1)),
+        ("Sat May 2 15:04:05 2020 CEST", datetime(2020, 5, 2, 15, 4, 5)),
     ],
 )
 def test_dates(t, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            dates.parse_date(t)
+        return
     assert dates.parse_date(t) == want.replace(tzinfo=timezone.utc)
 
 
