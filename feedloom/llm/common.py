@@ -5,12 +5,17 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds that shuffle files get to go.
+PAUSE = 0.25
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,9 +31,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of results that nothing refers to any more; else they stay until the driver's JVM collects."""
+    """Lets Spark delete the shuffle files of results that nothing refers to any more; else they stay until the driver's JVM collects.
+    They go in the background, so there is a moment for that before the next stage writes."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(PAUSE)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,10 +55,11 @@ class Scratch:
         atexit.register(self.close)
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        path, schema = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}", df.schema
         df.write.parquet(path)
+        del df  # what led to the table can go, if the caller has no name for it
         release(self.spark)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = path
         return out
 

@@ -342,9 +342,11 @@ def star_links(docs: DataFrame, members: DataFrame, scratch: Scratch, k: int, pe
     firsts = blocks.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("doc_id"))
     rows = scratch.table(others.unionByName(firsts))
     scratch.drop(stars, blocks)
-    rows_of = likely(docs, rows).join(rows.hint("merge"), "doc_id").withColumn("later", F.col("doc_id") != F.col("lead"))
-    found = rows_of.repartition(parts, "lead", "block").sortWithinPartitions("lead", "block", "later").select("lead", "block", "doc_id", "text")
-    found = scratch.table(found.mapInArrow(partial(_stars, k=k, percent=percent), "a long, b long"))
+    order = ["lead", "block", "later"]
+    found = scratch.table(
+        likely(docs, rows).join(rows.hint("merge"), "doc_id").withColumn("later", F.col("doc_id") != F.col("lead")).repartition(parts, "lead", "block").sortWithinPartitions(*order)
+        .select("lead", "block", "doc_id", "text").mapInArrow(partial(_stars, k=k, percent=percent), "a long, b long")
+    )
     scratch.drop(rows)
     return found
 
@@ -358,11 +360,15 @@ def group_links(docs: DataFrame, members: DataFrame, bits: DataFrame, scratch: S
     all_, members = members, scratch.table(members.join(mixed, "lead", "left_semi"))
     scratch.drop(all_, mixed)
     key = ["lead", "low", "high"]
-    screened = tiles(members, percent, scratch).join(bits.select("doc_id", "bits").hint("merge"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
-    screened = scratch.table(screened.mapInArrow(partial(_screen, percent=percent), "lead long, low long, high long, block long, doc_id long, n long, component long"))
+    seen = "lead long, low long, high long, block long, doc_id long, n long, component long"
+    screened = scratch.table(
+        tiles(members, percent, scratch).join(bits.select("doc_id", "bits").hint("merge"), "doc_id").repartition(parts, *key).sortWithinPartitions(*key, "doc_id").mapInArrow(partial(_screen, percent=percent), seen)
+    )
     scratch.drop(members)
-    exact = likely(docs, screened).join(screened.hint("merge"), "doc_id").select(*key, "block", "doc_id", "component", "text")
-    out = scratch.table(exact.repartition(parts, *key).sortWithinPartitions(*key, "doc_id").mapInArrow(partial(_decide, k=k, percent=percent), "a long, b long"))
+    out = scratch.table(
+        likely(docs, screened).join(screened.hint("merge"), "doc_id").select(*key, "block", "doc_id", "component", "text").repartition(parts, *key).sortWithinPartitions(*key, "doc_id")
+        .mapInArrow(partial(_decide, k=k, percent=percent), "a long, b long")
+    )
     scratch.drop(screened)
     return out
 
@@ -394,14 +400,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     scratch.drop(first)
     same = copies.select(F.col("b").alias("id"), F.col("a").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
 
-    shown = docs.mapInArrow(partial(_prefixes, k=k, percent=percent, common=common), "key long, doc_id long, n int, spare int")
-    shown = scratch.table(shown.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, doc_id long, n int, spare int"))
+    row = "key long, doc_id long, n int, spare int"
+    shown = scratch.table(docs.mapInArrow(partial(_prefixes, k=k, percent=percent, common=common), row).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_shared, row))
     # What a set shows beyond its prefix makes up for shared shingles: with no more of these the prefix has none.
     alive = shown.groupBy("doc_id", "n").agg(F.count("*").alias("shared"), F.min("spare").alias("spare")).filter("shared > spare").select("doc_id", "n")
     alive = scratch.table(_with_component(alive, same))
-    cells = shown.select("key", "doc_id", "n").join(alive.hint("merge"), ["doc_id", "n"]).repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id")
-    members = cells.select("key", "doc_id", "n", "component").mapInArrow(partial(_cells, percent=percent), "lead long, doc_id long, n int, component long").distinct()
-    members = scratch.table(members.withColumn("n", F.col("n").cast("long")))
+    members = scratch.table(
+        shown.select("key", "doc_id", "n").join(alive.hint("merge"), ["doc_id", "n"]).repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id").select("key", "doc_id", "n", "component")
+        .mapInArrow(partial(_cells, percent=percent), "lead long, doc_id long, n int, component long").distinct().withColumn("n", F.col("n").cast("long"))
+    )
     scratch.drop(shown, alive)
 
     links = star_links(docs, members, scratch, k, percent)

@@ -36,10 +36,10 @@ def perplexity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = trusted.filter("least = 1 AND most = 1 AND doc_id IS NOT NULL").select("doc_id")
     held = id_fold("doc_id", FOLDS) == 0
     taught = trusted.filter(~held)
-    text = likely(docs, taught).join(taught.hint("merge"), "doc_id", "left_semi").select("text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     scratch = Scratch(docs.sparkSession)
-    scored = PairModel(text, size, scratch).score(docs, "doc_id long, lang string")
+    model = PairModel(likely(docs, taught).join(taught.hint("merge"), "doc_id", "left_semi").select("text"), size, scratch)
+    scored = model.score(docs, "doc_id long, lang string")
     scored = scored.select("doc_id", "lang", F.col("n").alias("n_tokens"), F.when(F.col("n") > 1, F.exp(-F.col("loglik") / F.col("n"))).alias("perplexity"))
     scored = cut(scored)
     scratch.close()

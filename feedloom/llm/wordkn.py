@@ -39,7 +39,7 @@ from feedloom.llm.textvec import Words, mix, signed, words
 U = np.uint64
 HELD = 2_000_000
 SHARD_BYTES, WORD_SHARDS = 16 << 20, 256
-WAVES = 4
+WAVES = 6
 KEY_BITS = 48
 #: What is left of a long: it numbers the texts of a chunk.
 REST = U(64 - KEY_BITS)
@@ -255,10 +255,9 @@ class PairModel:
         self.parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
         self.shards = max(self.parts, int(size) // SHARD_BYTES + 1)
         word_shards = min(self.shards, max(WORD_SHARDS, self.parts))
-        packs = texts.select("text").mapInArrow(partial(_count, shards=self.shards), MESSAGE)
-        self.pairs = scratch.table(self._dealt(packs).mapInArrow(partial(_merge, word_shards=word_shards), TOLD))
-        known = self._dealt(self.pairs.filter(F.col("kind") == KNOWN).select("shard", "kind", "source", "pack"))
-        self.words = scratch.table(known.mapInArrow(partial(_sum_words, shards=self.shards), TOLD))
+        # No names for what lies between the tables, or its shuffle files would stay.
+        self.pairs = scratch.table(self._dealt(texts.select("text").mapInArrow(partial(_count, shards=self.shards), MESSAGE)).mapInArrow(partial(_merge, word_shards=word_shards), TOLD))
+        self.words = scratch.table(self._dealt(self.pairs.filter(F.col("kind") == KNOWN).select("shard", "kind", "source", "pack")).mapInArrow(partial(_sum_words, shards=self.shards), TOLD))
         self.smoothing = Smoothing(self._told(self.pairs, PAIRS)[:4], *self._told(self.words, OWN))
 
     def _dealt(self, messages: DataFrame) -> DataFrame:
@@ -273,15 +272,18 @@ class PairModel:
         names, columns = [c.split()[0] for c in carried.split(", ")], ["shard", "kind", "source", "pack"]
         model = self.pairs.filter(F.col("kind") == PAIRS).select(*columns).unionByName(self.words.select(*columns))
         docs = docs.withColumn("_wave", F.pmod(F.xxhash64("text", *names), F.lit(WAVES))).withColumn("_split", F.spark_partition_id().cast("long"))
-        out = None
+        kept, out = f"{carried}, n long, loglik double", None
         for wave in range(WAVES):
-            sent = docs.filter(F.col("_wave") == wave).drop("_wave").mapInArrow(partial(_look_ups, shards=self.shards, names=names), MESSAGE)
-            found = self._dealt(model.unionByName(sent)).mapInArrow(partial(_sum_up, smoothing=self.smoothing), "source long, kind int, pack binary")
-            by_text = found.repartition(self.parts, "source").sortWithinPartitions("source")
-            part = self.scratch.table(by_text.mapInArrow(partial(_by_text, names=names, unknown=self.smoothing.unknown), f"{carried}, n long, loglik double"))
+            part = self.scratch.table(self._wave(docs.filter(F.col("_wave") == wave).drop("_wave"), model, names).mapInArrow(partial(_by_text, names=names, unknown=self.smoothing.unknown), kept))
             out = part if out is None else out.unionByName(part)
         return out
 
+    def _wave(self, docs: DataFrame, model: DataFrame, names: list[str]) -> DataFrame:
+        """The sums of all shards for texts, by chunk."""
+        sent = docs.mapInArrow(partial(_look_ups, shards=self.shards, names=names), MESSAGE)
+        found = self._dealt(model.unionByName(sent)).mapInArrow(partial(_sum_up, smoothing=self.smoothing), "source long, kind int, pack binary")
+        return found.repartition(self.parts, "source").sortWithinPartitions("source")
+
 
 def _look_ups(batches: Iterator[pa.RecordBatch], shards: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """Of each chunk of texts the packs of (pair or word, text's place, count), and one about the texts, which goes along with a shard."""
