@@ -37,6 +37,7 @@ def mean_recall(recalls: DataFrame) -> DataFrame:
 
 
 def corpus_guard(passages: DataFrame) -> DataFrame:
-    """passages, least and greatest norm of their embeddings: a corpus of the wrong size or model shows here."""
+    """passages, titles among them, least and greatest norm of their embeddings: a corpus of the wrong size or model shows here."""
     norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    return passages.agg(F.count("*").alias("passages"), F.round(F.min(norm), 6).alias("min_norm"), F.round(F.max(norm), 6).alias("max_norm"))
+    titles = F.col("source") == "title" if "source" in passages.columns else F.col("ordinal") == 0
+    return passages.agg(F.count("*").alias("passages"), F.count_if(titles).alias("titles"), F.round(F.min(norm), 6).alias("min_norm"), F.round(F.max(norm), 6).alias("max_norm"))

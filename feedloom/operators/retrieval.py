@@ -125,7 +125,7 @@ def _nearest(batches: Iterator[pa.RecordBatch], vector: np.ndarray, limit: int)
             continue
         m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
         with np.errstate(invalid="ignore", divide="ignore"):
-            d = np.round(1 - m @ q / np.sqrt((m * m).sum(1)), 6)
+            d = np.round(1 - m @ q / np.sqrt((m * m).sum(1)), 6) + 0.0  # no negative zero
         ids = np.concatenate([ids, batch.column("passage_id").to_numpy()[fits]])
         entries = np.concatenate([entries, batch.column("entry_id").to_numpy()[fits]])
         far = np.concatenate([far, d])
@@ -143,6 +143,50 @@ def knn(passages: DataFrame, vector: list[float], limit: int, within: DataFrame
     return ranked(near.orderBy("distance", "passage_id").limit(max(limit, 0)), F.col("distance"), F.col("passage_id"))
 
 
+def _nearest_many(batches: Iterator[pa.RecordBatch], queries, limit: int) -> Iterator[pa.RecordBatch]:
+    """For each query the nearest passages of a task: one matrix product of a batch with all queries of the block."""
+    ids, q = queries.value
+    far = np.full((len(ids), 0), np.inf)
+    places: list[np.ndarray] = [np.zeros((len(ids), 0), np.int64) for _ in range(2)]
+    rows = np.arange(len(ids))[:, None]
+    for batch in batches:
+        column = batch.column("embedding")
+        fits = np.flatnonzero(pc.equal(pc.list_value_length(column), q.shape[1]).fill_null(False).to_numpy(zero_copy_only=False))
+        if not len(fits):
+            continue
+        m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            d = np.round(1 - q @ (m / np.sqrt((m * m).sum(1, keepdims=True))).T, 6) + 0.0
+        far = np.concatenate([far, d], 1)
+        places = [np.concatenate([x, np.broadcast_to(batch.column(c).to_numpy()[fits], d.shape)], 1) for x, c in zip(places, ("passage_id", "entry_id"), strict=True)]
+        best = np.lexsort((places[0], far), axis=1)[:, :limit]
+        far, places = far[rows, best], [x[rows, best] for x in places]
+    n = far.shape[1]
+    yield pa.record_batch([pa.array(np.repeat(ids, n)), *(pa.array(x.reshape(-1)) for x in places), pa.array(far.reshape(-1))], ["query_id", "passage_id", "entry_id", "distance"])
+
+
+def knn_many(passages: DataFrame, queries: DataFrame, limit: int, block: int = 1000) -> DataFrame:
+    """query_id, passage_id, entry_id, distance, rank for every row of queries (query_id, embedding), against all passages.
+
+    Queries are dealt into blocks of about ``block``; a block is sent to the tasks, which compare it with their passages by matrix
+    products and give out ``limit`` rows a query. So neither side is paired row by row, and what is sent has a bounded size.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    number, out = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), None
+    for b in range(blocks):
+        rows = queries.filter(number == b).select("query_id", "embedding").toArrow()
+        if not rows.num_rows:
+            continue
+        q = np.stack([np.asarray(x, np.float64) for x in rows.column("embedding").to_pylist()])
+        sent = passages.sparkSession.sparkContext.broadcast((rows.column("query_id").to_numpy(), q / np.sqrt((q * q).sum(1, keepdims=True))))
+        part = passages.select("passage_id", "entry_id", "embedding").mapInArrow(partial(_nearest_many, queries=sent, limit=limit), "query_id long, passage_id long, entry_id long, distance double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return passages.select(F.lit(0).cast("long").alias("query_id"), "passage_id", "entry_id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "passage_id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
 def fuse(*lists: DataFrame, limit: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of lists (passage_id, entry_id, rank); raw scores are never read."""
     union = lists[0].select("passage_id", "entry_id", "rank")
@@ -180,7 +224,7 @@ def similar(passages: DataFrame, entry_id: int, limit: int, within: DataFrame |
     s = F.broadcast(seeds(passages, entry_id).select(F.col("passage_id").alias("seed"), F.col("embedding").alias("seed_embedding")))
     others = passages.filter(F.col("entry_id") != entry_id)
     others = others if within is None else others.join(within, "entry_id", "left_semi")
-    d = others.join(s).select("seed", "passage_id", "entry_id", F.round(cosine_distance(F.col("embedding"), F.col("seed_embedding")), 6).alias("distance"))
+    d = others.join(s).select("seed", "passage_id", "entry_id", (F.round(cosine_distance(F.col("embedding"), F.col("seed_embedding")), 6) + 0.0).alias("distance"))
     d = d.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("distance", "passage_id"))).filter(F.col("r") <= per_seed)
     best = d.groupBy("passage_id", "entry_id").agg(F.min("distance").alias("distance"))
     return ranked(best.orderBy("distance", "passage_id").limit(per_seed), F.col("distance"), F.col("passage_id"))

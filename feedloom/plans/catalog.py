@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from feedloom.functions import dates, html, rewrite, text, urls
 from feedloom.operators import evaluate, feeds, indexing, mutate, retrieval, rules
@@ -309,12 +308,25 @@ def similar_entries(spark, sf):
 
 @query
 def recall_at_k(spark, sf):
+    """Every 50th passage asks for the passages of its label."""
     p = C.passages(spark, sf)
-    q = p.filter("passage_id < 5").select(F.col("passage_id").alias("query_id"), "label", F.col("embedding").alias("v"))
-    d = p.join(F.broadcast(q.drop("label"))).select("query_id", F.col("passage_id").alias("entry_id"), F.round(1 - retrieval.dot(F.col("embedding"), F.col("v")), 6).alias("d"))
-    hits = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "entry_id"))).filter("rank <= 10")
-    relevant = q.select("query_id", "label").join(p.select(F.col("passage_id").alias("entry_id"), "label"), "label")
-    return evaluate.recall_at_k(hits, relevant, 10)
+    q = p.filter("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "label", "embedding")
+    hits = retrieval.knn_many(p, q, 10).drop("entry_id").withColumnRenamed("passage_id", "entry_id")
+    total = p.groupBy("label").agg(F.count("*").alias("n"))
+    found = hits.join(q.select("query_id", "label"), "query_id").join(p.select(F.col("passage_id").alias("entry_id"), F.col("label").alias("own")), "entry_id")
+    found = found.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("found"))
+    return q.join(total, "label").join(found, "query_id", "left").select("query_id", F.round(F.coalesce("found", F.lit(0)) / F.col("n"), 6).alias("recall"))
+
+
+@query
+def knn_many(spark, sf):
+    p = C.passages(spark, sf)
+    return retrieval.knn_many(p, p.filter("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), "embedding"), 5).select("query_id", "passage_id", "distance", "rank")
+
+
+@query
+def gauges(spark, sf):
+    return live.gauges(C.entries(spark, sf), C.feeds(spark, sf), C.index_state(spark, sf))
 
 
 @query

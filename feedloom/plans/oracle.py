@@ -59,13 +59,13 @@ lexical AS (SELECT entry_id, score, row_number() OVER (ORDER BY score DESC, entr
 
 
 def knn(k: int, where: str = "TRUE") -> str:
-    return f"""d AS (SELECT p.passage_id, p.entry_id, round(1 - list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS distance
+    return f"""d AS (SELECT p.passage_id, p.entry_id, round(1 - list_dot_product(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) + 0.0 AS distance
   FROM passages p, (SELECT embedding FROM passages WHERE passage_id = 7) q WHERE {where}),
 semantic AS (SELECT passage_id, entry_id, distance, row_number() OVER (ORDER BY distance, passage_id) AS rank FROM d QUALIFY rank <= {k})"""
 
 
 _SIMILAR = """s AS (SELECT passage_id AS seed, embedding AS e FROM passages WHERE entry_id = 3),
-d AS (SELECT seed, p.passage_id, p.entry_id, round(1 - list_dot_product(p.embedding::DOUBLE[], e::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]))), 6) AS distance FROM passages p, s WHERE p.entry_id <> 3),
+d AS (SELECT seed, p.passage_id, p.entry_id, round(1 - list_dot_product(p.embedding::DOUBLE[], e::DOUBLE[]) / (sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) * sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]))), 6) + 0.0 AS distance FROM passages p, s WHERE p.entry_id <> 3),
 near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY seed ORDER BY distance, passage_id) <= 50),
 best AS (SELECT passage_id, entry_id, min(distance) AS distance FROM near GROUP BY 1, 2),
 hits AS (SELECT *, row_number() OVER (ORDER BY distance, passage_id) AS rank FROM best QUALIFY rank <= 50)"""
@@ -133,8 +133,11 @@ BODIES: dict[str, str] = {
     "knn_cosine_topk": "SELECT passage_id, entry_id, distance, rank FROM semantic",
     "entry_aggregate": "SELECT entry_id, arg_min(passage_id, rank) AS best_passage, min(rank) AS best_rank, string_agg(passage_id::VARCHAR, ',' ORDER BY rank) AS passages FROM semantic GROUP BY 1",
     "similar_entries": "SELECT passage_id, entry_id, distance, rank FROM hits",
-    "recall_at_k": "SELECT q AS query_id, round(coalesce(f, 0) / t, 6) AS recall FROM (SELECT q, count(*) FILTER (rank <= 10 AND hit) AS f FROM ranked GROUP BY 1) JOIN (SELECT a.passage_id AS q, count(DISTINCT b.passage_id) AS t FROM (SELECT * FROM passages WHERE passage_id < 5) a JOIN passages b ON a.label = b.label GROUP BY 1) USING (q)",
-    "corpus_guard": "SELECT count(*) AS passages, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM passages)",
+    "recall_at_k": "SELECT q AS query_id, round(count(*) FILTER (hit) / max(t), 6) AS recall FROM ranked WHERE rank <= 10 GROUP BY 1",
+    "knn_many": "SELECT q AS query_id, passage_id, distance, rank FROM ranked WHERE rank <= 5",
+    "gauges": """SELECT unnest(['entries', 'entries_unread', 'entries_hidden', 'feeds', 'feeds_disabled', 'feeds_broken', 'indexed', 'failed', 'skipped']) AS name, unnest([(SELECT count(*) FROM entries), (SELECT count(*) FROM entries WHERE status = 'unread'),
+      (SELECT count(*) FROM entries WHERE hidden), (SELECT count(*) FROM feeds), (SELECT count(*) FROM feeds WHERE disabled), (SELECT count(*) FROM feeds WHERE parsing_error_count > 0), (SELECT count(*) FROM state WHERE status = 'ok'), (SELECT count(*) FROM state WHERE status = 'failed'), (SELECT count(*) FROM state WHERE status = 'skipped')]) AS value""",
+    "corpus_guard": "SELECT count(*) AS passages, count(*) FILTER (ordinal = 0) AS titles, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n, ordinal FROM passages)",
     "events_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "events_sliding": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range(4) r(k) GROUP BY 1, 2",
     "events_sessions": "SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
@@ -143,11 +146,16 @@ BODIES: dict[str, str] = {
     "shared_icons": "SELECT DISTINCT icon_id FROM feeds WHERE icon_id IS NOT NULL AND user_id = 1",
     "failure_causes": "SELECT regexp_replace(props, '\\d+', 'N', 'g') AS cause, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1",
 }
+_LONG = "sqrt(list_dot_product({0}.embedding::DOUBLE[], {0}.embedding::DOUBLE[]))"
+RANKED = f"""pairs AS (SELECT a.passage_id AS q, b.passage_id, a.label = b.label AS hit, round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / ({_LONG.format('a')} * {_LONG.format('b')}), 6) + 0.0 AS distance,
+  (SELECT count(*) FROM passages c WHERE c.label = a.label) AS t FROM (SELECT * FROM passages WHERE passage_id % 50 = 0) a, passages b),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, passage_id) AS rank FROM pairs)"""
 EXTRA = {
     "knn_cosine_topk": knn(20),
     "entry_aggregate": knn(50),
     "similar_entries": _SIMILAR,
-    "recall_at_k": """ranked AS (SELECT a.passage_id AS q, a.label = b.label AS hit, row_number() OVER (PARTITION BY a.passage_id ORDER BY round(1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6), b.passage_id) AS rank FROM (SELECT * FROM passages WHERE passage_id < 5) a, passages b)""",
+    "recall_at_k": RANKED,
+    "knn_many": RANKED,
 }
 
 
