@@ -111,8 +111,11 @@ def id_fold(column: str | Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
-def likely(docs: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (and ``more`` text columns) of the documents in ``ids``, and of few others: so that a join shuffles little text."""
+def likely(docs: DataFrame, ids: DataFrame, *more: str, then=None, schema: str = "") -> DataFrame:
+    """doc_id, text (and ``more`` text columns) of the documents in ``ids``, and of few others: so that a join shuffles little text.
+
+    ``then`` takes these batches on, in the same Python worker, and gives those of ``schema``.
+    """
     n, bits = id_bits(ids.select("doc_id").distinct(), "doc_id")
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", *more, F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("h"))
 
@@ -126,6 +129,8 @@ def likely(docs: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
             found = (words[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) == 1
             yield batch.select(["doc_id", "text", *more]).filter(pa.array(found))
 
+    if then is not None:
+        return rows.mapInArrow(lambda batches: then(keep(batches)), schema)
     return rows.mapInArrow(keep, ", ".join(["doc_id long", "text string", *(f"{c} string" for c in more)]))
 
 

@@ -171,7 +171,7 @@ def learnt(docs: DataFrame, labels: DataFrame | None) -> dict:
         return {None: Fixed()}
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).groupBy("doc_id").agg(F.min("q").alias("q")).filter("q = 1").select("doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _lang(docs).alias("lang")).filter("text IS NOT NULL")
-    sums = likely(texts, ids, "lang").mapInArrow(_trusted, "doc_id long, lang string, step long, n long, s long, ss long").join(ids, "doc_id")
+    sums = likely(texts, ids, "lang", then=_trusted, schema="doc_id long, lang string, step long, n long, s long, ss long").join(ids, "doc_id")
     rows = sums.groupBy("lang", "step").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).toPandas()
     out = {}
     for lang, part in [(None, rows), *rows.groupby("lang")]:
