@@ -303,6 +303,16 @@ def test_packing_keeps_proportions(spark):
     assert len(shares) > 50 and abs(np.mean(shares) - 0.25) < 0.02 and np.mean([abs(s - 0.25) < 0.1 for s in shares]) > 0.9
 
 
+def test_packing_mixes_a_table_in_order_of_its_sources(spark):
+    """Files of one source each, and more sources than queues: windows still hold the target shares, and pieces their source."""
+    rows = [(i, f"w{i} some words to be packed here " * 40, f"s{0 if i < 300 else 1 + i % 1500}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(6, "doc_id")
+    got = pack(df, TOKENIZER, piece=32).collect()
+    assert {r["doc_id"]: r["source"] for r in got} == {i: s for i, _, s in rows}
+    shares = [sum(r["length"] for r in p if r["source"] == "s0") / sum(r["length"] for r in p) for p in check_packing(got, {i: t for i, t, _ in rows}).values() if sum(r["length"] for r in p) == 2048]
+    assert len(shares) > 50 and abs(np.mean(shares) - 1 / 3) < 0.05 and np.mean([0.1 < s < 0.6 for s in shares]) > 0.8
+
+
 def test_packing_defined_cases(hard, none):
     got = pack(hard, TOKENIZER).collect()
     assert sum(r["length"] for r in got if r["doc_id"] == 3) == 1 and sum(r["length"] for r in got if r["doc_id"] == 2) == 2 * next(r["doc_tokens"] for r in got if r["doc_id"] == 2)
