@@ -1,4 +1,11 @@
-"""The training-data pipeline: every stage takes (spark, docs, sf_dir) and returns a DataFrame for the next one."""
+"""The training-data pipeline: every stage takes (spark, docs, sf_dir) and returns a DataFrame for the next one.
+
+All stages but the last return the columns of ``docs``, whatever further ones there are and whatever their names. Defined cases: an
+empty table stays empty. A null or empty text fails the quality rules, so it goes no further. A row with a null doc_id is
+judged, cleaned and packed, but is never taken for a copy or a leak; rows that repeat a doc_id are one document to the
+stages that compare documents, and each is kept or goes with it. Very long texts are read whole by every stage. Of
+copies the smallest doc_id stays, of repeated spans the first occurrence, so ties don't depend on the order of rows.
+"""
 
 from __future__ import annotations
 
