@@ -399,12 +399,6 @@ def sanitize(spark, sf):
     return C.table(spark, sf, "pages").select("page_id", html.sanitize_udf("html", "url").alias("content"))
 
 
-@query
-def page_links(spark, sf):
-    p = C.table(spark, sf, "pages")
-    return p.select("page_id", F.size(html.feed_links_udf("html", "url")).alias("feeds"), F.size(html.icon_links_udf("html", "url")).alias("icons"))
-
-
 @query
 def read_feed_documents(spark, sf):
     """RSS documents made of the entries, read back."""

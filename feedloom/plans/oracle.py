@@ -38,6 +38,19 @@ def strip(html: str) -> str:
     return f"regexp_replace(regexp_replace({html}, '{tags}', '', 'g'), '^{SPACES}|{SPACES}$', '', 'g')"
 
 
+def shown(html: str) -> str:
+    """The text of markup: block tags part words, scripts and styles aren't shown, white space is one space."""
+    from feedloom.functions.text import BLOCK_TAGS, HIDDEN_TAGS
+
+    hidden, blocks = "|".join(sorted(HIDDEN_TAGS)), "|".join(sorted(BLOCK_TAGS))
+    out = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    out = f"regexp_replace({out}, '(?is)<({hidden})\\b[^>]*>.*?</({hidden})\\s*>', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?i)</?({blocks})\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("mdash", "—"), ("eacute", "é"), ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({out}, '[\\s\\x0B\\x{{85}}\\x{{FEFF}}\\p{{Z}}]+', ' ', 'g'))"
+
+
 def minutes(html: str) -> str:
     """Reading time of a text at 265 words or 500 characters a minute."""
     cjk = r"[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Yi}\p{Bopomofo}]"
@@ -135,6 +148,8 @@ BODIES: dict[str, str] = {
     "similar_entries": "SELECT passage_id, entry_id, distance, rank FROM hits",
     "recall_at_k": "SELECT q AS query_id, round(count(*) FILTER (hit) / max(t), 6) AS recall FROM ranked WHERE rank <= 10 GROUP BY 1",
     "knn_many": "SELECT q AS query_id, passage_id, distance, rank FROM ranked WHERE rank <= 5",
+    "read_feed_documents": r"SELECT url, CASE WHEN t = '' THEN url ELSE t END AS title, sha256(hash) AS hash, published_at FROM (SELECT url, hash, published_at, regexp_replace(regexp_replace(title, '[<>&]', '', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g') AS t FROM entries)",
+    "extract_text": f"SELECT page_id, {shown('html')} AS text FROM pages",
     "gauges": """SELECT unnest(['entries', 'entries_unread', 'entries_hidden', 'feeds', 'feeds_disabled', 'feeds_broken', 'indexed', 'failed', 'skipped']) AS name, unnest([(SELECT count(*) FROM entries), (SELECT count(*) FROM entries WHERE status = 'unread'),
       (SELECT count(*) FROM entries WHERE hidden), (SELECT count(*) FROM feeds), (SELECT count(*) FROM feeds WHERE disabled), (SELECT count(*) FROM feeds WHERE parsing_error_count > 0), (SELECT count(*) FROM state WHERE status = 'ok'), (SELECT count(*) FROM state WHERE status = 'failed'), (SELECT count(*) FROM state WHERE status = 'skipped')]) AS value""",
     "corpus_guard": "SELECT count(*) AS passages, count(*) FILTER (ordinal = 0) AS titles, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM (SELECT sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n, ordinal FROM passages)",
