@@ -38,7 +38,7 @@ def perplexity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     taught = trusted.filter(~held)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     scratch = Scratch(docs.sparkSession)
-    model = PairModel(likely(docs, taught).join(taught.hint("merge"), "doc_id", "left_semi").select("text"), size, scratch)
+    model = PairModel(lambda: likely(docs, taught).join(taught.hint("merge"), "doc_id", "left_semi"), size, scratch)
     scored = model.score(docs, "doc_id long, lang string")
     scored = scored.select("doc_id", "lang", F.col("n").alias("n_tokens"), F.when(F.col("n") > 1, F.exp(-F.col("loglik") / F.col("n"))).alias("perplexity"))
     scored = cut(scored)

@@ -17,15 +17,14 @@ The steps, each one pass of a table of packs:
 2. A shard sums its pairs. For each of its words it sends what it knows (its pairs once, twice and more often seen, their
    total, the words it follows) to the word's own shard.
 3. A word's shard sums that, and sends the sums back to all who asked.
-4. Texts go to the shards in up to ``WAVES`` waves (of ``WAVE_BYTES`` or more), dealt by hash, which holds what is on disk at
-   once to a part of it.
+4. Texts go to the shards in ``WAVES``, dealt by hash, which holds what is on disk at once to a part of it.
 
 Shards hold about ``SHARD_BYTES`` of text, so there are more of them with more input; up to ``WORD_SHARDS`` of them own words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -40,7 +39,7 @@ from feedloom.llm.textvec import Words, mix, signed, words
 U = np.uint64
 HELD = 2_000_000
 SHARD_BYTES, WORD_SHARDS = 16 << 20, 256
-WAVES, WAVE_BYTES = 6, 64 << 20
+WAVES = 4
 KEY_BITS = 48
 #: What is left of a long: it numbers the texts of a chunk.
 REST = U(64 - KEY_BITS)
@@ -250,15 +249,15 @@ class Smoothing:
 class PairModel:
     """Counts of word pairs by shard, and what is known of each word."""
 
-    def __init__(self, texts: DataFrame, size: int, scratch: Scratch):
-        """texts: text. size: bytes of all the text that will be scored, for the number of shards."""
+    def __init__(self, texts: Callable[[], DataFrame], size: int, scratch: Scratch):
+        """texts: gives a table with text (not the table itself, so that nothing holds on to it). size: bytes of all the text that will
+        be scored, for the number of shards."""
         self.scratch = scratch
-        self.parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        self.parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         self.shards = max(self.parts, int(size) // SHARD_BYTES + 1)
-        self.waves = min(WAVES, int(size) // WAVE_BYTES + 1)
         word_shards = min(self.shards, max(WORD_SHARDS, self.parts))
         # No names for what lies between the tables, or its shuffle files would stay.
-        self.pairs = scratch.table(self._dealt(texts.select("text").mapInArrow(partial(_count, shards=self.shards), MESSAGE)).mapInArrow(partial(_merge, word_shards=word_shards), TOLD), wait=True)
+        self.pairs = scratch.table(self._dealt(texts().select("text").mapInArrow(partial(_count, shards=self.shards), MESSAGE)).mapInArrow(partial(_merge, word_shards=word_shards), TOLD), wait=True)
         self.words = scratch.table(self._dealt(self.pairs.filter(F.col("kind") == KNOWN).select("shard", "kind", "source", "pack")).mapInArrow(partial(_sum_words, shards=self.shards), TOLD), wait=True)
         self.smoothing = Smoothing(self._told(self.pairs, PAIRS)[:4], *self._told(self.words, OWN))
 
@@ -273,10 +272,10 @@ class PairModel:
         """The columns ``carried`` (name and type each) of docs (which has text too), n (its words and the end) and loglik, a row for each row."""
         names, columns = [c.split()[0] for c in carried.split(", ")], ["shard", "kind", "source", "pack"]
         model = self.pairs.filter(F.col("kind") == PAIRS).select(*columns).unionByName(self.words.select(*columns))
-        docs = docs.withColumn("_wave", F.pmod(F.xxhash64("text", *names), F.lit(self.waves))).withColumn("_split", F.spark_partition_id().cast("long"))
+        docs = docs.withColumn("_wave", F.pmod(F.xxhash64("text", *names), F.lit(WAVES))).withColumn("_split", F.spark_partition_id().cast("long"))
         kept, out = f"{carried}, n long, loglik double", None
-        for wave in range(self.waves):
-            part = self.scratch.table(self._wave(docs.filter(F.col("_wave") == wave).drop("_wave"), model, names).mapInArrow(partial(_by_text, names=names, unknown=self.smoothing.unknown), kept), wait=wave + 1 < self.waves)
+        for wave in range(WAVES):
+            part = self.scratch.table(self._wave(docs.filter(F.col("_wave") == wave).drop("_wave"), model, names).mapInArrow(partial(_by_text, names=names, unknown=self.smoothing.unknown), kept), wait=wave + 1 < WAVES)
             out = part if out is None else out.unionByName(part)
         return out
 

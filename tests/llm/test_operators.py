@@ -403,7 +403,7 @@ def test_pair_model_matches_brute_force(spark, texts):
     docs = spark.createDataFrame([(i, "en", t) for i, t in some.items()], "doc_id long, lang string, text string")
     want = brute_pairs(taught, some)
     scratch = Scratch(spark)
-    got = PairModel(rows, 40 << 20, scratch).score(docs, "doc_id long, lang string").collect()
+    got = PairModel(lambda: rows, 40 << 20, scratch).score(docs, "doc_id long, lang string").collect()
     assert len(got) == len(some)
     for r in got:
         assert r["n"] == len(WORD.findall(lower(some[r["doc_id"]]))) + 1 and r["loglik"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
