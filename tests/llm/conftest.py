@@ -1,5 +1,9 @@
 import pytest
 
+from feedloom.llm import common
+
+common.PAUSE = common.HEARD = 0  # disk is no concern here
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside, as further columns.
 CLASH = "row string, n string, h string, kind string, batch string, key string, queue string, _span_doc string, component string"
