@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 
 #: Seconds that shuffle files get to go.
-PAUSE, HEARD = 0.25, 1.2
+PAUSE = 0.25
+#: Spark's setting that deletes the shuffle files of a write at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +32,10 @@ def folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def release(spark: SparkSession, wait: bool = False) -> None:
+def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that nothing refers to any more; else they stay until the driver's JVM collects.
-    They go in the background, so there is a moment for that before the next stage writes. The JVM hears of what Python has let go
-    about once a second; ``wait`` waits for that, where the next stage writes much."""
+    They go in the background, so there is a moment for that before the next stage writes."""
     gc.collect()
-    if wait:
-        time.sleep(HEARD)
     spark.sparkContext._jvm.System.gc()
     time.sleep(PAUSE)
 
@@ -57,11 +56,16 @@ class Scratch:
         self.base = f"{folder(spark)}/scratch-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def table(self, df: DataFrame, wait: bool = False) -> DataFrame:
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table. The shuffle files of writing it go at its end, whatever still refers to ``df``."""
         path, schema = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}", df.schema
-        df.write.parquet(path)
-        del df  # what led to the table can go, if the caller has no name for it
-        release(self.spark, wait)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        release(self.spark)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = path
         return out

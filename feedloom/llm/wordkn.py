@@ -256,9 +256,8 @@ class PairModel:
         self.parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         self.shards = max(self.parts, int(size) // SHARD_BYTES + 1)
         word_shards = min(self.shards, max(WORD_SHARDS, self.parts))
-        # No names for what lies between the tables, or its shuffle files would stay.
-        self.pairs = scratch.table(self._dealt(texts().select("text").mapInArrow(partial(_count, shards=self.shards), MESSAGE)).mapInArrow(partial(_merge, word_shards=word_shards), TOLD), wait=True)
-        self.words = scratch.table(self._dealt(self.pairs.filter(F.col("kind") == KNOWN).select("shard", "kind", "source", "pack")).mapInArrow(partial(_sum_words, shards=self.shards), TOLD), wait=True)
+        self.pairs = scratch.table(self._dealt(texts().select("text").mapInArrow(partial(_count, shards=self.shards), MESSAGE)).mapInArrow(partial(_merge, word_shards=word_shards), TOLD))
+        self.words = scratch.table(self._dealt(self.pairs.filter(F.col("kind") == KNOWN).select("shard", "kind", "source", "pack")).mapInArrow(partial(_sum_words, shards=self.shards), TOLD))
         self.smoothing = Smoothing(self._told(self.pairs, PAIRS)[:4], *self._told(self.words, OWN))
 
     def _dealt(self, messages: DataFrame) -> DataFrame:
@@ -275,7 +274,7 @@ class PairModel:
         docs = docs.withColumn("_wave", F.pmod(F.xxhash64("text", *names), F.lit(WAVES))).withColumn("_split", F.spark_partition_id().cast("long"))
         kept, out = f"{carried}, n long, loglik double", None
         for wave in range(WAVES):
-            part = self.scratch.table(self._wave(docs.filter(F.col("_wave") == wave).drop("_wave"), model, names).mapInArrow(partial(_by_text, names=names, unknown=self.smoothing.unknown), kept), wait=wave + 1 < WAVES)
+            part = self.scratch.table(self._wave(docs.filter(F.col("_wave") == wave).drop("_wave"), model, names).mapInArrow(partial(_by_text, names=names, unknown=self.smoothing.unknown), kept))
             out = part if out is None else out.unionByName(part)
         return out
 
