@@ -10,9 +10,12 @@ from feedloom.llm.common import table
 from feedloom.llm.jaccard_join import jaccard_join
 from feedloom.llm.lbl import lbl_scores
 from feedloom.llm.license_scan import license_scan
+from feedloom.llm.line_dedup import line_dedup
+from feedloom.llm.merkle import merkle_manifest
 from feedloom.llm.packing import pack
 from feedloom.llm.perplexity import perplexity
 from feedloom.llm.quality_rules import quality_rules
+from feedloom.llm.runs import periodic_runs
 from feedloom.llm.site_style import extract
 from feedloom.llm.span_dedup import span_dedup
 from feedloom.llm.tiling import leaks
@@ -59,9 +62,21 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": sql.license_scan(), "op3_jaccard_join": sql.JACCARD_JOIN, "op10_span_dedup": sql.SPAN_DEDUP}
+    return {"op1_license_scan": sql.license_scan(), "op3_jaccard_join": sql.JACCARD_JOIN, "op10_span_dedup": sql.SPAN_DEDUP, "op11_merkle_manifest": sql.MERKLE, "op12_line_dedup": sql.LINE_DEDUP}

@@ -36,6 +36,52 @@ kept AS (SELECT c.doc_id, count(*) AS n, count(g.i) AS removed, coalesce(string_
 SELECT d.doc_id, CASE WHEN coalesce(removed, 0) = 0 THEN d.text ELSE k.text || regexp_extract(d.text, '[{_W}]*$') END AS text, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(removed, 0) > 0 AS changed
 FROM docs d LEFT JOIN kept k USING (doc_id)"""
 
+LINE_DEDUP = rf"""WITH docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+cut AS (SELECT row, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM docs),
+keyed AS (SELECT *, {LOWER.format(f"regexp_replace(line, '^[{_W}]+|[{_W}]+$', '', 'g')")} AS key FROM cut),
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10),
+kept AS (SELECT row, string_agg(line, chr(10) ORDER BY place) AS text, count(*) AS n FROM keyed ANTI JOIN common USING (key) GROUP BY row)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (row)"""
+
+#: crc32 of a string of digits; its polynomial is a fixed value.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda s, b: list_reduce(list_concat([xor(s, b)], list_transform(range(8), lambda i: i)), lambda t, _: xor(t >> 1, 3988292384 * (t & 1)))))"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of trees (tree, place, n, digest, presented), the siblings' digests of every leaf, and its way up, as {name}_nodes, _proofs and _path."""
+    return f"""{name}_nodes(tree, level, place, n, digest) AS (SELECT tree, 0, place, n, digest FROM {leaves}
+  UNION ALL SELECT tree, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)) FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, place // 3, n),
+{name}_proofs AS (SELECT l.tree, l.place, coalesce(string_agg(x.digest, '' ORDER BY x.level, x.place), '') AS proof FROM {leaves} l
+  LEFT JOIN {name}_nodes x ON x.tree = l.tree AND x.place // 3 = l.place // pow(3, x.level + 1)::BIGINT AND x.place <> l.place // pow(3, x.level)::BIGINT GROUP BY 1, 2),
+{name}_path(tree, leaf_place, level, place, n, presented) AS (SELECT tree, place, 0, place, n, presented FROM {leaves}
+  UNION ALL SELECT p.tree, p.leaf_place, p.level + 1, p.place // 3, (p.n + 2) // 3, sha256(string_agg(CASE WHEN x.place = p.place THEN p.presented ELSE x.digest END, '' ORDER BY x.place))
+  FROM {name}_path p JOIN {name}_nodes x ON x.tree = p.tree AND x.level = p.level AND x.place // 3 = p.place // 3
+  WHERE p.n > 1 GROUP BY p.tree, p.leaf_place, p.level, p.place, p.n, p.presented)"""
+
+
+MERKLE = f"""WITH RECURSIVE cut AS (SELECT *, CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS less FROM documents),
+digests AS (SELECT doc_id, source, {_leaf("text")} AS digest, {_leaf("less")} AS presented FROM cut),
+numbered AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM digests),
+{_tree("low", "numbered")},
+subroots AS (SELECT tree, digest FROM low_nodes WHERE n = 1),
+tops AS (SELECT 0 AS tree, tree AS place, (SELECT count(*) FROM subroots) AS n, digest, NULL::VARCHAR AS presented FROM subroots),
+{_tree("high", "tops")},
+reached AS (SELECT tree, leaf_place, presented FROM low_path WHERE n = 1),
+ends AS (SELECT r.tree, r.leaf_place, r.presented = s.digest AS same FROM reached r JOIN subroots s USING (tree)),
+changed AS (SELECT 0 AS tree, e.leaf_place AS leaf_place, e.tree AS low_tree, r.presented FROM ends e JOIN reached r USING (tree, leaf_place) WHERE NOT e.same),
+up(low_tree, leaf_place, level, place, n, presented) AS (SELECT low_tree, leaf_place, 0, low_tree, (SELECT count(*) FROM subroots), presented FROM changed
+  UNION ALL SELECT u.low_tree, u.leaf_place, u.level + 1, u.place // 3, (u.n + 2) // 3, sha256(string_agg(CASE WHEN x.place = u.place THEN u.presented ELSE x.digest END, '' ORDER BY x.place))
+  FROM up u JOIN high_nodes x ON x.level = u.level AND x.place // 3 = u.place // 3 WHERE u.n > 1 GROUP BY u.low_tree, u.leaf_place, u.level, u.place, u.n, u.presented),
+root AS (SELECT digest FROM high_nodes WHERE n = 1),
+folds AS (SELECT low_tree AS tree, leaf_place AS place, presented FROM up WHERE n = 1)
+SELECT doc_id, l.digest AS leaf, s.digest AS subroot, root.digest AS root, sha256(p.proof || h.proof) AS proof_sha256, coalesce(f.presented, root.digest) AS folded_root, coalesce(f.presented, root.digest) = root.digest AS verified
+FROM numbered l JOIN subroots s USING (tree) JOIN low_proofs p USING (tree, place) JOIN high_proofs h ON h.place = l.tree LEFT JOIN folds f ON f.tree = l.tree AND f.place = l.place CROSS JOIN root"""
+
 
 def license_scan() -> str:
     """The scan in SQL; grams are compared as words, not as hashes."""
