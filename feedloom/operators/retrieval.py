@@ -76,6 +76,11 @@ def terms(query: str) -> list[str]:
     return list(dict.fromkeys(t.lower() for t in re.findall(r"[^\W_]+", query)))
 
 
+def terms_of(text: str) -> list[str]:
+    """The words of a text in order, as ``tokens`` gives them."""
+    return [t.lower() for t in re.findall(r"[^\W_]+", text)]
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1)
 
@@ -218,14 +223,13 @@ def seeds(passages: DataFrame, entry_id: int, most: int = SEEDS) -> DataFrame:
 def similar(passages: DataFrame, entry_id: int, limit: int, within: DataFrame | None = None) -> DataFrame:
     """passage_id, entry_id, distance, rank: what lies nearest to any seed of the entry, the entry itself left out.
 
-    At most SEEDS seeds meet every passage; each seed keeps its nearest only, found by one pass.
+    At most SEEDS seeds meet every passage, by matrix products; each seed keeps its nearest only, found by one pass.
     """
     per_seed = candidates(limit, MOST_VECTOR)
-    s = F.broadcast(seeds(passages, entry_id).select(F.col("passage_id").alias("seed"), F.col("embedding").alias("seed_embedding")))
+    s = seeds(passages, entry_id).select(F.col("passage_id").alias("query_id"), "embedding")
     others = passages.filter(F.col("entry_id") != entry_id)
     others = others if within is None else others.join(within, "entry_id", "left_semi")
-    d = others.join(s).select("seed", "passage_id", "entry_id", (F.round(cosine_distance(F.col("embedding"), F.col("seed_embedding")), 6) + 0.0).alias("distance"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy("distance", "passage_id"))).filter(F.col("r") <= per_seed)
+    d = knn_many(others, s, per_seed)
     best = d.groupBy("passage_id", "entry_id").agg(F.min("distance").alias("distance"))
     return ranked(best.orderBy("distance", "passage_id").limit(per_seed), F.col("distance"), F.col("passage_id"))
 

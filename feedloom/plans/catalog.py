@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from feedloom.functions import dates, html, rewrite, text, urls
 from feedloom.operators import evaluate, feeds, indexing, mutate, retrieval, rules
 from feedloom.operators.entries import EntryQuery
-from feedloom.plans import api, changes, reading, scalars
+from feedloom.plans import api, changes, indexes, reading, scalars
 from feedloom.sources import corpus as C
 from feedloom.sources import formats
 from feedloom.streaming import live
 
 NOW = datetime(2024, 1, 1, 12)
 PAGE = ("entry_id", "feed_id", "title", "status", "starred", "published_at", "feed_title", "category_title")
-QUERIES: dict = {**changes.QUERIES, **reading.QUERIES, **scalars.QUERIES}
+QUERIES: dict = {**changes.QUERIES, **reading.QUERIES, **scalars.QUERIES, **indexes.QUERIES}
 
 
 def query(f):

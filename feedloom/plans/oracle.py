@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.plans import changes, reading, scalars
+from feedloom.plans import changes, indexes, reading, scalars
 
 PRELUDE = """
 entries AS (SELECT doc_id AS entry_id, 1 + doc_id % 3 AS user_id, CAST(substr(source, 4) AS BIGINT) * 3 + doc_id % 3 AS feed_id, sha256(text) AS hash,
@@ -177,6 +177,10 @@ EXTRA = {
 def _expanded(extra: str) -> str:
     """bm25:terms:k, knn:k:condition and hybrid stand for the SQL of these searches."""
     kind, _, rest = extra.partition(":")
+    if extra in ("ranked", "similar"):
+        return RANKED if extra == "ranked" else _SIMILAR
+    if extra.endswith("bm25 of revised"):
+        return extra.replace("bm25 of revised", bm25("'now', 'the', 'ing'", 40).replace("FROM entries", "FROM revised").replace("lower(content)", "lower(title || ' ' || content)"))
     if kind == "bm25":
         words, _, k = rest.rpartition(":")
         return bm25(words, int(k))
@@ -188,7 +192,7 @@ def _expanded(extra: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     bodies, extra = dict(BODIES), dict(EXTRA)
-    for module in (changes, reading, scalars):
+    for module in (changes, reading, scalars, indexes):
         bodies |= module.SQL
         extra |= {k: _expanded(x) for k, x in module.EXTRA.items()}
     extra["page_reading_time"] = f"pages_read AS (SELECT page_id, {minutes('html')} AS minutes FROM pages)"

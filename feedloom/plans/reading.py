@@ -125,7 +125,7 @@ def _index(spark, sf):
 
 @query("SELECT entry_id, score, rank FROM lexical", "bm25:'the', 'ing', 'der':50")
 def bm25_topk(spark, sf):
-    return postings.bm25(spark, _index(spark, sf), "The ing der", 50, "entry_id")
+    return _index(spark, sf).bm25("The ing der", 50, "entry_id")
 
 
 @query("SELECT entry_id, score, rank FROM lexical", "bm25:'the', 'ing', 'der':50")
@@ -138,7 +138,7 @@ def bm25_scan(spark, sf):
 def bm25_within(spark, sf):
     """The filter comes before the limit; the statistics are those of all entries."""
     own = retrieval.Filters(1, unread=True).entry_ids(C.entries(spark, sf))
-    return postings.bm25(spark, _index(spark, sf), "the der", 12, "entry_id", own)
+    return _index(spark, sf).bm25("the der", 12, "entry_id", own)
 
 
 def _vector(spark, sf):
@@ -158,7 +158,7 @@ _HYBRID = """lexical_passages AS (SELECT p.passage_id, p.entry_id, row_number()
 def rrf_hybrid(spark, sf):
     """BM25 over the entries, as their first passages, fused with the nearest passages."""
     p = C.passages(spark, sf)
-    lexical = postings.bm25(spark, _index(spark, sf), "The ing der", 50, "entry_id").withColumnRenamed("rank", "r")
+    lexical = _index(spark, sf).bm25("The ing der", 50, "entry_id").withColumnRenamed("rank", "r")
     lexical = retrieval.ranked(lexical.join(p.filter("ordinal = 0").select("passage_id", "entry_id"), "entry_id"), F.col("r"), F.col("passage_id"))
     return retrieval.fuse(retrieval.knn(p, _vector(spark, sf), 50), lexical, limit=50)
 
@@ -166,7 +166,7 @@ def rrf_hybrid(spark, sf):
 @query("SELECT l.entry_id, l.rank, e.title FROM lexical l JOIN entries e USING (entry_id) WHERE NOT e.hidden AND e.entry_id % 4 <> 0", "bm25:'the', 'ing', 'der':50")
 def search_hydrated(spark, sf):
     """Hits with their entries in the order of rank; some entries are gone by now."""
-    hits = postings.bm25(spark, _index(spark, sf), "The ing der", 50, "entry_id")
+    hits = _index(spark, sf).bm25("The ing der", 50, "entry_id")
     return serving.hydrate(hits, C.entries(spark, sf).filter("entry_id % 4 <> 0"), without_hidden=True).select("entry_id", "rank", "title")
 
 

@@ -100,13 +100,13 @@ def test_search_without_words_finds_nothing(spark):
 
 def test_postings_read_their_buckets_only(spark, tmp_path):
     docs = C.entries(spark, SF)
-    postings.build(docs, str(tmp_path / "index"), "entry_id", "content")
-    got = postings.bm25(spark, str(tmp_path / "index"), "the der", 20, "entry_id")
+    index = postings.build(docs, str(tmp_path / "index"), "entry_id", "content")
+    got = index.bm25("the der", 20, "entry_id")
     assert got.collect() == R.bm25(docs, "the der", 20, "entry_id", "content").collect()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan.replace("bucket#", "bucket ").replace("(bucket ", "(bucket") or "bucket" in plan.split("PartitionFilters")[1][:120]
     assert "In(term" in plan or "EqualTo(term" in plan
-    assert postings.bm25(spark, str(tmp_path / "index"), " ", 20, "entry_id").count() == 0
+    assert index.bm25(" ", 20, "entry_id").count() == 0
 
 
 def test_knn_matches_brute_force(spark):
