@@ -8,8 +8,8 @@ is made of these. Spans are compared by the hash of their lower-cased words. All
 occurrence but the first (smallest doc_id, then the earliest) is removed, that is, each sentence that any such span covers.
 
 Defined cases: null and empty texts, and texts with fewer than ``min_words`` words, are left as they are. Rows that
-repeat a doc_id are one document, so they don't count against each other; rows with a null doc_id are compared with
-themselves only. Text outside removed sentences stays as it is to the byte. An empty table gives no rows; a very long text
+repeat a doc_id don't count against each other, and each is cut by the spans of its own text; rows with a null doc_id are
+compared with themselves only. Text outside removed sentences stays as it is to the byte. An empty table gives no rows; a very long text
 has a span or two a sentence like any other. Of equal spans of one document the earliest counts as first. Columns of any
 name pass through ``without_repeats``.
 """
@@ -64,18 +64,20 @@ def spans(w: Words, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 def _emit(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        texts = batch.column("text_key").to_numpy()
         ids, known = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         for w in words(batch.column("text")):
-            keys, docs, starts, stops = [], [], [], []
+            keys, docs, of, starts, stops = [], [], [], [], []
             for row, first, stop, hashed in spans(w, min_words):
                 if len(first) and known[row]:
                     _, once = np.unique(hashed, return_index=True)
                     keys.append(hashed[once])
                     docs.append(np.full(len(once), ids[row]))
+                    of.append(np.full(len(once), texts[row]))
                     starts.append(first[once].astype(np.int32))
                     stops.append(stop[once].astype(np.int32))
             if keys:
-                yield pa.record_batch([pa.array(signed(np.concatenate(keys))), *(pa.array(np.concatenate(x)) for x in (docs, starts, stops))], ["key", "doc_id", "start", "stop"])
+                yield pa.record_batch([pa.array(signed(np.concatenate(keys))), *(pa.array(np.concatenate(x)) for x in (docs, of, starts, stops))], ["key", "doc_id", "text_key", "start", "stop"])
 
 
 def _clean(text: pa.Array, marks: pa.Array, min_words: int) -> pa.Array:
@@ -114,19 +116,21 @@ def _clean(text: pa.Array, marks: pa.Array, min_words: int) -> pa.Array:
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, marks: the spans of each document of which a document with a smaller id has a copy."""
-    found = id_text(docs).mapInArrow(partial(_emit, min_words=min_words), "key long, doc_id long, start int, stop int")
+    """doc_id, text_key, marks: the spans of each text of a document of which a document with a smaller id has a copy."""
+    rows = id_text(docs).withColumn("text_key", F.xxhash64("text"))
+    found = rows.mapInArrow(partial(_emit, min_words=min_words), "key long, doc_id long, text_key long, start int, stop int")
     shared = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("key", "first")
     shared = cut(shared)  # so that both sides of the join are dealt anew, and a key of very many documents can be split
     later = found.join(shared, "key").filter("doc_id > first")
-    return later.groupBy("doc_id").agg(F.flatten(F.collect_set(F.array("start", "stop"))).alias("marks"))
+    return later.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set(F.array("start", "stop"))).alias("marks"))
 
 
 def cleaned(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, Column]:
     """``docs`` joined with their marks (all columns prefixed as they were), and the struct of the cleaned text."""
-    key, spans_of = free(docs, "_span_doc"), free(docs, "_span_marks")
-    marks = repeated_spans(docs, min_words).select(F.col("doc_id").alias(key), F.col("marks").alias(spans_of))
-    both = docs.join(marks, F.col("doc_id").cast("long") == F.col(key), "left")
+    key, of, spans_of = free(docs, "_span_doc"), free(docs, "_span_text"), free(docs, "_span_marks")
+    marks = repeated_spans(docs, min_words).select(F.col("doc_id").alias(key), F.col("text_key").alias(of), F.col("marks").alias(spans_of))
+    same = (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(of))
+    both = docs.join(marks, same, "left")
 
     @F.arrow_udf("text string, n_sentences long, n_removed long")
     def clean(text: pa.Array, marks: pa.Array) -> pa.Array:

@@ -22,19 +22,19 @@ FROM sets s LEFT JOIN reach r ON r.id = s.doc_id GROUP BY s.doc_id, s.s"""
 _W = r"\x20\x09-\x0D"
 _PIECE = rf"[{_W}]*(?:[^{_W}]*[^{_W}.!?][\x20\x09\x0B-\x0D]+)*[^{_W}]+"
 
-SPAN_DEDUP = rf"""WITH docs AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_PIECE}') AS parts FROM documents),
-sentences AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS i FROM docs),
-counted AS (SELECT doc_id, i, raw, list_transform(regexp_extract_all(raw, '[^{_W}]+'), lambda w: {LOWER.format("w")}) AS w FROM sentences),
-summed AS (SELECT *, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM counted),
-ends AS (SELECT a.doc_id, a.i, min(b.i) AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.total >= a.total - len(a.w) + 20 GROUP BY 1, 2),
-starts AS (SELECT a.doc_id, max(b.i) AS i, a.i AS j FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.total - b.total + len(b.w) >= 20 GROUP BY 1, 3),
-runs AS (SELECT doc_id, i, j FROM ends UNION SELECT doc_id, i, j FROM starts),
-spans AS (SELECT e.doc_id, e.i, e.j, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS key FROM runs e JOIN counted s ON s.doc_id = e.doc_id AND s.i BETWEEN e.i AND e.j GROUP BY 1, 2, 3),
-later AS (SELECT doc_id, i, j FROM spans QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM later),
-kept AS (SELECT c.doc_id, count(*) AS n, count(g.i) AS removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN c.raw END, '' ORDER BY c.i), '') AS text FROM counted c LEFT JOIN gone g USING (doc_id, i) GROUP BY 1)
+SPAN_DEDUP = rf"""WITH docs AS (SELECT row_number() OVER () AS row, doc_id, text, regexp_extract_all(coalesce(text, ''), '{_PIECE}') AS parts FROM documents),
+sentences AS (SELECT row, doc_id, unnest(parts) AS raw, unnest(range(1, len(parts) + 1)) AS i FROM docs),
+counted AS (SELECT row, doc_id, i, raw, list_transform(regexp_extract_all(raw, '[^{_W}]+'), lambda w: {LOWER.format("w")}) AS w FROM sentences),
+summed AS (SELECT *, sum(len(w)) OVER (PARTITION BY row ORDER BY i) AS total FROM counted),
+ends AS (SELECT a.row, a.i, min(b.i) AS j FROM summed a JOIN summed b ON a.row = b.row AND b.i >= a.i AND b.total >= a.total - len(a.w) + 20 GROUP BY 1, 2),
+starts AS (SELECT a.row, max(b.i) AS i, a.i AS j FROM summed a JOIN summed b ON a.row = b.row AND b.i <= a.i AND a.total - b.total + len(b.w) >= 20 GROUP BY 1, 3),
+runs AS (SELECT row, i, j FROM ends UNION SELECT row, i, j FROM starts),
+spans AS (SELECT e.row, any_value(s.doc_id) AS doc_id, e.i, e.j, string_agg(array_to_string(s.w, ' '), ' ' ORDER BY s.i) AS key FROM runs e JOIN counted s ON s.row = e.row AND s.i BETWEEN e.i AND e.j GROUP BY e.row, e.i, e.j),
+later AS (SELECT row, i, j FROM spans QUALIFY doc_id > min(doc_id) OVER (PARTITION BY key) OR row_number() OVER (PARTITION BY key, row ORDER BY i) > 1),
+gone AS (SELECT DISTINCT row, unnest(range(i, j + 1)) AS i FROM later),
+kept AS (SELECT c.row, count(*) AS n, count(g.i) AS removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN c.raw END, '' ORDER BY c.i), '') AS text FROM counted c LEFT JOIN gone g USING (row, i) GROUP BY 1)
 SELECT d.doc_id, CASE WHEN coalesce(removed, 0) = 0 THEN d.text ELSE k.text || regexp_extract(d.text, '[{_W}]*$') END AS text, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(removed, 0) > 0 AS changed
-FROM docs d LEFT JOIN kept k USING (doc_id)"""
+FROM docs d LEFT JOIN kept k USING (row)"""
 
 LINE_DEDUP = rf"""WITH docs AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 cut AS (SELECT row, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM docs),

@@ -618,6 +618,9 @@ def test_spans_defined_cases(spark, hard, none):
     tail = "These are the words of the first long sentence of a passage that stands in two texts one two three. Four more words here. And two. This one has again more than twenty words so that the run from the sentence before it ends in it yes. Not so long."
     got = collect(span_dedup(docs_of(spark, [f"Start here. {tail}", f"{tail} Something else follows.", tail])), "doc_id")
     assert [got[i]["n_removed"] for i in range(3)] == [0, 5, 5]
+    rows = [(1, passage), (2, f"{passage} More here."), (2, "This is something else. It shares nothing with the others at all.")]
+    got = {r.text: r.n_removed for r in span_dedup(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert got[rows[0][1]] == 0 and got[rows[2][1]] == 0 and " More here." in got  # rows of one id are cut each by its own spans
     assert span_dedup(hard).count() == hard.count() and span_dedup(none).count() == 0
     out = without_repeats(hard)
     assert out.columns == hard.columns and [r["text"] for r in out.filter("doc_id = 3").collect()] == [None]
