@@ -21,7 +21,7 @@ def identity(name: str, revision: str, dimensions: int) -> str:
 
 def content_hash(version: str = VERSION, model: str = MODEL):
     """Changes with pipeline, model, title and content, so a new version offers the whole corpus again."""
-    return F.md5(F.concat(F.lit(f"{version}|{model}|"), F.col("title"), F.col("content")))
+    return F.md5(F.concat(F.lit(f"{version}|{model}|"), F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
 
 
 def pending(entries: DataFrame, state: DataFrame, after: int = 0, limit: int = 0) -> DataFrame:
@@ -128,5 +128,7 @@ def passages_per_entry(passages: DataFrame, entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("e")).join(F.broadcast(n)).select(F.round(F.try_divide("p", "e"), 6).alias("per_entry"))
 
 
-def reindex_seconds(entries: int, per_entry: float = 13, per_second: float = 33.9) -> float:
-    return entries * per_entry / per_second
+def reindex_time(entries: DataFrame, per_entry: float = 13, per_second: float = 33.9) -> DataFrame:
+    """entries, seconds: one row, how long indexing all entries takes at a rate of passages."""
+    n = entries.agg(F.count("*").alias("entries"))
+    return n.select((F.col("entries") * per_entry / per_second).alias("seconds"), "entries")

@@ -107,10 +107,5 @@ def statistics(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def setting(spark, name: str, default: str = "") -> DataFrame:
-    """One row: a setting of the session, as the entry's time zone conversions see it."""
-    return spark.createDataFrame([(name, spark.conf.get(name, default))], "name string, value string")
-
-
 def sessions_before(sessions: DataFrame, as_of: datetime, days: int) -> DataFrame:
     return sessions.filter(F.col("created_at") < F.lit(as_of) - F.make_interval(days=F.lit(max(days, 1))))

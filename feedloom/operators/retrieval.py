@@ -72,6 +72,16 @@ def candidates(limit: int, most: int) -> int:
     return min(max(OVERFETCH * limit, LEAST_CANDIDATES), most)
 
 
+def limited(limit: Column, most: int = WEB_LIMIT) -> Column:
+    """``search_limit`` of a column of limits."""
+    return F.least(F.when(limit > 0, limit).otherwise(DEFAULT_LIMIT), F.lit(most))
+
+
+def fetched(limit: Column, most: int) -> Column:
+    """``candidates`` of a column of limits."""
+    return F.least(F.greatest(OVERFETCH * limit, F.lit(LEAST_CANDIDATES)), F.lit(most))
+
+
 def terms(query: str) -> list[str]:
     return list(dict.fromkeys(t.lower() for t in re.findall(r"[^\W_]+", query)))
 

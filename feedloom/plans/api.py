@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.operators.entries import MAX_IDS, EntryQuery, from_parameters
@@ -61,3 +61,17 @@ def before_or_now(value: int | str | None, now: datetime) -> datetime:
     if not value:
         return now
     return datetime.fromtimestamp(int(value) / 1e6 if len(str(value)) >= 16 else int(value))
+
+
+def page_columns(total: Column, offset: Column, size: Column) -> dict[str, Column]:
+    """The same as columns, and the continuation: the offset after a page of ``size``, 0 after the last."""
+    more = offset + size < total
+    last = F.floor(F.greatest(total - 1, F.lit(0)) / size) * size
+    return {"last": last, "next": F.when(more, offset + size).otherwise(offset), "prev": F.greatest(offset - size, F.lit(0)), "continuation": F.when(more, offset + size).otherwise(0)}
+
+
+def bound(value: Column, now: datetime) -> Column:
+    """``before_or_now`` as a column of texts."""
+    n = F.nullif(value, F.lit("")).cast("long")
+    micros = F.when(F.length(value) >= 16, n).otherwise(n * 1_000_000)
+    return F.coalesce(F.timestamp_micros(micros), F.lit(now))

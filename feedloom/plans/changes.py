@@ -288,9 +288,9 @@ def without_orphan_icons(spark, sf):
     return mutate.without_orphan_icons(C.icons(spark, sf), C.feed_icons(spark, sf)).select("icon_id")
 
 
-@query("SELECT i AS session_id FROM range(8, 13) r(i)")
+@query("SELECT event_id AS session_id FROM events WHERE NOT ts < TIMESTAMP '2024-01-09'")
 def without_old_sessions(spark, sf):
-    return mutate.without_old_sessions(C.accounts(spark)[2], datetime(2024, 1, 12), 3).select("session_id")
+    return mutate.without_old_sessions(C.accounts(spark, sf)[3], datetime(2024, 1, 12), 3).select("session_id")
 
 
 # The passage index.
@@ -377,6 +377,6 @@ def _corpus_with(c, entries):
     return C.Corpus(entries, c.feeds, c.categories, c.users)
 
 
-@query("SELECT session_id FROM (SELECT i AS session_id FROM range(1, 13) r(i)) WHERE session_id % 3 + 1 = 1")
+@query("SELECT event_id AS session_id FROM events WHERE user_id = 1")
 def sessions_of_user(spark, sf):
-    return lists.sessions_of(C.accounts(spark)[2], 1).select("session_id")
+    return lists.sessions_of(C.accounts(spark, sf)[3], 1).select("session_id")

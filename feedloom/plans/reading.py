@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -219,23 +219,27 @@ def seed_stride(spark, sf):
     return retrieval.seeds(p, 1).select("passage_id")
 
 
-@query("SELECT l AS asked, least(CASE WHEN l > 0 THEN l ELSE 10 END, 100) AS api, least(CASE WHEN l > 0 THEN l ELSE 10 END, 20) AS page, least(greatest(5 * l, 50), 2000) AS lexical, least(greatest(5 * l, 50), 1000) AS vector FROM (VALUES (0), (7), (20), (150), (900)) v(l)")
+@query("SELECT entry_id, least(CASE WHEN l > 0 THEN l ELSE 10 END, 100) AS api, least(CASE WHEN l > 0 THEN l ELSE 10 END, 20) AS page, least(greatest(5 * l, 50), 2000) AS lexical, least(greatest(5 * l, 50), 1000) AS vector FROM (SELECT entry_id, entry_id % 700 - 3 AS l FROM entries)")
 def search_limits(spark, sf):
-    r = retrieval
-    rows = [(n, r.search_limit(n), r.search_limit(n, r.PAGE_LIMIT), r.candidates(n, r.MOST_LEXICAL), r.candidates(n, r.MOST_VECTOR)) for n in (0, 7, 20, 150, 900)]
-    return spark.createDataFrame(rows, "asked int, api int, page int, lexical int, vector int")
+    """How much each of many searches gets and fetches, one an entry."""
+    limit, r = F.col("entry_id") % 700 - 3, retrieval
+    return C.entries(spark, sf).select("entry_id", r.limited(limit).alias("api"), r.limited(limit, r.PAGE_LIMIT).alias("page"), r.fetched(limit, r.MOST_LEXICAL).alias("lexical"), r.fetched(limit, r.MOST_VECTOR).alias("vector"))
 
 
-@query("SELECT t AS total, o AS skip, greatest(t - 1, 0) // s * s AS last, CASE WHEN o + s < t THEN o + s ELSE o END AS next, greatest(o - s, 0) AS prev, CASE WHEN s + o < t THEN s + o ELSE 0 END AS continuation FROM (VALUES (95, 20, 20), (100, 80, 20), (0, 0, 20), (41, 0, 20)) v(t, o, s)")
+@query("SELECT feed_id, t AS total, greatest(t - 1, 0) // 20 * 20 AS last, CASE WHEN o + 20 < t THEN o + 20 ELSE o END AS next, greatest(o - 20, 0) AS prev, CASE WHEN 20 + o < t THEN 20 + o ELSE 0 END AS continuation FROM (SELECT feed_id, count(*) AS t, 20 * (feed_id % 3) AS o FROM entries GROUP BY 1)")
 def page_arithmetic(spark, sf):
-    rows = [(t, o, *(api.pages(t, o, s)[k] for k in ("last", "next", "prev")), api.continuation(s, o, t)) for t, o, s in ((95, 20, 20), (100, 80, 20), (0, 0, 20), (41, 0, 20))]
-    return spark.createDataFrame(rows, "total int, skip int, last int, next int, prev int, continuation int")
+    """The pages of every feed's entries around an offset."""
+    t, o, size = F.col("total"), 20 * (F.col("feed_id") % 3), F.lit(20)
+    counts = C.entries(spark, sf).groupBy("feed_id").agg(F.count("*").alias("total"))
+    return counts.select("feed_id", "total", *(c.alias(n) for n, c in api.page_columns(t, o, size).items()))
 
 
-@query("SELECT 'seconds' AS kind, TIMESTAMP '2024-01-01 00:01:00' AS at UNION ALL SELECT 'micros', TIMESTAMP '2024-01-01 00:01:00' UNION ALL SELECT 'absent', TIMESTAMP '2024-01-01 12:00:00'")
+@query("""SELECT entry_id, CASE entry_id % 3 WHEN 2 THEN TIMESTAMP '2024-01-01 12:00:00' ELSE published_at END AS at FROM entries""")
 def time_bounds(spark, sf):
-    rows = [(k, api.before_or_now(v, NOW)) for k, v in (("seconds", 1_704_067_260), ("micros", 1_704_067_260_000_000), ("absent", None))]
-    return spark.createDataFrame(rows, "kind string, at timestamp")
+    """Bounds in seconds, in microseconds, or absent."""
+    seconds = F.unix_timestamp("published_at")
+    text = F.when(F.col("entry_id") % 3 == 0, seconds.cast("string")).when(F.col("entry_id") % 3 == 1, (seconds * 1_000_000).cast("string")).otherwise("")
+    return C.entries(spark, sf).select("entry_id", api.bound(text, NOW).alias("at"))
 
 
 @query("SELECT entry_id, 'tag:google.com,2005:reader/item/' || lpad(lower(to_hex(entry_id)), 16, '0') AS item, entry_id AS again, entry_id AS plain FROM entries")
@@ -249,13 +253,13 @@ def parse_item_ids(spark, sf):
 # Lists and probes.
 @query("""SELECT 'category' AS what, EXISTS (SELECT 1 FROM categories WHERE user_id = 1 AND category_id = 10) AS found UNION ALL SELECT 'category of another', EXISTS (SELECT 1 FROM categories WHERE user_id = 2 AND category_id = 10)
   UNION ALL SELECT 'title', TRUE UNION ALL SELECT 'own title', FALSE UNION ALL SELECT 'feed', EXISTS (SELECT 1 FROM feeds WHERE user_id = 1 AND feed_id = 3) UNION ALL SELECT 'url', EXISTS (SELECT 1 FROM feeds WHERE user_id = 1 AND feed_url = 'https://h3.example.org/feed/3')
-  UNION ALL SELECT 'url of another', EXISTS (SELECT 1 FROM feeds WHERE user_id = 1 AND feed_url = 'https://h3.example.org/feed/3' AND feed_id <> 3) UNION ALL SELECT 'user', TRUE UNION ALL SELECT 'nobody', FALSE UNION ALL SELECT 'key', TRUE""")
+  UNION ALL SELECT 'url of another', EXISTS (SELECT 1 FROM feeds WHERE user_id = 1 AND feed_url = 'https://h3.example.org/feed/3' AND feed_id <> 3) UNION ALL SELECT 'user', TRUE UNION ALL SELECT 'nobody', FALSE UNION ALL SELECT 'key', EXISTS (SELECT 1 FROM orders WHERE o_custkey = 85 AND lower(o_orderpriority || ' ' || o_orderkey) = '3-medium 0')""")
 def existence_probes(spark, sf):
-    cats, f, users, keys = C.categories(spark, sf), C.feeds(spark, sf), C.users(spark), C.accounts(spark)[1]
+    cats, f, users, keys = C.categories(spark, sf), C.feeds(spark, sf), C.users(spark), C.accounts(spark, sf)[2]
     probes = {
         "category": lists.category_exists(cats, 1, 10), "category of another": lists.category_exists(cats, 2, 10), "title": lists.category_title_taken(cats, 1, "CATEGORY 10"), "own title": lists.category_title_taken(cats, 1, "Category 10", 10),
         "feed": lists.feed_exists(f, 1, 3), "url": lists.feed_url_taken(f, 1, "https://h3.example.org/feed/3"), "url of another": lists.feed_url_taken(f, 1, "https://h3.example.org/feed/3", 3), "user": lists.username_taken(users, "ANNA"),
-        "nobody": lists.username_taken(users, "nobody"), "key": lists.key_taken(keys, 1, "laptop"),
+        "nobody": lists.username_taken(users, "nobody"), "key": lists.key_taken(keys, 86, "3-medium 0"),
     }
     out = None
     for what, df in probes.items():
@@ -269,34 +273,36 @@ def category_list(spark, sf):
     return lists.categories_of(C.categories(spark, sf), 2).select("category_id", "title", "position")
 
 
-@query("SELECT 'anna' AS username, 1 AS position UNION ALL SELECT 'bo', 2 UNION ALL SELECT 'chris', 3")
+@query("SELECT lower(c_name) AS username, row_number() OVER (ORDER BY lower(c_name)) AS position FROM customer")
 def user_list(spark, sf):
-    return lists.users_list(C.users(spark)).select("username", "position")
+    return lists.users_list(C.accounts(spark, sf)[0]).select("username", "position")
 
 
-@query("SELECT 2 AS key_id, 1 AS position UNION ALL SELECT 1, 2")
+@query("SELECT o_orderkey AS key_id, row_number() OVER (ORDER BY o_orderpriority || ' ' || o_orderkey) AS position FROM orders WHERE o_custkey = 17")
 def api_key_list(spark, sf):
-    return lists.keys_of(C.accounts(spark)[1], 1).select("key_id", "position")
+    return lists.keys_of(C.accounts(spark, sf)[2], 18).select("key_id", "position")
 
 
-@query("SELECT i AS session_id, row_number() OVER (ORDER BY i DESC) AS position FROM range(1, 13) r(i) WHERE i % 3 = 1")
+@query("SELECT event_id AS session_id, row_number() OVER (ORDER BY ts DESC, event_id) AS position FROM events WHERE user_id = 2")
 def session_list(spark, sf):
-    return lists.sessions_of(C.accounts(spark)[2], 2).select("session_id", "position")
+    return lists.sessions_of(C.accounts(spark, sf)[3], 2).select("session_id", "position")
 
 
-@query("SELECT 3 AS users, 3 AS keys, 2 AS users_with_key")
+@query("SELECT (SELECT count(*) FROM customer) AS users, count(*) AS keys, count(DISTINCT o_custkey) AS users_with_key FROM orders")
 def account_counts(spark, sf):
-    return lists.account_counts(C.users(spark), C.accounts(spark)[1])
+    users, _, keys, _ = C.accounts(spark, sf)
+    return lists.account_counts(users, keys)
 
 
-@query("SELECT 1 AS user_id, 'anna' AS username")
+@query("SELECT c_custkey + 1 AS user_id, lower(c_name) AS username FROM customer WHERE c_custkey % 4 <> 3 AND c_nationkey % 2 = 0")
 def users_with_integration(spark, sf):
-    return lists.users_with(C.users(spark), C.accounts(spark)[0], F.col("read_later")).select("user_id", "username")
+    users, integrations, _, _ = C.accounts(spark, sf)
+    return lists.users_with(users, integrations, F.col("read_later")).select("user_id", "username")
 
 
-@query("SELECT (SELECT count(*) FROM entries WHERE user_id = 1 AND status = 'unread' AND NOT hidden AND feed_id IN (SELECT feed_id FROM visible)) AS unread, 0 AS error_feeds, TRUE AS has_save_entry")
+@query("SELECT (SELECT count(*) FROM entries WHERE user_id = 1 AND status = 'unread' AND NOT hidden AND feed_id IN (SELECT feed_id FROM visible)) AS unread, 0 AS error_feeds, (SELECT bool_or(c_nationkey % 2 = 0 OR c_acctbal < 0) FROM customer WHERE c_custkey = 0) AS has_save_entry")
 def navigation_without_limit(spark, sf):
-    return feeds.navigation(C.corpus(spark, sf), 1, 0, C.accounts(spark)[0])
+    return feeds.navigation(C.corpus(spark, sf), 1, 0, C.accounts(spark, sf)[1])
 
 
 @query("SELECT entry_id, hour(published_at) >= 1 AND hour(published_at) < 3 AS day, hour(published_at) >= 2 OR hour(published_at) < 1 AS night, TRUE AS always FROM entries")
@@ -317,11 +323,6 @@ def table_statistics(spark, sf):
     return lists.statistics({n: C.table(spark, sf, n) for n in ("documents", "embeddings")}).select("table", "rows")
 
 
-@query("SELECT 'spark.sql.session.timeZone' AS name, 'UTC' AS value")
-def current_setting(spark, sf):
-    return lists.setting(spark, "spark.sql.session.timeZone")
-
-
 # Feeds.
 @query("SELECT feed_id, CASE WHEN external_id <> '' THEN icon_id ELSE 0 END AS icon_id, coalesce(external_id, '') AS icon FROM feeds f LEFT JOIN icons USING (icon_id)")
 def feed_icons(spark, sf):
@@ -393,14 +394,3 @@ def keeplist_rule(spark, sf):
 @query("SELECT entry_id FROM entries WHERE NOT (published_at < TIMESTAMP '2024-01-01 12:00:00' - INTERVAL 11 HOURS - INTERVAL 30 MINUTES) AND NOT published_at > TIMESTAMP '2024-01-01 12:00:00'")
 def age_rule(spark, sf):
     return rules.apply(C.entries(spark, sf), NOW, block_rules="EntryDate=max-age:11h30m\nEntryDate=future").select("entry_id")
-
-
-@query("SELECT * FROM (VALUES ('3d', 259200.0), ('1h30m', 5400.0), ('-2m', -120.0), ('0', 0.0), ('1.5h', 5400.0), ('d', 0.0), ('nonsense', NULL)) v(text, seconds)")
-def rule_durations(spark, sf):
-    def seconds(t):
-        try:
-            return rules.duration(t) / timedelta(seconds=1)
-        except ValueError:
-            return None
-
-    return spark.createDataFrame([(t, seconds(t)) for t in ("3d", "1h30m", "-2m", "0", "1.5h", "d", "nonsense")], "text string, seconds double")

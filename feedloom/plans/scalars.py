@@ -209,8 +209,7 @@ def content_digests(spark, sf):
 
 @query("SELECT n * 13 / 33.9 AS seconds, n AS entries FROM (SELECT count(*) AS n FROM entries)")
 def reindex_eta(spark, sf):
-    n = C.entries(spark, sf).count()
-    return spark.createDataFrame([(indexing.reindex_seconds(n), n)], "seconds double, entries long")
+    return indexing.reindex_time(C.entries(spark, sf))
 
 
 # Enclosures and icons.

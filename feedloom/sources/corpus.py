@@ -133,12 +133,14 @@ def feed_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds(spark, sf_dir).filter("icon_id IS NOT NULL").select("feed_id", "icon_id")
 
 
-def accounts(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(integrations, API keys, sessions) of the users."""
-    integrations = spark.createDataFrame([(1, True, False), (2, False, False), (4, True, True)], "user_id long, read_later boolean, webhook boolean")
-    keys = spark.createDataFrame([(1, 1, "phone"), (2, 1, "Laptop"), (3, 2, "script")], "key_id long, user_id long, description string")
-    sessions = spark.createDataFrame([(i, i % 3 + 1) for i in range(1, 13)], "session_id long, user_id long").withColumn("created_at", at(F.col("session_id") * 86_400))
-    return integrations, keys, sessions
+def accounts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(users, integrations, API keys, sessions): customers as users, three of four with settings, their orders as keys, events as sessions."""
+    c, o, e = (table(spark, sf_dir, name) for name in ("customer", "orders", "events"))
+    user = (F.col("c_custkey") + 1).alias("user_id")
+    integrations = c.filter("c_custkey % 4 <> 3").select(user, (F.col("c_nationkey") % 2 == 0).alias("read_later"), (F.col("c_acctbal") < 0).alias("webhook"))
+    keys = o.select(F.col("o_orderkey").alias("key_id"), (F.col("o_custkey") + 1).alias("user_id"), F.concat("o_orderpriority", F.lit(" "), F.col("o_orderkey").cast("string")).alias("description"))
+    sessions = e.select(F.col("event_id").alias("session_id"), "user_id", F.col("ts").cast("timestamp").alias("created_at"))
+    return c.select(user, F.lower("c_name").alias("username")), integrations, keys, sessions
 
 
 def passage_texts(spark: SparkSession, sf_dir: str, sentences: int = 4) -> DataFrame:

@@ -160,3 +160,10 @@ def test_live_index_offers_each_entry_once(spark, tmp_path):
     fresh = live.new_entries(live.stream(spark, str(tmp_path / "in"), "feed_id long, hash string, published_at timestamp, entry_id long"))
     live.index_live(fresh, lambda df, epoch: seen.extend(r["hash"] for r in df.collect()), str(tmp_path / "cp"), once=True).awaitTermination()
     assert len(seen) == e.select("feed_id", "hash").distinct().count()
+
+
+def test_a_null_title_or_text_is_offered_when_it_changed(spark):
+
+    e = spark.createDataFrame([(1, None, "text"), (2, "title", None), (3, None, None), (4, "a", "b")], "entry_id long, title string, content string")
+    state = lambda version: e.select("entry_id", indexing.content_hash(version).alias("content_hash"), F.lit("ok").alias("status"))
+    assert indexing.pending(e, state("old")).count() == 4 and indexing.pending(e, state(indexing.VERSION)).count() == 0
