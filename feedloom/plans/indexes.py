@@ -266,3 +266,37 @@ def store_lookup(spark, sf):
     store = _store(spark, sf)
     store.change(lambda t: {"entries": mutate.toggle_starred(t["entries"], 1, 21, NOW)}, entries=[21])
     return store.table("entries", keys=[5, 21, 34], version=1).select("entry_id", "starred")
+
+
+# Nested parts of feed documents.
+_SHOW = """<rss version='2.0' xmlns:itunes='http://www.itunes.com/dtds/podcast-1.0.dtd' xmlns:media='http://search.yahoo.com/mrss/'><channel><link>https://e.org/</link><itunes:explicit>{2}</itunes:explicit><itunes:image href='/show.png'/>
+<itunes:category text='Arts'><itunes:category text='Books'><itunes:category text='B{1}'/></itunes:category></itunes:category><itunes:category text='News'/>
+<item><title>T</title><itunes:title>Episode {0}</itunes:title><guid>g{0}</guid><link>/{0}</link><itunes:episode>{1}</itunes:episode><itunes:duration>1:0{1}</itunes:duration><media:thumbnail url='/t{0}.png'/><enclosure url='/a{0}.mp3' type='audio/mpeg' length='{0}'/>
+<media:group><media:content url='/a{0}.mp3' medium='audio'/><media:content url='/v{0}.mp4' medium='video' fileSize='7'/><media:description>see https://x.org/{0} now</media:description></media:group><media:group><media:peerLink href='/p{0}.torrent' type='application/x-bittorrent'/><media:thumbnail url='/u{0}.png'/></media:group></item></channel></rss>"""
+
+
+def _episodes(spark, sf):
+    from feedloom.sources import formats
+
+    parts = _SHOW.replace("{0}", "\0{0}\0").replace("{1}", "\0{1}\0").replace("{2}", "\0{2}\0").split("\0")
+    values = {"{0}": F.col("entry_id").cast("string"), "{1}": (F.col("entry_id") % 7).cast("string"), "{2}": F.when(F.col("entry_id") % 2 == 0, "yes").otherwise("no")}
+    content = F.concat(*(values.get(x, F.lit(x)) for x in parts))
+    return formats.read_episodes(C.entries(spark, sf).select("url", content.alias("content")))
+
+
+@query("SELECT 'g' || entry_id AS guid, 'Episode ' || entry_id AS title, (entry_id % 7)::INT AS episode, '1:0' || (entry_id % 7) AS duration, entry_id % 2 = 0 AS explicit, 'https://e.org/show.png' AS image, 'see <a href=\"https://x.org/' || entry_id || '\">https://x.org/' || entry_id || '</a> now' AS description FROM entries")
+def podcast_episodes(spark, sf):
+    return _episodes(spark, sf).select("guid", "title", "episode", "duration", "explicit", "image", "description")
+
+
+@query("SELECT 'g' || entry_id AS guid, unnest(['Arts', 'Books', 'B' || (entry_id % 7), 'News']) AS name, unnest(['', 'Arts', 'Books', '']) AS above, unnest([1, 2, 3, 1]) AS depth FROM entries")
+def podcast_categories(spark, sf):
+    """Categories three levels deep."""
+    return _episodes(spark, sf).select("guid", F.inline("categories"))
+
+
+@query("""SELECT 'g' || entry_id AS guid, unnest(range(5)) AS place, unnest(['thumbnail', 'thumbnail', 'enclosure', 'content', 'peer']) AS kind, unnest([-1, 1, -1, 0, 1]) AS "group", 'https://e.org/' || unnest(['t' || entry_id || '.png', 'u' || entry_id || '.png', 'a' || entry_id || '.mp3', 'v' || entry_id || '.mp4', 'p' || entry_id || '.torrent']) AS url,
+  unnest(['image/*', 'image/*', 'audio/mpeg', 'video/*', 'application/x-bittorrent']) AS mime_type, unnest([0, 0, entry_id, 7, 0]) AS size FROM entries""")
+def podcast_media(spark, sf):
+    """Attachments of items and of their groups; an address that came before isn't repeated."""
+    return _episodes(spark, sf).select("guid", F.posexplode("media").alias("place", "m")).select("guid", "place", "m.*")

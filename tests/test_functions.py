@@ -244,3 +244,20 @@ def test_rewrite(spark):
     assert rewrite.apply(pdf, "").first()["content"].startswith('<a href="https://e.org/a.pdf">')
     assert rewrite.rewrite_elements("<table><tr><td>a</td></tr></table>", [("remove_tables", ())]) == "a"
     assert rewrite.rewrite_elements('<img data-src="l.png">', [("add_dynamic_image", ())]) == '<img data-src="l.png" src="l.png"/>'
+
+
+def test_media_of_items_and_groups():
+    from feedloom.sources import formats
+
+    ns = "xmlns:media='http://search.yahoo.com/mrss/' xmlns:itunes='http://www.itunes.com/dtds/podcast-1.0.dtd'"
+    doc = f"""<rss version='2.0' {ns}><channel><link>https://a.example/</link><itunes:owner><itunes:email>o@a.example</itunes:email></itunes:owner><itunes:category text='A'><itunes:category text=' '><itunes:category text='C'/></itunes:category></itunes:category>
+    <item><guid>1</guid><media:category label=' x '/><media:content url='/1' medium='image'/><media:group><media:content url='/2' type='t/u' fileSize='x'/><media:peerLink href='/1'/><media:description type='html'>&lt;b&gt;</media:description></media:group></item>
+    <item><guid>2</guid><media:description> a https://x.example/y
+b</media:description></item></channel></rss>"""
+    one, two = formats.parse_feed(doc, "https://a.example/f")
+    assert [(e["url"], e["mime_type"], e["size"]) for e in one["enclosures"]] == [("https://a.example/1", "image/*", 0), ("https://a.example/2", "t/u", 0)]
+    assert one["content"] == "<b>" and one["tags"] == ["x"] and one["author"] == "o@a.example"
+    assert two["content"] == ' a <a href="https://x.example/y">https://x.example/y</a><br>b' and two["tags"] == ["A", "C"]
+    first = formats.episodes(doc, "https://a.example/f")[0]
+    assert [(c["name"], c["above"], c["depth"]) for c in first["categories"]] == [("A", "", 1), ("C", "A", 2)]
+    assert formats.episodes("<rss") == [] and formats.episodes("<feed/>") == []
