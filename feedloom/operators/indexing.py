@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from feedloom.functions.text import extract_text, split, truncate_bytes
 
@@ -68,6 +69,26 @@ def make_passages(entries: DataFrame, target: int = 320, most: int = 512, overla
     return entries.select("entry_id", "title", "content").mapInPandas(rows, PASSAGES)
 
 
+@udtf(returnType="ordinal int, source string, text string, char_start int, char_end int")
+class PassageTable:
+    """The passages of one entry as a table function, for SQL's LATERAL: passages_of(title, content)."""
+
+    def eval(self, title: str, content: str):
+        at = 0
+        if title and title.strip():
+            yield 0, "title", title, 0, len(title.encode())
+            at = 1
+        for i, (text, start, end) in enumerate(split(extract_text(content or "")), at):
+            yield i, "content", text, start, end
+
+
+def passages_by_lateral(entries: DataFrame) -> DataFrame:
+    """``make_passages`` in SQL: every entry joined with its own passages."""
+    spark = entries.sparkSession
+    spark.udtf.register("passages_of", PassageTable)
+    return spark.sql("SELECT e.entry_id, p.* FROM {e} AS e, LATERAL passages_of(e.title, e.content) AS p", e=entries.select("entry_id", "title", "content"))
+
+
 def hashing_embedder(dimensions: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic embedder for use without a model: signed word hashes, normalised."""
     import numpy as np

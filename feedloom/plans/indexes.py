@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import stem as S
-from feedloom.operators import mutate, postings, retrieval, vectors
+from feedloom.operators import indexing, mutate, postings, retrieval, vectors
 from feedloom.sources import corpus as C
 from feedloom.sources.versions import Store
 
@@ -300,3 +300,23 @@ def podcast_categories(spark, sf):
 def podcast_media(spark, sf):
     """Attachments of items and of their groups; an address that came before isn't repeated."""
     return _episodes(spark, sf).select("guid", F.posexplode("media").alias("place", "m")).select("guid", "place", "m.*")
+
+
+# Passages.
+#: Windows of whole sentences: c has the words before each sentence, b the bytes before each word, and a window ends where it has 320 words, or before 512 are exceeded; the next begins 64 words back.
+_SPLIT = """plain AS (SELECT entry_id, title, string_split({shown}, ' ') AS w FROM entries),
+ends AS (SELECT entry_id, title, w, list_concat([0], list_filter(range(1, len(w) + 1), lambda i: i = len(w) OR regexp_matches(w[i], '[.!?]$'))) AS c, list_concat([0], list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(w[1:i], lambda x: strlen(x) + 1))::BIGINT)) AS b FROM plain WHERE w <> ['']),
+windows(entry_id, n, f, t) AS (SELECT entry_id, 0, 0, stop FROM (SELECT entry_id, {stop} AS stop FROM (SELECT *, 0 AS f FROM ends))
+  UNION ALL SELECT entry_id, n + 1, f, {stop} FROM (SELECT e.*, x.n, greatest(x.f + 1, len(list_filter(e.c[1:x.t], lambda v: e.c[x.t + 1] - v >= 64)) - 1) AS f FROM windows x JOIN ends e USING (entry_id) WHERE x.t < len(e.c) - 1))"""
+_STOP = "CASE WHEN {e} - f > 1 AND c[{e} + 1] - c[f + 1] > 512 THEN {e} - 1 ELSE {e} END".format(e="least(len(list_filter(c, lambda v: v - c[f + 1] < 320)), len(c) - 1)")
+_PASSAGES = """SELECT entry_id, 0 AS ordinal, 'title' AS source, title AS text, 0 AS char_start, strlen(title)::INT AS char_end FROM entries WHERE regexp_matches(title, '\\S')
+  UNION ALL SELECT entry_id, (n + CASE WHEN regexp_matches(title, '\\S') THEN 1 ELSE 0 END)::INT, 'content', array_to_string(w[c[f + 1] + 1:c[t + 1]], ' '), b[c[f + 1] + 1]::INT, (b[c[t + 1] + 1] - 1)::INT FROM windows JOIN ends USING (entry_id)"""
+
+
+@query(_PASSAGES, "split")
+def passages_by_table_function(spark, sf):
+    """Every entry joined laterally with its passages."""
+    return indexing.passages_by_lateral(C.entries(spark, sf))
+
+
+SQL["split_passages"], EXTRA["split_passages"] = _PASSAGES, "split"

@@ -177,6 +177,8 @@ EXTRA = {
 def _expanded(extra: str) -> str:
     """bm25:terms:k, knn:k:condition and hybrid stand for the SQL of these searches."""
     kind, _, rest = extra.partition(":")
+    if extra == "split":
+        return indexes._SPLIT.replace("{shown}", shown("content")).replace("{stop}", indexes._STOP)
     if extra in ("ranked", "similar"):
         return RANKED if extra == "ranked" else _SIMILAR
     if extra.endswith("bm25 of revised"):
@@ -196,4 +198,4 @@ def oracle_sql() -> dict[str, str]:
         bodies |= module.SQL
         extra |= {k: _expanded(x) for k, x in module.EXTRA.items()}
     extra["page_reading_time"] = f"pages_read AS (SELECT page_id, {minutes('html')} AS minutes FROM pages)"
-    return {k: f"WITH {PRELUDE}{'' if 'enclosures AS (' in extra.get(k, '') else ENCLOSURES}{',' + extra[k] if k in extra else ''}\n{body}" for k, body in bodies.items()}
+    return {k: f"WITH {'RECURSIVE ' if extra.get(k, '').find('UNION ALL SELECT entry_id, n + 1') > 0 else ''}{PRELUDE}{'' if 'enclosures AS (' in extra.get(k, '') else ENCLOSURES}{',' + extra[k] if k in extra else ''}\n{body}" for k, body in bodies.items()}
