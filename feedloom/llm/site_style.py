@@ -11,9 +11,10 @@ page to page is of high importance.
     importance   = (1 - WEIGHT) * presentation + WEIGHT * content
 
 Branches whose importance is under ``LEAST`` are removed, on hosts with at least ``PAGES`` pages that have the element; so is,
-inside an article too, each block of text whose own content, ``1 - log_m(pages that hold it)``, is. An article
+outside of articles, each block of text whose own content, ``1 - log_m(pages that hold it)``, is. An article
 (``article``, ``main``, or an element with exactly such a class, id or role) isn't judged as an element, as what differs in it
-would go with what repeats; root and body never go. What the tags or class names of a branch say comes first: menus,
+would go with what repeats; root and body never go. What articles have in common is theirs, so a block of an article goes only if
+at least ``SHARE`` of the pages that have its element hold it, on hosts of any size, and its headings always stay. What the tags or class names of a branch say comes first: menus,
 footers, adverts, forms, comments and the like are of importance 0. A name says so only if all of its words do or are
 neutral (``site-footer``, not ``has-sidebar`` or ``social-science``), and never of html, body, main or article.
 
@@ -47,6 +48,9 @@ from xxhash import xxh64_intdigest, xxh128_digest
 from feedloom.llm.common import Scratch, cut, id_bits
 
 WEIGHT, LEAST, PAGES = 0.9, 0.2, 5
+#: The part of the pages with an element of an article that must hold a block for it to be none of the article's own.
+SHARE = 0.9
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: So many elements of low importance are broadcast; more are joined, every host in SALTS parts.
 SENT, SALTS = 500_000, 32
 
@@ -226,18 +230,26 @@ def body_text(html: str | None, low: set[int]) -> str:
     return "\n\n".join(main or rest)
 
 
-def features(html: str) -> tuple[set[tuple[int, int]], set[tuple[int, int]], set[tuple[int, int]]]:
-    """(element, presentation), (element, link target) and (element, text) pairs of a page; of what its names don't remove already."""
+def _heading(node: Node | None) -> bool:
+    while node is not None and node.tag not in HEADINGS:
+        node = node.parent
+    return node is not None
+
+
+def features(html: str) -> tuple[set[tuple[int, int]], ...]:
+    """(element, feature) pairs of a page, of what its names don't remove already: presentations, link targets, blocks outside of articles,
+    blocks of articles, headings of articles."""
     page = Page(html)
-    shown, linked, held = set(), set(), set()
+    shown, linked, held, inside, headings = set(), set(), set(), set(), set()
     for n in page.nodes:
         if not n.silent and not n.noise:
             shown.add((n.path, xxh64_intdigest(",".join(dict.fromkeys(n.children)))))
             linked.update((n.path, xxh64_intdigest(x)) for x in n.links)
     for node, text in page.blocks:
         if not node.silent and not node.noise:
-            held.add((node.path, xxh64_intdigest(text)))
-    return shown, linked, held
+            kind = held if not node.main else headings if _heading(node) else inside
+            kind.add((node.path, xxh64_intdigest(text)))
+    return shown, linked, held, inside, headings
 
 
 def _places(path: str, text: str) -> Column:
@@ -254,7 +266,7 @@ def _signed(x: list[int]) -> pa.Array:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, element, kind (0 presentation, 1 link target, 2 text), feature, pages; summed over part of a task."""
+    """host, element, kind (0 presentation, 1 link target, 2 text, 3 of articles, 4 their headings), feature, pages; summed over part of a task."""
     total: dict[tuple, int] = {}
 
     def flush() -> pa.RecordBatch:
@@ -331,8 +343,9 @@ def low_importance(pages: DataFrame) -> DataFrame:
     content = 1 - F.coalesce(F.col("common") / F.col("held"), F.lit(0.0)) / base
     importance = (1 - WEIGHT) * presentation + WEIGHT * content
     # With PAGES pages or more, only text that so many hold can be of low importance, so few rows look for their element.
-    again = counts.filter((F.col("kind") == 2) & (F.col("n") > PAGES ** (1 - LEAST))).join(sums.select("host", "element", "m"), ["host", "element"])
-    again = again.filter(1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double")) < LEAST)
+    again = counts.filter(F.col("kind").isin(2, 3) & (F.col("n") > PAGES ** (1 - LEAST))).join(sums.select("host", "element", "m"), ["host", "element"])
+    common = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("m").cast("double")) < LEAST
+    again = again.filter(F.when(F.col("kind") == 2, common).otherwise(F.col("n") >= SHARE * F.col("m")))
     low = sums.filter(importance < LEAST).select("host", "element").unionByName(again.select("host", _places("element", "feature").alias("element")))
     return low.groupBy("host").agg(F.collect_set("element").alias("elements"))
 

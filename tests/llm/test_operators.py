@@ -495,23 +495,37 @@ def brute_low(pages):
     for host, html in {(h, x) for h, x in pages if x}:
         for kind, pairs in enumerate(features(html)):
             for e, f in pairs:
-                c = seen.setdefault((host, e), [Counter(), Counter(), Counter()])[kind]
+                c = seen.setdefault((host, e), [Counter() for _ in range(5)])[kind]
                 c[f] += 1
-    for (host, e), (shown, linked, held) in seen.items():
+    for (host, e), (shown, linked, held, inside, headings) in seen.items():
         m = sum(shown.values())
         if m < 5:
             continue
         presentation = -sum(n / m * np.log(n / m) / np.log(m) for n in shown.values())
-        both = [*linked.values(), *held.values()]
+        both = [*linked.values(), *held.values(), *inside.values(), *headings.values()]
         content = 1 - (sum(n * np.log(n) for n in both) / sum(both) / np.log(m) if both else 0)
         if 0.1 * presentation + 0.9 * content < 0.2 - 1e-12:
             low.setdefault(host, set()).add(e)
         for f, n in held.items():
             if 1 - np.log(n) / np.log(m) < 0.2 - 1e-12:
                 low.setdefault(host, set()).add(_place(e, f))
+        for f, n in inside.items():
+            if n >= 0.9 * m:
+                low.setdefault(host, set()).add(_place(e, f))
     return low
 
 
+@pytest.mark.parametrize(("share", "total"), [(50, 100), (800, 4000), (85, 100)])
+def test_articles_keep_what_many_of_them_say(spark, share, total):
+    page = "<body><div class='top'><p>Welcome to the site of all sites</p></div><article><h1>Dish {0}</h1>{1}<p>Take {0} eggs and stir {2} times</p><p>Printed from our kitchen</p></article></body>"
+    part = "<h2><b>Ingredients</b></h2><p>Salt and pepper</p><p>Serves four</p>"
+    rows = [(i, f"https://h.example/{i}", page.format(i, part if i < share else "", i * 7)) for i in range(total)]
+    got = collect(extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    for i in (0, share - 1, share, total - 1):
+        common = "Ingredients\n\nSalt and pepper\n\nServes four\n\n" if i < share else ""
+        assert got[i]["text"] == f"Dish {i}\n\n{common}Take {i} eggs and stir {i * 7} times"  # what every page prints goes
+
+
 def test_importance_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     pages = []
