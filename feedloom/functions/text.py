@@ -244,19 +244,42 @@ def segments(text: str, ranges: list[tuple[int, int]]) -> list[tuple[str, bool]]
     return out + [(data[last:].decode(), False)] * (last < len(data))
 
 
+#: Charset names that the web reads as Windows-1252.
+_WINDOWS = frozenset("ascii us-ascii ansi_x3.4-1968 iso-8859-1 iso8859-1 iso_8859-1 iso88591 latin1 l1 cp1252 cp819 x-cp1252 windows-1252".split())
+#: What Windows-1252 has where Latin-1 has controls; bytes that it lacks stay controls.
+_EXTRA = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
+def _windows(data: bytes) -> str:
+    return data.decode("latin-1").translate(_EXTRA)
+
+
 def decode_bytes(data: bytes, declared: str = "") -> str:
-    """UTF-8 if valid; else the declared charset, one named in the first 1024 bytes, or Windows-1252."""
+    """UTF-8 if valid, whatever is declared; else by a byte order mark, the declared charset (a name, or a content type), one named in the first 1024
+    bytes, or Windows-1252. Bytes that a charset lacks become U+FFFD; charsets that aren't known are as if not declared."""
     try:
         return data.decode()
     except UnicodeDecodeError:
         pass
-    m = re.search(rb"""(?:charset|encoding)\s*=\s*["']?([A-Za-z0-9_.:-]+)""", data[:1024])
-    for name in (declared, m[1].decode() if m else "", "windows-1252"):
+    for mark, name in ((b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le")):
+        if data.startswith(mark):
+            return data[2:].decode(name, "replace")
+    header = re.search(r"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", declared, re.I)
+    inside = re.search(rb"""(?:charset|encoding)\s*=\s*["']?([A-Za-z0-9_.:-]+)""", data[:1024], re.I)
+    for name in (header[1] if header else declared.strip(), inside[1].decode() if inside else ""):
+        if name.lower() in _WINDOWS:
+            return _windows(data)
         try:
-            return data.decode(name) if name else data.decode("ascii")
-        except (LookupError, UnicodeDecodeError):
+            if name and not name.lower().startswith("utf-16"):  # without a mark, what is read as bytes so far isn't
+                return data.decode(name, "replace")
+        except LookupError:
             continue
-    return data.decode("latin-1")
+    return _windows(data)
+
+
+@pandas_function("string")
+def decode_udf(data: pd.Series, declared: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None else decode_bytes(bytes(d), c or "") for d, c in zip(data, declared, strict=True)], dtype=object)
 
 
 def valid_xml(text: Column) -> Column:

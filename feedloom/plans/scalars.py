@@ -301,3 +301,14 @@ def fetched_pages(spark, sf):
 @query("SELECT page_id, minutes FROM pages_read")
 def page_reading_time(spark, sf):
     return C.table(spark, sf, "pages").select("page_id", text.reading_time(F.col("html")).alias("minutes"))
+
+
+@query(r"SELECT entry_id, CASE entry_id % 4 WHEN 0 THEN content WHEN 3 THEN content WHEN 1 THEN regexp_replace(content, '[^\x00-\x{FF}]', '?', 'g') ELSE '<?xml version=''1.0'' encoding=''windows-1252''?>' || regexp_replace(content, '[^\x00-\x{FF}]', '?', 'g') END AS text FROM entries")
+def decoded_documents(spark, sf):
+    """UTF-8 under a wrong name, Latin-1 by its content type, Windows-1252 by its prolog, UTF-16 by its mark."""
+    plain = F.regexp_replace("content", r"[^\x{00}-\x{FF}]", "?")
+    prolog = F.lit("<?xml version='1.0' encoding='windows-1252'?>")
+    kind = F.col("entry_id") % 4
+    data = F.when(kind == 0, F.encode("content", "UTF-8")).when(kind == 1, F.encode(plain, "ISO-8859-1")).when(kind == 2, F.encode(F.concat(prolog, plain), "ISO-8859-1")).otherwise(F.encode("content", "UTF-16"))
+    declared = F.when(kind == 0, "text/xml; charset=latin1").when(kind == 1, 'application/rss+xml; charset="ISO-8859-1"').otherwise("")
+    return C.entries(spark, sf).select("entry_id", text.decode_udf(data, declared).alias("text"))

@@ -261,3 +261,16 @@ b</media:description></item></channel></rss>"""
     first = formats.episodes(doc, "https://a.example/f")[0]
     assert [(c["name"], c["above"], c["depth"]) for c in first["categories"]] == [("A", "", 1), ("C", "A", 2)]
     assert formats.episodes("<rss") == [] and formats.episodes("<feed/>") == []
+
+
+def test_charsets():
+    from feedloom.functions.text import decode_bytes
+
+    assert decode_bytes("é".encode(), "iso-8859-1") == "é"  # UTF-8 whatever is said
+    assert decode_bytes(b"\x93caf\xe9\x94", "text/html; charset=iso-8859-1") == "\u201ccaf\xe9\u201d"  # the web's Latin-1
+    assert decode_bytes(b"a\x81\xe9") == "a\x81\xe9"
+    assert decode_bytes("\ufeffhé".encode("utf-16-le")) == "hé" and decode_bytes("\ufeffhé".encode("utf-16-be")) == "hé"
+    assert decode_bytes(b"<?xml encoding='koi8-r'?>" + "да".encode("koi8-r")).endswith("да")
+    assert decode_bytes("да".encode("cp1251"), "text/xml; charset=windows-1251") == "да"
+    assert decode_bytes(b"\xff\x41", "nonsense") == "\xffA" and decode_bytes(b"") == ""
+    assert decode_bytes("日本".encode("shift_jis") + b"\x81", "shift_jis") == "日本\ufffd"
