@@ -332,3 +332,40 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert text.search("cat").count() == 0 and text.bm25("cat", 3).count() == 0 and text.search("-cat").count() == 0
     text.update(spark.createDataFrame(ROWS, DOCS))
     assert text.search("cat").count() == 4
+
+
+# Sketches.
+def test_sketches_follow_files(spark, tmp_path):
+    from feedloom.operators import sketches
+
+    source, reads = str(tmp_path / "rows"), []
+
+    def add(a, b):
+        spark.range(a, b).select((F.col("id") % 150).alias("k")).coalesce(1).write.mode("append").parquet(source)
+
+    def read(files):
+        reads.append(len(files))
+        return spark.read.parquet(*files)
+
+    add(0, 100)
+    s = sketches.FileSketches(spark, str(tmp_path / "s"))
+    assert len(s.refresh(source, read, "k")) == 1 and s.count() == 100 and s.distinct().first().n == 100
+    add(100, 300)
+    assert len(s.refresh(source, read, "k")) == 1 and s.count() == 300 and s.distinct().first().n == 150
+    assert s.refresh(source, read, "k") == [] and reads == [1, 1]  # only what is new was read
+    os.remove(max((f for f in files(source)), key=os.path.getmtime))
+    assert s.refresh(source, read, "k") == [] and s.count() == 100 and s.distinct().first().n == 100
+
+
+def test_sketches_err_within_their_bound(spark, tmp_path):
+    from feedloom.operators import sketches
+
+    made = []
+    for name, rows in (("all", spark.range(400_000)), ("done", spark.range(250_000, 500_000))):
+        rows.repartition(3).write.parquet(str(tmp_path / name))
+        s = sketches.FileSketches(spark, str(tmp_path / f"s-{name}"))
+        s.refresh(str(tmp_path / name), lambda f: spark.read.parquet(*f), "id")
+        made.append(s)
+    bound = 4 * 500_000 / 2 ** (sketches.LOG / 2)
+    assert abs(sketches.pending_estimate(*made).first().n - 250_000) < bound and abs(made[0].distinct().first().n - 400_000) < bound
+    assert "rows" not in plan(sketches.pending_estimate(*made)).split("ReadSchema")[0].split("Location")[0]
