@@ -146,7 +146,10 @@ def reading_time(html: Column, speed: int | Column = 265, cjk_speed: int | Colum
     """Minutes for the text outside tags: by characters if more than half of the first letters are of a Chinese, Japanese or
     Korean script, else by words. Letters are looked at up to the hundredth, which counts but isn't tested."""
     text = strip_tags(html)
-    letters = F.substring(F.regexp_replace(text, r"\P{L}", ""), 1, 100)
+    # A hundred letters are nearly always among the first thousand characters; only otherwise the whole text is looked at.
+    some = F.regexp_replace(F.substring(text, 1, 1000), r"\P{L}", "")
+    enough = (F.length(some) >= 100) | (F.length(text) <= 1000)
+    letters = F.substring(F.when(enough, some).otherwise(F.regexp_replace(text, r"\P{L}", "")), 1, 100)
     cjk = F.length(F.regexp_replace(F.substring(letters, 1, 99), r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsYi}\p{IsBopomofo}]", ""))
     many = cjk > F.floor(F.length(letters) / 2)
     words = F.size(F.array_remove(F.split(text, SPACES), ""))

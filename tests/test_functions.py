@@ -274,3 +274,13 @@ def test_charsets():
     assert decode_bytes("да".encode("cp1251"), "text/xml; charset=windows-1251") == "да"
     assert decode_bytes(b"\xff\x41", "nonsense") == "\xffA" and decode_bytes(b"") == ""
     assert decode_bytes("日本".encode("shift_jis") + b"\x81", "shift_jis") == "日本\ufffd"
+
+
+def test_letters_beyond_the_first_thousand_characters(spark):
+    from pyspark.sql import functions as F
+
+    from feedloom.functions.text import reading_time
+
+    rows = [("1 " * 600 + "漢字" * 300,), ("1 " * 600 + "word " * 300,), ("漢" * 60 + "a" * 39 + " b" * 2000,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(reading_time(F.col("t"))).collect()]
+    assert got == [4, 4, 9]
