@@ -11,7 +11,7 @@ import pandas as pd
 
 from feedloom.functions.dom import VOID, Element, parse
 from feedloom.functions.udf import pandas_function
-from feedloom.functions.urls import clean_url
+from feedloom.functions.urls import clean_url, host_of
 
 # Parts of class names and ids, by what they say of an element.
 STRONG = ("popupbody", "-ad", "g-plus")
@@ -297,6 +297,74 @@ def select(html: str, selector: str) -> str:
     return "".join(e.outer() for e in parse(html).find(selector))
 
 
+#: What to take of the pages of some sites, by domain.
+SITE_SELECTORS = {
+    "arstechnica.com": "div.post-content",
+    "bbc.co.uk": "div.vxp-column--single, div.story-body__inner, ul.gallery-images__list",
+    "bleepingcomputer.com": ".articleBody",
+    "blog.cloudflare.com": "div.post-content",
+    "cbc.ca": ".story-content",
+    "darkreading.com": "div.ArticleBase-Body",
+    "developpez.com": "div[itemprop=articleBody]",
+    "dilbert.com": "span.comic-title-name, img.img-comic",
+    "explosm.net": "div#comic",
+    "financialsamurai.com": "article",
+    "francetvinfo.fr": ".text",
+    "github.com": "article.entry-content",
+    "heise.de": "header .article-content__lead, header .article-image, div.article-layout__content.article-content",
+    "igen.fr": "section.corps",
+    "ikiwiki.iki.fi": ".page.group",
+    "ilpost.it": ".entry-content",
+    "ing.dk": "section.body",
+    "lapresse.ca": ".amorce, .entry",
+    "lemonde.fr": "article",
+    "lepoint.fr": ".art-text",
+    "lesjoiesducode.fr": ".blog-post-content img",
+    "lesnumeriques.com": ".text",
+    "linux.com": "div.content, div[property]",
+    "mac4ever.com": "div[itemprop=articleBody]",
+    "monwindows.com": ".blog-post-body",
+    "npr.org": "#storytext",
+    "oneindia.com": ".io-article-body",
+    "opensource.com": "div[property]",
+    "openingsource.org": "article.suxing-popup-gallery",
+    "osnews.com": "div.newscontent1",
+    "phoronix.com": "div.content",
+    "pitchfork.com": "#main-content",
+    "pseudo-sciences.org": "#art_main",
+    "quantamagazine.org": ".outer--content, figure, script",
+    "raywenderlich.com": "article",
+    "royalroad.com": ".author-note-portlet,.chapter-content",
+    "slate.fr": ".field-items",
+    "smbc-comics.com": "div#cc-comicbody, div#aftercomic",
+    "swordscomic.com": "img#comic-image, div#info-frame.tab-content-area",
+    "techcrunch.com": "div.entry-content",
+    "theoatmeal.com": "div#comic",
+    "theregister.com": "#top-col-story h2, #body",
+    "theverge.com": "h2.inline:nth-child(2),h2.duet--article--dangerously-set-cms-markup,figure.w-full,div.duet--article--article-body-component",
+    "turnoff.us": "article.post-content",
+    "universfreebox.com": "#corps_corps",
+    "version2.dk": "section.body",
+    "vnexpress.net": ".detail-new p.description, article.fck_detail",
+    "wdwnt.com": "div.entry-content",
+    "webtoons.com": ".viewer_img,p.author_text",
+    "wired.com": "main figure, article",
+    "zeit.de": ".summary, .article-body",
+    "zdnet.com": "div.storyBody",
+}
+
+
+def scrape(html: str, url: str, rule: str = "") -> str:
+    """The content of a page: what the feed's own rule selects, else the rule of its domain, else what reads like an article."""
+    rule = rule.strip() or SITE_SELECTORS.get(host_of(url).lower().removeprefix("www."), "")
+    return select(html, rule) if rule else readable(html)
+
+
+@pandas_function("string")
+def scrape_udf(html: pd.Series, url: pd.Series, rule: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None else scrape(h, u or "", r or "") for h, u, r in zip(html, url, rule, strict=True)], dtype=object)
+
+
 def proxied(html: str, proxy: str, kinds: tuple[str, ...] = ("image",), policy: str = "http-only") -> str:
     """Media URLs led through a proxy: those over http, or all."""
     import base64

@@ -312,3 +312,12 @@ def decoded_documents(spark, sf):
     data = F.when(kind == 0, F.encode("content", "UTF-8")).when(kind == 1, F.encode(plain, "ISO-8859-1")).when(kind == 2, F.encode(F.concat(prolog, plain), "ISO-8859-1")).otherwise(F.encode("content", "UTF-16"))
     declared = F.when(kind == 0, "text/xml; charset=latin1").when(kind == 1, 'application/rss+xml; charset="ISO-8859-1"').otherwise("")
     return C.entries(spark, sf).select("entry_id", text.decode_udf(data, declared).alias("text"))
+
+
+@query("""SELECT entry_id, CASE entry_id % 3 WHEN 0 THEN '<article><p>A' || entry_id || '</p></article>' WHEN 1 THEN '<div id="storytext">S' || entry_id || '</div>' ELSE '<p class="mine">M</p>' END AS content FROM entries""")
+def scraped_by_domain(spark, sf):
+    """By the rule of the page's domain, with www or without; a rule of the feed's own comes first."""
+    page = _made('<body><div class="top">T</div><article><p>A{id}</p></article><div id="storytext">S{id}</div><p class="mine">M</p></body>')
+    kind = F.col("entry_id") % 3
+    url = F.when(kind == 0, "https://www.lemonde.fr/a").when(kind == 1, "http://npr.org/b?c").otherwise("https://lepoint.fr/x")
+    return C.entries(spark, sf).select("entry_id", html.scrape_udf(page, url, F.when(kind == 2, "p.mine").otherwise("")).alias("content"))

@@ -284,3 +284,13 @@ def test_letters_beyond_the_first_thousand_characters(spark):
     rows = [("1 " * 600 + "漢字" * 300,), ("1 " * 600 + "word " * 300,), ("漢" * 60 + "a" * 39 + " b" * 2000,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(reading_time(F.col("t"))).collect()]
     assert got == [4, 4, 9]
+
+
+def test_site_selectors_can_be_run():
+    from feedloom.functions import html as H
+
+    page = "<div class='post-content'><p>x</p></div><article><p>y</p></article>"
+    for domain, rule in H.SITE_SELECTORS.items():
+        assert H.scrape(page, f"https://www.{domain}/1") == H.select(page, rule)
+    assert H.scrape(page, "https://arstechnica.com/1") == '<div class="post-content"><p>x</p></div>' and H.scrape(page, "https://lemonde.fr", "p") == "<p>x</p><p>y</p>"
+    assert H.scrape(page, "https://unknown.example/") == H.readable(page)
