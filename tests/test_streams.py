@@ -116,7 +116,7 @@ def pushed(tmp_path):
     """A service that notes what it gets, and fails at entry 250 until it is told to be well."""
     folder = tmp_path / "service"
     folder.mkdir()
-    module = tmp_path / "push_service.py"
+    module = tmp_path / f"push_service_{time.time_ns()}.py"
     module.write_text(f"import os, time\nfolder = {str(folder)!r}\n" + "def push(rows):\n    if any(r['entry_id'] == 250 for r in rows) and not os.path.exists(folder + '/well'):\n        raise OSError('service away')\n    with open(f'{folder}/{rows[0][\'entry_id\']}-{time.time_ns()}', 'w') as f:\n        f.write('\\n'.join(str(r['entry_id']) for r in rows))\n")
     return folder, module
 
@@ -134,7 +134,7 @@ def test_a_repeated_batch_pushes_nothing_twice(spark, tmp_path, pushed):
 
     def start():
         stream = by_key(spark.readStream.schema("entry_id long").parquet(source), 2)
-        return stream.writeStream.format("push").option("service", "push_service:push").option("receipts", str(tmp_path / "receipts")).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        return stream.writeStream.format("push").option("service", f"{module.stem}:push").option("receipts", str(tmp_path / "receipts")).option("checkpointLocation", cp).trigger(availableNow=True).start()
 
     with pytest.raises(Exception, match="service away"):
         start().awaitTermination()
@@ -153,5 +153,5 @@ def test_a_batch_write_can_be_repeated(spark, tmp_path, pushed):
     spark.dataSource.register(PushSink)
     rows = by_key(spark.range(300).select(F.col("id").alias("entry_id")), 3)
     for _ in range(2):
-        rows.write.format("push").option("service", "push_service:push").option("receipts", str(tmp_path / "r")).option("batch", "nightly-7").mode("append").save()
+        rows.write.format("push").option("service", f"{module.stem}:push").option("receipts", str(tmp_path / "r")).option("batch", "nightly-7").mode("append").save()
     assert sorted(sent(folder)) == list(range(300))
