@@ -30,9 +30,21 @@ def among(df: DataFrame, column: str, values: Sequence) -> tuple[DataFrame, Colu
     return df.join(mark, column, "left"), F.coalesce("_among", F.lit(False))
 
 
+def first_of(df: DataFrame, key: Sequence[str], *order: str) -> DataFrame:
+    """One row of each key, the first by those columns of ``order`` that there are, nulls last: the same one however the rows are dealt."""
+    by = [F.col(c).asc_nulls_last() for c in order if c in df.columns]
+    if not by:
+        return df.dropDuplicates(list(key))
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*by))).filter("_rank = 1").drop("_rank")
+
+
+#: Of rows with the same feed and hash the earliest comes first.
+EARLIEST = ("published_at", "entry_id")
+
+
 def new_entries(incoming: DataFrame, entries: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Rows of ``incoming`` that are neither stored nor deleted before; once for each feed and hash."""
-    return incoming.dropDuplicates(KEY).join(entries.select(*KEY), KEY, "left_anti").join(tombstones.select(*KEY), KEY, "left_anti")
+    """Rows of ``incoming`` that are neither stored nor deleted before; of each feed and hash the earliest."""
+    return first_of(incoming, KEY, *EARLIEST).join(entries.select(*KEY), KEY, "left_anti").join(tombstones.select(*KEY), KEY, "left_anti")
 
 
 #: What a refresh brings to a stored entry; its published_at stays.
@@ -45,7 +57,7 @@ def refresh(entries: DataFrame, incoming: DataFrame, tombstones: DataFrame, upda
     kept = entries
     if update_existing:
         taken = [f for f in fields if f in entries.columns and f in incoming.columns]
-        new = incoming.dropDuplicates(KEY).select(*KEY, F.lit(True).alias("_new"), *(F.col(f).alias(f"_new_{f}") for f in taken))
+        new = first_of(incoming, KEY, *EARLIEST).select(*KEY, F.lit(True).alias("_new"), *(F.col(f).alias(f"_new_{f}") for f in taken))
         kept = entries.join(new, KEY, "left").withColumns({f: F.when(F.col("_new"), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in taken}).select(*entries.columns)
     return kept.unionByName(fresh.select(*entries.columns)), fresh
 
@@ -197,9 +209,9 @@ def latest(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
 
 
 def insert_enclosures(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """URLs are trimmed, empty ones left out, and those that an entry has are ignored."""
+    """URLs are trimmed, empty ones left out, and those that an entry has are ignored; of equal ones the smallest id comes in."""
     key = ["user_id", "entry_id", "url"]
-    new = incoming.withColumn("url", F.trim("url")).filter("url <> ''").dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+    new = first_of(incoming.withColumn("url", F.trim("url")).filter("url <> ''"), key, "enclosure_id").join(stored.select(*key), key, "left_anti")
     return stored.unionByName(new.select(*stored.columns))
 
 
@@ -266,7 +278,7 @@ def remove_feed(corpus: Corpus, enclosures: DataFrame, feed_id: int) -> tuple[Da
 
 def create_feed(feeds: DataFrame, entries: DataFrame, feed: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(feeds, entries) with the feed and those of its entries whose hash is new."""
-    first = incoming.dropDuplicates(KEY).join(entries.select(*KEY), KEY, "left_anti")
+    first = first_of(incoming, KEY, *EARLIEST).join(entries.select(*KEY), KEY, "left_anti")
     return feeds.unionByName(feed, allowMissingColumns=True), entries.unionByName(first.select(*entries.columns))
 
 
@@ -292,9 +304,9 @@ def reset_next_check(feeds: DataFrame, as_of: datetime) -> DataFrame:
 
 def store_icons(icons: DataFrame, feed_icons: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(icons, links). incoming: feed_id, icon_id, hash, mime_type, content; equal content is stored once, links are replaced."""
-    new = incoming.dropDuplicates(["hash"]).join(icons.select("hash"), "hash", "left_anti")
+    new = first_of(incoming, ["hash"], "icon_id").join(icons.select("hash"), "hash", "left_anti")
     icons = icons.unionByName(new.select(*icons.columns), allowMissingColumns=True)
-    links = incoming.select("feed_id", "hash").join(icons.select("hash", "icon_id"), "hash").select("feed_id", "icon_id").dropDuplicates(["feed_id"])
+    links = incoming.select("feed_id", "hash").join(icons.select("hash", "icon_id"), "hash").select("feed_id", "icon_id").groupBy("feed_id").agg(F.min("icon_id").alias("icon_id"))
     return icons, feed_icons.join(links.select("feed_id"), "feed_id", "left_anti").unionByName(links)
 
 

@@ -167,3 +167,17 @@ def test_a_null_title_or_text_is_offered_when_it_changed(spark):
     e = spark.createDataFrame([(1, None, "text"), (2, "title", None), (3, None, None), (4, "a", "b")], "entry_id long, title string, content string")
     state = lambda version: e.select("entry_id", indexing.content_hash(version).alias("content_hash"), F.lit("ok").alias("status"))
     assert indexing.pending(e, state("old")).count() == 4 and indexing.pending(e, state(indexing.VERSION)).count() == 0
+
+
+def _twice(spark, names="entry_id long, feed_id long, hash string, title string, published_at timestamp"):
+    """Two incoming rows of a feed and hash, the later one first."""
+    return spark.createDataFrame([(9, 1, "h", "late", datetime(2024, 1, 3)), (4, 1, "h", "early", datetime(2024, 1, 2))], names).coalesce(1)
+
+
+def test_refresh_takes_the_earliest_of_equal_rows(spark):
+    rows = _twice(spark)
+    none, marks = rows.limit(0), rows.limit(0).select("feed_id", "hash")
+    snapshot, fresh = mutate.refresh(none, rows, marks)
+    assert [tuple(r) for r in snapshot.select("entry_id", "title").collect()] == [(4, "early")] and fresh.count() == 1
+    stored = rows.filter("entry_id = 4").withColumns({"entry_id": F.lit(1).cast("long"), "title": F.lit("old")})
+    assert [r["title"] for r in mutate.refresh(stored, rows, marks)[0].collect()] == ["early"]
