@@ -181,3 +181,10 @@ def test_refresh_takes_the_earliest_of_equal_rows(spark):
     assert [tuple(r) for r in snapshot.select("entry_id", "title").collect()] == [(4, "early")] and fresh.count() == 1
     stored = rows.filter("entry_id = 4").withColumns({"entry_id": F.lit(1).cast("long"), "title": F.lit("old")})
     assert [r["title"] for r in mutate.refresh(stored, rows, marks)[0].collect()] == ["early"]
+
+
+def test_refresh_without_update_takes_the_earliest(spark):
+    rows = _twice(spark)
+    stored = rows.filter("entry_id = 4").withColumns({"hash": F.lit("other"), "title": F.lit("old")})
+    snapshot, _ = mutate.refresh(stored, rows.unionByName(stored.withColumn("title", F.lit("new"))), rows.limit(0).select("feed_id", "hash"), update_existing=False)
+    assert sorted((r["hash"], r["title"], r["published_at"].day) for r in snapshot.collect()) == [("h", "early", 2), ("other", "old", 2)]
