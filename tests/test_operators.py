@@ -1,4 +1,6 @@
 import json
+import os
+import shutil
 from datetime import datetime
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.operators import entries as E
 from feedloom.operators import evaluate, feeds, indexing, mutate
 from feedloom.operators import retrieval as R
-from feedloom.plans import api
+from feedloom.plans import api, oracle
 from feedloom.sources import corpus as C
 from feedloom.sources import formats
 from feedloom.streaming import live
@@ -188,3 +190,18 @@ def test_refresh_without_update_takes_the_earliest(spark):
     stored = rows.filter("entry_id = 4").withColumns({"hash": F.lit("other"), "title": F.lit("old")})
     snapshot, _ = mutate.refresh(stored, rows.unionByName(stored.withColumn("title", F.lit("new"))), rows.limit(0).select("feed_id", "hash"), update_existing=False)
     assert sorted((r["hash"], r["title"], r["published_at"].day) for r in snapshot.collect()) == [("h", "early", 2), ("other", "old", 2)]
+
+
+def test_refresh_enclosures_picks_by_id(spark, tmp_path):
+    """Where the later of two equal entries is read first, the smaller ids stay all the same."""
+    from feedloom.plans import changes
+    from tests.oracle import same
+
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(60).drop("doc_id", "source")
+    both = documents.withColumns({"i": F.monotonically_increasing_id(), "source": F.lit("src1")}).crossJoin(spark.createDataFrame([(900,), (0,)], "more long")).orderBy(F.desc("more"), "i")
+    both.select((F.col("i") * 9 + F.col("more")).alias("doc_id"), "text", "lang", "source", "n_chars").coalesce(1).write.parquet(str(tmp_path / "made"))
+    os.rename(next(f for f in (tmp_path / "made").iterdir() if f.suffix == ".parquet"), tmp_path / "documents.parquet")
+    shutil.rmtree(tmp_path / "made")
+    for name in ("embeddings",):
+        shutil.copy(f"{SF}/{name}.parquet", tmp_path)
+    same(spark, changes.QUERIES["refresh_enclosures"], oracle.oracle_sql()["refresh_enclosures"], str(tmp_path))
