@@ -325,11 +325,11 @@ SQL["split_passages"], EXTRA["split_passages"] = _PASSAGES, "split"
 # Sketches.
 @query("SELECT count(*) AS n, (SELECT count(*) FROM entries) AS total FROM entries WHERE entry_id NOT IN (SELECT entry_id FROM state WHERE status <> 'failed')")
 def pending_by_sketches(spark, sf):
-    """How much is pending, without a look at an entry: exact up to 65,536 of them, else to about a quarter of a per cent."""
+    """How much is pending, without a look at an entry: exact at any size, from a bitmap of ids for each file."""
     state = _scratch(spark, "state")
     C.index_state(spark, sf).select("entry_id", "status").write.parquet(state)
     read = spark.read
-    entries, done = sketches.FileSketches(spark, _scratch(spark, "entries-sketch")), sketches.FileSketches(spark, _scratch(spark, "state-sketch"))
+    entries, done = sketches.FileBitmaps(spark, _scratch(spark, "entries-sketch")), sketches.FileBitmaps(spark, _scratch(spark, "state-sketch"))
     entries.refresh(f"{sf}/documents.parquet", lambda files: read.parquet(*files).select("doc_id"), "doc_id")
     done.refresh(state, lambda files: read.parquet(*files).filter("status <> 'failed'"), "entry_id")
-    return sketches.pending_estimate(entries, done).withColumn("total", F.lit(entries.count()).cast("long"))
+    return sketches.pending(entries, done).withColumn("total", F.lit(entries.count()).cast("long"))

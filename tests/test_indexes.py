@@ -369,3 +369,22 @@ def test_sketches_err_within_their_bound(spark, tmp_path):
     bound = 4 * 500_000 / 2 ** (sketches.LOG / 2)
     assert abs(sketches.pending_estimate(*made).first().n - 250_000) < bound and abs(made[0].distinct().first().n - 400_000) < bound
     assert "rows" not in plan(sketches.pending_estimate(*made)).split("ReadSchema")[0].split("Location")[0]
+
+
+def test_bitmaps_are_exact(spark, tmp_path):
+    """Repeated keys, null and negative ones, files that go, and more keys than a sketch holds."""
+    from feedloom.operators import sketches
+
+    made, key = [], F.when(F.col("id") % 1000 != 7, F.col("id") - 50_000).alias("k")
+    for name, rows in (("all", spark.range(400_000).union(spark.range(100, 600)).union(spark.range(100, 200))), ("done", spark.range(250_123, 500_000))):
+        rows.select(key).repartition(3).write.parquet(str(tmp_path / name))
+        s = sketches.FileBitmaps(spark, str(tmp_path / f"s-{name}"))
+        assert len(s.refresh(str(tmp_path / name), lambda f: spark.read.parquet(*f), "k")) == 3
+        made.append(s)
+    rows = spark.read.parquet(str(tmp_path / "all")).join(spark.read.parquet(str(tmp_path / "done")), "k", "left_anti").filter("k IS NOT NULL")
+    assert sketches.pending(*made).first().n == rows.count() == 250_123 - 251 + 600
+    assert made[0].distinct().first().n == 400_000 - 400 and made[0].count() == 400_600
+    os.remove(max((f for f in files(str(tmp_path / "all"))), key=os.path.getmtime))
+    assert made[0].refresh(str(tmp_path / "all"), lambda f: spark.read.parquet(*f), "k") == []
+    left = spark.read.parquet(str(tmp_path / "all"))
+    assert made[0].count() == left.count() and made[0].distinct().first().n == left.filter("k IS NOT NULL").distinct().count()
