@@ -388,3 +388,25 @@ def test_bitmaps_are_exact(spark, tmp_path):
     assert made[0].refresh(str(tmp_path / "all"), lambda f: spark.read.parquet(*f), "k") == []
     left = spark.read.parquet(str(tmp_path / "all"))
     assert made[0].count() == left.count() and made[0].distinct().first().n == left.filter("k IS NOT NULL").distinct().count()
+
+
+def test_postings_are_made_in_slices(spark, monkeypatch):
+    """A batch of any size is sorted a few words at a time, with the same postings; a word is stemmed once."""
+    import pyarrow as pa
+
+    texts = [f"houses running n{i % 7} und Häuser houses".lower().split() * (1 + i % 4) for i in range(300)] + [[], None]
+    n = [len(t or []) for t in texts]
+    columns = {"doc": range(302), "language": ["en", "de", "", "xx", "fr", "es"] * 50 + ["en", "de"], "n_title": [min(2, x) for x in n], "dl": pa.array(n, pa.int32()), "terms": pa.array(texts, pa.list_(pa.string()))}
+    batch, asked = pa.record_batch({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}), []
+    monkeypatch.setattr(postings.S, "stem_word", lambda w, code, f=S.stem_word: asked.append((w, code)) or f(w, code))
+    whole, parts = list(postings._postings([batch], True)), []
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(postings, "SLICE", 50)
+    for b in postings._postings([batch], True):
+        parts.append(b)
+        assert sum(map(len, b.column("places").to_pylist())) <= 50
+    rows = lambda made: sorted((r for b in made for r in b.to_pylist()), key=lambda r: (r["doc"], r["term"]))
+    assert rows(whole) == rows(parts) and len(parts) > 20
+    for r in rows(parts):
+        if r["term"]:
+            assert [S.stem_word(texts[r["doc"]][p], r["language"]) for p in r["places"]] == [r["term"]] * r["tf"]
