@@ -68,13 +68,18 @@ def stem(word: Column, code: Column) -> Column:
     return out
 
 
+_LETTERS = {code: str.maketrans(*pair) for code, pair in FOLDS.items()}
+_SUBSTITUTES = {code: [(re.compile(pattern).sub, re.sub(r"\$(\d)", r"\\g<\1>", new)) for pattern, new in rules] for code, rules in RULES.items()}
+_DIGIT = re.compile("[0-9]")
+
+
 def stem_word(word: str, code: str) -> str:
-    """The same for one word of a query."""
-    if code not in RULES or re.search("[0-9]", word):
+    """The same for one word."""
+    if code not in RULES or _DIGIT.search(word):
         return word
-    out = word.translate(str.maketrans(*FOLDS[code])) if code in FOLDS else word
-    for pattern, new in RULES[code]:
-        out = re.sub(pattern, lambda m, new=new: re.sub(r"\$(\d)", lambda g: m.group(int(g[1])) or "", new), out)
+    out = word.translate(_LETTERS[code]) if code in FOLDS else word
+    for substitute, new in _SUBSTITUTES[code]:
+        out = substitute(new, out)
     return out
 
 

@@ -410,3 +410,10 @@ def test_postings_are_made_in_slices(spark, monkeypatch):
     for r in rows(parts):
         if r["term"]:
             assert [S.stem_word(texts[r["doc"]][p], r["language"]) for p in r["places"]] == [r["term"]] * r["tf"]
+
+
+def test_stems_of_words_and_columns_agree(spark):
+    words = spark.read.parquet(f"{SF}/documents.parquet").select("lang", F.explode(retrieval.tokens(F.col("text"))).alias("w")).distinct()
+    words = words.unionByName(words.select("lang", F.concat("w", F.element_at(F.array(*map(F.lit, ("ies", "sses", "ingly", "bbed", "innen", "erest", "aux", "ées", "ación", "ces", "s2"))), (F.length("w") % 11 + 1))).alias("w")))
+    got = words.select("lang", "w", S.stem(F.col("w"), S.language(F.col("lang"))).alias("s"), S.language(F.col("lang")).alias("code")).collect()
+    assert len(got) > 1000 and all(S.stem_word(r["w"], r["code"]) == r["s"] for r in got)
