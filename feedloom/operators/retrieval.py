@@ -22,6 +22,8 @@ RRF_K = 60
 SEEDS = 32
 OVERFETCH = 5
 LEAST_CANDIDATES, MOST_LEXICAL, MOST_VECTOR = 50, 2000, 1000
+#: Distances that a task holds at a time.
+CELLS = 1_000_000
 MODES = ("hybrid", "keyword", "semantic", "passages")
 TOKEN = r"[\p{L}\p{N}]+"
 #: Weights of title and content in the built-in search.
@@ -159,7 +161,7 @@ def knn(passages: DataFrame, vector: list[float], limit: int, within: DataFrame
 
 
 def _nearest_many(batches: Iterator[pa.RecordBatch], queries, limit: int) -> Iterator[pa.RecordBatch]:
-    """For each query the nearest passages of a task: one matrix product of a batch with all queries of the block."""
+    """For each query the nearest passages of a task: matrix products with all queries of the block, of at most CELLS distances, or one passage's."""
     ids, q = queries.value
     far = np.full((len(ids), 0), np.inf)
     places: list[np.ndarray] = [np.zeros((len(ids), 0), np.int64) for _ in range(2)]
@@ -169,13 +171,15 @@ def _nearest_many(batches: Iterator[pa.RecordBatch], queries, limit: int) -> Ite
         fits = np.flatnonzero(pc.equal(pc.list_value_length(column), q.shape[1]).fill_null(False).to_numpy(zero_copy_only=False))
         if not len(fits):
             continue
-        m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            d = np.round(1 - q @ (m / np.sqrt((m * m).sum(1, keepdims=True))).T, 6) + 0.0
-        far = np.concatenate([far, d], 1)
-        places = [np.concatenate([x, np.broadcast_to(batch.column(c).to_numpy()[fits], d.shape)], 1) for x, c in zip(places, ("passage_id", "entry_id"), strict=True)]
-        best = np.lexsort((places[0], far), axis=1)[:, :limit]
-        far, places = far[rows, best], [x[rows, best] for x in places]
+        step = max(1, CELLS // max(len(ids), 1))
+        for part in (fits[i : i + step] for i in range(0, len(fits), step)):
+            m = column.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d = np.round(1 - q @ (m / np.sqrt((m * m).sum(1, keepdims=True))).T, 6) + 0.0
+            far = np.concatenate([far, d], 1)
+            places = [np.concatenate([x, np.broadcast_to(batch.column(c).to_numpy()[part], d.shape)], 1) for x, c in zip(places, ("passage_id", "entry_id"), strict=True)]
+            best = np.lexsort((places[0], far), axis=1)[:, :limit]
+            far, places = far[rows, best], [x[rows, best] for x in places]
     n = far.shape[1]
     yield pa.record_batch([pa.array(np.repeat(ids, n)), *(pa.array(x.reshape(-1)) for x in places), pa.array(far.reshape(-1))], ["query_id", "passage_id", "entry_id", "distance"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedloom.operators.postings import of_corpus
-from feedloom.operators.retrieval import MOST_VECTOR, _nearest, candidates, knn_many, ranked, seeds
+from feedloom.operators.retrieval import CELLS, MOST_VECTOR, _nearest, candidates, knn_many, ranked, seeds
 from feedloom.sources.versions import Segments
 
 #: Rows for each list on which its centre is fitted, and the most lists: so a fit reads 2 million rows at the most, and centres of 768 numbers are 25 MB.
@@ -174,29 +174,39 @@ class VectorIndex(Segments):
 
 
 def _probed(batches: Iterator[pa.RecordBatch], queries, limit: int) -> Iterator[pa.RecordBatch]:
-    """For each query the nearest rows of a task, of the lists that it probes; never more than ``limit`` a query are held, but for those of a batch."""
+    """For each query the nearest rows of a task, of the lists that it probes; never more than ``limit`` a query are held, but for those of about CELLS
+    distances, however many rows are equally near."""
     ids, own, q, asked = queries.value
     held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, passage, entry, distance
+
+    def best(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        every = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((every[1], every[3], every[0]))
+        every = [x[order] for x in every]
+        first = np.searchsorted(every[0], every[0], "left")
+        keep = np.arange(len(first)) - first < limit
+        return [x[keep] for x in every]
+
     for batch in batches:
         fits, m = _matrix(batch.column("embedding"), q.shape[1])
         passage, entry, of = (batch.column(n).to_numpy()[fits] for n in ("passage_id", "entry_id", "list"))
-        parts = [held]
+        parts, new = [held], 0
         for i in np.unique(of).tolist():
-            who, rows = np.flatnonzero(asked[:, i]), np.flatnonzero(of == i)
-            d = np.round(1 - q[who] @ m[rows].T, 6) + 0.0
-            d[entry[rows][None, :] == own[who][:, None]] = np.inf
-            if d.shape[1] > limit:
-                cut = np.partition(d, limit - 1, axis=1)[:, limit - 1 : limit]
-                a, b = np.nonzero((d <= cut) & np.isfinite(d))
-            else:
-                a, b = np.nonzero(np.isfinite(d))
-            parts.append([who[a], passage[rows][b], entry[rows][b], d[a, b]])
-        held = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort((held[1], held[3], held[0]))
-        held = [x[order] for x in held]
-        first = np.searchsorted(held[0], held[0], "left")
-        keep = np.arange(len(first)) - first < limit
-        held = [x[keep] for x in held]
+            who, mine = np.flatnonzero(asked[:, i]), np.flatnonzero(of == i)
+            step = max(1, CELLS // max(len(who), 1))
+            for rows in (mine[k : k + step] for k in range(0, len(mine), step)):
+                d = np.round(1 - q[who] @ m[rows].T, 6) + 0.0
+                d[entry[rows][None, :] == own[who][:, None]] = np.inf
+                if d.shape[1] > limit:
+                    cut = np.partition(d, limit - 1, axis=1)[:, limit - 1 : limit]
+                    a, b = np.nonzero((d <= cut) & np.isfinite(d))
+                else:
+                    a, b = np.nonzero(np.isfinite(d))
+                parts.append([who[a], passage[rows][b], entry[rows][b], d[a, b]])
+                new += len(a)
+                if new > CELLS:
+                    parts, new = [best(parts)], 0
+        held = best(parts)
     yield pa.record_batch([pa.array(ids[held[0]]), *(pa.array(x) for x in held[1:])], ["query_id", "passage_id", "entry_id", "distance"])
 
 

@@ -417,3 +417,24 @@ def test_stems_of_words_and_columns_agree(spark):
     words = words.unionByName(words.select("lang", F.concat("w", F.element_at(F.array(*map(F.lit, ("ies", "sses", "ingly", "bbed", "innen", "erest", "aux", "ées", "ación", "ces", "s2"))), (F.length("w") % 11 + 1))).alias("w")))
     got = words.select("lang", "w", S.stem(F.col("w"), S.language(F.col("lang"))).alias("s"), S.language(F.col("lang")).alias("code")).collect()
     assert len(got) > 1000 and all(S.stem_word(r["w"], r["code"]) == r["s"] for r in got)
+
+
+def test_distances_are_compared_in_slices(spark, monkeypatch):
+    """What a task holds of distances is bounded, also where very many rows are equally near."""
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), 900
+    v = rng.normal(size=(n, 4)).round(1).astype(np.float32)
+    v[300:700] = v[300]
+    batch = pa.record_batch({"passage_id": pa.array(np.arange(n)), "entry_id": pa.array(np.arange(n) // 5), "embedding": pa.array(v.tolist(), pa.list_(pa.float32())), "list": pa.array((np.arange(n) % 3).astype(np.int32))})
+    q = v[::30].astype(float) + 0.01
+    q /= np.sqrt((q * q).sum(1, keepdims=True))
+    ids = np.arange(len(q))
+    many = lambda: retrieval._nearest_many([batch, batch.slice(100, 50)], type("Sent", (), {"value": (ids, q)}), 6)
+    probed = lambda: vectors._probed([batch], type("Sent", (), {"value": (ids, ids * 6, q, np.ones((len(q), 3), bool))}), 6)
+    whole, most, lexsort = [[b.to_pylist() for b in f()] for f in (many, probed)], [], np.lexsort
+    for module in (retrieval, vectors):
+        monkeypatch.setattr(module, "CELLS", 600)
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: most.append(np.size(keys[0])) or lexsort(keys, axis=axis))
+    assert [[b.to_pylist() for b in f()] for f in (many, probed)] == whole
+    assert max(most) <= 2 * 600 + len(q) * 6
