@@ -42,9 +42,16 @@ def first_of(df: DataFrame, key: Sequence[str], *order: str) -> DataFrame:
 EARLIEST = ("published_at", "entry_id")
 
 
+def by_key(df: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """``df`` joined with the rows of ``other`` that have its feed and hash; the hash of an entry without text is null, and nulls are equal. ``other``'s key goes."""
+    keys = [f"_key_{k}" for k in KEY]
+    same = F.col(KEY[0]).eqNullSafe(F.col(keys[0])) & F.col(KEY[1]).eqNullSafe(F.col(keys[1]))
+    return df.join(other.withColumnsRenamed(dict(zip(KEY, keys, strict=True))), same, how).drop(*keys)
+
+
 def new_entries(incoming: DataFrame, entries: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Rows of ``incoming`` that are neither stored nor deleted before; of each feed and hash the earliest."""
-    return first_of(incoming, KEY, *EARLIEST).join(entries.select(*KEY), KEY, "left_anti").join(tombstones.select(*KEY), KEY, "left_anti")
+    return by_key(by_key(first_of(incoming, KEY, *EARLIEST), entries.select(*KEY), "left_anti"), tombstones.select(*KEY), "left_anti")
 
 
 #: What a refresh brings to a stored entry; its published_at stays.
@@ -58,7 +65,7 @@ def refresh(entries: DataFrame, incoming: DataFrame, tombstones: DataFrame, upda
     if update_existing:
         taken = [f for f in fields if f in entries.columns and f in incoming.columns]
         new = first_of(incoming, KEY, *EARLIEST).select(*KEY, F.lit(True).alias("_new"), *(F.col(f).alias(f"_new_{f}") for f in taken))
-        kept = entries.join(new, KEY, "left").withColumns({f: F.when(F.col("_new"), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in taken}).select(*entries.columns)
+        kept = by_key(entries, new, "left").withColumns({f: F.when(F.col("_new"), F.col(f"_new_{f}")).otherwise(F.col(f)) for f in taken}).select(*entries.columns)
     return kept.unionByName(fresh.select(*entries.columns)), fresh
 
 
@@ -66,8 +73,8 @@ def refresh_with_enclosures(entries: DataFrame, incoming: DataFrame, tombstones:
     """(entries, the newly inserted ones, enclosures) after a refresh. listed: feed_id, hash and the columns of enclosures; a stored
     entry that came again keeps the enclosures that are listed still, and gets those that are new."""
     snapshot, fresh = refresh(entries, incoming, tombstones)
-    ids = snapshot.join(incoming.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "entry_id")
-    current = listed.drop("entry_id").join(ids, KEY).select(*enclosures.columns)
+    ids = by_key(snapshot, incoming.select(*KEY).distinct(), "left_semi").select(*KEY, "entry_id")
+    current = by_key(listed.drop("entry_id"), ids, "inner").select(*enclosures.columns)
     kept = sync_enclosures(enclosures, current, ids)
     return snapshot, fresh, insert_enclosures(kept, current)
 
@@ -75,8 +82,8 @@ def refresh_with_enclosures(entries: DataFrame, incoming: DataFrame, tombstones:
 def insert_entry(entries: DataFrame, entry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, one row: entry_id, created): a single entry is inserted unless its feed has the hash already."""
     old = entries.select(*KEY, F.col("entry_id").alias("_old"))
-    found = entry.join(old, KEY, "left").select(F.coalesce("_old", "entry_id").alias("entry_id"), F.col("_old").isNull().alias("created"))
-    return entries.unionByName(entry.join(entries.select(*KEY), KEY, "left_anti").select(*entries.columns)), found
+    found = by_key(entry, old, "left").select(F.coalesce("_old", "entry_id").alias("entry_id"), F.col("_old").isNull().alias("created"))
+    return entries.unionByName(by_key(entry, entries.select(*KEY), "left_anti").select(*entries.columns)), found
 
 
 def archive(entries: DataFrame, tombstones: DataFrame, status: str, as_of: datetime, days: int, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -278,7 +285,7 @@ def remove_feed(corpus: Corpus, enclosures: DataFrame, feed_id: int) -> tuple[Da
 
 def create_feed(feeds: DataFrame, entries: DataFrame, feed: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(feeds, entries) with the feed and those of its entries whose hash is new."""
-    first = first_of(incoming, KEY, *EARLIEST).join(entries.select(*KEY), KEY, "left_anti")
+    first = by_key(first_of(incoming, KEY, *EARLIEST), entries.select(*KEY), "left_anti")
     return feeds.unionByName(feed, allowMissingColumns=True), entries.unionByName(first.select(*entries.columns))
 
 

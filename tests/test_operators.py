@@ -192,6 +192,20 @@ def test_refresh_without_update_takes_the_earliest(spark):
     assert sorted((r["hash"], r["title"], r["published_at"].day) for r in snapshot.collect()) == [("h", "early", 2), ("other", "old", 2)]
 
 
+def test_refresh_takes_null_hashes_for_equal(spark, tmp_path):
+    """Entries without text have no hash; stored and deleted ones of a feed keep others of it out, as in the SQL."""
+    from feedloom.plans import changes
+    from tests.oracle import same
+
+    rows = [(i, None if i % 3 else f"text {i}", "en", f"src{i % 4}", 5) for i in range(100, 160)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "made"))
+    os.rename(next(f for f in (tmp_path / "made").iterdir() if f.suffix == ".parquet"), tmp_path / "documents.parquet")
+    shutil.rmtree(tmp_path / "made")
+    shutil.copy(f"{SF}/embeddings.parquet", tmp_path)
+    for name in ("refresh_without_update", "refresh_upsert", "tombstone_guard", "refresh_enclosures"):
+        same(spark, changes.QUERIES[name], oracle.oracle_sql()[name], str(tmp_path))
+
+
 def test_refresh_enclosures_picks_by_id(spark, tmp_path):
     """Where the later of two equal entries is read first, the smaller ids stay all the same."""
     from feedloom.plans import changes
