@@ -412,6 +412,23 @@ def test_postings_are_made_in_slices(spark, monkeypatch):
             assert [S.stem_word(texts[r["doc"]][p], r["language"]) for p in r["places"]] == [r["term"]] * r["tf"]
 
 
+def test_an_index_is_made_from_small_batches(spark, tmp_path, monkeypatch):
+    """A task gets few rows at once, however many its partition has; the session's own settings come back."""
+    made, most, setting = postings._postings, int(postings.HANDED["spark.sql.execution.arrow.maxRecordsPerBatch"]), {k: spark.conf.get(k) for k in postings.HANDED}
+
+    def checked(batches, stem=False):
+        for b in batches:
+            if b.num_rows > most or b.nbytes > 16 << 20:
+                raise ValueError(f"{b.num_rows} rows, {b.nbytes} bytes")
+            yield from made([b], stem)
+
+    monkeypatch.setattr(postings, "_postings", checked)
+    docs = spark.range(0, 2 * most + 7, 1, 1).select(F.col("id").alias("passage_id"), F.expr("concat('a', id, ' ', repeat('b c d ', 3000))").alias("text"))
+    index = postings.build(docs, str(tmp_path / "i"))
+    assert index.state()["n"] == 2 * most + 7 and index.search("a5 d").count() == 1
+    assert {k: spark.conf.get(k) for k in postings.HANDED} == setting
+
+
 def test_stems_of_words_and_columns_agree(spark):
     words = spark.read.parquet(f"{SF}/documents.parquet").select("lang", F.explode(retrieval.tokens(F.col("text"))).alias("w")).distinct()
     words = words.unionByName(words.select("lang", F.concat("w", F.element_at(F.array(*map(F.lit, ("ies", "sses", "ingly", "bbed", "innen", "erest", "aux", "ées", "ación", "ces", "s2"))), (F.length("w") % 11 + 1))).alias("w")))
