@@ -35,7 +35,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from html import unescape
 from html.parser import HTMLParser
 
@@ -76,8 +76,17 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
+BLANK = " \t\n\x0b\x0c\r"
+SPACE = re.compile(f"[{BLANK}]+")
+#: Tags as pages mostly have them; all others go to the tolerant parser, which gives the same for these.
+START, END = re.compile(r'<([a-zA-Z][a-zA-Z0-9]*)((?: [a-zA-Z][a-zA-Z0-9-]*="[^"&]*")*)>'), re.compile(r"</([a-zA-Z][a-zA-Z0-9]*)>")
+ATTRIBUTE = re.compile(r' ([a-zA-Z][a-zA-Z0-9-]*)="([^"&]*)"')
+#: What follows these may be no markup, as the tolerant parser knows.
+RAW = frozenset("script style textarea title iframe noembed noframes noscript plaintext xmp".split())
+#: So many different start tags, and sets of names, of so many characters each, a process remembers.
+KNOWN, SHORT = 10_000, 300
 #: An opening tag closes an open element of these tags, up to the nearest one that holds it.
+HOLDS_P = BLOCKS - {"p"}
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
@@ -99,18 +108,34 @@ def _is_noise(name: str) -> bool:
     return any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in NEUTRAL_WORDS for w in words)
 
 
-def _kind(tag: str, attributes: dict, parent: Node | None) -> str:
-    """silent, noise, main, or '' of an element, by its tag and names."""
+@lru_cache(KNOWN)
+def _kind(tag: str, names: str, hidden: bool) -> str:
+    """silent, noise, main, header (noise outside of what is main) or '' of an element, by its tag and names."""
     if tag in SILENT:
         return "silent"
-    names = " ".join(str(attributes.get(a) or "") for a in ("class", "id", "role")).lower().split()
-    if tag not in KEPT_TAGS and (tag in NOISE_TAGS or any(map(_is_noise, names)) or attributes.get("aria-hidden") == "true" or "hidden" in attributes):
-        return "noise"
-    if tag == "header" and (parent is None or not parent.main):
+    names = names.lower().split()
+    if tag not in KEPT_TAGS and (tag in NOISE_TAGS or any(map(_is_noise, names)) or hidden):
         return "noise"
+    if tag == "header":
+        return "header"
     return "main" if tag in MAIN_WORDS or tag != "body" and not MAIN_WORDS.isdisjoint(names) else ""
 
 
+def _element(tag: str, attributes: dict) -> tuple[str, str, str, str]:
+    """tag, label, kind and link target."""
+    named = [(a, attributes[a]) for a in ("class", "id", "role") if attributes.get(a)]
+    label = f"{tag} {' '.join(f'{a}={x}' for a, x in named)}" if named else tag
+    judge = _kind if len(label) <= SHORT else _kind.__wrapped__
+    kind = judge(tag, " ".join(x for _, x in named), attributes.get("aria-hidden") == "true" or "hidden" in attributes)
+    return tag, label, kind, attributes.get("href") or ""
+
+
+@lru_cache(KNOWN)
+def _start(tag: str, attributes: str) -> tuple[str, str, str, str]:
+    """The same of a tag that ``START`` matches."""
+    return _element(tag.lower(), {name.lower(): x for name, x in ATTRIBUTE.findall(attributes)})
+
+
 class Page(HTMLParser):
     """Blocks of text in page order, each with the chain of elements that it stands in."""
 
@@ -125,37 +150,60 @@ class Page(HTMLParser):
                 self.handle_data(unescape(self.rawdata))
         self.flush()
 
+    def updatepos(self, i, j):  # nobody asks for lines
+        return j
+
+    def parse_starttag(self, i):
+        plain = START.match(self.rawdata, i)
+        if plain is None or plain.group(1).lower() in RAW:
+            return super().parse_starttag(i)
+        read = _start if plain.end() - i <= SHORT else _start.__wrapped__
+        self.begin(*read(*plain.groups()))
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if plain is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain.group(1).lower())
+        return plain.end()
+
     def flush(self) -> None:
-        text = SPACE.sub(" ", "".join(self.parts)).strip(" ")
-        if text:
-            self.blocks.append((self.top, text))
+        if not self.parts:
+            return
+        text = "".join(self.parts).strip(BLANK)
         self.parts = []
+        if text:
+            self.blocks.append((self.top, SPACE.sub(" ", text) if "  " in text or any(x in text for x in BLANK[1:]) else text))
 
-    def open_up(self, tag: str, attributes: dict) -> None:
+    def open_up(self, tag: str, label: str, kind: str, link: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        names = " ".join(f"{a}={attributes.get(a)}" for a in ("class", "id", "role") if attributes.get(a))
-        label = f"{tag} {names}" if names else tag
-        self.top.children.append(tag)
-        node = Node(tag, xxh64_intdigest(f"{self.top.path}/{label}"), _kind(tag, attributes, self.top), self.top)
-        if attributes.get("href"):
-            node.links.append(str(attributes["href"]))
+        top = self.top
+        top.children.append(tag)
+        if kind == "header":
+            kind = "" if top.main else "noise"
+        node = Node(tag, xxh64_intdigest(f"{top.path}/{label}"), kind, top)
+        if link:
+            node.links.append(link)
         if tag not in VOID:
             self.top = node
             self.nodes.append(node)
             self.open[tag] += 1
 
     def handle_starttag(self, tag, attrs):
-        attributes = dict(attrs)
+        self.begin(*_element(tag, dict(attrs)))
+
+    def begin(self, tag: str, label: str, kind: str, link: str) -> None:
         if tag in ("html", "body", "head"):
             if tag == "head":
-                self.open_up(tag, attributes)
+                self.open_up(tag, label, kind, link)
             elif tag == "body":
                 self.close_down("head")
-                self.open_up(tag, attributes)
+                self.open_up(tag, label, kind, link)
             return
         if tag in BLOCKS:  # a paragraph ends where a block begins
-            self.close_down("p", BLOCKS - {"p"})
+            self.close_down("p", HOLDS_P)
         if tag in CLOSES:
             mine, holders = CLOSES[tag]
             for t in mine:
@@ -163,7 +211,7 @@ class Page(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        self.open_up(tag, attributes)
+        self.open_up(tag, label, kind, link)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:

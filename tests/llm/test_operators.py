@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -540,6 +541,21 @@ def test_importance_matches_brute_force(spark):
     assert body_text(pages[-3][1], got["h0"]) != "" and "magazine" not in body_text(pages[20][1], got["h1"]) and "Text" in body_text(pages[20][1], got["h1"])
 
 
+def test_plain_tags_pass_by_the_tolerant_parser(monkeypatch):
+    rng = np.random.default_rng(6)
+    bits = ["<p>", "</p>", '<div class="menu">', "</div>", '<DIV Class="a" class="b">', '<header id="main">', "</header>", '<a href="x?a=1&amp;b">', '<img src="y" class="ad">', "<li hidden>", "<br/>", "<br>", "<script>", "</script>"]
+    bits += ["<title>", "</title>", '<p a="1"b="2">', "<!--", "-->", "&amp;", "&lt", "<", ">", '"', " ", "\n", "\xa0", "word", "two  words"]
+    made = ["".join(rng.choice(bits, rng.integers(1, 25))) for _ in range(1500)]
+    asked, tolerant = [], HTMLParser.parse_starttag
+    monkeypatch.setattr(HTMLParser, "parse_starttag", lambda self, i: asked.append(i) or tolerant(self, i))
+    fast = [features(x) for x in made]
+    asked.clear()
+    assert body_text('<body><div class="post"><h1>One</h1><p>Two  words\n</p></div></body>', set()) == "One\n\nTwo words" and not asked
+    monkeypatch.setattr("feedloom.llm.site_style.START", re.compile("(?!)"))
+    monkeypatch.setattr("feedloom.llm.site_style.END", re.compile("(?!)"))
+    assert [features(x) for x in made] == fast and len(asked) > 1500
+
+
 # 9: toxicity
 def test_toxicity_learns(spark, none, hard):
     rng = np.random.default_rng(4)
