@@ -29,7 +29,7 @@ from feedloom.llm.site_style import Page, _place, body_text, extract, features,
 from feedloom.llm.span_dedup import span_dedup, without_repeats
 from feedloom.llm.textvec import NOT_ALNUM, mix, signed, words
 from feedloom.llm.tiling import drop_leaks, leaks, tile
-from feedloom.llm.toxicity import marked, toxicity, values
+from feedloom.llm.toxicity import differences, marked, toxicity, values
 from feedloom.llm.wordkn import PairModel, discounts
 from tests.oracle import SF, same
 
@@ -609,6 +609,32 @@ def test_toxicity_matches_brute_force(spark):
         assert got[i] == pytest.approx(sum(map(value, s)) / len(s), rel=1e-9)
 
 
+def test_toxicity_counts_the_whole_difference(spark):
+    rng = np.random.default_rng(9)
+    pool = [f"w{i}" for i in range(200)]
+    made = [(" ".join([*rng.choice(pool, 30), *(["foo", "baz"] if i % 10 == 0 else ["calm"]), *(["rare"] if i in (0, 10) else [])]), int(i % 10 == 0)) for i in range(240)]
+    sets = [(set(t.split()), y) for t, y in made]
+    n = [Counter(w for s, y in sets if y == c for w in s) for c in (0, 1)]
+    both, size = n[0] + n[1], [sum(x.values()) for x in n]
+    total, d = sum(size), discounts(*(sum(x == i for x in both.values()) for i in (1, 2, 3, 4)))
+    take = lambda x: d[min(x, 3) - 1] if x else 0.0
+    rest = sum(map(take, both.values())) / total / (len(both) + 1)
+    kept = [{w: max(c[w] - take(c[w]) - both[w] * (s / total) ** 0.4, 0.0) for w in both} for c, s in zip(n, size, strict=True)]
+    freed = [1 - sum(k.values()) / s for k, s in zip(kept, size, strict=True)]
+    p = [{w: kept[c][w] / size[c] + freed[c] * ((both[w] - take(both[w])) / total + rest) for w in both} for c in (0, 1)]
+    value = {w: np.log(p[1][w] / p[0][w]) - np.log(freed[1] / freed[0]) for w in both}
+    assert value["calm"] < 0 < value["rare"] < value["foo"] and sum(abs(x) > 1e-9 for x in value.values()) < len(both)
+
+    number = lambda w: signed(next(words(pa.array([w]), separators=NOT_ALNUM)).hash)[0].item()
+    rows = spark.createDataFrame([(y, number(w), x) for y in (0, 1) for w, x in n[y].items()], "kind int, word long, n long")
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)] + [(900, None), (901, "nothing known")], "doc_id long, text string")
+    got = {r["doc_id"]: r["mark"] for r in marked(docs, differences(rows, (0, 1), "mark"), ("mark",)).collect()}
+    assert len(got) == 242 and got[900] == got[901] == 0 and min(got.values()) < 0
+    for i, (s, _) in enumerate(sets):
+        assert got[i] == pytest.approx(sum(value[w] for w in s) / len(s), rel=1e-9, abs=1e-12)
+    assert differences(rows.filter("kind = 0"), (0, 1), "mark").count() == 0
+
+
 # 10: substring dedup
 def brute_spans(texts, min_words=20):
     """Sentences as word lists, spans as (key, doc, first, stop); which sentences go."""
