@@ -635,6 +635,28 @@ def test_toxicity_counts_the_whole_difference(spark):
     assert differences(rows.filter("kind = 0"), (0, 1), "mark").count() == 0
 
 
+def test_toxicity_counts_repeated_words(spark):
+    rng = np.random.default_rng(10)
+    pool = [f"w{i}" for i in range(60)]
+    made = [(i, " ".join([*rng.choice(pool, 30), *(["foo!"] * (i % 4) if i % 5 == 0 else ["calm,"] * (i % 3)), "Foo"]), int(i % 5 == 0)) for i in range(240)] + [(900, None, 0), (901, "nothing known", 1)]
+    texts = [(i, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")), y) for i, t, y in made]
+    n = [Counter(w for i, s, y in texts if y == c and zlib.crc32(str(i).encode()) % 3 != 1 for w in s) for c in (0, 1)]
+    both, size = n[0] + n[1], [sum(x.values()) for x in n]
+    total, d = sum(size), discounts(*(sum(x == i for x in both.values()) for i in (1, 2, 3, 4)))
+    take = lambda x: d[min(x, 3) - 1] if x else 0.0
+    rest = sum(map(take, both.values())) / total / (len(both) + 1)
+    kept = [{w: max(c[w] - take(c[w]) - both[w] * (s / total) ** 0.4, 0.0) for w in both} for c, s in zip(n, size, strict=True)]
+    freed = [1 - sum(k.values()) / s for k, s in zip(kept, size, strict=True)]
+    p = [{w: kept[c][w] / size[c] + freed[c] * ((both[w] - take(both[w])) / total + rest) for w in both} for c in (0, 1)]
+    value = {w: np.log(p[1][w] / p[0][w]) - np.log(freed[1] / freed[0]) for w in both}
+
+    docs = spark.createDataFrame([x[:2] for x in made], "doc_id long, text string")
+    got = {r["doc_id"]: r["mark"] for r in toxicity(docs, spark.createDataFrame([(i, 1, y) for i, _, y in made], "doc_id long, quality int, toxic int")).collect()}
+    assert len(got) == 242 and got[900] == 0 and any(len(s) > len(set(s)) for _, s, _ in texts)
+    for i, s, _ in texts:
+        assert got[i] == pytest.approx(sum(value.get(w, 0.0) for w in s) / max(len(s), 1), rel=1e-9, abs=1e-12)
+
+
 # 10: substring dedup
 def brute_spans(texts, min_words=20):
     """Sentences as word lists, spans as (key, doc, first, stop); which sentences go."""
