@@ -208,7 +208,8 @@ class Segments:
         if not names:
             return None
         reader = self.spark.read.option("basePath", f"{self.path}/{part}")
-        reader = reader.schema(f"{self.schema}, segment string") if part == "data" else reader
+        if part in ("data", "ids", "gone"):  # else a name of digits alone is read as a number
+            reader = reader.schema(self._columns(part))
         return reader.parquet(*(f"{self.path}/{part}/segment={n}" for n in names))
 
     def rows_of(self, part: str, segments: list[dict]) -> DataFrame:
@@ -216,7 +217,10 @@ class Segments:
         rows = self.read(part, segments)
         if rows is not None:
             return rows
-        return self.spark.createDataFrame([], f"{self.schema if part == 'data' else f'{self.key} long, size long'}, segment string")
+        return self.spark.createDataFrame([], self._columns(part))
+
+    def _columns(self, part: str) -> str:
+        return f"{self.schema if part == 'data' else f'{self.key} long, size long'}, segment string"
 
     def live(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
         """``rows`` (with segment) without those that a younger segment has replaced or deleted."""

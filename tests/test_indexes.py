@@ -2,6 +2,7 @@
 
 import itertools
 import os
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -199,6 +200,17 @@ def test_a_change_during_a_merge_stays(spark, tmp_path):
     assert [r.entry_id for r in index.search("second").collect()] == [1] and index.search("first").count() == 0
 
 
+@pytest.mark.parametrize("form", ["{:012d}", "{:010d}e1"])
+def test_a_segment_name_may_look_like_a_number(spark, tmp_path, monkeypatch, form):
+    number = itertools.count(1)
+    monkeypatch.setattr("feedloom.sources.versions.uuid", SimpleNamespace(uuid4=lambda: SimpleNamespace(hex=form.format(next(number)) + "0" * 20)))
+    index = postings.build(spark.createDataFrame(ROWS, DOCS), str(tmp_path / "i"), "entry_id", "content")
+    index.update(spark.createDataFrame([(1, "", "zero", "en")], DOCS))
+    assert all(float(s["name"]) for s in index.state()["segments"])
+    assert [r.entry_id for r in index.search("zero").collect()] == [1] and index.merge(whole=True) == 1
+    assert [r.entry_id for r in index.search("zero").collect()] == [1]
+
+
 def test_an_id_that_repeats_is_refused(spark, tmp_path):
     index = postings.build(spark.createDataFrame(ROWS, DOCS), str(tmp_path / "i"), "entry_id", "content")
     with pytest.raises(ValueError, match="repeat"):
